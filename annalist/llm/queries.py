@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from annalist.llm import mixing, sharding
+from annalist.llm import chat, mixing, quality, sharding
 
 QUERIES = {
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op5_perspective_rotation": chat.op5_perspective_rotation,
     "op7_feistel_sharding": sharding.op7_feistel_sharding,
+    "op10_line_quality": quality.op10_line_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_perspective_rotation": chat.SQL,
+    "op10_line_quality": quality.SQL,
+}
