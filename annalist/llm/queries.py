@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from annalist.llm import chat, mixing, quality, sharding
+from annalist.llm import chat, mixing, quality, secret_scan, sharding
 
 QUERIES = {
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_secret_automaton": secret_scan.op4_secret_automaton,
     "op5_perspective_rotation": chat.op5_perspective_rotation,
     "op7_feistel_sharding": sharding.op7_feistel_sharding,
     "op10_line_quality": quality.op10_line_quality,
