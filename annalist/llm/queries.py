@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from annalist.llm import chat, mixing, quality, secret_scan, sharding
+from annalist.llm import chat, mixing, quality, secret_scan, sharding, topk
 
 QUERIES = {
+    "op1_tiled_topk": topk.op1_tiled_topk,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_secret_automaton": secret_scan.op4_secret_automaton,
     "op5_perspective_rotation": chat.op5_perspective_rotation,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_tiled_topk": topk.SQL,
     "op5_perspective_rotation": chat.SQL,
     "op10_line_quality": quality.SQL,
 }
