@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from annalist.llm import chat, mixing, quality, secret_scan, sharding, topk
+from annalist.llm import bpe, chat, mixing, quality, secret_scan, sharding, topk
 
 QUERIES = {
     "op1_tiled_topk": topk.op1_tiled_topk,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_secret_automaton": secret_scan.op4_secret_automaton,
     "op5_perspective_rotation": chat.op5_perspective_rotation,
+    "op6_merge_replay": bpe.op6_merge_replay,
     "op7_feistel_sharding": sharding.op7_feistel_sharding,
     "op10_line_quality": quality.op10_line_quality,
 }
