@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annalist.llm import bpe, chat, mixing, quality, secret_scan, sharding, topk, warc
+from annalist.llm import bpe, chat, jaccard, mixing, quality, secret_scan, sharding, topk, warc
 
 QUERIES = {
     "op1_tiled_topk": topk.op1_tiled_topk,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_merge_replay": bpe.op6_merge_replay,
     "op7_feistel_sharding": sharding.op7_feistel_sharding,
     "op8_zip_warc": warc.op8_zip_warc,
+    "op9_prefix_tree_join": jaccard.op9_prefix_tree_join,
     "op10_line_quality": quality.op10_line_quality,
 }
 
@@ -19,5 +20,6 @@ ORACLE_SQL = {
     "op1_tiled_topk": topk.SQL,
     "op5_perspective_rotation": chat.SQL,
     "op8_zip_warc": warc.SQL,
+    "op9_prefix_tree_join": jaccard.SQL,
     "op10_line_quality": quality.SQL,
 }
