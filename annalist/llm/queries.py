@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from annalist.llm import bpe, chat, jaccard, mixing, quality, secret_scan, sharding, topk, warc
+from annalist.llm import bpe, chat, jaccard, mixing, quality, secret_scan, sharding, suffix_dedup, topk, warc
 
 QUERIES = {
     "op1_tiled_topk": topk.op1_tiled_topk,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_secret_automaton": secret_scan.op4_secret_automaton,
     "op5_perspective_rotation": chat.op5_perspective_rotation,
