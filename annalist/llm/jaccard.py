@@ -337,9 +337,22 @@ def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The documents that lead their component, the least doc_id of each, with all columns; rows with null doc_id stay."""
+    """One document of each component, that of the least doc_id, with all columns; rows with null doc_id stay.
+
+    Of rows that share a doc_id one stays; only those are shuffled with their texts.
+    """
     labels = similar_components(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(labels, F.col("doc_id") == F.col("_gone"), "left_anti")
+    labels = shared.written(labels, "gone")
+    few = labels.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(labels) if few else labels, F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    twice = shared.written(twice, "twice")
+    n_twice = twice.count()
+    if not n_twice:
+        return left
+    twice = F.broadcast(twice) if n_twice <= BROADCAST_IDS else twice
+    same = F.col("doc_id") == F.col("_twice")
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op9_prefix_tree_join(spark, sf_dir):

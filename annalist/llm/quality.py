@@ -133,9 +133,11 @@ def score(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their cleaned texts and the columns of the input."""
-    scored = score(docs).where("quality.kept")
-    lengths = {"n_chars": F.length("quality.cleaned").cast("long")} if "n_chars" in docs.columns else {}
-    return scored.withColumns({"text": F.col("quality.cleaned"), **lengths}).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score(docs.select(F.struct("*").alias("_row"), "text"))
+    kept = F.filter(F.array("quality"), lambda q: q["kept"])  # exploded, not filtered by: a filter would compute the rules twice
+    rows = scored.select("_row", F.explode(kept).alias("_q"))
+    new = {"text": F.col("_q.cleaned"), "n_chars": F.length("_q.cleaned").cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op10_line_quality(spark, sf_dir):
