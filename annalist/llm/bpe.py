@@ -118,6 +118,10 @@ class Codec:
                     at = at[(i - first) % 2 == 0]
             gone = after[at]
             beyond = after[gone]
+            beside = np.flatnonzero(beyond[:-1] == at[1:]) + 1
+            if len(beside):  # merged one by one, the second would meet the first as a pair
+                between = self.pair_rank(np.full(len(beside), rank), token[at[beside]])
+                alone.update(word[at[beside[(between >= 0) & (between < rank)]]].tolist())
             token[at] = rank
             token[gone] = -1
             pair[gone] = -1

@@ -69,18 +69,18 @@ def parity(found: np.ndarray, bits: int) -> bytes:
 
 
 def set_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, two hashes of the set, and for each size range its keys, parity bits and bound."""
+    """doc_id, hash of the text, n, two hashes of the set, and for each size range its keys, parity bits and bound."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = _sizes(percent)
         for batch in batches:
-            for first, data, bounds in blocks(batch.column(1)):
+            for first, data, bounds in blocks(batch.column(2)):
                 n, h1, h2, keys, bits, most = [], [], [], [], [], []
                 for found in shingle_sets(data, bounds, width):
                     size = len(found)
                     n.append(size)
                     with np.errstate(over="ignore"):
-                        h1.append(int(mixed(found).sum(dtype=np.uint64).view(np.int64)))
+                        h1.append(set_hash(found))
                         h2.append(int(mixed(found * np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64)))
                     ranges = sizes.ranges(size) if size else ()
                     keys.append([part_keys(found, sizes, k) for k in ranges])
@@ -91,11 +91,11 @@ def set_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     pa.array(np.append(0, np.cumsum([len(k) for k in flat])).astype(np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
                 )
                 nested = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)), inner)
-                columns = [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), nested, pa.array(bits, pa.list_(pa.binary())), pa.array(most, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "keys", "bits", "most"])
+                columns = [batch.column(0).slice(first, len(n)), batch.column(1).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), nested, pa.array(bits, pa.list_(pa.binary())), pa.array(most, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "h1", "h2", "keys", "bits", "most"])
 
-    schema = "doc_id long, n long, h1 long, h2 long, keys array<array<long>>, bits array<binary>, most array<int>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(described, schema)
+    schema = "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<array<long>>, bits array<binary>, most array<int>"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(described, schema)
 
 
 def by_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -267,19 +267,67 @@ def linked_sets(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int
     return spread(len(sets), tree.search)
 
 
+def set_hash(found: np.ndarray) -> int:
+    return int(mixed(found).sum(dtype=np.uint64).view(np.int64))
+
+
 def _tile_links(width: int, percent: int):
     def links(group: pa.Table) -> pa.Table:
-        ids, sets, seen = group.column("doc_id").to_pylist(), [], []
-        for _, data, bounds in blocks(pa.concat_arrays(group.column("text").chunks)):
-            sets += list(shingle_sets(data, bounds, width))
-        for a, b in linked_sets(sets, percent):
-            seen.append((ids[a], ids[b]))
+        nodes, own, sets = group.column("node").to_pylist(), [], {}
+        for first, data, bounds in blocks(pa.concat_arrays(group.column("text").chunks)):
+            for node, found in zip(nodes[first:], shingle_sets(data, bounds, width), strict=False):
+                if node not in sets and set_hash(found) == node:
+                    sets[node] = found
+                    own.append(node)
+        seen = [(own[a], own[b]) for a, b in linked_sets(list(sets.values()), percent)] if sets else []
         u, v = zip(*seen, strict=True) if seen else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return links
 
 
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n and component_id of each row."""
+    spark = docs.sparkSession
+    rows = shared.written(set_rows(docs, width, percent), "sets")
+    full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    reps = full.groupBy("h1", "h2").agg(F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.any_value("most").alias("most"))
+    reps = reps.withColumnRenamed("h1", "node")
+
+    dealt = shared.partitions(spark)
+    keys = reps.select("node", F.posexplode("keys").alias("slot", "own")).select(F.explode("own").alias("key"), "node", "slot")
+    several = keys.repartition(dealt, "key").sortWithinPartitions("key").mapInArrow(_shared_keys, "key long, node long, slot int")
+    several = several.withColumnRenamed("node", "member")
+    joined = several.join(reps.select("node", "bits", "most"), F.col("member") == F.col("node"))
+    joined = joined.select("key", "member", F.expr("bits[slot]").alias("bits"), F.expr("most[slot]").alias("most"))
+    edges = joined.repartition(dealt, "key").sortWithinPartitions("key", "member").mapInArrow(_candidate_edges, "u long, v long")
+    groups = shared.written(components(edges), "candidates")
+
+    first = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    members = groups.join(first.select(F.col("h1").alias("_h"), "first"), F.col("node") == F.col("_h")).drop("_h")
+    members = shared.written(members, "members")
+    sizes = members.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("members"))
+    parts = F.when(F.col("members") > TREE_SETS, F.ceil(F.col("members") * 2 / TREE_SETS)).otherwise(1).cast("int")  # a tree holds two parts
+    tiles = members.join(sizes, F.col("component") == F.col("c")).select("node", "first", "component", parts.alias("parts"))
+    tiles = tiles.withColumn("part", F.pmod("node", F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.where((F.col("parts") == 1) | (F.col("part") != F.col("other"))).select(
+        "node", "first", "component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+    )
+    few = members.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(F.broadcast(tiles) if few else tiles, F.col("doc_id") == F.col("first"))
+    links = texts.groupBy("component", "low", "high").applyInArrow(_tile_links(width, percent), "u long, v long")
+    found = shared.written(components(links).withColumnRenamed("component", "_c"), "found")
+
+    least = found.join(members.select(F.col("node").alias("_n"), "first"), F.col("node") == F.col("_n")).groupBy("_c").agg(F.min("first").alias("named"))
+    found = found.join(least, "_c").select("node", "named")
+    labels = first.join(found, F.col("h1") == F.col("node"), "left").where("copies > 1 OR node IS NOT NULL")
+    labels = labels.select("h1", "h2", F.coalesce("named", "first").alias("named"))
+    labelled = rows.select("doc_id", "text_hash", "n", "h1", "h2").join(labels, ["h1", "h2"], "left")
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("named", "doc_id")).otherwise(F.col("doc_id"))
+    return labelled.select("doc_id", "text_hash", "n", component.alias("component_id"))
+
+
 def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of each row.
 
@@ -295,64 +343,28 @@ def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
        ones in tiles of bounded size; links found become the components of the result.
 
     Nothing is sampled or capped. Null text: no words. Null doc_id: n_shingles is given,
-    component_id is null and the row links with nothing. Rows with one doc_id count as
-    copies where their texts agree; else each row has its own set, and they share a component as they share the id.
-    Empty table: no rows. Other columns are ignored.
+    component_id is null and the row links with nothing. Repeated rows are copies of one
+    another; rows that share only the doc_id have each their own set. Empty table: no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = shared.written(set_rows(docs, width, percent), "sets")
-    full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.any_value("most").alias("most"))
-
-    dealt = shared.partitions(spark)
-    keys = reps.select("node", F.posexplode("keys").alias("slot", "own")).select(F.explode("own").alias("key"), "node", "slot")
-    several = keys.repartition(dealt, "key").sortWithinPartitions("key").mapInArrow(_shared_keys, "key long, node long, slot int")
-    several = several.withColumnRenamed("node", "member")
-    bits = reps.select("node", "bits", "most")
-    joined = several.join(bits, F.col("member") == F.col("node")).select("key", "member", F.expr("bits[slot]").alias("bits"), F.expr("most[slot]").alias("most"))
-    edges = joined.repartition(dealt, "key").sortWithinPartitions("key", "member").mapInArrow(_candidate_edges, "u long, v long")
-    groups = shared.written(components(edges), "candidates")
-
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    tiles = F.ceil(F.col("members") * 2 / TREE_SETS).cast("int")  # parts, of which a tree holds two
-    parts = F.when(F.col("members") > TREE_SETS, tiles).otherwise(1)
-    members = groups.join(sizes.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).select("node", "component", parts.alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    members = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.where((F.col("parts") == 1) | (F.col("part") != F.col("other"))).select(
-        "node", "component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
-    )
-    few = groups.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("node"))
-    schema = "u long, v long"
-    links = texts.groupBy("component", "low", "high").applyInArrow(_tile_links(width, percent), schema)
-    found = components(links)
-
-    first = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    named = first.join(found, F.col("first") == F.col("node"), "left").where("copies > 1 OR node IS NOT NULL")
-    named = named.select("h1", "h2", F.coalesce("component", "first").alias("named"))
-    labelled = rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
-    return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("named", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _labelled(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One document of each component, that of the least doc_id, with all columns; rows with null doc_id stay.
 
-    Of rows that share a doc_id one stays; only those are shuffled with their texts.
+    Of repeated rows one stays; only those are shuffled with their texts.
     """
-    labels = similar_components(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    labels = shared.written(labels, "gone")
-    few = labels.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(labels) if few else labels, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    twice = shared.written(twice, "twice")
+    gone = _labelled(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    gone = shared.written(gone, "gone")
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+    twice = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    twice = shared.written(twice.groupBy("_id", "_text").count().where("count > 1"), "twice")
     n_twice = twice.count()
     if not n_twice:
         return left
     twice = F.broadcast(twice) if n_twice <= BROADCAST_IDS else twice
-    same = F.col("doc_id") == F.col("_twice")
-    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op9_prefix_tree_join(spark, sf_dir):

@@ -1,0 +1,334 @@
+"""Operators on `documents`, each against a plain version in Python."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from annalist.llm import bpe, jaccard, mixing, quality, secret_scan, sharding, suffix_dedup
+from annalist.llm.components import components
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return SPACE.findall(text or "")
+
+
+# ---- mixing
+
+
+def test_mixing_meets_targets(docs, empty):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == docs.count()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    total = sum(r.size for r in rows)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    size = {s: sum(r.size for r in by[s]) for s in order}
+    clamped = set()
+    while True:
+        left = total - sum(3 * size[s] for s in clamped)
+        level = left / max(1e-9, sum(weight[s] for s in order if s not in clamped))
+        more = {s for s in order if s not in clamped and level * weight[s] > 3 * size[s]}
+        if not more:
+            break
+        clamped |= more
+    for s, own in by.items():
+        target = 3 * size[s] if s in clamped else level * weight[s]
+        assert all(r.source_size == size[s] and abs(r.target - target) < 1e-6 * max(1, target) for r in own)
+        assert abs(sum(r.taken for r in own) - target) <= 1 + len(own)
+        assert all(0 <= r.taken <= 3 * r.size for r in own)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(2)).collect()))
+    assert mixing.mix(empty).count() == 0 and mixing.repeated(empty).count() == 0
+
+
+def test_mixing_clamps_small_sources(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 if i < 3 else 50), "tiny" if i < 3 else "zz") for i in range(40)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, weights=(5, 1)).collect()
+    tiny = [r for r in rows if r.source == "tiny"]
+    assert all(r.target == 9 and r.taken == 3 * r.size for r in tiny)
+    assert sum(r.taken for r in rows) == pytest.approx(sum(r.size for r in rows), abs=1)
+
+
+def test_mixing_repeats_whole_documents(docs):
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    taken = {(r.doc_id, r.source, r.size): (r.whole, r.extra) for r in mixing.mix(docs).collect()}
+    have = Counter((r.doc_id, r.source, len(words(r.text))) for r in out.collect())
+    rows = Counter((r.doc_id, r.source, len(words(r.text))) for r in docs.collect())
+    for key, n in rows.items():
+        whole, extra = taken[key]
+        assert have[key] == (n * (whole + (2 * extra >= key[2])) if key[2] else 0)
+
+
+# ---- sharding
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
+def test_feistel_is_a_permutation(n):
+    f = sharding.Feistel(n, 3)
+    out = f.forward(np.arange(n))
+    assert sorted(out.tolist()) == list(range(n))
+    assert f.backward(out).tolist() == list(range(n))
+
+
+def test_sharding(docs, empty):
+    rows = docs.select("doc_id", "text")
+    placed = sharding.assign(rows, [F.col("doc_id"), F.col("text")], 4, seed=9).collect()
+    n = len(placed)
+    assert sorted(r.row_number for r in placed) == list(range(n))
+    slots = defaultdict(list)
+    for r in placed:
+        slots[r.shard].append(r.slot)
+        assert sharding.locate(r.row_number, n, 4, 9) == (r.shard, r.slot)
+        assert sharding.row_at(r.shard, r.slot, n, 4, 9) == r.row_number
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    again = sharding.assign(rows.repartition(3), [F.col("doc_id"), F.col("text")], 4, seed=9).collect()
+    assert sorted(map(str, placed)) == sorted(map(str, again))
+    assert sharding.assign(empty, [F.col("doc_id")], 4).count() == 0
+
+
+# ---- quality
+
+
+def repeat_words(ws):
+    keys = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    n = Counter(keys)
+    return len({i + j for i, k in enumerate(keys) if n[k] > 1 for j in range(5)})
+
+
+def test_quality_counts(docs, empty):
+    for r in quality.score(docs).select("text", "quality.*").collect():
+        t, ws = r.text or "", words(r.text)
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), repeat_words(ws))
+        assert r.base_failed == (len(ws) < 10 or 100 * r.n_repeat_words > 20 * len(ws))
+    assert quality.score(empty).count() == 0
+
+
+def test_quality_cleans_lines(spark):
+    good = "This line is prose, and it stays where it is.\nSo does this one, with a second sentence. Fine."
+    rows = [
+        (1, good, "x"),
+        (2, good + "\nAll Rights Reserved.", "x"),
+        (3, "Home | News | Sport | About | Contact.\n" * 9 + "One two three.", "x"),
+        (4, good + "\nHome | News | Sport | Contact", "x"),
+        (5, "word$$$ other%%% more*** " * 9 + ".", "x"),
+        (6, None, "x"),
+    ]
+    out = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, quality string"))
+    assert out.columns == ["doc_id", "text", "quality"]
+    assert {r.doc_id: r.text for r in out.collect()} == {1: good, 2: good, 4: good}
+
+
+# ---- secrets
+
+KINDS = {
+    "assign": re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile(r"(AKIA[A-Z0-9]+)"),
+    "hex": re.compile(r"([0-9a-f]+)"),
+}
+
+
+def secrets_of(text):
+    least = {"assign": 6, "access": 20, "hex": 24}
+    found = [(m.start(), i, m.end(), kind) for i, (kind, p) in enumerate(KINDS.items()) for m in p.finditer(text or "") if len(m[1]) >= least[kind]]
+    return [(kind, s, e) for s, _, e, kind in sorted(found)]
+
+
+def test_secrets(docs, empty):
+    n = 0
+    for r in secret_scan.find_secrets(docs).collect():
+        assert [(x.kind, x.start, x.end) for x in r.secrets] == secrets_of(r.text)
+        n += len(r.secrets)
+    assert n >= 5
+    assert secret_scan.find_secrets(empty).count() == 0
+    masked = secret_scan.mask_secrets(docs)
+    assert masked.columns == docs.columns
+    assert all(not secrets_of(r.text) for r in masked.collect())
+
+
+def test_secrets_on_random_strings(spark):
+    import random
+
+    rng = random.Random(1)
+    parts = ["token", "password", "Secret", "api_key", "passwd", "=", ":", " ", '"', "abc", "AKIA", "AKIAAKIAZ0", "0123456789abcdef" * 2, "é", "\n", "tok", "==", "A" * 17, "ab12" * 300, "日本"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 8, 30, 400]))) for _ in range(600)]
+    scanned = secret_scan.find_secrets(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert all([(x.kind, x.start, x.end) for x in r.secrets] == secrets_of(r.text) for r in scanned.collect())
+
+
+# ---- byte pairs
+
+
+def test_bpe_is_what_tiktoken_does(docs, empty):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
+    for r in coded.select("text", "ids", "decoded").collect():
+        assert r.ids == own.encode_ordinary(r.text or "")
+        assert bytes(r.decoded) == (r.text or "").encode()
+    back = bpe.decode(coded.select("text", "ids"), path).collect()
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in back)
+    assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_with_falling_ranks():
+    ranks = {bytes([b]): 100 + b for b in range(256)} | {b"bc": 90, b"abc": 3, b"ab": 95, b"aa": 4, b"aaa": 2}
+    codec = bpe.Codec(ranks, r"\S+")
+    texts = ["abcabc", "aaaa", "aaaaaaab", "xbcabbc", "aabcaabc"]
+    ids, counts = codec.encode(texts)
+    ends = np.cumsum(counts)
+    for text, end, n in zip(texts, ends, counts, strict=True):
+        whole = [ranks[text.encode()]] if text.encode() in ranks else codec.merged_alone(text.encode())
+        assert ids[end - n : end].tolist() == whole
+
+
+# ---- similar documents
+
+
+def shingles(text, width):
+    ws = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(ws[i : i + width]) for i in range(len(ws) - width + 1)} if len(ws) >= width else ({tuple(ws)} if ws else set())
+
+
+def least_reachable(n, links):
+    label = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_similar_components(docs, empty, width, percent):
+    rows = [r for r in docs.where("doc_id IS NOT NULL").collect()]
+    sets = [shingles(r.text, width) for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    label = least_reachable(len(rows), links)
+    least = {}
+    for r, c in zip(rows, label, strict=True):
+        least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    wanted = sorted((r.doc_id, len(s), least[c]) for r, s, c in zip(rows, sets, label, strict=True))
+    found = jaccard.similar_components(docs, width, percent)
+    assert sorted(tuple(r) for r in found.where("doc_id IS NOT NULL").collect()) == wanted
+    assert all(r.component_id is None for r in found.where("doc_id IS NULL").collect())
+    assert jaccard.similar_components(empty, width, percent).count() == 0
+    kept = jaccard.keep_one(docs, width, percent)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({least[c] for c in label})
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join(map(str, range(50))), " ".join(map(str, range(100, 150)))
+    docs = spark.createDataFrame([(1, a), (5, b), (5, a + " more"), (7, b), (5, b)], "doc_id long, text string")
+    found = sorted(map(tuple, jaccard.similar_components(docs, 3, 90).collect()))
+    assert found == [(1, 48, 1), (5, 48, 5), (5, 48, 5), (5, 49, 1), (7, 48, 5)]
+    assert sorted(map(tuple, jaccard.keep_one(docs, 3, 90).collect())) == [(1, a), (5, b)]
+
+
+def test_tiles_find_what_one_tree_finds(docs, monkeypatch):
+    whole = sorted(map(tuple, jaccard.similar_components(docs, 3, 90).where("doc_id IS NOT NULL").collect()))
+    monkeypatch.setattr(jaccard, "TREE_SETS", 4)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, jaccard.similar_components(docs, 3, 90).where("doc_id IS NOT NULL").collect())) == whole
+
+
+@pytest.mark.parametrize("percent", [90, 80, 50])
+def test_prefix_tree(percent):
+    import random
+
+    rng = random.Random(percent)
+    for _ in range(60):
+        base, sets = [rng.getrandbits(63) for _ in range(rng.choice([1, 5, 30, 120]))], {}
+        for _ in range(rng.choice([1, 2, 12, 30])):
+            own = set(base)
+            for _ in range(rng.choice([0, 1, 2, 5, 20])):
+                own ^= {rng.choice(base) if rng.random() < 0.5 else rng.getrandbits(63)}
+            own = np.array(sorted(own or {7}), dtype=np.uint64)
+            sets[own.tobytes()] = own
+        sets = list(sets.values())
+        tree = jaccard.PrefixTree(sets, percent)
+        for q in range(len(sets)):
+            rest = np.array([i for i in range(len(sets)) if i != q], dtype=np.int64)
+            shared = [len(np.intersect1d(sets[q], sets[i])) for i in rest]
+            wanted = [i for i, x in zip(rest.tolist(), shared, strict=True) if 100 * x >= percent * (len(sets[q]) + len(sets[i]) - x)]
+            assert sorted(tree.search(q, rest).tolist()) == wanted
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (300, 100), (7, 7)]
+    found = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.node: r.component for r in found} == {i: 1 for i in range(1, 61)} | {100: 100, 200: 100, 300: 100}
+
+
+# ---- repeated strings
+
+
+def without_repeats(texts, length):
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    for t in texts:
+        gone = np.zeros(len(t) + 1, dtype=np.int64)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i] += 1
+                gone[i + length] -= 1
+        cut = np.cumsum(gone)[: len(t)] > 0
+        yield len(t), int(cut.sum()), int((cut & ~np.append(False, cut[:-1])).sum()) if len(t) else 0, bytes(b for b, c in zip(t, cut, strict=True) if not c)
+
+
+@pytest.mark.parametrize("length", [40, 400])
+@pytest.mark.parametrize("crowd", [512, 1])
+def test_suffix_dedup(docs, empty, length, crowd, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_SORTED", crowd)
+    rows = docs.where("length(text) < 5000 OR text IS NULL")
+    given = rows.collect()
+    wanted = Counter((r.doc_id, *x) for r, x in zip(given, without_repeats([(r.text or "").encode() for r in given], length), strict=True))
+    found = suffix_dedup.remove_repeats(rows, length).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found) == wanted
+    assert suffix_dedup.remove_repeats(empty, length).count() == 0
+
+
+def test_suffix_dedup_of_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPAN", 500)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+    import random
+
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    shared = noise(700)
+    texts = [noise(3000) + shared + noise(900), noise(100) + shared[100:600] + noise(50), "ab" * 2000, noise(1999) + shared + shared]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = list(without_repeats([t.encode() for t in texts], 400))
+    found = sorted(suffix_dedup.remove_repeats(rows, 400).collect())
+    assert [(r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found] == wanted
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 2, 400).astype(np.uint8)
+    hashes, at = suffix_dedup.Hashes(data), np.arange(360)
+    group = np.repeat(np.arange(9), 40)
+    order = hashes.sorted_within(at, group, 40)
+    for g in range(9):
+        own = at[order][group == g]
+        keys = [data[p : p + 40].tobytes() for p in own]
+        assert keys == sorted(keys) and set(own) == set(at[group == g])
+
+
+def test_digest_of_nothing():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
