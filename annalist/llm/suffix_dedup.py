@@ -25,8 +25,6 @@ ANCHOR_SHARE = 0.6
 SPAN = 1 << 21
 #: Surroundings of one anchor that are sorted in one task; anchors with more go by single strings.
 MOST_SORTED = 512
-#: Tables of up to this many rows are broadcast to pick their texts; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 C1, C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 ROWS = "kind int, key long, ctx long, doc_id long, row long, at long, info long"
@@ -379,11 +377,10 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     spans = found.where("kind = 0").select("doc_id", "row", F.col("at").alias("start"), F.col("ctx").alias("end"))
     opened = found.where("kind = 1")
     crowded = opened.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SORTED).select(F.col("key").alias("crowded"))
-    n_open = opened.count()
     by_text = opened.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "at", "info")).alias("open"))
     t, o = texts.alias("t"), by_text.alias("o")
     same = F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("t.row") == F.col("o.row"))
-    picked = t.join(F.broadcast(o) if n_open <= BROADCAST_ROWS else o, same).select("t.doc_id", "t.row", "t.data", "o.open")
+    picked = t.join(o, same).select("t.doc_id", "t.row", "t.data", "o.open")
     around = picked.mapInArrow(_with_bytes(length), OPEN)
     around = shared.written(around.join(crowded, F.col("key") == F.col("crowded"), "left"), "surroundings")
 
@@ -407,12 +404,11 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     are copies of one another. Null doc_id: a row as any other. Empty table: no rows. Other
     columns are ignored. Texts of any length are handled a few megabytes at a time.
     """
-    spans = shared.written(repeated_spans(docs, length), "repeats")
-    few = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    spans = repeated_spans(docs, length)
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), shared.text_or_empty().cast("binary").alias("data")).alias("t")
     s = spans.alias("s")
     same = F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.row") == F.col("s.row"))
-    marked = t.join(F.broadcast(s) if few else s, same, "left").select("t.doc_id", "t.data", "s.spans")
+    marked = t.join(s, same, "left").select("t.doc_id", "t.data", "s.spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

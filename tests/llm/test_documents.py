@@ -305,7 +305,6 @@ def test_suffix_dedup(docs, empty, length, crowd, monkeypatch):
 
 def test_suffix_dedup_of_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SPAN", 500)
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
     import random
 
     rng = random.Random(3)
