@@ -1,39 +1,8 @@
-"""Queries over the driver tables, each with SQL that must return the same rows."""
+"""All queries of the library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from annalist.plans import aggregates, documents, domain, reads, stateful
+from annalist.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from annalist.operators import asof
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function name, with its reference SQL."""
-
-    def register(build):
-        QUERIES[build.__name__] = build
-        if sql:
-            ORACLE_SQL[build.__name__] = sql
-        return build
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("""
-SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n
-  FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-30') WHERE n = 1""")
-def measures_asof(spark, sf_dir):
-    """Latest version of each document known at the cutoff."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") <= F.lit("1998-06-30").cast("timestamp_ntz"))
-    return asof.latest(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "documents", "domain", "reads", "stateful"]
