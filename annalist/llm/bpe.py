@@ -244,6 +244,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, column: str = "text",
                     bounds = offsets.tolist()
                     columns.append(pa.array([codec.decode(ids[i:j].tolist()) for i, j in zip(bounds, bounds[1:], strict=False)], type=pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "ids", *["decoded"] * decoded])
+        codec.forget()  # the worker may wait for other work
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(encoded, f"{fields}, ids array<int>" + ", decoded binary" * decoded)

@@ -16,6 +16,8 @@ from annalist.llm.shingles import blocks, mixed, shingle_sets
 
 #: Sets that one tree holds at most; larger candidate groups are joined in tiles of two parts.
 TREE_SETS = 4096
+#: Sets that a task remembers in order to skip equal ones.
+REMEMBERED = 500_000
 #: Candidates of up to this many rows are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -53,14 +55,15 @@ def _sizes(percent: int) -> Sizes:
 
 
 def part_keys(found: np.ndarray, sizes: Sizes, k: int) -> np.ndarray:
-    """One key per part: equal keys mean equal parts of sets in one size range."""
+    """One key per part: equal keys mean equal parts of sets in one size range, whose number is the key's last byte."""
     parts = sizes.differing(k) + 1
     at = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the set is sorted
     with np.errstate(over="ignore"):
         upto = np.append(np.uint64(0), np.cumsum(mixed(found + np.uint64(k)), dtype=np.uint64))
         cuts = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
         keys = upto[cuts[1:]] - upto[cuts[:-1]]
-        return mixed(keys + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k << 40)).view(np.int64)
+        keys = mixed(keys + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k << 40))
+    return ((keys & ~np.uint64(255)) | np.uint64(k & 255)).view(np.int64)
 
 
 def parity(found: np.ndarray, bits: int) -> bytes:
@@ -68,34 +71,57 @@ def parity(found: np.ndarray, bits: int) -> bytes:
     return np.packbits(np.bincount((mixed(~found) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def set_hash(found: np.ndarray) -> int:
+    return int(mixed(found).sum(dtype=np.uint64).view(np.int64))
+
+
+SETS = "doc_id long, text_hash long, n long, h1 long, h2 long, bits array<binary>, most array<int>, low_range int"
+
+
 def set_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, hash of the text, n, two hashes of the set, and for each size range its keys, parity bits and bound."""
+    """doc_id, hash of the text, n, two hashes of the set, and for each of its size ranges parity bits and bound."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = _sizes(percent)
         for batch in batches:
             for first, data, bounds in blocks(batch.column(2)):
-                n, h1, h2, keys, bits, most = [], [], [], [], [], []
+                n, h1, h2, bits, most, low = [], [], [], [], [], []
                 for found in shingle_sets(data, bounds, width):
-                    size = len(found)
-                    n.append(size)
+                    n.append(len(found))
+                    h1.append(set_hash(found))
                     with np.errstate(over="ignore"):
-                        h1.append(set_hash(found))
                         h2.append(int(mixed(found * np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64)))
-                    ranges = sizes.ranges(size) if size else ()
-                    keys.append([part_keys(found, sizes, k) for k in ranges])
+                    ranges = sizes.ranges(len(found)) if len(found) else range(0)
                     bits.append([parity(found, sizes.bits(k)) for k in ranges])
                     most.append([sizes.differing(k) for k in ranges])
-                flat = [k for own in keys for k in own]
-                inner = pa.ListArray.from_arrays(
-                    pa.array(np.append(0, np.cumsum([len(k) for k in flat])).astype(np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
-                )
-                nested = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)), inner)
-                columns = [batch.column(0).slice(first, len(n)), batch.column(1).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), nested, pa.array(bits, pa.list_(pa.binary())), pa.array(most, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "h1", "h2", "keys", "bits", "most"])
+                    low.append(ranges.start & 255)
+                given = [batch.column(c).slice(first, len(n)) for c in (0, 1)]
+                columns = [*given, *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(bits, pa.list_(pa.binary())), pa.array(most, pa.list_(pa.int32())), pa.array(low, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SETS.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(described, SETS)
+
 
-    schema = "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<array<long>>, bits array<binary>, most array<int>"
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(described, schema)
+def key_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, node) for every part of every set; of equal sets a task gives the keys once."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, seen = _sizes(percent), set()
+        for batch in batches:
+            for _, data, bounds in blocks(batch.column(0)):
+                keys, nodes = [], []
+                for found in shingle_sets(data, bounds, width):
+                    node = set_hash(found)
+                    if len(found) and node not in seen:
+                        seen.add(node)
+                        keys += [part_keys(found, sizes, k) for k in sizes.ranges(len(found))]
+                        nodes += [np.full(len(x), node) for x in keys[len(nodes) :]]
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+            if len(seen) > REMEMBERED:
+                seen.clear()
+
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(keyed, "key long, node long")
 
 
 def by_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -121,11 +147,15 @@ def _run_starts(keys: np.ndarray) -> np.ndarray:
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose key occurs twice or more."""
+    """Of rows sorted by key and node, those whose key has several nodes, each once."""
     for table in by_runs(batches):
-        starts = _run_starts(table.column(0).to_numpy())
-        counts = np.diff(np.append(starts, table.num_rows))
-        yield from table.filter(pa.array(np.repeat(counts > 1, counts))).to_batches()
+        key, node = (c.to_numpy() for c in table.columns)
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        key, node = key[new], node[new]
+        starts = _run_starts(key)
+        counts = np.diff(np.append(starts, len(key)))
+        several = np.repeat(counts > 1, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(node[several])], ["key", "member"])
 
 
 def spread(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -267,10 +297,6 @@ def linked_sets(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int
     return spread(len(sets), tree.search)
 
 
-def set_hash(found: np.ndarray) -> int:
-    return int(mixed(found).sum(dtype=np.uint64).view(np.int64))
-
-
 def _tile_links(width: int, percent: int):
     def links(group: pa.Table) -> pa.Table:
         nodes, own, sets = group.column("node").to_pylist(), [], {}
@@ -291,14 +317,12 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     rows = shared.written(set_rows(docs, width, percent), "sets")
     full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = full.groupBy("h1", "h2").agg(F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.any_value("most").alias("most"))
-    reps = reps.withColumnRenamed("h1", "node")
+    reps = full.groupBy("h1", "h2").agg(*[F.any_value(c).alias(c) for c in ("bits", "most", "low_range")])
 
     dealt = shared.partitions(spark)
-    keys = reps.select("node", F.posexplode("keys").alias("slot", "own")).select(F.explode("own").alias("key"), "node", "slot")
-    several = keys.repartition(dealt, "key").sortWithinPartitions("key").mapInArrow(_shared_keys, "key long, node long, slot int")
-    several = several.withColumnRenamed("node", "member")
-    joined = several.join(reps.select("node", "bits", "most"), F.col("member") == F.col("node"))
+    keys = key_rows(docs, width, percent).repartition(dealt, "key").sortWithinPartitions("key", "node")
+    several = keys.mapInArrow(_shared_keys, "key long, member long")
+    joined = several.join(reps, F.col("member") == F.col("h1")).withColumn("slot", F.pmod(F.col("key").bitwiseAND(255) - F.col("low_range"), F.lit(256)))
     joined = joined.select("key", "member", F.expr("bits[slot]").alias("bits"), F.expr("most[slot]").alias("most"))
     edges = joined.repartition(dealt, "key").sortWithinPartitions("key", "member").mapInArrow(_candidate_edges, "u long, v long")
     groups = shared.written(components(edges), "candidates")

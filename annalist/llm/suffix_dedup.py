@@ -22,7 +22,7 @@ from annalist.llm.shingles import mixed, powers
 #: Share of a string's length that its anchor has.
 ANCHOR_SHARE = 0.6
 #: Bytes of text handled at once; longer texts are cut into overlapping pieces.
-SPAN = 1 << 21
+SPAN = (1 << 21) - 8192
 #: Surroundings of one anchor that are sorted in one task; anchors with more go by single strings.
 MOST_SORTED = 512
 
