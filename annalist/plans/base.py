@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,7 +97,8 @@ def query(sql: str | None = None, shapes: str = ""):
     def register(build):
         QUERIES[build.__name__] = build
         if sql:
-            ORACLE_SQL[build.__name__] = shaped(*shapes.split(), then=sql)
+            text = shaped(*shapes.split(), then=sql)
+            ORACLE_SQL[build.__name__] = re.sub(r"\bat\b", '"at"', text) if shapes else text  # a key word there
         return build
 
     return register
