@@ -76,13 +76,13 @@ def literal_hits(docs: DataFrame, key: str, text: str, passages: DataFrame, pass
     only documents that share them are compared in full.
     """
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    rows = docs.select(key, flat(F.col(text)).alias("_text"))
+    rows = docs.select(key, flat(F.col(text)).alias("_text")).withColumn("_words", F.split("_text", " "))
     asked = passages.select(passage_key, flat(F.col(passage_text)).alias("_passage")).where("_passage <> ''")
     n = F.least(F.size(F.split("_passage", " ")), F.lit(width))
     asked = asked.withColumn("_n", n).withColumn("_key", F.xxhash64(F.array_join(F.slice(F.split("_passage", " "), 1, n), " ")))
     short = asked.where(F.col("_n") < width)
     long = asked.where(F.col("_n") == width)
-    words = F.split("_text", " ")
+    words = F.col("_words")
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))
     index = rows.select(key, F.explode(F.array_distinct(windows)).alias("_key"))
     pairs = index.join(long, "_key").select(key, passage_key, "_passage")

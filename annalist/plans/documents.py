@@ -1 +1,160 @@
-"""x"""
+"""Text functions, kernels and retrieval over documents, pages and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from annalist.functions import kernels, text
+from annalist.operators import reports, retrieval
+from annalist.plans.base import query, table
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed, split_part(source, 'c', 2) AS number, md5(concat_ws('|', source, lang)) AS scope FROM documents")
+def whitespace_normalize(spark, sf_dir):
+    """White space, parts and hashes of strings."""
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", text.squeezed(F.col("text")).alias("squeezed"), F.split_part("source", F.lit("c"), F.lit(2)).alias("number"), F.md5(F.concat_ws("|", "source", "lang")).alias("scope"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query(f"""
+SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct([left(w, 6) FOR w IN string_split_regex(lower(text), '[^a-zàèéìòù0-9]+') IF length(w) >= 4 AND w NOT IN ({_STOP})])), ' '), '') AS stems FROM documents""")
+def stem_terms(spark, sf_dir):
+    """Stems of content words."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.stems(F.col("text")), " ").alias("stems"))
+
+
+@query("SELECT item_id, lower(regexp_extract(trim(text), '^(\\S+)', 1)) AS head, left(text, 20) AS bounded FROM benchmark WHERE strlen(text) = length(text)")
+def head_and_bound(spark, sf_dir):
+    """The first word, and a text cut to a number of bytes."""
+    rows = table(spark, sf_dir, "benchmark").where(F.octet_length("text") == F.length("text"))
+    return rows.select("item_id", text.head_term(F.col("text")).alias("head"), text.bounded(F.col("text"), 20).alias("bounded"))
+
+
+#: Phrases about acts, made from order numbers so that references are found.
+_PHRASE = "'Vista l''ordinanza sindacale n. ' || o_orderkey || '/' || year(o_orderdate) || ' e il decreto n. ' || o_custkey || ' del 3/4/' || year(o_orderdate) || ', ordinanza n. ' || o_orderkey || '/' || year(o_orderdate)"
+
+
+@query("""
+SELECT o_orderkey, 'ordinanza ' || o_orderkey || '/' || year(o_orderdate) || ',' || 'decreto ' || o_custkey || '/' || year(o_orderdate) AS refs FROM orders""")
+def act_references(spark, sf_dir):
+    """Acts that a text refers to: distinct, in order, three at most."""
+    phrase = F.expr(_PHRASE)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.act_references(phrase), ",").alias("refs"))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders")
+def italian_dates(spark, sf_dir):
+    """Dates in words and back."""
+    months = F.array(*map(F.lit, text.MONTHS))
+    phrase = F.concat(F.lit("Lunedì, "), F.dayofmonth("o_orderdate"), F.lit(" "), F.element_at(months, F.month("o_orderdate")), F.lit(" "), F.year("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.italian_date(phrase).cast("string").alias("day"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]+') THEN regexp_extract(url, '^https?://([^/?#]+)', 1) END AS host, regexp_matches(url, '^https?://[^/]+') AS valid FROM pages")
+def url_checks(spark, sf_dir):
+    """Parts and validity of URLs."""
+    rows = table(spark, sf_dir, "pages")
+    return rows.select("page_id", F.when(text.valid_url(F.col("url")), F.try_parse_url("url", F.lit("HOST"))).alias("host"), text.valid_url(F.col("url")).alias("valid"))
+
+
+@query("""
+WITH b AS (SELECT doc_id, text FROM documents WHERE strlen(text) = length(text)),
+r AS (SELECT doc_id, text, unnest(range(0, greatest(strlen(text), 1), 12288))::INTEGER AS start FROM b WHERE NOT regexp_matches(text, '\\s') OR strlen(text) <= 12288)
+SELECT doc_id, (start // 12288)::INTEGER AS ordinal, start, least(start + 12288, strlen(text))::INTEGER AS "end" FROM r WHERE strlen(text) > 0""")
+def segment_text(spark, sf_dir):
+    """Segments of bounded bytes (T14); here of texts of one segment or without white space."""
+    rows = table(spark, sf_dir, "documents").where((F.octet_length("text") == F.length("text")) & (~F.col("text").rlike(r"\s") | (F.octet_length("text") <= 12288)))
+    return rows.select("doc_id", F.explode(kernels.segments("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def all_segments(spark, sf_dir):
+    """Segments of every text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(kernels.segments("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def operational_windows(spark, sf_dir):
+    """Cores that partition a text, with context."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(kernels.operational_windows("text")).alias("w")).select("doc_id", "w.*")
+
+
+@query()
+def normalized_text(spark, sf_dir):
+    """Normal form with a map of offsets."""
+    return table(spark, sf_dir, "documents").select("doc_id", kernels.normalized("text").alias("n")).select("doc_id", "n.text", F.size("n.spans").alias("spans"))
+
+
+@query()
+def visible_html(spark, sf_dir):
+    """Visible text, tables and links of pages."""
+    rows = table(spark, sf_dir, "pages")
+    return rows.select("page_id", kernels.visible_html("html").alias("text"), F.size(kernels.html_tables("html")).alias("tables"), F.size(kernels.html_links("html")).alias("links"))
+
+
+@query("SELECT page_id, regexp_replace(html, '<!--[^>]*-->|\\?page=[0-9]+', '', 'g') = html AS untouched FROM pages")
+def markup_noise(spark, sf_dir):
+    """Markup that does not count for equality is taken out."""
+    return table(spark, sf_dir, "pages").select("page_id", (F.regexp_replace("html", r"<!--[^>]*-->|\?page=[0-9]+", "") == F.col("html")).alias("untouched"))
+
+
+# ---- retrieval
+
+_QUERY = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+
+
+@query(f"""
+SELECT vec_id, round(score, 5) AS score FROM (SELECT vec_id, greatest(-1, least(1, list_sum([(a * b)::FLOAT::DOUBLE FOR a, b IN list_zip(embedding, {_QUERY})]))) AS score FROM embeddings) ORDER BY score DESC, vec_id LIMIT 10""".replace(
+    "list_sum([(a * b)::FLOAT::DOUBLE FOR a, b IN list_zip(embedding, " + _QUERY + ")])", "list_sum(list_transform(list_zip(embedding, " + _QUERY + "), lambda p: (p[1] * p[2])::FLOAT::DOUBLE))"))
+def vector_topk(spark, sf_dir):
+    """The nearest vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    first = rows.where("vec_id = 0").first()["embedding"]
+    return retrieval.nearest(rows, "vec_id", "embedding", first, 10).select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query(f"""
+WITH b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC) AS place FROM embeddings WHERE label = 1 ORDER BY vec_id DESC LIMIT 8),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings ORDER BY vec_id LIMIT 12),
+u AS (SELECT vec_id, min((l, place)) AS best FROM (SELECT vec_id, 0 AS l, place FROM b UNION ALL SELECT vec_id, 1, place FROM s) GROUP BY vec_id)
+SELECT vec_id, CASE WHEN best[1] = 0 THEN 'baseline' ELSE 'semantic' END AS origin FROM u ORDER BY best, vec_id LIMIT 15""")
+def candidate_merge(spark, sf_dir):
+    """Two lists of candidates put together, the first one's first."""
+    rows = table(spark, sf_dir, "embeddings")
+    from pyspark.sql import Window
+
+    top = lambda df, order, n: df.orderBy(order).limit(n).select("vec_id", F.row_number().over(Window.orderBy(order)).alias("place"))  # noqa: E731  a few rows
+    return retrieval.merged_candidates(top(rows.where("label = 1"), F.desc("vec_id"), 8), top(rows, F.col("vec_id"), 12), "vec_id", 15)
+
+
+@query("""
+WITH q AS (SELECT item_id, list_slice(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')), 1, 1000) AS ws FROM benchmark),
+d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS ws FROM documents)
+SELECT item_id, doc_id FROM q JOIN d ON list_has_all(d.ws, q.ws)""")
+def lexical_match(spark, sf_dir):
+    """Documents that hold every word of a query."""
+    return retrieval.holding_all_terms(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "doc_id")
+
+
+@query("""
+WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' ' AS t FROM documents), p AS (SELECT item_id, ' ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' ' AS t FROM benchmark)
+SELECT item_id, doc_id FROM d JOIN p ON contains(d.t, p.t)""")
+def literal_containment(spark, sf_dir):
+    """Documents that hold a passage word for word."""
+    return retrieval.literal_hits(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query()
+def lexical_rank(spark, sf_dir):
+    """Cover density of documents for two words."""
+    return table(spark, sf_dir, "documents").select("doc_id", kernels.rank_column(["the", "and"])("text").alias("rank"))
+
+
+@query("SELECT page_id AS version_id, CASE WHEN html LIKE '%<nav>%' THEN 'nav' END AS reference, 1 AS ordinal FROM pages WHERE html LIKE '%<nav>%'")
+def capped_references(spark, sf_dir):
+    """References of a version in order, at most three."""
+    rows = table(spark, sf_dir, "pages").where(F.col("html").like("%<nav>%")).select(F.col("page_id").alias("version_id"), F.lit("nav").alias("reference"), F.lit(0).alias("place"))
+    return reports.capped_references(rows, 3).select("version_id", "reference", "ordinal")

@@ -1 +1,60 @@
-"""x"""
+"""Folds over event logs. SQL has no such folds; tests hold them against plain loops."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from annalist.operators import stateful
+from annalist.plans.base import at, query, shape, table
+
+
+def _events(spark, sf_dir):
+    us = F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", us, "event_type")
+
+
+@query()
+def sliding_budget(spark, sf_dir):
+    """Requests that a sliding budget lets pass; refused ones do not count."""
+    step = stateful.budget_step(3, 24 * 3600 * 1_000_000)
+    return stateful.folded(_events(spark, sf_dir), "user_id", ["at_us", "event_id"], step, stateful.budget_start, "user_id long, event_id long, accepted boolean, remaining int")
+
+
+@query()
+def circuit_breaker(spark, sf_dir):
+    """A gate that opens on failures and probes again."""
+    kind = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "signup", "hold").when(F.col("event_type") == "purchase", "resume").otherwise("success")
+    step = stateful.breaker_step(2, 12 * 3600 * 1_000_000)
+    return stateful.folded(_events(spark, sf_dir).withColumn("kind", kind), "user_id", ["at_us", "event_id"], step, stateful.breaker_start, "user_id long, event_id long, state string, admitted boolean, generation int")
+
+
+@query()
+def queue_fold(spark, sf_dir):
+    """Transitions of jobs from their log."""
+    kinds = {"view": "claim", "click": "claim", "purchase": "complete", "error": "fail", "signup": "defer"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type"))
+    step = stateful.queue_step(3, 48 * 3600 * 1_000_000)
+    return stateful.folded(_events(spark, sf_dir).withColumn("kind", kind), "user_id", ["at_us", "event_id"], step, stateful.queue_start, "user_id long, event_id long, state string, attempts int, applied boolean")
+
+
+@query()
+def incident_fold(spark, sf_dir):
+    """Incidents opened, reminded of and recovered."""
+    step = stateful.incident_step(24 * 3600 * 1_000_000)
+    rows = _events(spark, sf_dir).withColumn("active", F.col("event_type") == "error")
+    return stateful.folded(rows, "user_id", ["at_us", "event_id"], step, stateful.incident_start, "user_id long, event_id long, message string")
+
+
+@query("""
+SELECT job_id, queue, attempt_count + 1 AS attempt_count, 'w1' AS worker, TIMESTAMP '2024-01-16 00:05:00' AS lease_expires_at FROM (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY available_at, job_id) AS n FROM jobs
+  WHERE ((state = 'pending' AND available_at <= TIMESTAMP '2024-01-16') OR (state = 'running' AND lease_expires_at <= TIMESTAMP '2024-01-16')) AND attempt_count < max_attempts) WHERE n <= 5""", "jobs")
+def queue_claim(spark, sf_dir):
+    """The next due jobs of each queue, leased."""
+    return stateful.claimed(shape(spark, sf_dir, "jobs"), at("2024-01-16"), 5, "w1", 300)
+
+
+@query("SELECT incident_id, id FROM (SELECT user_id AS incident_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type <> 'click') WHERE n = 1")
+def first_unsent(spark, sf_dir):
+    """The message each incident sends next."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id AS incident_id", "event_id AS id", "event_type = 'click' AS sent")
+    return stateful.first_unsent(rows).select("incident_id", "id")
