@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annalist.plans import aggregates, documents, domain, reads, stateful
+from annalist.plans import acts, aggregates, documents, domain, governance, reads, stateful
 from annalist.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "documents", "domain", "reads", "stateful"]
+__all__ = ["ORACLE_SQL", "QUERIES", "acts", "aggregates", "documents", "domain", "governance", "reads", "stateful"]
