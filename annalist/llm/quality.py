@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm import shared
 
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]+"
+SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
 
 #: Phrases that mark a line as boilerplate, in lower case.
@@ -33,61 +35,69 @@ SYMBOL_SHARE = 0.5
 LOST_SHARE = 0.5
 
 
-def _let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({shared.WORD})"), F.lit(1))
-
-
-def lines_of(text: Column) -> Column:
-    """The \\n-split lines that hold a word."""
-    return F.filter(F.split(text, "\n", -1), lambda line: line.rlike(shared.WORD))
+def line_fails(line: Column, symbols: Column, pipes: Column, boilerplate: Column) -> Column:
+    """Punctuation, navigation and boilerplate rules of one line; the flags say which rules its text can fail at all."""
+    unpunctuated = ~line.rlike(r"[.!?…。:;,]")
+    many_symbols = F.regexp_count(line, F.lit(SYMBOL)) > F.regexp_count(line, F.lit(shared.WORD)) * SYMBOL_SHARE
+    navigation = F.regexp_count(line, F.lit(r"\|")) >= NAV_SEPARATORS
+    return unpunctuated | (symbols & many_symbols) | (pipes & navigation) | (boilerplate & F.lower(line).rlike("|".join(BOILERPLATE)))
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside windows of five words that the text holds twice or more.
+def _repeated_words(rows: DataFrame) -> DataFrame:
+    """Adds `n_repeat_words`, the words inside windows of five words that `words` holds twice or more.
 
-    Window hashes that repeat are found by sorting (hash, place); documents without a repeat
-    stop at the comparison of distinct and all hashes.
+    Hashes of windows grow from words over pairs to fives, each step one projection. Only texts
+    in which a hash repeats sort (hash, place), and mark the places whose neighbour has the same hash.
     """
-    size = F.size(words)
-
-    def covered(keys: Column) -> Column:
-        pairs = F.array_sort(F.transform(keys, lambda key, i: F.struct(key.alias("key"), i.alias("at"))))
-
-        def flagged(pairs: Column) -> Column:
-            same = lambda pair, i: F.get(pairs, i)["key"].eqNullSafe(pair["key"])
-            return F.array_sort(F.transform(F.filter(pairs, lambda pair, i: same(pair, i - 1) | same(pair, i + 1)), lambda pair: pair["at"]))
-
-        def length(at: Column) -> Column:
-            steps = F.transform(at, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW))))
-            return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
-
-        repeats = _let(_let(pairs, flagged), length)
-        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(repeats)
-
-    def windows(hashes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), size - WINDOW), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))))
-
-    found = _let(F.transform(words, lambda word: F.xxhash64(word)), lambda hashes: _let(windows(hashes), covered))
-    return F.when(size > WINDOW, found).otherwise(0).cast("long")
-
-
-def line_fails(line: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules of one line."""
-    n_words = F.regexp_count(line, F.lit(shared.WORD))
-    symbols = F.length(line) - F.length(_without(line, SYMBOLS))
-    unpunctuated = ~line.rlike(r"[.!?…。:;,]")
-    navigation = (F.length(line) - F.length(_without(line, "|"))) >= NAV_SEPARATORS
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    return unpunctuated | navigation | (symbols > n_words * SYMBOL_SHARE) | boilerplate
+    behind = lambda name, n: F.slice(name, n + 1, F.greatest(F.size(name), F.lit(1)))
+    both = lambda a, b: F.xxhash64(a, b)  # noqa: E731  the ends, where b is missing, are cut off
+    rows = rows.withColumn("h", F.transform("words", lambda word: F.xxhash64(word)))
+    rows = rows.withColumn("z", F.zip_with("h", behind("h", 1), both))
+    rows = rows.withColumn("z", F.zip_with("z", behind("z", 2), both))
+    rows = rows.withColumn("k", F.slice(F.zip_with("z", behind("h", WINDOW - 1), both), F.lit(1), F.greatest(F.size("h") - WINDOW + 1, F.lit(0)))).drop("h", "z")
+    places = F.arrays_zip("k", F.sequence(F.lit(0), F.size("k") - 1).alias("at"))
+    rows = rows.withColumn("p", F.when(F.size(F.array_distinct("k")) < F.size("k"), F.sort_array(places))).drop("k")
+    equal = F.filter(F.arrays_zip("p", behind("p", 1).alias("q")), lambda x: x["p"]["k"] == x["q"]["k"])
+    rows = rows.withColumn("at", F.sort_array(F.array_distinct(F.flatten(F.transform(equal, lambda x: F.array(x["p"]["at"], x["q"]["at"])))))).drop("p")
+    steps = F.zip_with("at", behind("at", 1), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    covered = F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
+    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0))).drop("at")
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """`row` with all columns of the input, and `q` with the counts, the verdicts and the cleaned text."""
+    rows = docs.select(F.struct("*").alias("row"), shared.text_or_empty().alias("t"))
+    rows = rows.withColumn("low", F.lower("t"))
+    word = lambda line: line.rlike(shared.WORD)
+    rows = rows.select(
+        "row",
+        F.array_remove(F.split("t", SPACE), "").alias("words"),
+        F.filter(F.split("t", "\n", -1), word).alias("lines"),
+        F.regexp_count("t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+        F.contains("t", F.lit("|")).alias("pipes"),
+        reduce(Column.__or__, [F.contains("low", F.lit(phrase)) for phrase in BOILERPLATE]).alias("boilerplate"),
+    )
+    fails = lambda line: line_fails(line, F.col("n_symbols") > 0, F.col("pipes"), F.col("boilerplate"))
+    rows = rows.select(
+        "row", "words", "n_symbols",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.transform("lines", lambda line: F.struct(line.alias("line"), fails(line).alias("fails"))).alias("lines"),
+    )
+    lost = F.array_join(F.transform(F.filter("lines", lambda x: x["fails"]), lambda x: x["line"]), "")
+    left = F.array_join(F.transform(F.filter("lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+    rows = _repeated_words(rows).select(
+        "row", *[c for c in COUNTS if c != "lost_chars"],
+        F.length(F.regexp_replace(lost, SPACE, "")).cast("long").alias("lost_chars"),
+        F.when(F.exists("lines", lambda x: x["fails"]), left).otherwise(F.col("row.text")).alias("cleaned"),
+    )
+    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    kept = ~failed & (F.col("lost_chars") <= F.col("word_chars") * LOST_SHARE)
+    return rows.select("row", F.struct(*COUNTS, failed.alias("base_failed"), kept.alias("kept"), "cleaned").alias("q"))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -96,48 +106,18 @@ def score(docs: DataFrame) -> DataFrame:
     Lines that fail a rule are removed first; a document goes if it fails the base rules
     (fewer than ten words, or over a fifth of its words in repeated windows) or if the removed
     lines held more than half of its word characters. Null text counts as none: rejected, with
-    cleaned text null. All columns of the input stay, a column `quality` is replaced.
+    cleaned text null. All columns of the input stay, a column `quality` is replaced. Repeated
+    rows are scored each by itself; an empty table gives no rows.
     """
-    text = shared.text_or_empty()
-
-    def measured(lines: Column) -> Column:
-        return F.struct(
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-            F.transform(lines, lambda line: F.struct(line.alias("line"), line_fails(line).alias("fails"))).alias("lines"),
-        )
-
-    word_chars = F.length(_without(text, SPACES)).cast("long")
-    base = docs.withColumn("_words", words_of(text)).withColumn("_lines", _let(lines_of(text), measured))
-    lost = F.aggregate(
-        F.filter("_lines.lines", lambda x: x["fails"]), F.lit(0).cast("long"), lambda total, x: total + F.length(_without(x["line"], SPACES))
-    )
-    base = base.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "quality"],
-        F.struct(
-            F.size("_words").cast("long").alias("n_words"),
-            word_chars.alias("word_chars"),
-            (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-            F.col("_lines.n_dup_lines").alias("n_dup_lines"),
-            repeated_words(F.col("_words")).alias("n_repeat_words"),
-            lost.alias("lost_chars"),
-            F.exists("_lines.lines", lambda x: x["fails"]).alias("_cut"),
-            F.array_join(F.transform(F.filter("_lines.lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("_left"),
-        ).alias("_q"),
-    )
-    failed = (F.col("_q.n_words") < 10) | (F.col("_q.n_repeat_words") * 100 > F.col("_q.n_words") * 20)
-    kept = ~failed & (F.col("_q.lost_chars") <= F.col("_q.word_chars") * LOST_SHARE)
-    fields = [F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars")]
-    cleaned = F.when(F.col("_q._cut"), F.col("_q._left")).otherwise(F.col("text"))
-    return base.withColumn("quality", F.struct(*fields, failed.alias("base_failed"), kept.alias("kept"), cleaned.alias("cleaned"))).drop("_q")
+    return _measured(docs).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "quality"], F.col("q").alias("quality"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their cleaned texts and the columns of the input."""
-    scored = score(docs.select(F.struct("*").alias("_row"), "text"))
-    kept = F.filter(F.array("quality"), lambda q: q["kept"])  # exploded, not filtered by: a filter would compute the rules twice
-    rows = scored.select("_row", F.explode(kept).alias("_q"))
-    new = {"text": F.col("_q.cleaned"), "n_chars": F.length("_q.cleaned").cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
+    kept = F.filter(F.array("q"), lambda q: q["kept"])  # exploded, not filtered by: a filter would compute the rules twice
+    rows = _measured(docs).select("row", F.explode(kept).alias("q"))
+    new = {"text": F.col("q.cleaned"), "n_chars": F.length("q.cleaned").cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op10_line_quality(spark, sf_dir):
