@@ -46,7 +46,7 @@ class Sizes:
         return (100 - self.percent) * 2 * self.tops[k] // (100 + self.percent)
 
     def bits(self, k: int) -> int:
-        return max(64, 1 << (4 * self.differing(k)).bit_length())
+        return 64 * max(1, -(-4 * self.differing(k) // 64))
 
 
 @lru_cache(maxsize=4)
@@ -68,7 +68,7 @@ def part_keys(found: np.ndarray, sizes: Sizes, k: int) -> np.ndarray:
 
 def parity(found: np.ndarray, bits: int) -> bytes:
     """Bit i: whether an odd number of elements falls on i. Sets differ in as many elements at least as these bits do."""
-    return np.packbits(np.bincount((mixed(~found) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount((((mixed(~found) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def set_hash(found: np.ndarray) -> int:
@@ -146,16 +146,31 @@ def _run_starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and node, those whose key has several nodes, each once."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and node, the nodes of each key that has several, under a name made of them.
+
+    Parts on which the same sets agree have one name, so near copies are compared once, not once a part.
+    """
+    seen: set[int] = set()
     for table in by_runs(batches):
         key, node = (c.to_numpy() for c in table.columns)
         new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-        key, node = key[new], node[new]
+        key, node = key[new].view(np.uint64), node[new]
         starts = _run_starts(key)
         counts = np.diff(np.append(starts, len(key)))
-        several = np.repeat(counts > 1, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(node[several])], ["key", "member"])
+        with np.errstate(over="ignore"):
+            name = mixed(np.add.reduceat(mixed(node.view(np.uint64)), starts))
+        name = ((name & ~np.uint64(255)) | (key[starts] & np.uint64(255))).view(np.int64)
+        several = np.flatnonzero(counts > 1)
+        names, at = np.unique(name[several], return_index=True)
+        fresh = np.array([x not in seen for x in names.tolist()], dtype=bool)
+        seen.update(names[fresh].tolist())
+        chosen = np.zeros(len(starts), dtype=bool)
+        chosen[several[at[fresh]]] = True
+        rows = np.repeat(chosen, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, counts)[rows]), pa.array(node[rows])], ["name", "member"])
+        if len(seen) > REMEMBERED:
+            seen.clear()
 
 
 def spread(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -177,9 +192,9 @@ def spread(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[
 
 
 def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect the sets of each key as far as their parity bits allow.
+    """Edges that connect the sets of each group as far as their parity bits allow.
 
-    Columns: key, node, bits, most. Two sets are apart if more bits differ than elements may.
+    Columns: name, node, bits, most. Two sets are apart if more bits differ than elements may.
     """
     for table in by_runs(batches):
         keys, nodes = table.column(0).to_numpy(), table.column(1).to_numpy()
@@ -321,10 +336,10 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     dealt = shared.partitions(spark)
     keys = key_rows(docs, width, percent).repartition(dealt, "key").sortWithinPartitions("key", "node")
-    several = keys.mapInArrow(_shared_keys, "key long, member long")
-    joined = several.join(reps, F.col("member") == F.col("h1")).withColumn("slot", F.pmod(F.col("key").bitwiseAND(255) - F.col("low_range"), F.lit(256)))
-    joined = joined.select("key", "member", F.expr("bits[slot]").alias("bits"), F.expr("most[slot]").alias("most"))
-    edges = joined.repartition(dealt, "key").sortWithinPartitions("key", "member").mapInArrow(_candidate_edges, "u long, v long")
+    named = keys.mapInArrow(_groups, "name long, member long").distinct()
+    joined = named.join(reps, F.col("member") == F.col("h1")).withColumn("slot", F.pmod(F.col("name").bitwiseAND(255) - F.col("low_range"), F.lit(256)))
+    joined = joined.select("name", "member", F.expr("bits[slot]").alias("bits"), F.expr("most[slot]").alias("most"))
+    edges = joined.repartition(dealt, "name").sortWithinPartitions("name", "member").mapInArrow(_candidate_edges, "u long, v long")
     groups = shared.written(components(edges), "candidates")
 
     first = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
