@@ -26,7 +26,7 @@ class Sizes:
     """Ranges of set sizes, and the partition that pairs whose larger set is in a range share.
 
     Sets of similarity p % differ in at most (100 - p) / (100 + p) of their summed sizes. A
-    universe cut into one part more than that therefore has a part in which both are equal.
+    universe cut into more parts than that therefore has parts in which both are equal.
     """
 
     def __init__(self, percent: int):
@@ -55,14 +55,20 @@ def _sizes(percent: int) -> Sizes:
 
 
 def part_keys(found: np.ndarray, sizes: Sizes, k: int) -> np.ndarray:
-    """One key per part: equal keys mean equal parts of sets in one size range, whose number is the key's last byte."""
-    parts = sizes.differing(k) + 1
+    """Keys of parts: equal keys mean equal parts of sets in one size range, whose number is the key's last byte.
+
+    There are half as many parts again as a difference in one each needs, so similar sets agree on more of
+    them than are left out: the smallest, which are empty or hold what many documents share.
+    """
+    kept = sizes.differing(k) + 1
+    parts = kept + kept // 2
     at = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the set is sorted
     with np.errstate(over="ignore"):
         upto = np.append(np.uint64(0), np.cumsum(mixed(found + np.uint64(k)), dtype=np.uint64))
         cuts = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
         keys = upto[cuts[1:]] - upto[cuts[:-1]]
         keys = mixed(keys + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k << 40))
+    keys = keys[np.argsort(cuts[:-1] - cuts[1:], kind="stable")[:kept]]
     return ((keys & ~np.uint64(255)) | np.uint64(k & 255)).view(np.int64)
 
 
