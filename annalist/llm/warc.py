@@ -76,7 +76,7 @@ def _end(file) -> tuple[int, int, int]:
     size = file.size()
     tail = file.read_at(min(size, 22 + 0xFFFF), max(0, size - 22 - 0xFFFF))
     at = tail.rfind(b"PK\5\6")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\5\6", 0, at)
     if at < 0:
         raise ValueError("no end of a ZIP directory")
