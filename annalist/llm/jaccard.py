@@ -14,7 +14,7 @@ from annalist.llm import shared
 from annalist.llm.components import components
 from annalist.llm.shingles import blocks, mixed, shingle_sets
 
-#: Sets that one tree holds at most; larger candidate groups are joined in tiles of two parts.
+#: Sets that one tree holds at most; larger candidate components are verified by links, and what those leave open in tiles of two parts.
 TREE_SETS = 4096
 #: Sets that a task remembers in order to skip equal ones.
 REMEMBERED = 500_000
@@ -179,8 +179,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
 
 
-def spread(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
-    """A spanning forest of a graph on 0..n-1; `linked(i, rest)` gives the neighbours of i in `rest`.
+def spread(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """A spanning forest of a graph on 0..n-1, as root and both ends of each edge; `linked(i, rest)` gives the neighbours of i in `rest`.
 
     Asks each node only about nodes that nothing has reached yet, so where most are linked to
     one of them few questions are left.
@@ -190,9 +190,10 @@ def spread(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[
         root, rest = int(rest[0]), rest[1:]
         todo = [root]
         while todo and len(rest):
-            near = linked(todo.pop(), rest)
+            at = todo.pop()
+            near = linked(at, rest)
             if len(near):
-                yield from ((root, int(x)) for x in near)
+                yield from ((root, at, int(x)) for x in near)
                 rest = np.setdiff1d(rest, near, assume_unique=True)
                 todo.extend(near.tolist())
 
@@ -201,21 +202,20 @@ def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Edges that connect the sets of each group as far as their parity bits allow.
 
     Columns: name, node, bits, most. Two sets are apart if more bits differ than elements may.
+    Gives name, root, u, v: sets of one name and root are tied together, those of different roots are apart.
     """
     for table in by_runs(batches):
         keys, nodes = table.column(0).to_numpy(), table.column(1).to_numpy()
         packed = table.column(2).to_pylist()
         most, starts = table.column(3).to_numpy(), _run_starts(keys)
-        left, right = [], []
+        ties = []
         for i, j in zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist(), strict=True):
             width = len(packed[i])
             bits = np.frombuffer(b"".join(packed[i:j]), dtype=np.uint64).reshape(j - i, width // 8)
             bound = int(most[i])
             near = lambda x, rest, bits=bits, bound=bound: rest[np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1) <= bound]
-            for a, b in spread(j - i, near):
-                left.append(nodes[i + a])
-                right.append(nodes[i + b])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+            ties += [(keys[i], nodes[i + root], nodes[i + a], nodes[i + b]) for root, a, b in spread(j - i, near)]
+        yield pa.RecordBatch.from_arrays([pa.array([t[c] for t in ties], pa.int64()) for c in range(4)], ["name", "root", "u", "v"])
 
 
 class PrefixTree:
@@ -315,24 +315,114 @@ class PrefixTree:
 def linked_sets(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links between the sets."""
     tree = PrefixTree(sets, percent)
-    return spread(len(sets), tree.search)
+    return ((a, b) for _, a, b in spread(len(sets), tree.search))
 
 
-def _tile_links(width: int, percent: int):
+def _own_sets(nodes: list[int], texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Node and set of each text; a text of the same doc_id with another set is left out."""
+    for first, data, bounds in blocks(texts):
+        for node, found in zip(nodes[first:], shingle_sets(data, bounds, width), strict=False):
+            if set_hash(found) == node:
+                yield node, found
+
+
+def _tree_table(sets: dict[int, np.ndarray], percent: int) -> pa.Table:
+    own = list(sets)
+    seen = [(own[a], own[b]) for a, b in linked_sets(list(sets.values()), percent)] if sets else []
+    u, v = zip(*seen, strict=True) if seen else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _text_links(width: int, percent: int):
     def links(group: pa.Table) -> pa.Table:
-        nodes, own, sets = group.column("node").to_pylist(), [], {}
-        for first, data, bounds in blocks(pa.concat_arrays(group.column("text").chunks)):
-            for node, found in zip(nodes[first:], shingle_sets(data, bounds, width), strict=False):
-                if node not in sets and set_hash(found) == node:
-                    sets[node] = found
-                    own.append(node)
-        seen = [(own[a], own[b]) for a, b in linked_sets(list(sets.values()), percent)] if sets else []
-        u, v = zip(*seen, strict=True) if seen else ((), ())
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        return _tree_table(dict(_own_sets(group.column("node").to_pylist(), pa.concat_arrays(group.column("text").chunks), width)), percent)
 
     return links
 
 
+def _tile_links(percent: int):
+    def links(group: pa.Table) -> pa.Table:
+        sets = zip(group.column("node").to_pylist(), group.column("shingles").to_pylist(), strict=True)
+        return _tree_table({node: np.frombuffer(found, dtype=np.uint64) for node, found in sets}, percent)
+
+    return links
+
+
+def _set_bytes(width: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                own = [(node, found.tobytes()) for node, found in _own_sets(part.column(0).to_pylist(), part.column(1), width)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], ["node", "shingles"])
+
+    return rows
+
+
+def _similar_rows(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    return rows
+
+
+def _verified(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) that are links. A u with many pairs goes with each TREE_SETS of them."""
+    hubs = asked.groupBy(F.col("u").alias("_u")).agg(F.ceil(F.count("*") / TREE_SETS).cast("int").alias("chunks"))
+    asked = asked.join(hubs, F.col("u") == F.col("_u")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"))
+    hubs = hubs.join(sets, F.col("_u") == F.col("node")).select("_u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("_chunk"), F.col("shingles").alias("left"))
+    rows = asked.join(sets.select(F.col("node").alias("_v"), F.col("shingles").alias("right")), F.col("v") == F.col("_v"))
+    rows = rows.join(hubs, (F.col("u") == F.col("_u")) & (F.col("chunk") == F.col("_chunk")))
+    return rows.select("u", "v", "left", "right").mapInArrow(_similar_rows(percent), "u long, v long")
+
+
+def _with_label(rows: DataFrame, node: str, label: str, found: DataFrame) -> DataFrame:
+    """Adds the component that `found` has for a node, or the node itself."""
+    found = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    return rows.join(found, F.col(node) == F.col("_n"), "left").withColumn(label, F.coalesce("_c", node)).drop("_n", "_c")
+
+
+def _large_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what is similar within large candidate components, from pairs (name, root, u, v, component).
+
+    The pairs are verified, first one for each set, then those whose ends are still apart. Sets of one
+    name and root that all are connected by then are done. Of the others, each set outside the largest
+    connected part of its component meets those that it shares a name and root with, in trees of two parts.
+    """
+    links = _verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, percent)
+    links = shared.written(links, "links")
+    linked = shared.written(components(links), "linked")
+    apart = _with_label(_with_label(pairs.select("u", "v").distinct(), "u", "a", linked), "v", "b", linked).where("a <> b").select("u", "v")
+    links = links.union(shared.written(_verified(apart, sets, percent), "links"))
+    linked = shared.written(components(links), "linked")
+
+    inside = pairs.select("name", "root", "component", F.col("v").alias("node")).union(pairs.select("name", "root", "component", F.col("root").alias("node"))).distinct()
+    inside = shared.written(_with_label(inside, "node", "own", linked), "inside")
+    unsettled = inside.groupBy("name", "root").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("name", "root")
+    inside = shared.written(inside.join(unsettled, ["name", "root"], "left_semi"), "unsettled")
+    if inside.isEmpty():
+        return links
+    counts = inside.select("component", "own", "node").distinct().groupBy("component", "own").agg(F.count("*").alias("n"))
+    largest = counts.groupBy(F.col("component").alias("_of")).agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.max("n").alias("held"), F.sum("n").alias("total"))
+    halves = lambda n: F.greatest(F.ceil(n * 2 / TREE_SETS), F.lit(1))  # noqa: E731  a tree holds two parts
+    other = F.col("own") != F.col("main")
+    part = F.pmod("node", F.when(other, halves(F.col("total") - F.col("held"))).otherwise(halves(F.col("held"))))
+    inside = inside.join(largest, F.col("component") == F.col("_of")).select("name", "root", "component", "node", (part * 2 + other.cast("long")).alias("part"))  # odd: not of the largest
+    inside = shared.written(inside, "parts")
+    met = shared.written(inside.select(F.col("name").alias("_name"), F.col("root").alias("_root"), F.col("part").alias("_part")).distinct(), "met")
+    few = met.count() <= BROADCAST_IDS
+    same = (F.col("name") == F.col("_name")) & (F.col("root") == F.col("_root")) & ((F.col("part") % 2 == 1) | (F.col("_part") % 2 == 1))
+    tiles = inside.join(F.broadcast(met) if few else met, same).select("component", F.least("part", "_part").alias("low"), F.greatest("part", "_part").alias("high"), "node")
+    tiles = shared.written(tiles.distinct(), "tiles").join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+    return links.union(tiles.groupBy("component", "low", "high").applyInArrow(_tile_links(percent), "u long, v long"))
+
+
 def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n and component_id of each row."""
     spark = docs.sparkSession
@@ -345,23 +435,30 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     named = keys.mapInArrow(_groups, "name long, member long").distinct()
     joined = named.join(reps, F.col("member") == F.col("h1")).withColumn("slot", F.pmod(F.col("name").bitwiseAND(255) - F.col("low_range"), F.lit(256)))
     joined = joined.select("name", "member", F.expr("bits[slot]").alias("bits"), F.expr("most[slot]").alias("most"))
-    edges = joined.repartition(dealt, "name").sortWithinPartitions("name", "member").mapInArrow(_candidate_edges, "u long, v long")
-    groups = shared.written(components(edges), "candidates")
+    edges = joined.repartition(dealt, "name").sortWithinPartitions("name", "member").mapInArrow(_candidate_edges, "name long, root long, u long, v long")
+    edges = shared.written(edges, "pairs")
+    groups = shared.written(components(edges.select("u", "v")), "candidates")
 
     first = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     members = groups.join(first.select(F.col("h1").alias("_h"), "first"), F.col("node") == F.col("_h")).drop("_h")
     members = shared.written(members, "members")
-    sizes = members.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("members"))
-    parts = F.when(F.col("members") > TREE_SETS, F.ceil(F.col("members") * 2 / TREE_SETS)).otherwise(1).cast("int")  # a tree holds two parts
-    tiles = members.join(sizes, F.col("component") == F.col("c")).select("node", "first", "component", parts.alias("parts"))
-    tiles = tiles.withColumn("part", F.pmod("node", F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.where((F.col("parts") == 1) | (F.col("part") != F.col("other"))).select(
-        "node", "first", "component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
-    )
-    few = members.count() <= BROADCAST_IDS
+    large = members.groupBy("component").count().where(F.col("count") > TREE_SETS).select("component")
+    large = shared.written(large, "large")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(F.broadcast(tiles) if few else tiles, F.col("doc_id") == F.col("first"))
-    links = texts.groupBy("component", "low", "high").applyInArrow(_tile_links(width, percent), "u long, v long")
+
+    def with_texts(picked: DataFrame) -> DataFrame:
+        few = picked.count() <= BROADCAST_IDS
+        return texts.join(F.broadcast(picked) if few else picked, F.col("doc_id") == F.col("first"))
+
+    any_large = not large.isEmpty()
+    small = shared.written(members.join(large, "component", "left_anti"), "small") if any_large else members
+    links = with_texts(small).groupBy("component").applyInArrow(_text_links(width, percent), "u long, v long")
+    if any_large:
+        big = shared.written(members.join(large, "component", "left_semi").select("node", "first", "component"), "big")
+        sets = with_texts(big).select("node", "text").mapInArrow(_set_bytes(width), "node long, shingles binary")
+        sets = shared.written(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingles")
+        pairs = edges.join(big.select(F.col("node").alias("_n"), "component"), F.col("v") == F.col("_n")).drop("_n")
+        links = links.union(_large_links(shared.written(pairs, "large-pairs"), sets, percent))
     found = shared.written(components(links).withColumnRenamed("component", "_c"), "found")
 
     least = found.join(members.select(F.col("node").alias("_n"), "first"), F.col("node") == F.col("_n")).groupBy("_c").agg(F.min("first").alias("named"))
@@ -384,8 +481,9 @@ def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     2. Similar sets agree on one part at least of a partition of the shingles (see `Sizes`), so
        sets that share a part's key are candidates. Within a key, parity bits rule out sets that
        differ in too many elements, and the rest is tied together by few edges.
-    3. Components of those edges hold every link. Each is joined exactly in a prefix tree, large
-       ones in tiles of bounded size; links found become the components of the result.
+    3. Components of those edges hold every link. Each of up to TREE_SETS sets is joined exactly in a
+       prefix tree. In larger ones the edges are verified one by one, and only sets that these leave
+       apart and that share a key meet in trees (see `_large_links`). Links become the components of the result.
 
     Nothing is sampled or capped. Null text: no words. Null doc_id: n_shingles is given,
     component_id is null and the row links with nothing. Repeated rows are copies of one

@@ -248,6 +248,60 @@ def test_tiles_find_what_one_tree_finds(docs, monkeypatch):
     assert sorted(map(tuple, jaccard.similar_components(docs, 3, 90).where("doc_id IS NOT NULL").collect())) == whole
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """Rows of each intermediate, in lists by name."""
+    rows, write = defaultdict(list), jaccard.shared.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.shared, "written", counted)
+    return rows
+
+
+def test_large_component_is_not_squared(spark, monkeypatch, written):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    monkeypatch.setattr(jaccard, "TREE_SETS", 4)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 60)
+    assert {r.component_id for r in jaccard.similar_components(docs, 3, 90).collect()} == {0}
+    assert max(sent) <= 60
+    assert written["shingles"] == [60] and not written["tiles"]
+
+
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80), (1, 70)])
+def test_large_components_are_exact(spark, monkeypatch, written, width, percent):
+    import random
+
+    rng, texts = random.Random(width), []
+    for c in range(3):  # around the bound, so that pairs of one component are links or just not
+        base = [f"c{c}w{i}" for i in range(150)]
+        for _ in range(50):
+            own = list(base)
+            for at in rng.sample(range(150), rng.choice([1, 3, 6, 9, 14]) * (100 - percent) // (10 * width) + 1):
+                own[at] = f"r{rng.random()}"
+            texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + width]) for i in range(len(t.split()) - width + 1)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    monkeypatch.setattr(jaccard, "TREE_SETS", 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.similar_components(docs, width, percent).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+    assert 3 < len(set(label)) < len(texts) and sum(written["tiles"]) > 0
+
+
 @pytest.mark.parametrize("percent", [90, 80, 50])
 def test_prefix_tree(percent):
     import random
