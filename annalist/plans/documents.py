@@ -33,6 +33,13 @@ def head_and_bound(spark, sf_dir):
     return rows.select("item_id", text.head_term(F.col("text")).alias("head"), text.bounded(F.col("text"), 20).alias("bounded"))
 
 
+@query("""
+SELECT item_id, lower(regexp_extract(trim(text), '^(\\S+)', 1)) AS head, left(text, len(list_filter(range(1, least(length(text), 20) + 1), lambda n: strlen(left(text, n)) <= 20))) AS bounded FROM benchmark""")
+def head_and_bound_all(spark, sf_dir):
+    """The first word, and a text cut to a number of bytes between characters, of every text."""
+    return table(spark, sf_dir, "benchmark").select("item_id", text.head_term(F.col("text")).alias("head"), text.bounded(F.col("text"), 20).alias("bounded"))
+
+
 #: Phrases about acts, made from order numbers so that references are found.
 _PHRASE = "'Vista l''ordinanza sindacale n. ' || o_orderkey || '/' || year(o_orderdate) || ' e il decreto n. ' || o_custkey || ' del 3/4/' || year(o_orderdate) || ', ordinanza n. ' || o_orderkey || '/' || year(o_orderdate)"
 

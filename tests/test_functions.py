@@ -255,3 +255,13 @@ def test_seeded_random_kernels_agree_with_plain_code():
         words = [rng.choice("abc") for _ in range(rng.randint(0, 12))]
         whole = " ".join(words)
         assert (retrieval.cover_density(whole, ["a"]) > 0) == ("a" in words)
+
+
+def test_bound_of_every_text(spark, tmp_path):
+    from annalist.plans import registry
+
+    texts = [None, "", "Plain words that go beyond the bound", *("x" * k + c * 9 for k in range(17, 21) for c in "aé日😀"), "Èa\u0301 " * 5, "日本 " * 9]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.item_id: (r.head, r.bounded) for r in registry.QUERIES["head_and_bound_all"](spark, str(tmp_path)).collect()}
+    wanted = [None if t is None else ((t.split() or [""])[0].lower(), t.encode()[:20].decode(errors="ignore")) for t in texts]
+    assert [found[i] for i in range(len(texts))] == [w or (None, None) for w in wanted]
