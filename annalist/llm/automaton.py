@@ -81,6 +81,10 @@ def _bytes_of(op, arg, fold: bool) -> frozenset:
     return frozenset(set(range(256)) - found if negated else found)
 
 
+#: Patterns of one automaton at most: its accept bits are bytes.
+PATTERNS = 8
+
+
 class Dfa:
     """`step[state, byte]` is the next state; bit k of `accepts[state]`: pattern k may end here.
 
@@ -89,6 +93,8 @@ class Dfa:
     """
 
     def __init__(self, patterns: list[str], search: bool):
+        if len(patterns) > PATTERNS:
+            raise ValueError(f"more than {PATTERNS} patterns in one automaton")
         nfa = _Nfa()
         start = nfa.state()
         ends = {}

@@ -1,4 +1,4 @@
-"""Secret scans: all rules in one pass of a combined automaton over the bytes of a text."""
+"""Secret scans: eight rules in one pass of a combined automaton over the bytes of a text."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm import shared
-from annalist.llm.automaton import SPAN, Dfa, scan
+from annalist.llm.automaton import PATTERNS, SPAN, Dfa, scan
 
 
 @dataclass(frozen=True)
@@ -43,14 +43,15 @@ RULES = (
 class Scanner:
     """Finds the leftmost non-overlapping matches of each rule, then drops those too short.
 
-    One automaton marks, in one pass over the bytes, where keys end and where runs of keyless rules go on. Behind each key
+    One automaton for each eight rules marks, in one pass over the bytes, where keys end and where runs of keyless rules go on. Behind each key
     the rule's own automaton walks on to the longest match; it accepts first on the first
     character of the run, so the run's length is known.
     """
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.search = Dfa([rule.key or rule.run for rule in rules], search=True)
+        marked = [rule.key or rule.run for rule in rules]
+        self.searches = [Dfa(marked[i : i + PATTERNS], search=True) for i in range(0, len(marked), PATTERNS)]  # a pass each
         self.walks = [Dfa([rule.key + rule.tail + rule.run], search=False) if rule.key else None for rule in rules]
         self.keys = [Dfa([rule.key], search=False) if rule.key else None for rule in rules]
         self.longest = [self._longest(rule) for rule in rules]
@@ -98,9 +99,10 @@ class Scanner:
         """(start, rule, end) in bytes, sorted, for each text data[bounds[i]:bounds[i + 1]]."""
         full = np.flatnonzero(np.diff(bounds) > 0)
         found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(bounds) - 1)]
-        marks = scan(self.search, data, bounds[full])
         for k, rule in enumerate(self.rules):
-            hit = (marks >> k) & 1
+            if k % PATTERNS == 0:
+                marks = scan(self.searches[k // PATTERNS], data, bounds[full])
+            hit = (marks >> (k % PATTERNS)) & 1
             if rule.key:
                 at = np.flatnonzero(hit) + 1
                 text = full[np.searchsorted(bounds[full], at - 1, "right") - 1]

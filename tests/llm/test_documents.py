@@ -133,6 +133,14 @@ def test_quality_cleans_lines(spark):
 
 # ---- secrets
 
+
+def test_more_rules_than_one_automaton_takes():
+    rules = (*(secret_scan.Rule(f"k{i}", f"K{i:02d}=", "", "[a-z]+", 3, False) for i in range(18)), secret_scan.Rule("digits", "", "", "[0-9]+", 6, True))
+    text = (" ".join(f"K{i:02d}=secret" for i in range(18)) + " 1234567").encode()
+    found = secret_scan.Scanner(rules).spans(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    assert found == [[(11 * i, i, 11 * i + 10) for i in range(18)] + [(len(text) - 7, 18, len(text))]]
+
+
 KINDS = {
     "assign": re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     "access": re.compile(r"(AKIA[A-Z0-9]+)"),
