@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from annalist.llm import shared
 
-#: Characters of text whose words are merged together.
-BLOCK = 12_000_000
-#: Words a task remembers between blocks; beyond, it starts afresh.
-REMEMBERED = 400_000
+#: Characters of text that are handled together, and bytes of new words that are merged together.
+BLOCK = 1_000_000
+#: Bytes of words a task remembers between blocks, each counted with the room it takes besides; beyond, it starts afresh.
+REMEMBERED, ROOM = 24_000_000, 150
 
 
 class Numbers(dict):
@@ -36,10 +36,13 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.pieces = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.pieces, self.matches = compiled.findall, compiled.finditer
         self.ranks = ranks
-        self.tokens = dict.fromkeys(range(max(ranks.values()) + 1), b"") | {r: t for t, r in ranks.items()}
-        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        tokens = dict.fromkeys(range(max(ranks.values()) + 1), b"") | {r: t for t, r in ranks.items()}
+        self.token_bytes = np.frombuffer(b"".join(tokens[i] for i in range(len(tokens))), dtype=np.uint8)
+        self.token_ends = np.append(0, np.cumsum([len(tokens[i]) for i in range(len(tokens))])).astype(np.int64)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.shift = max(ranks.values()).bit_length()
         keys, merged = [], []
         for token, rank in ranks.items():
@@ -49,20 +52,20 @@ class Codec:
                     keys.append((left << self.shift) | right)
                     merged.append(rank)
         order = np.argsort(np.array(keys, dtype=np.int64))
-        self.pair_keys, self.pair_ranks = np.array(keys, dtype=np.int64)[order], np.array(merged, dtype=np.int64)[order]
+        self.pair_keys, self.pair_ranks = np.array(keys, dtype=np.int64)[order], np.array(merged, dtype=np.int32)[order]
         self.forget()
 
     def forget(self) -> None:
-        self.number = Numbers()
+        self.number, self.remembered = Numbers(), 0
         self.flat, self.counts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of tokens, or -1."""
         if not len(self.pair_keys):
-            return np.full(len(left), -1)
-        key = (left << self.shift) | right
+            return np.full(len(left), -1, dtype=np.int32)
+        key = (left.astype(np.int64) << self.shift) | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.int32(-1))
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words end to end, and how many each word has.
@@ -76,12 +79,12 @@ class Codec:
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         n = len(data)
         token = self.of_byte[data]
-        word = np.repeat(np.arange(len(words)), sizes)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(sizes)
         after[ends - 1] = -1
         before[(ends - sizes)] = -1
-        pair = np.full(n, -1)
+        pair = np.full(n, -1, dtype=np.int32)
         inner = np.flatnonzero(after >= 0)
         pair[inner] = self.pair_rank(token[inner], token[inner + 1])
 
@@ -150,24 +153,42 @@ class Codec:
         return out, counts
 
     def merged_alone(self, word: bytes) -> list[int]:
-        """One word, always merging the leftmost pair of lowest rank."""
-        parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            ranks = [self.ranks.get(a + b, -1) for a, b in zip(parts, parts[1:], strict=False)]
-            known = [r for r in ranks if r >= 0]
-            if not known:
-                break
-            i = ranks.index(min(known))
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        """One word, always merging the leftmost pair of lowest rank, from a heap of pairs."""
+        parts: list[bytes | None] = [bytes([b]) for b in word]
+        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        rank_at = lambda i: self.ranks.get(parts[i] + parts[after[i]], -1) if after[i] < len(parts) else -1
+        queue = [(rank, i) for i in range(len(parts)) if (rank := rank_at(i)) >= 0]
+        heapq.heapify(queue)
+        while queue:
+            rank, i = heapq.heappop(queue)
+            if parts[i] is None or rank_at(i) != rank:
+                continue  # a merge beside it has changed the pair
+            gone = after[i]
+            parts[i], parts[gone] = parts[i] + parts[gone], None
+            after[i] = after[gone]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            for j in (before[i], i):
+                if j >= 0 and (rank := rank_at(j)) >= 0:
+                    heapq.heappush(queue, (rank, j))
+        return [self.ranks[p] for p in parts if p is not None]
 
     def learn(self, words: list[str]) -> None:
-        """Appends the tokens of new words, numbered in order."""
+        """Appends the tokens of new words, numbered in order, some of them at a time."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        whole = np.array([self.ranks.get(w, -1) for w in raw], dtype=np.int64)
+        ends = np.cumsum([len(w) for w in raw])
+        self.remembered += int(ends[-1]) + ROOM * len(raw)
+        first = 0
+        while first < len(raw):
+            upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
+            self._learn(raw[first:upto])
+            first = upto
+
+    def _learn(self, raw: list[bytes]) -> None:
+        whole = np.array([self.ranks.get(w, -1) for w in raw], dtype=np.int32)
         rest = np.flatnonzero(whole < 0)
         tokens, counts = self.replay([raw[i] for i in rest.tolist()]) if len(rest) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        sizes = np.ones(len(words), dtype=np.int64)
+        sizes = np.ones(len(raw), dtype=np.int64)
         sizes[rest] = counts
         flat = np.zeros(sizes.sum(), dtype=np.int32)
         merged = np.repeat(whole < 0, sizes)
@@ -176,26 +197,36 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
-        if len(self.number) > REMEMBERED:
+        if self.remembered > REMEMBERED:
             self.forget()
         number, told = self.number, len(self.number)
         numbers, sizes = [], []
         for text in texts:
-            own = np.array([number[w] for w in self.pieces(text)], dtype=np.int64)
+            if len(text) > BLOCK:  # no list of all its words
+                own = np.fromiter((number[m[0]] for m in self.matches(text)), dtype=np.int32)
+            else:
+                own = np.array([number[w] for w in self.pieces(text)], dtype=np.int32)
             numbers.append(own)
             sizes.append(len(own))
         if len(number) > told:
             self.learn(list(number)[told:])
-        words = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        counts = self.counts[words]
-        begins = (np.cumsum(self.counts) - self.counts)[words]
-        total = np.cumsum(counts)
-        at = np.repeat(begins - (total - counts), counts) + np.arange(total[-1] if len(total) else 0)
-        upto = np.append(0, total)[np.append(0, np.cumsum(sizes)).astype(np.int64)]
-        return self.flat[at], np.diff(upto)
+        words = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+        upto = np.append(0, np.cumsum(self.counts[words]))[np.append(0, np.cumsum(sizes)).astype(np.int64)]
+        return self.flat[gathered(np.cumsum(self.counts) - self.counts, self.counts, words)], np.diff(upto)
+
+    def decode(self, ids) -> bytes:
+        return self.decoded(np.asarray(ids, dtype=np.int32)).tobytes()
+
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids end to end."""
+        return self.token_bytes[gathered(self.token_ends[:-1], np.diff(self.token_ends), ids)]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+
+def gathered(begins: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places of all elements of the chosen runs, one run behind the other."""
+    counts = sizes[chosen]
+    total = np.cumsum(counts)
+    return np.repeat(begins[chosen] - (total - counts), counts) + np.arange(total[-1] if len(total) else 0)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -218,36 +249,43 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield first, len(sizes)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, column: str = "text", decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, column: str = "text", decoded: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Adds `ids`, the tokens of each whole text, and with `decoded` the bytes they decode to.
 
-    `vocabulary` is a file of ranks on the driver, sent to the executors. Null text: no ids. All
-    columns of the input stay; columns named `ids` or `decoded` are replaced. A task merges the
-    distinct words of some megabytes of text at once; memory does not grow with the table.
+    `vocabulary` is a file of ranks on the driver, sent to the executors. The columns `keep` stay (all of
+    the input by default), and only they and the text are sent to Python; columns named `ids` or `decoded` are replaced.
+
+    Null or empty text: no ids. Repeated rows: each by itself. Empty table: no rows. A task handles a
+    million characters at a time, or one text, whose words are numbered as they are met and merged a
+    million bytes at a time; its memory does not grow with the table. A word of any length is one unit,
+    for which the merge needs some 30 bytes a byte.
     """
     spark = docs.sparkSession
     spark.sparkContext.addFile(vocabulary)
     name = vocabulary.rstrip("/").rsplit("/", 1)[-1]
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
+    stay = docs.select(*[F.col(f"`{c}`") for c in kept])
+    sent = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{column}`")] * (column not in kept))
+    text_at = sent.columns.index(column)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
         codec.forget()
         for batch in batches:
-            for first, end in _blocks(batch.column(kept.index(column))) if batch.num_rows else ():
+            for first, end in _blocks(batch.column(text_at)) if batch.num_rows else ():
                 part = batch.slice(first, end - first)
-                ids, counts = codec.encode([t or "" for t in part.column(kept.index(column)).to_pylist()])
+                ids, counts = codec.encode([t or "" for t in part.column(text_at).to_pylist()])
                 offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
+                columns = [*part.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
                 if decoded:
-                    bounds = offsets.tolist()
-                    columns.append(pa.array([codec.decode(ids[i:j].tolist()) for i, j in zip(bounds, bounds[1:], strict=False)], type=pa.binary()))
+                    data = codec.decoded(ids)
+                    bounds = np.append(0, np.cumsum(np.diff(codec.token_ends)[ids]))[offsets].astype(np.int32)
+                    columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]))
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "ids", *["decoded"] * decoded])
         codec.forget()  # the worker may wait for other work
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(encoded, f"{fields}, ids array<int>" + ", decoded binary" * decoded)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in stay.schema)
+    return sent.mapInArrow(encoded, f"{fields}ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(rows: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
@@ -258,16 +296,17 @@ def decode(rows: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
     @F.pandas_udf("binary")
     def joined(ids):
         codec = _codec(name, "x")
-        return ids.map(lambda x: None if x is None else codec.decode(x.tolist()))
+        return ids.map(lambda x: None if x is None else codec.decode(x))
 
     return rows.withColumn("decoded", joined(F.col(column)))
 
 
 def op6_merge_replay(spark, sf_dir):
+    """Per document the number of tokens, and hashes of the ids and of the bytes they decode to; see `encode`."""
     import public_tokenizers
 
     docs = shared.documents(spark, sf_dir).select("doc_id", "text")
-    coded = encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    coded = encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True, keep=("doc_id",))
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
