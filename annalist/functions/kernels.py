@@ -5,6 +5,7 @@ Offsets are bytes of UTF-8 and ranges half open, unless said otherwise.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from html.parser import HTMLParser
@@ -15,56 +16,75 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
 def _list(**fields: T.DataType) -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
+    return T.ArrayType(struct(**fields))
 
 
-INT, TEXT = T.IntegerType(), T.StringType()
+INT, TEXT, DAY = T.IntegerType(), T.StringType(), T.DateType()
 
 # ---- normal form with a map back to the source
 
-_MARK = re.compile(r"(?P<mark>^[ \t]*#{1,6}[ \t]+|\*{1,3}|_{2,3}|`+)|(?P<space>\s+)|(?P<quote>[’‘ʼ])|(?P<text>[^\s*_`’‘ʼ]+|_)", re.M)
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_QUOTES = "‘’ʼ"
+_TOKEN = re.compile(rf"(?P<space>[{_WHITE}]+)|(?P<head>#+)|(?P<mark>\*\*|__|~~|`)|(?P<quote>[{_QUOTES}])|(?P<text>[^{_WHITE}#*_~`{_QUOTES}]+|.)", re.S)
 SPANS = _list(normalized_start=INT, normalized_end=INT, source_start=INT, source_end=INT)
 
 
 def normalize(source: str) -> tuple[str, list[tuple[int, int, int, int]]]:
-    """Text without heading and emphasis marks, with single spaces and plain apostrophes.
+    """Text without heading marks and paired emphasis marks, with single spaces and plain apostrophes.
 
-    Each span maps bytes of the result to bytes of the source; every byte of the result is in
-    exactly one.
+    A heading mark is one to six # at the beginning of a line with white space behind. The marks **, __, ~~
+    and ` go in pairs only: one opens if the same mark follows anywhere, the next closes it; others stay. Each
+    span maps bytes of the result to bytes of the source; every byte of the result is in exactly one. Neighbours
+    of which no byte changed are one span.
     """
-    pieces: list[tuple[str, int, int]] = []
-    for m in _MARK.finditer(source):
-        kind, begin, end = m.lastgroup, m.start(), m.end()
-        if kind == "space":
-            if pieces and pieces[-1][0] != " ":
-                pieces.append((" ", begin, end))
-        elif kind == "quote":
-            pieces.append(("'", begin, end))
-        elif kind == "text":
-            pieces.append((m[0], begin, end))
-    if pieces and pieces[-1][0] == " ":
-        pieces.pop()
-    size = np.append(0, np.cumsum([len(c.encode()) for c in source]))
-    out, spans, at = [], [], 0
-    for text, begin, end in pieces:
-        n = len(text.encode())
+    last = {mark: source.rfind(mark) for mark in ("**", "__", "~~", "`")}
+    out, spans, opened, at, done, gap, line = [], [], set(), 0, 0, None, True
+
+    def put(text: str, size: int, begin: int, end: int) -> None:
+        nonlocal done
+        kept = size == end - begin
+        if spans and kept and spans[-1][4] and spans[-1][3] == begin:
+            spans[-1] = (spans[-1][0], done + size, spans[-1][2], end, True)
+        else:
+            spans.append((done, done + size, begin, end, kept))
         out.append(text)
-        spans.append((at, at + n, int(size[begin]), int(size[end])))
-        at += n
-    return "".join(out), spans
+        done += size
+
+    for m in _TOKEN.finditer(source):
+        kind, text = m.lastgroup, m[0]
+        begin, at = at, at + len(text.encode("utf-8", "surrogatepass"))
+        if kind == "space":
+            gap = (gap[0] if gap else begin, at)
+            line = line or "\n" in text or "\r" in text
+            continue
+        if kind == "head" and line and len(text) <= 6 and m.end() < len(source) and re.match(f"[{_WHITE}]", source[m.end()]):
+            continue
+        line = False
+        if kind == "mark" and (text in opened or last[text] >= m.end()):
+            opened ^= {text}
+            continue
+        if gap and out:
+            put(" ", 1, *gap)
+        gap = None
+        put("'" if kind == "quote" else text, 1 if kind == "quote" else at - begin, begin, at)
+    return "".join(out), [x[:4] for x in spans]
 
 
 def source_range(spans: list, start: int, end: int) -> tuple[int, int] | None:
     """Bytes of the source behind bytes [start, end) of the normal form."""
-    hit = [s for s in spans if s[0] < end and start < s[1]]
-    if not hit or not 0 <= start < end <= spans[-1][1]:
+    if not spans or not 0 <= start < end <= spans[-1][1]:
         return None
-    first, last = hit[0], hit[-1]
+    first = spans[bisect.bisect_right([s[1] for s in spans], start)]
+    last = spans[bisect.bisect_left([s[0] for s in spans], end) - 1]
     same = lambda s: s[1] - s[0] == s[3] - s[2]
     begin = first[2] + (start - first[0] if same(first) else 0)
     stop = last[3] - (last[1] - end if same(last) else 0)
-    return begin, stop
+    return (begin, stop) if begin < stop else None
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", TEXT), T.StructField("spans", SPANS)]))
@@ -76,67 +96,109 @@ def normalized(texts: pd.Series) -> pd.DataFrame:
 
 # ---- segments and windows
 
-
-def _boundary(data: bytes, low: int, high: int, ends: tuple[bytes, ...]) -> int:
-    """The last place in (low, high] behind one of the ends, or 0."""
-    return max((p + len(e) for e in ends if (p := data.rfind(e, low, high)) >= 0), default=0)
+#: Segments and windows of one document at most; documents with more are refused.
+MOST_SEGMENTS, MOST_WINDOWS = 512, 1536
 
 
 def _character(data: bytes, at: int) -> int:
+    """The last place up to `at` that does not split a character."""
     while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
         at -= 1
-    return at
+    return min(at, len(data))
+
+
+def _filled(data: bytes, at: int) -> int:
+    """The first place from `at` on that holds no blank."""
+    return len(data) - len(data[at:].lstrip(b" "))
 
 
-def segment(text: str, limit: int = 12 * 1024) -> list[tuple[int, int]]:
-    """Ranges of at most `limit` bytes that cover the text, cut at white space in their last quarter if there is any."""
-    data, at, out = text.encode(), 0, []
-    while at < len(data):
-        end = min(len(data), at + limit)
-        if end < len(data):
-            end = _boundary(data, at + limit * 3 // 4, end, (b" ", b"\n", b"\t")) or _character(data, end)
+def segment(text: str, limit: int = 12 * 1024) -> list[tuple[int, int]] | None:
+    """Ranges of at most `limit` bytes, none beginning with a blank, each cut before the last blank of its last quarter if there is one.
+
+    Null (refused) where nothing is left, or where there would be more than MOST_SEGMENTS.
+    """
+    data, out = text.encode("utf-8", "surrogatepass"), []
+    at = _filled(data, 0)
+    while at < len(data) and len(out) <= MOST_SEGMENTS:
+        end = len(data)
+        if end - at > limit:
+            end = _character(data, at + limit)
+            blank = data.rfind(b" ", at + 3 * limit // 4, end)
+            end = blank if blank >= 0 else end
         out.append((at, end))
-        at = end
-    return out
+        at = _filled(data, end)
+    return out if 0 < len(out) <= MOST_SEGMENTS else None
 
 
-def windows(text: str, core: int = 4096, context: int = 1024) -> list[tuple[int, int, int, int]]:
-    """Core ranges that partition the text, each with a wider range of context around it.
+def windows(text: str, core: int = 4096, context: int = 1024) -> list[tuple[int, int, int, int]] | None:
+    """Cores of at most `core` bytes, none beginning with a blank, each inside a range with context of up to `context` bytes on both sides.
 
-    A core ends behind a sentence in its last quarter, else behind a space, else between characters.
+    A core ends behind the last sentence of its second half, else behind its last blank there, else between
+    characters. Context begins at the first sentence, else the first word, of the bytes allowed, and ends with the
+    first sentence, else before the last blank. A sentence ends with one of .!?;: before a blank or the end.
+    Null (refused) where nothing is left, or where there would be more than MOST_WINDOWS.
     """
-    data, at, out = text.encode(), 0, []
-    while at < len(data):
-        end = min(len(data), at + core)
-        if end < len(data):
-            low = at + core * 3 // 4
-            end = _boundary(data, low, end, (b". ", b".\n", b"; ", b"\n\n")) or _boundary(data, low, end, (b" ", b"\n")) or _character(data, end)
-        begin, stop = _character(data, max(0, at - context)), _character(data, min(len(data), end + context))
+    data, out = text.encode("utf-8", "surrogatepass"), []
+    raw = np.frombuffer(data, dtype=np.uint8)
+    blanks = np.flatnonzero(raw == 32) + 1  # places behind a blank
+    stops = np.flatnonzero(np.isin(raw, np.frombuffer(b".!?;:", dtype=np.uint8)) & np.append(raw[1:] == 32, True)[: len(raw)]) + 1
+
+    def first(places: np.ndarray, low: int, high: int) -> int | None:
+        """The first of the places in [low, high)."""
+        i = int(np.searchsorted(places, low))
+        return int(places[i]) if i < len(places) and places[i] < high else None
+
+    def last(places: np.ndarray, low: int, high: int) -> int | None:
+        """The last of the places in (low, high]."""
+        i = int(np.searchsorted(places, high, "right")) - 1
+        return int(places[i]) if i >= 0 and places[i] > low else None
+
+    at = _filled(data, 0)
+    while at < len(data) and len(out) <= MOST_WINDOWS:
+        end = len(data)
+        if end - at > core:
+            most = _character(data, at + core)
+            end = last(stops, at + core // 2, most) or last(blanks, at + core // 2, most) or most
+        begin, stop = at, end
+        if at > 0 and context:
+            least = max(0, at - context)
+            while least < at and data[least] & 0xC0 == 0x80:
+                least += 1
+            begin = 0 if least == 0 else first(stops, least, at) or first(blanks, least, at) or least
+        if end < len(data) and context:
+            most = _character(data, end + context)
+            stop = first(stops, end + 1, most + 1) or (last(blanks, end, most) or most + 1) - 1
         out.append((at, end, begin, stop))
-        at = end
-    return out
+        at = _filled(data, end)
+    return out if 0 < len(out) <= MOST_WINDOWS else None
 
 
 def owns(core: tuple[int, int, int, int], text: str, quote: str) -> bool:
     """Whether a quote in a window begins in its core."""
-    data = text.encode()
-    at = data.find(quote.encode(), core[2], core[3])
+    data, wanted = text.encode("utf-8", "surrogatepass"), quote.encode("utf-8", "surrogatepass")
+    at = data.find(wanted, core[2], core[3]) if wanted else -1
     while at >= 0:
         if core[0] <= at < core[1]:
             return True
-        at = data.find(quote.encode(), at + 1, core[3])
+        at = data.find(wanted, at + 1, core[3])
     return False
 
 
+@F.pandas_udf(T.BooleanType())
+def owned(window: pd.DataFrame, text: pd.Series, quote: pd.Series) -> pd.Series:
+    cores = zip(window["core_start"], window["core_end"], window["start"], window["end"], strict=True)
+    return pd.Series([owns(c, t, q) for c, t, q in zip(cores, text, quote, strict=True)])
+
+
 @F.pandas_udf(_list(ordinal=INT, start=INT, end=INT))
 def segments(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else [{"ordinal": i, "start": a, "end": b} for i, (a, b) in enumerate(segment(t))])
+    return texts.map(lambda t: None if t is None or (found := segment(t)) is None else [{"ordinal": i, "start": a, "end": b} for i, (a, b) in enumerate(found, 1)])
 
 
 @F.pandas_udf(_list(ordinal=INT, core_start=INT, core_end=INT, start=INT, end=INT))
 def operational_windows(texts: pd.Series) -> pd.Series:
     names = ("core_start", "core_end", "start", "end")
-    return texts.map(lambda t: None if t is None else [{"ordinal": i, **dict(zip(names, w, strict=True))} for i, w in enumerate(windows(t))])
+    return texts.map(lambda t: None if t is None or (found := windows(t)) is None else [{"ordinal": i, **dict(zip(names, w, strict=True))} for i, w in enumerate(found, 1)])
 
 
 # ---- HTML
@@ -229,6 +291,19 @@ def article(html: str, selectors: list[tuple[str, str]]) -> str:
     return "\n".join(_squeeze("".join(m[0])) for m in found) if found and all(len(m) == 1 for m in found) else visible(html)
 
 
+_PAGE = T.StructType([T.StructField("text", TEXT), T.StructField("tables", T.ArrayType(T.ArrayType(T.ArrayType(TEXT)))), T.StructField("links", _list(url=TEXT, label=TEXT))])
+
+
+@F.pandas_udf(_PAGE)
+def parsed_html(html: pd.Series) -> pd.DataFrame:
+    """Visible text, tables and links of a page, parsed once. Tables without rows are left out."""
+    pages = [None if h is None else page(h) for h in html]
+    text = [None if p is None else "\n".join(x for x in map(_squeeze, "".join(p.text).split("\n")) if x) for p in pages]
+    tables = [None if p is None else [[[_squeeze(c) for c in row] for row in t if row] for t in p.tables if any(t)] for p in pages]
+    links = [None if p is None else [{"url": u, "label": _squeeze(t)} for u, t in p.links] for p in pages]
+    return pd.DataFrame({"text": pd.Series(text, dtype=object), "tables": pd.Series(tables, dtype=object), "links": pd.Series(links, dtype=object)})
+
+
 @F.pandas_udf(TEXT)
 def visible_html(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else visible(h))
@@ -244,6 +319,13 @@ def html_links(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else [{"url": u, "label": _squeeze(t)} for u, t in page(h).links])
 
 
+def article_column(selectors: list[tuple[str, str]]):
+    def bodies(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: None if h is None else article(h, selectors))
+
+    return F.pandas_udf(bodies, TEXT)
+
+
 # ---- JSON
 
 
@@ -266,6 +348,19 @@ def json_text(raw: str) -> tuple[str, list[tuple[str, int, int]]]:
     return "\n".join(lines), spans
 
 
+@F.pandas_udf(T.StructType([T.StructField("text", TEXT), T.StructField("spans", _list(pointer=TEXT, start=INT, end=INT))]))
+def json_lines(raw: pd.Series) -> pd.DataFrame:
+    """Text and spans of JSON documents; null where one is broken."""
+    found = []
+    for value in raw:
+        try:
+            found.append((None, None) if value is None else json_text(value))
+        except ValueError:
+            found.append((None, None))
+    spans = [None if s is None else [dict(zip(("pointer", "start", "end"), x, strict=True)) for x in s] for _, s in found]
+    return pd.DataFrame({"text": pd.Series([t for t, _ in found], dtype=object), "spans": pd.Series(spans, dtype=object)})
+
+
 # ---- literals
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 #: Italian month names, in order.
 MONTHS = ["gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"]
-#: Words that say nothing about a disposition.
-STOP_WORDS = ["alla", "alle", "allo", "anche", "come", "dalla", "dalle", "dallo", "degli", "della", "delle", "dello", "nella", "nelle", "nello", "presso", "sono", "sulla", "tutti", "tutte"]
-LETTERS = r"[^a-zàèéìòù0-9]+"
+# Words that say nothing about a disposition, and about what a measure is on.
+STOP_WORDS = ["della", "delle", "degli", "dello", "nelle", "negli", "tutte", "tutti", "ogni", "grado", "ordine", "comunale", "comunali", "pubblico", "pubblici", "pubbliche", "pubblica", "territorio"]
+HEAD_STOP_WORDS = ["della", "delle", "dello", "degli", "dell", "dei", "del", "nelle", "negli", "nella", "tutte", "tutti", "qualunque", "qualsiasi", "ogni"]
+NO_LETTERS = r"[^\p{L}]+"
 
 
 def squeezed(text: Column) -> Column:
@@ -21,10 +22,13 @@ def stem(word: Column) -> Column:
     return F.substring(word, 1, 6)
 
 
+def _words(text: Column, least: int, without: list[str]) -> Column:
+    return F.filter(F.split(F.lower(text), NO_LETTERS), lambda w: (F.length(w) >= least) & ~w.isin(*without))
+
+
 def stems(text: Column) -> Column:
-    """Distinct sorted stems of the words of at least four letters that are no stop words."""
-    words = F.filter(F.split(F.lower(text), LETTERS), lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
-    return F.array_sort(F.array_distinct(F.transform(words, stem)))
+    """Distinct sorted stems of the words of at least five letters that are no stop words."""
+    return F.array_sort(F.array_distinct(F.transform(_words(text, 5, STOP_WORDS), stem)))
 
 
 def stems_match(a: Column, b: Column) -> Column:
@@ -32,7 +36,8 @@ def stems_match(a: Column, b: Column) -> Column:
 
 
 def head_term(subject: Column) -> Column:
-    return F.lower(F.get(F.split(F.trim(subject), r"\s+"), 0))
+    """Stem of the first word of at least four letters that says something; empty if there is none."""
+    return F.coalesce(stem(F.get(_words(subject, 4, HEAD_STOP_WORDS), 0)), F.lit(""))
 
 
 def bounded(text: Column, limit: int) -> Column:
@@ -91,26 +96,3 @@ def italian_date(text: Column) -> Column:
     part = lambda i: F.regexp_extract(text, pattern, i)
     month = F.element_at(months, F.lower(part(2)))
     return F.when(part(1) != "", F.try_to_date(F.concat_ws("-", part(3), F.lpad(month, 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd"))
-
-
-def local_phrase(text: Column) -> Column:
-    """The local time that `ore 12.00 ... 13 Aprile 2026` names, or null; 24.00 is none."""
-    hour, minute = (F.regexp_extract(text, r"(?i)\bore\s+([0-9]{1,2})[.:]([0-9]{2})\b", i) for i in (1, 2))
-    day = italian_date(text)
-    clock = F.concat(day.cast("string"), F.lit(" "), F.lpad(hour, 2, "0"), F.lit(":"), minute, F.lit(":00"))
-    return F.when((hour != "") & day.isNotNull() & (hour.cast("int") < 24) & (minute.cast("int") < 60), F.try_to_timestamp(clock).cast("timestamp_ntz"))
-
-
-def interval_phrase(text: Column) -> Column:
-    """start and end in UTC of `dalle ore A [giorno] alle ore B [di] giorno`, or null.
-
-    The first time takes the second one's day if it has none. Nonexistent, ambiguous and
-    reversed times are refused.
-    """
-    from annalist.functions.temporal import local_to_utc
-
-    halves = F.split(text, r"(?i)\balle\s+(?=ore\b)", 2)
-    left, right = F.get(halves, 0), F.get(halves, 1)
-    dated = F.when(italian_date(left).isNotNull(), left).otherwise(F.concat(left, F.lit(" "), F.regexp_extract(right, r"(?iu)[0-9]{1,2}\s+\p{L}+\s+[0-9]{4}", 0)))
-    start, end = local_to_utc(local_phrase(dated)), local_to_utc(local_phrase(right))
-    return F.when(F.lower(left).rlike(r"^\s*dalle\s+ore\b") & (start < end), F.struct(start.alias("start"), end.alias("end")))
