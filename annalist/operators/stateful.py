@@ -29,6 +29,7 @@ def folded(events: DataFrame, key: str, order: list[str], step: Step, start: Cal
         current, state = object(), {}
         for batch in batches:
             rows = []
+            batch = batch.astype(object).where(batch.notna(), None)  # nulls as None, whole numbers whole
             for event in batch.to_dict("records"):
                 if event[key] != current:
                     current, state = event[key], start()
@@ -61,66 +62,126 @@ def budget_step(limit: int, window_us: int) -> Step:
     return step
 
 
-# ---- circuit breaker: closed, open, half-open probe, held
+# ---- provider gates: a global one and one per model, with permits, probes and generations
+
+
+GATE_CATEGORIES = ("authentication", "quota", "permission", "request", "rate_limit", "availability", "transport", "invalid_response", "rejected")
+
+
+def _gate() -> dict:
+    return {"state": "closed", "reason": "", "failures": 0, "generation": 1, "cooldown": 0, "available": 0, "token": None, "probe_until": None}
 
 
 def breaker_start() -> State:
-    return {"state": "closed", "failures": 0, "until": 0, "generation": 0}
+    return {"gates": {}, "permits": {}}
+
+
+def breaker_step(threshold: int, first_us: int, most_us: int, probe_us: int) -> Step:
+    """Gates of one scope: `*` for all its models, and one per model.
 
+    `acquire` (model) asks for a permit, which remembers the generations of both gates. It is refused where a gate is
+    held, or open and either not yet available again or lent to a probe; the first one later is the probe.
+    `record` (permit: event_id of its acquire, category, null for success, retry_after_us) settles it:
+    - authentication and quota hold the global gate, unless that has changed since;
+    - everything else counts only if the global gate is not held, the model's gate has the permit's generation and the permit is its probe, if any;
+    - success closes; transient failures open at the threshold, in a probe or with a retry-after, for a time that doubles up to `most_us`;
+    - other failures of a probe hold the model's gate, and do nothing to a closed one.
+    `resume` (model) opens a gate for a probe; of `*`, it closes that and opens all others. Each change of state takes a new generation.
+    """
 
-def breaker_step(threshold: int, open_us: int) -> Step:
-    """Opens after `threshold` failures in a row; after `open_us` one probe decides. `hold` events keep it shut until `resume`."""
+    def renewed(gate: dict, **changes) -> str:
+        gate.update(token=None, probe_until=None, generation=gate["generation"] + 1, **changes)
+        return changes["state"]
 
     def step(s: State, event: dict) -> dict:
-        at, kind = int(event["at_us"]), event["kind"]
-        admitted = True
-        if kind == "hold":
-            s.update(state="held", generation=s["generation"] + 1)
+        at, model, kind = int(event["at_us"]), event["model"], event["kind"]
+        whole = s["gates"].setdefault("*", _gate())
+        gate = s["gates"].setdefault(model, _gate())
+        outcome = "ignored"
+        if kind == "acquire" and model != "*":
+            lent = gate["probe_until"] is not None and at < gate["probe_until"]
+            if whole["state"] == "held" or gate["state"] == "held" or (gate["state"] == "open" and (at < gate["available"] or lent)):
+                outcome = "blocked"
+            else:
+                token = event["event_id"] if gate["state"] == "open" else None
+                if token is not None:
+                    gate.update(token=token, probe_until=at + probe_us)
+                s["permits"][event["event_id"]] = (model, gate["generation"], whole["generation"], token)
+                outcome = "probe" if token is not None else "admitted"
+        elif kind == "record" and s["permits"].get(event["permit"], (None,))[0] == model:
+            _, generation, whole_generation, token = s["permits"].pop(event["permit"])
+            category, wait = event["category"] or "", int(event["retry_after_us"] or 0)
+            if category in ("authentication", "quota"):
+                if whole["generation"] == whole_generation and (whole["state"], whole["reason"]) != ("held", category):
+                    whole.update(state="held", reason=category, generation=whole["generation"] + 1)
+                    outcome = "held_all"
+            elif whole["state"] != "held" and gate["generation"] == generation and gate["token"] == token:
+                if not category:
+                    outcome = renewed(gate, state="closed", reason="", failures=0, cooldown=0)
+                elif category in ("rate_limit", "availability", "transport"):
+                    gate.update(failures=min(gate["failures"] + 1, 1_000_000), reason=category)
+                    outcome = "counted"
+                    if gate["failures"] >= threshold or gate["state"] == "open" or wait > 0:
+                        cooldown = min(gate["cooldown"] * 2 or first_us, most_us)
+                        outcome = renewed(gate, state="open", cooldown=cooldown, available=at + max(cooldown, wait))
+                elif gate["state"] == "open":
+                    outcome = renewed(gate, state="held", reason=category)
         elif kind == "resume":
-            s.update(state="closed", failures=0, generation=s["generation"] + 1)
-        elif s["state"] == "held" or (s["state"] == "open" and at < s["until"]):
-            admitted = False
-        elif kind == "failure":
-            s["failures"] += 1
-            if s["state"] == "open" or s["failures"] >= threshold:
-                s.update(state="open", until=at + open_us, generation=s["generation"] + 1)
-        else:
-            changed = s["state"] != "closed"
-            s.update(state="closed", failures=0, generation=s["generation"] + changed)
-        return {"event_id": event["event_id"], "state": s["state"], "admitted": admitted, "generation": s["generation"]}
+            renewed(gate, state="closed" if model == "*" else "open", reason="", failures=0, cooldown=0, available=at)
+            for name, other in s["gates"].items() if model == "*" else ():
+                if name != "*":
+                    renewed(other, state="open", available=at)
+            outcome = "resumed"
+        return {"event_id": event["event_id"], "model": model, "outcome": outcome, "state": gate["state"], "generation": gate["generation"], "failures": gate["failures"], "all_state": whole["state"]}
 
     return step
 
 
 # ---- queue transitions of one job
 
+#: A retry never waits longer than this.
+MOST_RETRY_US = 24 * 3600 * 1_000_000
+
+
+def queue_start(budget: int = 3) -> State:
+    return {"state": "queued", "attempts": 0, "most": budget, "budget": budget, "cycle": 0, "deferred": 0, "lease": None, "available": 0, "archived": False}
 
-def queue_start() -> State:
-    return {"state": "pending", "attempts": 0, "lease": None}
 
+def queue_step(lease_us: int, base_us: int) -> Step:
+    """Transitions of a job from its log; those that do not apply change nothing.
 
-def queue_step(most_attempts: int, lease_us: int) -> Step:
-    """claim, complete, fail, defer, relaunch and archive; a claim on an expired lease abandons the attempt before."""
+    `claim` takes a waiting job that is available, or one whose lease ran out (that attempt is abandoned), while
+    attempts are left. `heartbeat`, `complete`, `fail` (temporary or not) and `defer` (until_us) are the running
+    attempt's, by its number, while its lease lasts. A temporary failure with attempts left waits base * 2^k, k being
+    the earlier attempts of this cycle that were not deferred, a day at most; any other failure is final. Deferring
+    waits until then and gives the attempt back by one more allowed. `relaunch` starts a new cycle with a whole budget
+    behind a final failure; `archive` ends jobs that wait or failed.
+    """
 
     def step(s: State, event: dict) -> dict:
-        at, kind = int(event["at_us"]), event["kind"]
-        expired = s["state"] == "running" and s["lease"] <= at
-        done = True
-        if kind == "claim" and (s["state"] == "pending" or expired) and s["attempts"] < most_attempts:
+        at, kind, state, was = int(event["at_us"]), event["kind"], s["state"], dict(s)
+        own = state == "running" and event["attempt"] == s["attempts"] and s["lease"] > at
+        if s["archived"]:
+            pass
+        elif kind == "claim" and s["attempts"] < s["most"] and (s["available"] <= at if state in ("queued", "retry_wait") else state == "running" and s["lease"] <= at):
             s.update(state="running", attempts=s["attempts"] + 1, lease=at + lease_us)
-        elif kind == "complete" and s["state"] == "running" and not expired:
+        elif kind == "heartbeat" and own:
+            s["lease"] = at + lease_us
+        elif kind == "complete" and own:
             s.update(state="succeeded", lease=None)
-        elif kind == "fail" and s["state"] == "running" and not expired:
-            s.update(state="failed" if s["attempts"] >= most_attempts else "pending", lease=None)
-        elif kind == "defer" and s["state"] == "running" and not expired:
-            s.update(state="pending", attempts=s["attempts"] - 1, lease=None)
-        elif kind == "relaunch" and s["state"] == "failed":
-            s.update(state="pending", attempts=0)
-        elif kind == "archive" and s["state"] in ("succeeded", "failed"):
-            s.update(state="archived")
-        else:
-            done = False
-        return {"event_id": event["event_id"], "state": s["state"], "attempts": s["attempts"], "applied": done}
+        elif kind in ("fail_temporary", "fail_permanent") and own:
+            if kind == "fail_temporary" and s["attempts"] < s["most"]:
+                wait = min(base_us << min(max(s["attempts"] - s["cycle"] - s["deferred"] - 1, 0), 20), MOST_RETRY_US)
+                s.update(state="retry_wait", lease=None, available=at + wait)
+            else:
+                s.update(state="failed", lease=None, available=at)
+        elif kind == "defer" and own and event["until_us"] > at:
+            s.update(state="retry_wait", lease=None, most=s["most"] + 1, available=int(event["until_us"]), deferred=s["deferred"] + 1)
+        elif kind == "relaunch" and state == "failed" and event["attempt"] == s["attempts"]:
+            s.update(state="queued", most=s["attempts"] + s["budget"], cycle=s["attempts"], deferred=0, available=at)
+        elif kind == "archive" and state in ("queued", "retry_wait", "failed"):
+            s["archived"] = True
+        return {"event_id": event["event_id"], "state": s["state"], "attempts": s["attempts"], "most": s["most"], "available_us": s["available"], "archived": s["archived"], "applied": s != was}
 
     return step
 
@@ -129,25 +190,43 @@ def queue_step(most_attempts: int, lease_us: int) -> Step:
 
 
 def incident_start() -> State:
-    return {"opened": None, "last": None, "reminded": None}
+    return {"opened": None, "number": 0, "notified": None, "seen": None, "unsent": deque()}
 
 
 def incident_step(remind_us: int) -> Step:
-    """opened on the first active signal, recovered on an inactive one, reminded after an interval of further activity."""
+    """Messages about one category and scope, from `observe` and `sent` events.
+
+    Opened by the first active observation; recovered by an inactive one whose recovery (recovery_us) is not before the
+    opening. Reminded of while active, an interval behind the last message sent, a day at least for
+    `processing_backlog`; for `processing_failed` only if activity_us is newer than the last sent message;
+    never while a message waits. `sent` delivers the oldest message that waits.
+    """
 
     def step(s: State, event: dict) -> dict | None:
         at, out = int(event["at_us"]), None
-        if event["active"]:
-            if s["opened"] is None:
-                s.update(opened=at, reminded=at)
+        if event["kind"] == "sent":
+            if s["unsent"]:
+                number, made = s["unsent"].popleft()
+                if number == s["number"] and s["opened"] is not None:
+                    s.update(notified=at, seen=made)
+            return None
+        if s["opened"] is None:
+            if event["active"]:
+                s.update(opened=at, number=s["number"] + 1, notified=None, seen=None)
                 out = "opened"
-            elif at - s["reminded"] >= remind_us:
-                s["reminded"] = at
-                out = "reminded"
-        elif s["opened"] is not None:
-            s.update(opened=None, reminded=None)
-            out = "recovered"
-        return None if out is None else {"event_id": event["event_id"], "message": out}
+        elif not event["active"]:
+            if event["recovery_us"] is not None and event["recovery_us"] >= s["opened"]:
+                s["opened"] = None
+                out = "recovered"
+        elif remind_us and s["notified"] is not None:
+            wait = max(remind_us, MOST_RETRY_US) if event["category"] == "processing_backlog" else remind_us
+            newer = event["category"] != "processing_failed" or (event["activity_us"] is not None and event["activity_us"] > s["seen"])
+            if at >= s["notified"] + wait and newer and not any(number == s["number"] for number, _ in s["unsent"]):
+                out = "reminder"
+        if out is None:
+            return None
+        s["unsent"].append((s["number"], at))
+        return {"event_id": event["event_id"], "incident": s["number"], "message": out}
 
     return step
 

@@ -1,48 +1,112 @@
-"""Folds over event logs. SQL has no such folds; tests hold them against plain loops."""
+"""Folds over event logs. Those that SQL can follow step by step have a recursive query; tests hold the others against plain loops."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annalist.operators import stateful
 from annalist.plans.base import at, query, shape, table
 
+HOUR = 3600 * 1_000_000
+
 
 def _events(spark, sf_dir):
     us = F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", us, "event_type")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", us, "event_type", "value")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+r AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, CAST([] AS BIGINT[]) AS taken, false AS accepted FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, n, event_id, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3
+  FROM (SELECT e.user_id, e.n, e.event_id, e.t, list_filter(r.taken, lambda x: x > e.t - {24 * HOUR}) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, accepted, (3 - len(taken))::INTEGER AS remaining FROM r WHERE n > 0""")
 def sliding_budget(spark, sf_dir):
     """Requests that a sliding budget lets pass; refused ones do not count."""
-    step = stateful.budget_step(3, 24 * 3600 * 1_000_000)
+    step = stateful.budget_step(3, 24 * HOUR)
     return stateful.folded(_events(spark, sf_dir), "user_id", ["at_us", "event_id"], step, stateful.budget_start, "user_id long, event_id long, accepted boolean, remaining int")
 
 
-@query()
-def circuit_breaker(spark, sf_dir):
-    """A gate that opens on failures and probes again."""
-    kind = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "signup", "hold").when(F.col("event_type") == "purchase", "resume").otherwise("success")
-    step = stateful.breaker_step(2, 12 * 3600 * 1_000_000)
-    return stateful.folded(_events(spark, sf_dir).withColumn("kind", kind), "user_id", ["at_us", "event_id"], step, stateful.breaker_start, "user_id long, event_id long, state string, admitted boolean, generation int")
+BREAKER = "user_id long, event_id long, model string, outcome string, state string, generation int, failures int, all_state string"
 
 
 @query()
+def circuit_breaker(spark, sf_dir):
+    """Gates that failures open, probes close again and operators resume."""
+    rows = _events(spark, sf_dir).withColumn("model", F.concat(F.lit("m"), F.pmod("event_id", F.lit(2))))
+    kind = F.when(F.col("event_type").isin("view", "click", "purchase"), "acquire").when((F.col("event_type") == "signup") & (F.col("value") > 80), "resume").otherwise("record")
+    model = F.when((kind == "resume") & (F.col("value") > 120), "*").otherwise(F.col("model"))
+    category = F.when(F.col("event_type") == "signup", F.lit(None)).when(F.col("value") < 20, "rate_limit").when(F.col("value") < 60, "transport").when(F.col("value") < 90, "rejected").when(F.col("value") < 200, "invalid_response").otherwise("quota")
+    rows = rows.withColumns({"kind": kind, "model": model, "category": category, "retry_after_us": F.when(F.col("value") < 5, F.lit(30 * HOUR))})
+    before = Window.partitionBy("user_id", "model").orderBy("at_us", "event_id")
+    rows = rows.withColumn("permit", F.last(F.when(F.col("kind") == "acquire", F.col("event_id")), ignorenulls=True).over(before))
+    step = stateful.breaker_step(2, 12 * HOUR, 96 * HOUR, 6 * HOUR)
+    return stateful.folded(rows, "user_id", ["at_us", "event_id"], step, stateful.breaker_start, BREAKER)
+
+
+QUEUE = "user_id long, event_id long, state string, attempts int, most int, available_us long, archived boolean, applied boolean"
+_KIND = """
+CASE WHEN event_type = 'view' OR (event_type = 'click' AND value <= 60) THEN 'claim' WHEN event_type = 'purchase' THEN CASE WHEN value > 150 THEN 'complete' ELSE 'heartbeat' END
+     WHEN event_type = 'error' THEN CASE WHEN value > 100 THEN 'fail_permanent' ELSE 'fail_temporary' END
+     WHEN event_type = 'click' THEN CASE WHEN value > 300 THEN 'archive' ELSE 'relaunch' END ELSE 'defer' END"""
+_LIVE = "NOT r.archived"
+_OWN = "(r.state = 'running' AND r.lease > e.t)"
+_CLAIM = "(e.kind = 'claim' AND r.attempts < r.most AND ((r.state IN ('queued', 'retry_wait') AND r.available <= e.t) OR (r.state = 'running' AND r.lease <= e.t)))"
+_RETRY = "(e.kind = 'fail_temporary' AND r.attempts < r.most)"
+_WAIT = f"least({2 * HOUR} * (1::BIGINT << least(greatest(r.attempts - r.cycle - r.deferred - 1, 0), 20)), {24 * HOUR})"
+
+
+@query(f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, epoch_us(ts) AS t, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+r AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 'queued' AS state, 0::BIGINT AS attempts, 3::BIGINT AS most, 0::BIGINT AS cycle, 0::BIGINT AS deferred, 0::BIGINT AS lease,
+         0::BIGINT AS available, false AS archived, false AS applied
+  FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, n, event_id,
+    CASE act WHEN 'claim' THEN 'running' WHEN 'complete' THEN 'succeeded' WHEN 'retry' THEN 'retry_wait' WHEN 'fail' THEN 'failed' WHEN 'defer' THEN 'retry_wait' WHEN 'relaunch' THEN 'queued' ELSE state END,
+    CASE act WHEN 'claim' THEN attempts + 1 ELSE attempts END,
+    CASE act WHEN 'defer' THEN most + 1 WHEN 'relaunch' THEN attempts + 3 ELSE most END,
+    CASE act WHEN 'relaunch' THEN attempts ELSE cycle END,
+    CASE act WHEN 'defer' THEN deferred + 1 WHEN 'relaunch' THEN 0 ELSE deferred END,
+    CASE WHEN act IN ('claim', 'heartbeat') THEN t + {48 * HOUR} ELSE lease END,
+    CASE act WHEN 'retry' THEN t + wait WHEN 'fail' THEN t WHEN 'defer' THEN t + {6 * HOUR} WHEN 'relaunch' THEN t ELSE available END,
+    archived OR act = 'archive', act <> 'none' AND NOT (act = 'heartbeat' AND lease = t + {48 * HOUR})
+  FROM (
+    SELECT r.* EXCLUDE (n, event_id), e.n, e.event_id, e.t, {_WAIT} AS wait,
+      CASE WHEN NOT ({_LIVE}) THEN 'none' WHEN {_CLAIM} THEN 'claim' WHEN e.kind = 'heartbeat' AND {_OWN} THEN 'heartbeat' WHEN e.kind = 'complete' AND {_OWN} THEN 'complete'
+           WHEN {_RETRY} AND {_OWN} THEN 'retry' WHEN e.kind IN ('fail_temporary', 'fail_permanent') AND {_OWN} THEN 'fail' WHEN e.kind = 'defer' AND {_OWN} THEN 'defer'
+           WHEN e.kind = 'relaunch' AND r.state = 'failed' THEN 'relaunch' WHEN e.kind = 'archive' AND r.state IN ('queued', 'retry_wait', 'failed') THEN 'archive' ELSE 'none' END AS act
+    FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, state, attempts::INTEGER AS attempts, most::INTEGER AS most, available AS available_us, archived, applied FROM r WHERE n > 0""")
 def queue_fold(spark, sf_dir):
-    """Transitions of jobs from their log."""
-    kinds = {"view": "claim", "click": "claim", "purchase": "complete", "error": "fail", "signup": "defer"}
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type"))
-    step = stateful.queue_step(3, 48 * 3600 * 1_000_000)
-    return stateful.folded(_events(spark, sf_dir).withColumn("kind", kind), "user_id", ["at_us", "event_id"], step, stateful.queue_start, "user_id long, event_id long, state string, attempts int, applied boolean")
+    """Transitions of jobs from their log, by the attempt that runs."""
+    rows = _events(spark, sf_dir).withColumn("kind", F.expr(_KIND)).withColumn("until_us", F.col("at_us") + 6 * HOUR)
+    step = stateful.queue_step(48 * HOUR, 2 * HOUR)
+
+    def latest(state, event):  # every worker in this log knows the number of the attempt
+        return step(state, event | {"attempt": state["attempts"]})
+
+    return stateful.folded(rows, "user_id", ["at_us", "event_id"], latest, stateful.queue_start, QUEUE)
+
+
+INCIDENT = "user_id long, event_id long, incident int, message string"
 
 
 @query()
 def incident_fold(spark, sf_dir):
     """Incidents opened, reminded of and recovered."""
-    step = stateful.incident_step(24 * 3600 * 1_000_000)
-    rows = _events(spark, sf_dir).withColumn("active", F.col("event_type") == "error")
-    return stateful.folded(rows, "user_id", ["at_us", "event_id"], step, stateful.incident_start, "user_id long, event_id long, message string")
+    kind = F.when(F.col("event_type") == "click", "sent").otherwise("observe")
+    category = F.element_at(F.array(*map(F.lit, ("source_delay", "processing_failed", "processing_backlog"))), (F.pmod("user_id", F.lit(3)) + 1).cast("int"))
+    rows = _events(spark, sf_dir).withColumns({
+        "kind": kind, "category": category, "active": F.col("event_type").isin("error", "view", "signup"),
+        "recovery_us": F.when(F.col("value") < 40, F.col("at_us")), "activity_us": F.when(F.col("value") > 20, F.col("at_us") - 2 * HOUR),
+    })
+    return stateful.folded(rows, "user_id", ["at_us", "event_id"], stateful.incident_step(12 * HOUR), stateful.incident_start, INCIDENT)
 
 
 @query("""

@@ -21,7 +21,8 @@ def streamed(events: DataFrame, key: str, order: list[str], step: Step, start: C
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         current: Any = pickle.loads(state.get[0]) if state.exists else start()
         rows = []
-        for event in pd.concat(list(batches)).sort_values(order).to_dict("records"):
+        events = pd.concat(list(batches)).sort_values(order)
+        for event in events.astype(object).where(events.notna(), None).to_dict("records"):
             out = step(current, event)
             if out is not None:
                 rows.append({key: keys[0], **out})

@@ -13,29 +13,53 @@ SECOND = 1_000_000
 
 @pytest.fixture(scope="module")
 def log():
+    """Events of three keys that fit every fold; permits are drawn among the last acquires, so that some are stale."""
     rng = random.Random(4)
-    rows, now = [], 0
-    for i in range(600):
-        now += rng.randint(0, 20) * SECOND
-        rows.append((rng.choice("abc"), i, now, rng.choice(["claim", "complete", "fail", "defer", "success", "failure", "hold", "resume", "relaunch", "archive"]), rng.random() < 0.4))
+    rows, now, asked = [], 0, {}
+    kinds = ["claim", "claim", "heartbeat", "complete", "fail_temporary", "fail_temporary", "fail_permanent", "defer", "relaunch", "archive", "resume", *["acquire", "record"] * 8, *["observe"] * 4, *["sent"] * 4]
+    for i in range(4500):
+        now += rng.choice([0, 1, 5, 20, 90]) * SECOND
+        key, kind, model = rng.choice("abc"), rng.choice(kinds), rng.choice(["m", "n"] + ["*"] * (rng.random() < 0.1))
+        permit = rng.choice(asked.get((key, model), [-1])[-3:])
+        if kind == "acquire":
+            asked.setdefault((key, model), []).append(i)
+        maybe = lambda x: x if rng.random() < 0.6 else None
+        rows.append((
+            key, i, now, kind, rng.random() < 0.85, rng.randint(1, 9), now + rng.randint(-50, 200) * SECOND, model, permit,
+            rng.choice([None, None, "transport", "rate_limit", "rejected", "request"] + ["quota"] * (rng.random() < 0.15)), maybe(rng.choice([0, 0, 50 * SECOND])),
+            {"a": "processing_failed", "b": "processing_backlog", "c": "source_delay"}[key], maybe(now - rng.randint(0, 900) * SECOND), maybe(now - rng.randint(0, 400) * SECOND),
+        ))
     return rows
 
 
-SCHEMA = "k string, event_id long, at_us long, kind string, active boolean"
+SCHEMA = "k string, event_id long, at_us long, kind string, active boolean, attempt int, until_us long, model string, permit long, category_ string, retry_after_us long, category string, recovery_us long, activity_us long"
+NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+
+
+def gate_events(step):
+    return lambda state, event: step(state, event | {"category": event["category_"]})
+
+
+def any_attempt(step):
+    """Every third event names its attempt itself, which most often is a stale one."""
+    return lambda state, event: step(state, event if event["event_id"] % 3 == 0 else event | {"attempt": state["attempts"]})
+
+
 CASES = {
     "budget": (stateful.budget_step(3, 60 * SECOND), stateful.budget_start, "k string, event_id long, accepted boolean, remaining int"),
-    "breaker": (stateful.breaker_step(2, 90 * SECOND), stateful.breaker_start, "k string, event_id long, state string, admitted boolean, generation int"),
-    "queue": (stateful.queue_step(3, 200 * SECOND), stateful.queue_start, "k string, event_id long, state string, attempts int, applied boolean"),
-    "incident": (stateful.incident_step(300 * SECOND), stateful.incident_start, "k string, event_id long, message string"),
+    "breaker": (gate_events(stateful.breaker_step(2, 90 * SECOND, 400 * SECOND, 60 * SECOND)), stateful.breaker_start, "k string, event_id long, model string, outcome string, state string, generation int, failures int, all_state string"),
+    "queue": (any_attempt(stateful.queue_step(200 * SECOND, 30 * SECOND)), stateful.queue_start, "k string, event_id long, state string, attempts int, most int, available_us long, archived boolean, applied boolean"),
+    "incident": (stateful.incident_step(300 * SECOND), stateful.incident_start, "k string, event_id long, incident int, message string"),
 }
 
 
 def looped(log, step, start):
     states, out = {}, []
-    for k, i, at, kind, active in log:
-        made = step(states.setdefault(k, start()), {"k": k, "event_id": i, "at_us": at, "kind": kind, "active": active})
+    for row in log:
+        event = dict(zip(NAMES, row, strict=True))
+        made = step(states.setdefault(event["k"], start()), event)
         if made is not None:
-            out.append((k, *made.values()))
+            out.append((event["k"], *made.values()))
     return sorted(out)
 
 
@@ -47,11 +71,114 @@ def test_batch_fold_is_the_loop(spark, log, name):
     assert sorted(map(tuple, found.collect())) == looped(log, step, start)
 
 
+def test_gates_by_another_hand(log):
+    """The last write to each field decides: gates as tuples of a history, permits looked up in it."""
+    step, start, _ = CASES["breaker"]
+    want = []
+    for key in "abc":
+        gates, permits = {}, {}  # model: [state, reason, failures, generation, cooldown, available, probe, probe end]
+        for event in (dict(zip(NAMES, r, strict=True)) for r in log if r[0] == key):
+            now, m = event["at_us"], event["model"]
+            for name in ("*", m):
+                gates.setdefault(name, ["closed", "", 0, 1, 0, 0, None, None])
+            top, g, said = gates["*"], gates[m], "ignored"
+            if event["kind"] == "acquire" and m != "*":
+                waits = g[0] == "open" and (g[5] > now or (g[7] is not None and g[7] > now))
+                if "held" in (top[0], g[0]) or waits:
+                    said = "blocked"
+                elif g[0] == "open":
+                    g[6:], said = [event["event_id"], now + 60 * SECOND], "probe"
+                    permits[event["event_id"]] = (m, g[3], top[3], event["event_id"])
+                else:
+                    said, permits[event["event_id"]] = "admitted", (m, g[3], top[3], None)
+            elif event["kind"] == "record" and event["permit"] in permits and permits[event["permit"]][0] == m:
+                _, own, whole, probe = permits.pop(event["permit"])
+                category, wait = event["category_"], event["retry_after_us"] or 0
+                if category == "quota":
+                    if whole == top[3] and not (top[0] == "held" and top[1] == "quota"):
+                        top[0], top[1], top[3], said = "held", "quota", top[3] + 1, "held_all"
+                elif top[0] != "held" and own == g[3] and probe == g[6]:
+                    if category is None:
+                        g[:], said = ["closed", "", 0, g[3] + 1, 0, g[5], None, None], "closed"
+                    elif category in ("transport", "rate_limit"):
+                        g[2] += 1
+                        g[1], said = category, "counted"
+                        if g[2] > 1 or g[0] == "open" or wait:
+                            cool = min(400 * SECOND, 2 * g[4] if g[4] else 90 * SECOND)
+                            g[:], said = ["open", category, g[2], g[3] + 1, cool, now + max(cool, wait), None, None], "open"
+                    elif g[0] == "open":
+                        g[0], g[1], g[3], g[6:], said = "held", category, g[3] + 1, [None, None], "held"
+            elif event["kind"] == "resume":
+                said = "resumed"
+                for name, other in gates.items() if m == "*" else [(m, g)]:
+                    if name == m:
+                        other[:] = ["closed" if m == "*" else "open", "", 0, other[3] + 1, 0, now, None, None]
+                    else:
+                        other[0], other[3], other[5:] = "open", other[3] + 1, [now, None, None]
+            want.append((key, event["event_id"], m, said, g[0], g[3], g[2], top[0]))
+    assert looped(log, step, start) == sorted(want)
+    assert {w[3] for w in want} == {"ignored", "blocked", "probe", "admitted", "held_all", "closed", "counted", "open", "held", "resumed"}
+
+
+def test_incidents_by_another_hand(log):
+    step, start, _ = CASES["incident"]
+    want = []
+    for key in "abc":
+        messages, incidents = [], []  # [incident, made, sent, kind] and [opened, recovered]
+        for event in (dict(zip(NAMES, r, strict=True)) for r in log if r[0] == key):
+            now, made = event["at_us"], None
+            if event["kind"] == "sent":
+                for x in messages:
+                    if x[2] is None:
+                        x[2] = now
+                        break
+                continue
+            current = incidents[-1] if incidents and incidents[-1][1] is None else None
+            n = len(incidents)
+            if current is None and event["active"]:
+                incidents.append([now, None])
+                n, made = n + 1, "opened"
+            elif current and not event["active"]:
+                if event["recovery_us"] is not None and not event["recovery_us"] < current[0]:
+                    current[1], made = now, "recovered"
+            elif current:
+                own = [x for x in messages if x[0] == n]
+                sent = [x for x in own if x[2] is not None]
+                every = 24 * 3600 * SECOND if event["category"] == "processing_backlog" else 300 * SECOND
+                if sent and len(sent) == len(own) and now - sent[-1][2] >= every:
+                    activity = event["activity_us"]
+                    if event["category"] != "processing_failed" or (activity is not None and activity > max(x[1] for x in sent)):
+                        made = "reminder"
+            if made:
+                messages.append([n, now, None])
+                want.append((key, event["event_id"], n, made))
+    assert looped(log, step, start) == sorted(want)
+    assert {w[3] for w in want} == {"opened", "recovered", "reminder"}
+
+
+def test_retries_leave_deferred_attempts_out():
+    step, s = stateful.queue_step(1000, 10), stateful.queue_start()
+    do = lambda at, kind, **more: step(s, {"event_id": 1, "at_us": at, "kind": kind, "attempt": s["attempts"], "until_us": at + 5, **more})
+    do(0, "claim")
+    assert do(1, "fail_temporary")["available_us"] == 11
+    assert not do(5, "claim")["applied"]
+    do(20, "claim")
+    assert (do(21, "defer")["most"], s["available"]) == (4, 26)
+    do(30, "claim")
+    assert do(31, "fail_temporary")["available_us"] == 51  # the second failure, not the third
+    do(60, "claim")
+    assert not do(61, "complete", attempt=3)["applied"]  # a stale worker
+    assert do(62, "fail_temporary")["state"] == "failed"
+    assert (do(70, "relaunch")["most"], s["state"]) == (7, "queued")
+    do(71, "claim")
+    assert do(2000, "complete")["applied"] is False and do(2000, "claim")["attempts"] == 6  # the lease ran out
+
+
 @pytest.mark.parametrize("name", ["budget", "breaker"])
 def test_streaming_fold_is_the_batch_fold(spark, log, name, tmp_path):
     step, start, schema = CASES[name]
     for i in range(3):  # three micro-batches
-        spark.createDataFrame(log[i * 200 : (i + 1) * 200], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(log[i * 1500 : (i + 1) * 1500], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = folds.streamed(stream, "k", ["at_us", "event_id"], step, start, schema)
     query = out.writeStream.format("memory").queryName(f"out_{name}").outputMode("append").trigger(availableNow=True).start()
