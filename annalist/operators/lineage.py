@@ -2,49 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration, in the folder that the cluster shares."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annalist-lineage-"))
-    return df.checkpoint()
+from annalist.operators.shared import settled
 
 
 def roots(parents: DataFrame, node: str, parent: str) -> DataFrame:
     """Each node of a forest with its root and depth, by doubling the jump in every round.
 
-    A node without a parent row is a root. Rounds grow with the logarithm of the depth.
+    A node without a parent row is a root. Rounds grow with the logarithm of the depth. Nodes on a cycle, or
+    below one, have no root: theirs and their depth are null.
     """
-    jumps = _settled(parents.where(F.col(parent).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("p"), F.lit(1).alias("d")))
-    before = None
-    while True:
-        total = jumps.agg(F.sum("d")).first()[0]
-        if total == before:
-            break
-        before = total
+    edges = settled(parents.where(F.col(parent).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("p")))
+    above = edges.select(F.col("n").alias("m"))
+    jumps, most, reach = edges.withColumn("d", F.lit(1).cast("long")), edges.count(), 1
+    while reach <= most and jumps.join(above, F.col("p") == F.col("m"), "left_semi").take(1):
         further = jumps.select(F.col("n").alias("m"), F.col("p").alias("q"), F.col("d").alias("e"))
         grown = jumps.join(further, F.col("p") == F.col("m"), "left")
-        jumps = _settled(grown.select("n", F.coalesce("q", "p").alias("p"), (F.col("d") + F.coalesce("e", F.lit(0))).alias("d")))
-    heads = parents.select(F.col(node).alias("n")).join(jumps, "n", "left")
-    return heads.select(F.col("n").alias(node), F.coalesce("p", "n").alias("root"), F.coalesce("d", F.lit(0)).alias("depth"))
+        jumps, reach = settled(grown.select("n", F.coalesce("q", "p").alias("p"), (F.col("d") + F.coalesce("e", F.lit(0))).alias("d"))), reach * 2
+    endless = jumps.join(above, F.col("p") == F.col("m"), "left_semi").select("n", F.lit(True).alias("endless"))
+    heads = parents.select(F.col(node).alias("n")).join(jumps, "n", "left").join(endless, "n", "left")
+    ends = F.col("endless").isNull()
+    return heads.select(F.col("n").alias(node), F.when(ends, F.coalesce("p", "n")).alias("root"), F.when(ends, F.coalesce("d", F.lit(0))).cast("int").alias("depth"))
 
 
 def reachable(edges: DataFrame, source: str, target: str, start: DataFrame) -> DataFrame:
     """All nodes reached from `start` (one column) along edges, themselves included.
 
-    Each round follows only what the last one added.
+    Each round follows only what the last one added, and writes no more than that.
     """
     name = start.columns[0]
-    seen = _settled(start.select(F.col(name).alias("node")).distinct())
-    fresh = seen
-    while fresh.take(1):
-        step = fresh.join(edges, F.col("node") == F.col(source)).select(F.col(target).alias("node")).distinct()
-        fresh = _settled(step.join(seen, "node", "left_anti"))
-        seen = _settled(seen.union(fresh))
-    return seen.select(F.col("node").alias(name))
+    found = [settled(start.select(F.col(name).alias("node")).distinct())]
+    while found[-1].take(1):
+        step = found[-1].join(edges, F.col("node") == F.col(source)).select(F.col(target).alias("node")).distinct()
+        found.append(settled(step.join(reduce(DataFrame.union, found), "node", "left_anti")))
+    return reduce(DataFrame.union, found).select(F.col("node").alias(name))
