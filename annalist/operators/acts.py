@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.functions import act_text, text
+
 #: What identifies a numbered act.
 ACT = ["kind", "number", "year"]
 
@@ -29,6 +31,88 @@ def resolved(references: DataFrame, attached: DataFrame, register: DataFrame, av
     return rows.withColumn("act_id", act).drop("_own", "_n", "_numbered", "_m", "_only", "_readable")
 
 
+#: Days around a date in which a register is searched, and candidates whose details are read at most.
+LATER, BEFORE, UNNUMBERED, MOST_DETAILS = 10, 30, 7, 3
+#: Bytes at an attachment's beginning in which it names itself.
+HEAD = 1200
+
+
+def attached_acts(attachments: DataFrame) -> DataFrame:
+    """version_id, url, kind, number and year of attachments whose first bytes name a numbered act of a year."""
+    head = text.bounded(F.col("text"), HEAD)
+    part = lambda i: F.regexp_extract(head, rf"(?i)\b{act_text.KIND}\s*{act_text.NUMBER}\s*/\s*([0-9]{{4}})", i)
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in act_text.KINDS.items() for x in kv]), F.regexp_extract(F.lower(part(1)), f"^({'|'.join(act_text.KINDS)})", 1))
+    return attachments.select("version_id", "url", kind.alias("kind"), part(2).try_cast("int").alias("number"), part(3).try_cast("int").alias("year")).where("number IS NOT NULL").distinct()
+
+
+def searched(references: DataFrame, attachments: DataFrame, notices: DataFrame, register: DataFrame, categories: DataFrame) -> DataFrame:
+    """Each reference with `outcome`, `reason`, the attachment's `url` or the register's `act_id`.
+
+    The only attachment of the version that names an act of its kind (number, and year if it has one) comes first.
+    Else the register of the notice's source is searched, in the category of the kind: numbered references by number and
+    year among what was published within LATER days of their date, or in the BEFORE days up to the notice; others by the
+    notice's terms among what was published around the notice, of which the acts dated in the UNNUMBERED days up to it count.
+    Over MOST_DETAILS candidates are ambiguous.
+
+    references: version_id, reference_id, kind, number, year, day. attachments: version_id, url, text. notices: version_id, source_id,
+    published, terms. register: source_id, act_id, category, number, year, published, object, act_date. categories: source_id, kind, category.
+    """
+    near = attached_acts(attachments).select("version_id", F.col("kind").alias("_kind"), F.col("number").alias("_number"), F.col("year").alias("_year"), "url")
+    fits = F.col("number").isNull() | ((F.col("number") == F.col("_number")) & (F.col("year").isNull() | (F.col("year") == F.col("_year"))))
+    own = references.join(near, "version_id").where((F.col("kind") == F.col("_kind")) & fits).groupBy("version_id", "reference_id").agg(F.countDistinct("url").alias("_n"), F.min("url").alias("url"))
+    rows = references.join(own.where("_n = 1").drop("_n"), ["version_id", "reference_id"], "left").join(notices, "version_id", "left").join(categories, ["source_id", "kind"], "left")
+    rows = rows.join(categories.select("source_id").distinct().withColumn("_known", F.lit(True)), "source_id", "left")
+
+    numbered = F.col("number").isNotNull()
+    low = F.when(numbered, F.coalesce("day", F.date_sub("published", BEFORE))).otherwise(F.date_sub("published", UNNUMBERED))
+    high = F.when(numbered, F.coalesce(F.date_add("day", LATER), F.col("published"))).otherwise(F.date_add("published", LATER))
+    asked = rows.where(F.col("url").isNull() & F.col("category").isNotNull() & low.isNotNull()).withColumn("_day", F.explode(F.sequence(low, high)))
+    records = register.select("source_id", "category", F.col("published").alias("_day"), "act_id", F.col("number").alias("_number"), F.col("year").alias("_year"), text.stems(F.col("object")).alias("_words"), "act_date")
+    met = asked.join(records, ["source_id", "category", "_day"])
+    same = (F.col("number") == F.col("_number")) & (F.col("year").isNull() | (F.col("year") == F.col("_year")))
+    met = met.where(F.when(numbered, same).otherwise(F.arrays_overlap("terms", "_words")))
+    dated = F.when(numbered, F.lit(True)).otherwise(F.coalesce(F.col("act_date").between(F.date_sub("published", UNNUMBERED), F.col("published")), F.lit(False)))
+    found = met.groupBy("version_id", "reference_id").agg(F.count("*").alias("_found"), F.count_if(dated).alias("_accepted"), F.min(F.when(dated, F.col("act_id"))).alias("_act"))
+    rows = rows.join(found, ["version_id", "reference_id"], "left").fillna(0, ["_found", "_accepted"])
+
+    none = F.lit(None).cast("string")
+    reason = (
+        F.when(F.col("url").isNotNull(), none)
+        .when(F.col("_known").isNull(), "no_configured_register")
+        .when(F.col("category").isNull(), "kind_not_published")
+        .when(numbered & F.col("day").isNull() & F.col("published").isNull(), "no_date_to_bound_the_search")
+        .when(~numbered & F.col("published").isNull(), "publication_date_unknown")
+        .when(~numbered & (F.coalesce(F.size("terms"), F.lit(0)) < 1), "no_terms")
+        .when(F.col("_found") == 0, "no_matching_record")
+        .when(F.col("_found") > MOST_DETAILS, "too_many_matching_records")
+        .when(F.col("_accepted") == 0, "no_record_in_act_date_window")
+        .when(F.col("_accepted") > 1, "several_matching_records")
+    )
+    rows = rows.withColumn("reason", reason)
+    ambiguous = F.col("reason").isin("too_many_matching_records", "several_matching_records")
+    outcome = F.when(F.col("url").isNotNull(), "attached").when(ambiguous, "ambiguous").when(F.col("reason").isNotNull(), "not_found").when(numbered, "numbered").otherwise("unique_candidate")
+    return rows.select("version_id", "reference_id", outcome.alias("outcome"), "reason", "url", F.when(F.col("reason").isNull() & F.col("url").isNull(), F.col("_act")).alias("act_id"))
+
+
+def matched_dispositions(measures: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Measures with `outcome` against the clause of the act they refer to.
+
+    The disposition of a measure's kind that holds its subject's head term, if it is the only one, matches; without one it is not_matched. A known
+    validity that begins with the clause stays (`kept`), any other known one is a conflict; an unknown one is clarified and takes the clause's start, end and condition.
+    measures: measure_id, act_id, kind, subject, precision, start. clauses: act_id, clause_start, clause_end, condition, dispositions (ordinal, kind, text).
+    """
+    head = text.head_term(F.col("subject"))
+    words = lambda t: F.transform(F.filter(F.split(F.lower(t), text.NO_LETTERS), lambda w: F.length(w) >= 4), text.stem)
+    rows = measures.join(clauses, "act_id", "left").withColumn("_head", head)
+    hits = F.filter("dispositions", lambda d: (d["kind"] == F.col("kind")) & (F.col("_head") != "") & F.array_contains(words(d["text"]), F.col("_head")))
+    rows = rows.withColumn("disposition", F.when(F.size(hits) == 1, hits[0]["ordinal"]))
+    known = F.col("precision") != "unknown"
+    outcome = F.when(F.col("disposition").isNull(), "not_matched").when(known & F.coalesce(F.col("start") == F.col("clause_start"), F.lit(False)), "kept").when(known, "conflict").otherwise("clarified")
+    rows = rows.withColumn("outcome", outcome)
+    told = lambda c: F.when(F.col("outcome") == "clarified", F.col(c))
+    return rows.select("measure_id", "outcome", "disposition", told("clause_start").alias("start"), told("clause_end").alias("end"), told("condition").alias("condition"))
+
+
 def clarified(measures: DataFrame, clauses: DataFrame) -> DataFrame:
     """Measures against the clauses of the act they refer to: not_matched, conflict or clarified, with the end that a clause gives.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import temporal
@@ -48,6 +50,60 @@ def temporal_value(values: DataFrame, entity: str, meaning: str, cutoff: Column)
     return asof.latest(rows, ["entity_id"], ["created_at", "id"])
 
 
+def owned(values: DataFrame, parents: dict[str, DataFrame], kind: str = "entity_kind", entity: str = "entity_id") -> DataFrame:
+    """Values with the source that owns their entity, by one join on (kind, id); `parents` gives entity_id and source_id for each kind."""
+    tagged = reduce(DataFrame.union, [df.select(F.lit(name).alias("_kind"), F.col("entity_id").alias("_id"), "source_id") for name, df in parents.items()])
+    return values.join(tagged, (F.col(kind) == F.col("_kind")) & (F.col(entity) == F.col("_id")), "left").drop("_kind", "_id")
+
+
+def owned_value(values: DataFrame, parents: dict[str, DataFrame], suspensions: DataFrame, meaning: str, known_at: Column) -> DataFrame:
+    """The latest value of one meaning of each entity, as recorded by the cutoff of the source that owns it; `unknown` has no value by then."""
+    frozen = asof.cutoffs(suspensions, known_at).withColumnRenamed("source_id", "_source")
+    rows = owned(values.where(F.col("meaning") == meaning), parents).join(frozen, F.col("source_id") == F.col("_source"), "left")
+    seen = rows.where(F.col("created_at") <= F.least(known_at, F.col("_frozen"))).drop("_source", "_frozen")
+    entities = values.where(F.col("meaning") == meaning).select("entity_kind", "entity_id").distinct()
+    return entities.join(asof.latest(seen, ["entity_kind", "entity_id"], ["created_at", "id"]), ["entity_kind", "entity_id"], "left").withColumn("precision", F.coalesce("precision", F.lit("unknown")))
+
+
+def is_current(records: DataFrame, projections: DataFrame, known_at: Column) -> DataFrame:
+    """Records with `current`: whether one of their logical keys is projected to them at `known_at`. Those never mapped by then are current."""
+    by_then = projections.where(F.col("created_at") <= known_at)
+    last = asof.latest(by_then, ["entity_kind", "source_id", "logical_key"], ["created_at", "id"]).select(F.col("entity_kind").alias("_k"), F.col("record_id").alias("_r")).distinct()
+    mapped = by_then.select(F.col("entity_kind").alias("_mk"), F.col("record_id").alias("_mr")).distinct()
+    rows = records.join(last, (F.col("entity_kind") == F.col("_k")) & (F.col("record_id") == F.col("_r")), "left")
+    rows = rows.join(mapped, (F.col("entity_kind") == F.col("_mk")) & (F.col("record_id") == F.col("_mr")), "left")
+    return rows.withColumn("current", F.col("_mr").isNull() | F.col("_r").isNotNull()).drop("_k", "_r", "_mk", "_mr")
+
+
+def phases(rows: DataFrame, suspensions: DataFrame, projections: DataFrame, validity: DataFrame, known_at: Column, evaluated_at: Column) -> DataFrame:
+    """Operational phases visible and current at `known_at`, with the validity last stated for them, its status, and whether their source is to be trusted.
+
+    A phase is recorded by its source's cutoff and acquired by `known_at`. Without a stated validity it is unknown.
+    """
+    seen = is_current(asof.known(rows, suspensions, known_at).withColumn("entity_kind", F.lit("operational_phase")), projections, known_at).where("current")
+    stated = validity.where((F.col("entity_kind") == "operational_phase") & (F.col("meaning") == "validity"))
+    stated = stated.join(seen.select(F.col("record_id").alias("entity_id"), "cutoff"), "entity_id").where(F.col("created_at") <= F.col("cutoff"))
+    last = asof.latest(stated, ["entity_id"], ["created_at", "id"]).select(F.col("entity_id").alias("record_id"), "precision", "valid_from", "valid_until")
+    out = seen.join(last, "record_id", "left").withColumn("precision", F.coalesce("precision", F.lit("unknown")))
+    spoilt = suspensions.where(F.col("suspended_at") <= known_at).groupBy(F.col("source_id").alias("_source")).agg(F.max("suspended_at").alias("_last"))
+    out = out.join(spoilt, F.col("source_id") == F.col("_source"), "left").withColumn("reliable", F.coalesce(F.col("_last") < F.col("recorded_at"), F.lit(True)))
+    status = temporal.status(F.col("precision"), F.col("valid_from"), F.col("valid_until"), evaluated_at)
+    return out.withColumn("status", status).drop("_source", "_last", "current", "entity_kind")
+
+
+def evidence(measures: DataFrame, passages: DataFrame, acts: DataFrame, versions: DataFrame) -> DataFrame:
+    """What each measure rests on, in order: its passages, or its document where it has none; then the acts that clarified it by its cutoff, by their official link."""
+    own = passages.join(measures.select("measure_id"), "measure_id").select("measure_id", F.lit(1).alias("part"), F.col("ordinal").cast("long").alias("place"), "url", "locator", "passage")
+    bare = measures.join(own.select("measure_id").distinct(), "measure_id", "left_anti").join(versions.select("version_id", "url"), "version_id")
+    bare = bare.select("measure_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("place"), "url", F.lit("retained source document").alias("locator"), F.lit(None).cast("string").alias("passage"))
+    told = acts.where("outcome = 'clarified'").join(measures.select("measure_id", "cutoff"), "measure_id").where(F.col("recorded_at") <= F.col("cutoff"))
+    name = F.concat(F.lit("referenced_act:"), F.col("kind"), F.coalesce(F.concat(F.lit(" "), F.col("act_number"), F.lit("/"), F.col("act_year")), F.lit("")))
+    order = Window.partitionBy("measure_id").orderBy("recorded_at", "id", "passage")
+    told = told.select("measure_id", F.lit(2).alias("part"), F.row_number().over(order).cast("long").alias("place"), F.coalesce("detail_url", "resource_url").alias("url"), name.alias("locator"), "passage")
+    parts = own.union(bare).union(told)
+    return parts.withColumn("ordinal", F.row_number().over(Window.partitionBy("measure_id").orderBy("part", "place", "passage", "url"))).drop("part", "place")
+
+
 def regional(facts: DataFrame, known_at: Column, evaluated_at: Column, history: bool = False) -> DataFrame:
     """Regional facts with status: the newest projection logic of a record, and of a source's product the newest version unless `history`."""
     rows = facts.where(F.col("recorded_at") <= known_at)

@@ -174,3 +174,69 @@ def checkpoint_reuse(segments: DataFrame, checkpoints: DataFrame, keys: list[str
     """Segments with the result of the last checkpoint of the same stage, configuration and input, or null."""
     last = asof.latest(checkpoints, keys, ["at", "id"]).select(*keys, F.col("id").alias("checkpoint_id"))
     return segments.join(last, keys, "left")
+
+
+def effective_reviews(reviews: DataFrame, through: Column) -> DataFrame:
+    """Reviews observed by then that no review observed by then supersedes; `superseded_by` names the correction."""
+    seen = reviews.where(F.col("observed_at") <= through)
+    later = seen.select(F.col("review_id").alias("superseded_by"), F.lit(True).alias("_seen"))
+    return seen.join(later, "superseded_by", "left").where(F.col("_seen").isNull()).withColumn("superseded_by", F.lit(None).cast(seen.schema["superseded_by"].dataType)).drop("_seen")
+
+
+def municipal_summary(versions: DataFrame, sources: DataFrame, known_at: Column) -> DataFrame:
+    """Interpretation state of each source by the latest visible versions of its documents: not_processed, supported, or partial if any is incomplete."""
+    last = asof.latest(versions.where(F.col("acquired_at") <= known_at), ["document_id"], ["acquired_at", "version_id"])
+    counts = last.groupBy("source_id").agg(F.count_if(F.col("state") == "supported").alias("supported"), F.count_if(F.coalesce(F.col("state") != "supported", F.lit(True))).alias("incomplete"))
+    rows = sources.join(counts, "source_id", "left").fillna(0, ["supported", "incomplete"])
+    return rows.withColumn("state", F.when(F.col("incomplete") > 0, "partial").when(F.col("supported") > 0, "supported").otherwise("not_processed"))
+
+
+def published_municipalities(publication: DataFrame, regions: DataFrame, municipalities: DataFrame, geography: DataFrame) -> DataFrame:
+    """Enabled municipalities of a region that its current version's data set has and supports. `regions` has region_code, revision and the versions' `dataset_id`."""
+    offered = municipalities.join(geography.where("supported").select("dataset_id", "istat"), ["dataset_id", "istat"], "left_semi")
+    current = regions.where("is_current").select("region_code", "dataset_id")
+    return publication.where("enabled").join(offered.join(current, ["region_code", "dataset_id"], "left_semi"), ["region_code", "istat"], "left_semi")
+
+
+def development_visible(sources: DataFrame, municipalities: DataFrame, configuration: str, profiles: dict[str, str], shared_products: list[str]) -> DataFrame:
+    """Sources that may be shown while a region is in development.
+
+    Their configuration (JSON) permits publication, names their origin and nothing unresolved, and fits product and profile; a
+    municipal source belongs to a published municipality, a shared product to a region that has one.
+    """
+    at = lambda path: F.get_json_object(configuration, "$." + path)
+    profile = F.element_at(F.create_map(*[F.lit(x) for kv in profiles.items() for x in kv]), F.col("product"))
+    fits = (
+        F.coalesce(at("policy.publication_permitted") == "true", F.lit(False))
+        & (F.coalesce(F.nullif(at("processing_profile"), F.lit("")), F.col("profile")) == profile)
+        & (at("regional_product.kind").isNull() | (at("regional_product.kind") == F.col("product")))
+        & at("provenance").isNotNull()
+        & F.coalesce(at("unresolved"), F.lit("[]")).isin("[]", "null")
+    )
+    own = municipalities.select(F.col("region_code").alias("_r"), F.col("istat").alias("_i"))
+    rows = sources.where(fits)
+    municipal = rows.where((F.col("product") == "municipal") & (F.col("territory") == F.col("istat"))).join(own, (F.col("region_code") == F.col("_r")) & (F.col("istat") == F.col("_i")), "left_semi")
+    shared = rows.where(F.col("istat").isNull() & F.col("product").isin(*shared_products)).join(own, F.col("region_code") == F.col("_r"), "left_semi")
+    return municipal.unionByName(shared)
+
+
+def reviewed_decisions(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """Recorded decisions matched to requests by their hash: same, changed, or request_missing where nothing has that hash any more."""
+    now = current.groupBy(F.col("request_hash").alias("_hash")).agg(F.max("decision").alias("now"))
+    rows = recorded.join(now, F.col("request_hash") == F.col("_hash"), "left").drop("_hash")
+    return rows.withColumn("outcome", F.when(F.col("now").isNull(), "request_missing").when(F.col("now") == F.col("decision"), "same").otherwise("changed"))
+
+
+def next_stages(runs: DataFrame, stages: list[str]) -> DataFrame:
+    """What each version is handed to next: the first stage that has not succeeded, if all before it have; `blocked` where it failed, `running` where it runs.
+
+    A version through with all stages is `done`. Repeated runs of a stage count as its best.
+    """
+    best = lambda s: F.max(F.when(F.col("stage") == s, F.element_at(F.create_map(*[F.lit(x) for kv in {"succeeded": 3, "running": 2, "failed": 1}.items() for x in kv]), F.col("outcome"))))
+    rows = runs.groupBy("version_id").agg(*[F.coalesce(best(s), F.lit(0)).alias(f"_{s}") for s in stages])
+    stage, state = F.lit(None).cast("string"), F.lit("done")
+    for s in reversed(stages):
+        open_ = F.col(f"_{s}") < 3
+        stage = F.when(open_, s).otherwise(stage)
+        state = F.when(open_, F.when(F.col(f"_{s}") == 2, "running").when(F.col(f"_{s}") == 1, "blocked").otherwise("due")).otherwise(state)
+    return rows.select("version_id", stage.alias("stage"), state.alias("state"))

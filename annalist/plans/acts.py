@@ -139,3 +139,61 @@ def defect_warnings(spark, sf_dir):
     from annalist.operators import governance
 
     return governance.defect_warnings(shape(spark, sf_dir, "measures"), shape(spark, sf_dir, "suspensions")).select("measure_id", "reliable")
+
+
+#: Notices, their references and a register, made from orders and line items.
+_REF = """
+l_orderkey AS version_id, l_linenumber AS reference_id, CASE l_returnflag WHEN 'R' THEN 'ordinanza' WHEN 'A' THEN 'decreto' ELSE 'delibera' END AS kind, CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_partkey % 40 END AS number,
+CASE WHEN l_tax > 0.02 THEN year(l_shipdate) END AS year, CASE WHEN l_linestatus = 'F' AND l_discount > 0.05 THEN CAST(l_shipdate AS DATE) END AS day"""
+_NOTICE = "o_orderkey AS version_id, o_custkey % 10 AS source_id, CASE WHEN o_totalprice > 20000 THEN CAST(o_orderdate AS DATE) END AS published, CASE WHEN o_orderpriority = '1-URGENT' THEN '' WHEN o_orderpriority = '2-HIGH' THEN 'Chiusura ponte' ELSE 'Divieto ponte' END AS subject"
+_RECORDED = """
+l_orderkey * 10 + l_linenumber AS act_id, l_suppkey % 10 AS source_id, CASE WHEN l_linenumber % 2 = 0 THEN 'ordinanze' ELSE 'decreti' END AS category, l_partkey % 40 AS number, year(l_shipdate) AS year,
+CAST(l_shipdate AS DATE) AS published, CASE WHEN l_quantity > 25 THEN 'Chiusura della scuola' ELSE 'Limitazioni al traffico' END AS object, CASE WHEN l_discount > 0.02 THEN CAST(l_shipdate AS DATE) END AS act_date"""
+_ATTACHED = "l_orderkey AS version_id, 'u' || l_linenumber AS url, 'Comune. ' || CASE WHEN l_linenumber % 2 = 0 THEN 'ORDINANZA N. ' ELSE 'Decreto nr. 0' END || l_partkey % 40 || ' / ' || year(l_shipdate) || ' testo' AS text"
+
+
+@query(f"""
+WITH r AS (SELECT {_REF} FROM lineitem), n AS (SELECT *, CASE WHEN subject = 'Chiusura ponte' THEN ['chiusu', 'ponte'] WHEN subject = 'Divieto ponte' THEN ['diviet', 'ponte'] ELSE [] END AS terms FROM (SELECT {_NOTICE} FROM orders)),
+g AS (SELECT *, CASE WHEN object = 'Chiusura della scuola' THEN ['chiusu', 'scuola'] ELSE ['limita', 'traffi'] END AS words FROM (SELECT {_RECORDED} FROM lineitem)),
+t AS (SELECT l_orderkey AS version_id, 'u' || l_linenumber AS url, CASE WHEN l_linenumber % 2 = 0 THEN 'ordinanza' ELSE 'decreto' END AS kind, l_partkey % 40 AS number, year(l_shipdate) AS year FROM lineitem WHERE l_discount > 0.08),
+c AS (SELECT s AS source_id, k AS kind, v AS category FROM range(8) AS x(s), (VALUES ('ordinanza', 'ordinanze'), ('decreto', 'decreti')) AS y(k, v)),
+o AS (SELECT r.version_id, r.reference_id, count(DISTINCT url) AS m, min(url) AS url FROM r JOIN t ON t.version_id = r.version_id AND t.kind = r.kind AND (r.number IS NULL OR (r.number = t.number AND (r.year IS NULL OR r.year = t.year))) GROUP BY 1, 2),
+a AS (SELECT r.*, n.source_id, n.published, n.terms, o.url, c.category FROM r LEFT JOIN o ON o.version_id = r.version_id AND o.reference_id = r.reference_id AND o.m = 1 LEFT JOIN n ON n.version_id = r.version_id LEFT JOIN c ON c.source_id = n.source_id AND c.kind = r.kind),
+f AS (SELECT a.version_id, a.reference_id, count(*) AS found, count(*) FILTER (WHERE a.number IS NOT NULL OR g.act_date BETWEEN a.published - 7 AND a.published) AS accepted, min(CASE WHEN a.number IS NOT NULL OR g.act_date BETWEEN a.published - 7 AND a.published THEN g.act_id END) AS act_id
+  FROM a JOIN g ON g.source_id = a.source_id AND g.category = a.category
+  WHERE a.url IS NULL AND CASE WHEN a.number IS NOT NULL THEN g.number = a.number AND (a.year IS NULL OR g.year = a.year) AND g.published BETWEEN coalesce(a.day, a.published - 30) AND coalesce(a.day + 10, a.published)
+    ELSE list_has_any(a.terms, g.words) AND g.published BETWEEN a.published - 7 AND a.published + 10 END GROUP BY 1, 2),
+z AS (SELECT a.*, coalesce(found, 0) AS found, coalesce(accepted, 0) AS accepted, act_id FROM a LEFT JOIN f ON f.version_id = a.version_id AND f.reference_id = a.reference_id),
+q AS (SELECT *, CASE WHEN url IS NOT NULL THEN NULL WHEN source_id IS NULL OR source_id >= 8 THEN 'no_configured_register' WHEN category IS NULL THEN 'kind_not_published' WHEN number IS NOT NULL AND day IS NULL AND published IS NULL THEN 'no_date_to_bound_the_search'
+  WHEN number IS NULL AND published IS NULL THEN 'publication_date_unknown' WHEN number IS NULL AND len(terms) = 0 THEN 'no_terms' WHEN found = 0 THEN 'no_matching_record' WHEN found > 3 THEN 'too_many_matching_records'
+  WHEN accepted = 0 THEN 'no_record_in_act_date_window' WHEN accepted > 1 THEN 'several_matching_records' END AS reason FROM z)
+SELECT version_id, reference_id, CASE WHEN url IS NOT NULL THEN 'attached' WHEN reason IN ('too_many_matching_records', 'several_matching_records') THEN 'ambiguous' WHEN reason IS NOT NULL THEN 'not_found' WHEN number IS NOT NULL THEN 'numbered' ELSE 'unique_candidate' END AS outcome,
+  reason, url, CASE WHEN url IS NULL AND reason IS NULL THEN act_id END AS act_id FROM q""")
+def register_search(spark, sf_dir):
+    """References resolved by attachment, by number in a window of days, or as the only act that fits."""
+    from annalist.functions import text
+
+    lines = table(spark, sf_dir, "lineitem")
+    notices = _select(table(spark, sf_dir, "orders"), _NOTICE).withColumn("terms", text.stems(F.col("subject"))).drop("subject")
+    kinds = spark.createDataFrame([("ordinanza", "ordinanze"), ("decreto", "decreti")], "kind string, category string")
+    categories = spark.range(8).toDF("source_id").crossJoin(F.broadcast(kinds))  # eight registers of two kinds
+    return acts.searched(_select(lines, _REF), _select(lines.where("l_discount > 0.08"), _ATTACHED), notices, _select(lines, _RECORDED), categories)
+
+
+_PARTS = "[{'ordinal': 1, 'kind': 'closure', 'text': 'la chiusura dei parchi'}, {'ordinal': 2, 'kind': 'closure', 'text': 'la chiusura della scuola Verdi'}, {'ordinal': 3, 'kind': 'prohibition', 'text': 'il divieto di sosta'}]"
+_ASKED = """
+o_orderkey AS measure_id, o_custkey AS act_id, CASE WHEN o_orderkey % 5 = 0 THEN 'prohibition' ELSE 'closure' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 'delle scuole Verdi' WHEN 1 THEN 'Parchi pubblici' WHEN 2 THEN 'sosta' ELSE 'chiusura' END AS subject,
+CASE WHEN o_orderstatus = 'F' THEN 'interval' ELSE 'unknown' END AS precision, year(o_orderdate) AS start"""
+
+
+@query(f"""
+WITH m AS (SELECT *, CASE WHEN kind = 'prohibition' THEN CASE WHEN subject = 'sosta' THEN 3 END WHEN subject = 'Parchi pubblici' THEN 1 END AS ordinal FROM (SELECT {_ASKED} FROM orders)),
+c AS (SELECT c_custkey AS act_id, 1990 + c_custkey % 10 AS clause_start, CASE WHEN c_acctbal > 0 THEN 2000 END AS clause_end, CASE WHEN c_acctbal <= 0 THEN 'fino a revoca' END AS condition FROM customer WHERE c_custkey % 3 <> 0),
+s AS (SELECT m.measure_id, CASE WHEN c.act_id IS NULL THEN NULL ELSE ordinal END AS disposition, precision, start, clause_start, clause_end, condition FROM m LEFT JOIN c USING (act_id)),
+o AS (SELECT *, CASE WHEN disposition IS NULL THEN 'not_matched' WHEN precision <> 'unknown' AND start = clause_start THEN 'kept' WHEN precision <> 'unknown' THEN 'conflict' ELSE 'clarified' END AS outcome FROM s)
+SELECT measure_id, outcome, disposition, CASE WHEN outcome = 'clarified' THEN clause_start END AS start, CASE WHEN outcome = 'clarified' THEN clause_end END AS "end", CASE WHEN outcome = 'clarified' THEN condition END AS condition FROM o""")
+def matched_dispositions(spark, sf_dir):
+    """Measures against the dispositions of an act, by kind and head term."""
+    parts = F.from_json(F.lit(_PARTS.replace("'", '"')), "array<struct<ordinal:int,kind:string,text:string>>")
+    clauses = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").selectExpr("c_custkey AS act_id", "1990 + c_custkey % 10 AS clause_start", "CASE WHEN c_acctbal > 0 THEN 2000 END AS clause_end", "CASE WHEN c_acctbal <= 0 THEN 'fino a revoca' END AS condition")
+    return acts.matched_dispositions(_select(table(spark, sf_dir, "orders"), _ASKED), clauses.withColumn("dispositions", parts))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annalist.functions import kernels, text
+from annalist.functions import act_text, kernels, markup, text
 from annalist.operators import reports, retrieval
 from annalist.plans.base import query, table
 
@@ -20,36 +20,71 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
 @query(f"""
-SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct([left(w, 6) FOR w IN string_split_regex(lower(text), '[^a-zàèéìòù0-9]+') IF length(w) >= 4 AND w NOT IN ({_STOP})])), ' '), '') AS stems FROM documents""")
+SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct([left(w, 6) FOR w IN string_split_regex(lower(text), '[^\\p{{L}}]+') IF length(w) >= 5 AND w NOT IN ({_STOP})])), ' '), '') AS stems FROM documents""")
 def stem_terms(spark, sf_dir):
     """Stems of content words."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.stems(F.col("text")), " ").alias("stems"))
 
 
-@query("SELECT item_id, lower(regexp_extract(trim(text), '^(\\S+)', 1)) AS head, left(text, 20) AS bounded FROM benchmark WHERE strlen(text) = length(text)")
+_HEAD_STOP = ", ".join(f"'{w}'" for w in text.HEAD_STOP_WORDS)
+_HEAD = f"coalesce(left(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: length(w) >= 4 AND w NOT IN ({_HEAD_STOP}))[1], 6), '')"
+
+
+@query(f"SELECT item_id, {_HEAD} AS head, left(text, len(list_filter(range(1, least(length(text), 20) + 1), lambda n: strlen(left(text, n)) <= 20))) AS bounded FROM benchmark")
 def head_and_bound(spark, sf_dir):
-    """The first word, and a text cut to a number of bytes."""
-    rows = table(spark, sf_dir, "benchmark").where(F.octet_length("text") == F.length("text"))
-    return rows.select("item_id", text.head_term(F.col("text")).alias("head"), text.bounded(F.col("text"), 20).alias("bounded"))
+    """The head term, and a text cut to a number of bytes between characters."""
+    return table(spark, sf_dir, "benchmark").select("item_id", text.head_term(F.col("text")).alias("head"), text.bounded(F.col("text"), 20).alias("bounded"))
 
 
-@query("""
-SELECT item_id, lower(regexp_extract(trim(text), '^(\\S+)', 1)) AS head, left(text, len(list_filter(range(1, least(length(text), 20) + 1), lambda n: strlen(left(text, n)) <= 20))) AS bounded FROM benchmark""")
+@query(f"""
+SELECT doc_id, {_HEAD} AS head, left(text, len(list_filter(range(1, least(length(text), 90) + 1), lambda n: strlen(left(text, n)) <= 90))) AS bounded FROM documents""")
 def head_and_bound_all(spark, sf_dir):
-    """The first word, and a text cut to a number of bytes between characters, of every text."""
-    return table(spark, sf_dir, "benchmark").select("item_id", text.head_term(F.col("text")).alias("head"), text.bounded(F.col("text"), 20).alias("bounded"))
+    """The same of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.head_term(F.col("text")).alias("head"), text.bounded(F.col("text"), 90).alias("bounded"))
+
+
+#: Sentences of notices, made from orders so that every way of naming an act occurs, and the acts that each names.
+_NUMBER, _YEAR = "o_orderkey % 100000", "year(o_orderdate)"
+_SENTENCES = [
+    (f"'Vista l''ordinanza sindacale n. ' || {_NUMBER} || '/' || {_YEAR} || ' e il decreto n. 00' || o_custkey || ' del 3/4/' || {_YEAR} || ', ordinanza n. ' || {_NUMBER} || '/' || {_YEAR}",
+     f"'ordinanza ' || {_NUMBER} || '/' || {_YEAR} || ',decreto ' || o_custkey || '/' || {_YEAR}"),
+    (f"'Non è stata emanata l''ordinanza n. ' || {_NUMBER} || '/' || {_YEAR} || '. Resta valido il decreto numero 7'", "'decreto 7/'"),
+    (f"'Con ordinanza si dispone la chiusura. Si veda la delibera n. 12 del 31.2.' || {_YEAR}", "'delibera 12/,ordinanza /'"),
+    (f"'È stata emessa ordinanza n° ' || {_NUMBER} || '. Mediante apposita ordinanza il divieto.'", f"'ordinanza ' || {_NUMBER} || '/'"),
+    ("'Potrà essere emessa ordinanza del sindaco. Qualora serva, con decreto.'", "''"),
+    (f"'Determinazioni nr. 1/2001; delibera n. 2/2002; decreti n. 3/2003; ordinanze n. ' || {_NUMBER}", "'determina 1/2001,delibera 2/2002,decreto 3/2003'"),
+    ("'Firmata determina. Adottato il bilancio. Eventuali ordinanze comunali seguiranno'", "'determina /'"),
+    (f"'ordinanza della polizia locale n. ' || {_NUMBER} || ' del 5/6/' || {_YEAR} || chr(10) || 'alcun decreto n. 9/2009'", f"'ordinanza ' || {_NUMBER} || '/' || {_YEAR}"),
+]
+_BY_ORDER = lambda i: "CASE o_orderkey % 8 " + " ".join(f"WHEN {n} THEN {x[i]}" for n, x in enumerate(_SENTENCES)) + " END"
+
+
+@query(f"SELECT o_orderkey, {_BY_ORDER(1)} AS refs FROM orders")
+def act_references(spark, sf_dir):
+    """Acts that a text refers to: numbered, else by kind, none that is negated; three at most."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", act_text.references_in(F.expr(_BY_ORDER(0))).alias("r"))
+    shown = F.transform("r", lambda r: F.concat(r["kind"], F.lit(" "), F.coalesce(r["number"].cast("string"), F.lit("")), F.lit("/"), F.coalesce(r["year"].cast("string"), F.lit(""))))
+    return rows.select("o_orderkey", F.array_join(shown, ",").alias("refs"))
 
 
-#: Phrases about acts, made from order numbers so that references are found.
-_PHRASE = "'Vista l''ordinanza sindacale n. ' || o_orderkey || '/' || year(o_orderdate) || ' e il decreto n. ' || o_custkey || ' del 3/4/' || year(o_orderdate) || ', ordinanza n. ' || o_orderkey || '/' || year(o_orderdate)"
+#: Clauses of acts, made from orders; some are not to be understood.
+_CLAUSE = f"""
+'Premesso che la chiusura ... ' || CASE WHEN o_orderkey % 7 = 0 THEN 'DECRETA ' ELSE 'ORDINA ' END || CASE WHEN o_orderkey % 2 = 0 THEN 'in via contingibile e urgente, ' ELSE '' END
+|| 'a partire dalle ore ' || o_orderkey % 25 || '.' || '30 del giorno 1' || ' marzo ' || {_YEAR} || ', fino ' ||
+CASE o_custkey % 4 WHEN 0 THEN 'alle ore 08:15 del giorno 2 giugno ' || {_YEAR} WHEN 1 THEN 'al perdurare dell''emergenza' WHEN 2 THEN 'alle ore 08:15 del giorno 2 febbraio ' || {_YEAR} ELSE 'al buon senso' END
+|| ': ' || 'la chiusura del parco  n. ' || o_custkey || '; il divieto di transito. AVVERTE la sospensione'"""
+_KNOWN = "o_orderkey % 7 <> 0 AND o_orderkey % 25 < 24 AND o_custkey % 4 < 2"
 
 
-@query("""
-SELECT o_orderkey, 'ordinanza ' || o_orderkey || '/' || year(o_orderdate) || ',' || 'decreto ' || o_custkey || '/' || year(o_orderdate) AS refs FROM orders""")
-def act_references(spark, sf_dir):
-    """Acts that a text refers to: distinct, in order, three at most."""
-    phrase = F.expr(_PHRASE)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.act_references(phrase), ",").alias("refs"))
+@query(f"""
+SELECT o_orderkey, CASE WHEN {_KNOWN} THEN make_timestamp({_YEAR}, 3, 1, o_orderkey % 25, 30, 0) END AS start, CASE WHEN {_KNOWN} AND o_custkey % 4 = 0 THEN make_timestamp({_YEAR}, 6, 2, 8, 15, 0) END AS until,
+  CASE WHEN {_KNOWN} AND o_custkey % 4 = 1 THEN 'fino al perdurare dell''emergenza' END AS condition,
+  CASE WHEN {_KNOWN} THEN 'closure la chiusura del parco n. ' || o_custkey || ';|prohibition il divieto di transito.' END AS disposed FROM orders""")
+def act_clauses(spark, sf_dir):
+    """The clause by which an act disposes: start, end or condition, and dispositions."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", act_text.clause_of(F.expr(_CLAUSE)).alias("c"))
+    disposed = F.array_join(F.transform("c.dispositions", lambda d: F.concat_ws(" ", d["kind"], d["text"])), "|")
+    return rows.select("o_orderkey", "c.start", F.col("c.end").alias("until"), "c.condition", disposed.alias("disposed"))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders")
@@ -67,26 +102,23 @@ def url_checks(spark, sf_dir):
     return rows.select("page_id", F.when(text.valid_url(F.col("url")), F.try_parse_url("url", F.lit("HOST"))).alias("host"), text.valid_url(F.col("url")).alias("valid"))
 
 
-@query("""
-WITH b AS (SELECT doc_id, text FROM documents WHERE strlen(text) = length(text)),
-r AS (SELECT doc_id, text, unnest(range(0, greatest(strlen(text), 1), 12288))::INTEGER AS start FROM b WHERE NOT regexp_matches(text, '\\s') OR strlen(text) <= 12288)
-SELECT doc_id, (start // 12288)::INTEGER AS ordinal, start, least(start + 12288, strlen(text))::INTEGER AS "end" FROM r WHERE strlen(text) > 0""")
+@query()
 def segment_text(spark, sf_dir):
-    """Segments of bounded bytes (T14); here of texts of one segment or without white space."""
-    rows = table(spark, sf_dir, "documents").where((F.octet_length("text") == F.length("text")) & (~F.col("text").rlike(r"\s") | (F.octet_length("text") <= 12288)))
-    return rows.select("doc_id", F.explode(kernels.segments("text")).alias("s")).select("doc_id", "s.*")
+    """Segments of bounded bytes per text, and whether it was refused."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", kernels.segments("text").alias("s"))
+    return rows.select("doc_id", F.size("s").alias("segments"), F.col("s").isNull().alias("refused"), F.aggregate("s", F.lit(0), lambda n, x: n + x["end"] - x["start"]).alias("bytes"))
 
 
 @query()
 def all_segments(spark, sf_dir):
-    """Segments of every text."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(kernels.segments("text")).alias("s")).select("doc_id", "s.*")
+    """Segments of every text (T14); a refused text has one row without a segment."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(kernels.segments("text")).alias("s")).select("doc_id", "s.*")
 
 
 @query()
 def operational_windows(spark, sf_dir):
-    """Cores that partition a text, with context."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(kernels.operational_windows("text")).alias("w")).select("doc_id", "w.*")
+    """Cores of every text with their context (T15); a refused text has one row without a window."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(kernels.operational_windows("text")).alias("w")).select("doc_id", "w.*")
 
 
 @query()
@@ -98,8 +130,8 @@ def normalized_text(spark, sf_dir):
 @query()
 def visible_html(spark, sf_dir):
     """Visible text, tables and links of pages."""
-    rows = table(spark, sf_dir, "pages")
-    return rows.select("page_id", kernels.visible_html("html").alias("text"), F.size(kernels.html_tables("html")).alias("tables"), F.size(kernels.html_links("html")).alias("links"))
+    rows = table(spark, sf_dir, "pages").select("page_id", kernels.parsed_html("html").alias("p"))
+    return rows.select("page_id", "p.text", F.size("p.tables").alias("tables"), F.size("p.links").alias("links"))
 
 
 @query("SELECT page_id, regexp_replace(html, '<!--[^>]*-->|\\?page=[0-9]+', '', 'g') = html AS untouched FROM pages")
@@ -165,3 +197,133 @@ def capped_references(spark, sf_dir):
     """References of a version in order, at most three."""
     rows = table(spark, sf_dir, "pages").where(F.col("html").like("%<nav>%")).select(F.col("page_id").alias("version_id"), F.lit("nav").alias("reference"), F.lit(0).alias("place"))
     return reports.capped_references(rows, 3).select("version_id", "reference", "ordinal")
+
+
+# ---- sources of markup
+
+_LINKS = """
+'<html><body><nav><a href="/menu.pdf">m</a></nav><div class="body ' || CASE WHEN o_orderkey % 4 = 0 THEN 'other' ELSE 'content' END || '"><p><a href=" files/a' || o_custkey || '.PDF#page=2">A</a><a href="files/a' || o_custkey || '.PDF">A again</a>'
+|| '<a href="https://x.example/b.pdf?v=1">B</a><a href="mailto:c.pdf">c</a><a href="page.html">p</a></p></div><a href="/outside.pdf">o</a></body></html>'"""
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN 'https://www.example.org/acts/files/a' || o_custkey || '.PDF,https://x.example/b.pdf?v=1' END AS files FROM orders""")
+def linked_files(spark, sf_dir):
+    """Files linked inside the content of a page, as whole URLs; null without such content."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_LINKS).alias("html"), F.lit("https://www.example.org/acts/index.html").alias("url"))
+    return rows.select("o_orderkey", F.array_join(markup.linked_files_column("content")("html", "url"), ",").alias("files"))
+
+
+_RECORD = """
+'<tr class="master-detail-list-line odd" data-id="' || o_orderkey || '"><td class="annonumeroregistrazione">2026/' || o_custkey || '</td><td class="annonumero x">' || CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '2025/7' END
+|| '</td><td class="categoria">Ordinanze</td><td class="oggetto">Chiusura  <b>ponte</b></td><td class="periodo-pubblicazione">' || CASE o_orderkey % 5 WHEN 1 THEN '31/02/2026' ELSE '05/03/2026 - 20/03/2026' END || '</td></tr>'"""
+_REGISTER = f"'<p>Pagina 1 di 2 (' || CASE WHEN o_orderkey % 7 = 2 THEN 0 ELSE 12 END || ' risultati)</p><table>' || CASE WHEN o_orderkey % 7 IN (2, 3) THEN '' ELSE {_RECORD} END || '</table>'"
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 3 AND (o_orderkey % 7 = 2 OR o_orderkey % 5 <> 1) THEN CASE WHEN o_orderkey % 7 = 2 THEN 0 ELSE 12 END END::INTEGER AS total,
+  CASE WHEN o_orderkey % 7 NOT IN (2, 3) AND o_orderkey % 5 <> 1 THEN o_orderkey || ' 2026/' || o_custkey || ' ' || CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '2025/7' END || ' Ordinanze Chiusura ponte 2026-03-05' END AS record FROM orders""")
+def register_lists(spark, sf_dir):
+    """Lists of a public register, understood as a whole or not at all."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", markup.register_page(F.expr(_REGISTER)).alias("p"))
+    r = F.get("p.records", 0)
+    act = F.when(r["act_year"].isNull(), "-").otherwise(F.concat_ws("/", r["act_year"], r["act_number"]))
+    shown = F.when(r.isNotNull(), F.concat_ws(" ", r["record_id"], F.concat_ws("/", r["registry_year"], r["registry_number"]), act, r["category"], r["object"], r["published"]))
+    return rows.select("o_orderkey", "p.total", shown.alias("record"))
+
+
+_DETAIL = """
+'<table data-id-pubblicazione="' || o_orderkey || '"><tr class="ap-annoRegistro"><td>Anno</td><td>2026</td></tr><tr class="ap-numeroRegistro"><td>N</td><td>' || o_custkey || '</td></tr><tr class="ap-categoria"><td>c</td><td>Ordinanze</td></tr>'
+|| CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE '<tr class="ap-oggetto"><td>o</td><td>Chiusura</td></tr>' END || '<tr class="ap-dataAtto"><td>d</td><td>' || CASE WHEN o_orderkey % 4 = 2 THEN '2026' ELSE '01/02/2026' END
+|| '</td></tr><tr data-chiave-allegato="k' || o_custkey || '"><td>Atto</td><td>testo</td><td><a title="Download versione non firmata" onclick="go(atob(''' || base64(CAST('https://' || CASE WHEN o_orderkey % 4 = 3 THEN 'other' ELSE 'albo' END || '.example/f' AS BINARY)) || '''))">f</a></td></tr></table>'"""
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 3) THEN o_orderkey || ' 2026/' || o_custkey || ' 2026-02-01 k' || o_custkey || ' Atto ' || CASE WHEN o_orderkey % 4 = 0 THEN 'https://albo.example/f' ELSE '' END END AS record FROM orders""")
+def register_details(spark, sf_dir):
+    """Details of a register's record with its attachments, of its own origin only."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", markup.register_record_column("https://albo.example/")(F.expr(_DETAIL)).alias("r"))
+    a = F.get("r.attachments", 0)
+    shown = F.when(F.col("r.record_id").isNotNull(), F.concat_ws(" ", "r.record_id", F.concat_ws("/", "r.registry_year", "r.registry_number"), "r.act_date", a["key"], a["title"], a["url"]))
+    return rows.select("o_orderkey", shown.alias("record"))
+
+
+_PDF = """
+'%PDF-1.7 /Producer (' || CASE WHEN o_orderkey % 3 = 0 THEN 'Other' ELSE 'TCPDF 6.2' END || ') /CreationDate (D:20260101120000+01''00'') <xmp:ModifyDate>2026-01-01T12:00:00+01:00</xmp:ModifyDate> body ' || o_custkey"""
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN sha256('%PDF-1.7 /Producer (Other) /CreationDate (D:20260101120000+01''00'') <xmp:ModifyDate>2026-01-01T12:00:00+01:00</xmp:ModifyDate> body ' || o_custkey)
+  ELSE sha256('%PDF-1.7 /Producer (TCPDF 6.2) /CreationDate (D:generated) <xmp:ModifyDate>generated</xmp:ModifyDate> body ' || o_custkey) END AS identity FROM orders""")
+def stable_contents(spark, sf_dir):
+    """Identity of files without the bytes that only say when they were made."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PDF).cast("binary").alias("raw"))
+    return rows.select("o_orderkey", F.sha2(markup.stable_content("raw", F.lit("application/pdf")), 256).alias("identity"))
+
+
+_NOTICES = [
+    ("'Si informa la cittadinanza che tutte le strade del centro ' || o_custkey || ' sono state liberate dalla neve. Grazie.'", "'operational_update:tutte le strade del centro ' || o_custkey"),
+    ("'Si informa la cittadinanza che tutte le strade, se necessario, sono state liberate.'", "''"),
+    ("'Restano in vigore le misure: chiusura al pubblico del parco ' || o_custkey || ' e della biblioteca e divieto di sosta.'", "'closure:parco ' || o_custkey || ',closure:biblioteca'"),
+    ("'Aggiornamento. Il ponte n' || o_custkey || ', chiuso per frana alle 9, è stato riaperto alla circolazione. Fine.'", "'reopening:ponte n' || o_custkey"),
+    ("'Si legge: \"Attenti! La strada x è stata riaperta alla circolazione.\"'", "''"),
+    ("'Restano al momento in vigore le misure: chiusura al pubblico del parco.'", "''"),
+]
+_NOTICE = lambda i: f"CASE o_orderkey % {len(_NOTICES)} " + " ".join(f"WHEN {n} THEN {x[i]}" for n, x in enumerate(_NOTICES)) + " END"
+
+
+@query(f"SELECT o_orderkey, {_NOTICE(1)} AS found FROM orders")
+def rule_supplements(spark, sf_dir):
+    """Measures that notices state in fixed wording: clearances, closures that stay and reopenings."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", markup.supplements_in(F.expr(_NOTICE(0))).alias("m"))
+    return rows.select("o_orderkey", F.array_join(F.transform("m", lambda m: F.concat_ws(":", m["kind"], m["subject"])), ",").alias("found"))
+
+
+# ---- kernels on their own
+
+_ARTICLE = """'<body><h1>T</h1><div class="main">Text ' || o_custkey || '</div>' || CASE WHEN o_orderkey % 3 = 0 THEN '<div class="main">twice</div>' ELSE '' END || '<p>end</p></body>'"""
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'T' || chr(10) || 'Text ' || o_custkey || chr(10) || 'twice' || chr(10) || 'end' ELSE 'Text ' || o_custkey END AS body FROM orders")
+def article_bodies(spark, sf_dir):
+    """The text below the one element that a selector names, else the whole visible text."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", kernels.article_column([("class", "main")])(F.expr(_ARTICLE)).alias("body"))
+
+
+_JSON = """'{"a/b": [' || o_orderkey || ', null, "x y"], "c": {"d": true, "e": "' || o_orderstatus || '"}}'"""
+_N = "length(o_orderkey::VARCHAR)"
+
+
+@query(f"""
+SELECT o_orderkey, o_orderkey || chr(10) || 'x y' || chr(10) || 'true' || chr(10) || o_orderstatus AS text,
+  '/a~1b/0:0-' || {_N} || ' /a~1b/2:' || ({_N} + 1) || '-' || ({_N} + 4) || ' /c/d:' || ({_N} + 5) || '-' || ({_N} + 9) || ' /c/e:' || ({_N} + 10) || '-' || ({_N} + 11) AS spans FROM orders""")
+def json_texts(spark, sf_dir):
+    """The scalars of JSON documents as lines, with pointers and byte ranges."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", kernels.json_lines(F.expr(_JSON)).alias("j"))
+    spans = F.transform("j.spans", lambda s: F.concat(s["pointer"], F.lit(":"), s["start"], F.lit("-"), s["end"]))
+    return rows.select("o_orderkey", "j.text", F.array_join(spans, " ").alias("spans"))
+
+
+@query()
+def owned_quotes(spark, sf_dir):
+    """The windows of each document in whose core a quote from behind its 5,000th character begins."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 5001, 30).alias("quote")).where("quote <> ''")
+    rows = rows.select("doc_id", "text", "quote", F.explode(kernels.operational_windows("text")).alias("w"))
+    return rows.select("doc_id", "w.ordinal", kernels.owned("w", "text", "quote").alias("owned"))
+
+
+ALIASES = {"1-urgent": "red", "2-high": "orange", "3-medium": "yellow", "not specified": "unknown"}
+
+
+@query("""
+SELECT o_orderkey, CASE lower(replace(o_orderpriority, '4-', '')) WHEN '1-urgent' THEN 'red' WHEN '2-high' THEN 'orange' WHEN '3-medium' THEN 'yellow' WHEN 'not specified' THEN 'unknown' ELSE lower(replace(o_orderpriority, '4-', '')) END AS level FROM orders""")
+def canonical_names(spark, sf_dir):
+    """Names by a table of aliases, in any case and spacing."""
+    given = F.concat(F.lit("  "), F.replace("o_orderpriority", F.lit("4-"), F.lit("")), F.lit(" "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.canonical(given, ALIASES).alias("level"))
+
+
+@query("""SELECT o_orderkey, 'order_' || sha256('{"p0":"' || o_orderkey || '","p1":"' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END || '"}') AS id FROM orders""")
+def stable_ids(spark, sf_dir):
+    """Ids that are hashes of their parts as JSON."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.stable_id("order", F.col("o_orderkey"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))).alias("id"))

@@ -370,3 +370,149 @@ def warning_groups(spark, sf_dir):
     """Warnings of a daily report put together."""
     rows = shape(spark, sf_dir, "measures").select("valid_from", "valid_until", F.col("state").alias("product"), F.col("precision").alias("risk"), F.col("fingerprint").alias("level"), F.col("source_id").cast("string").alias("zone"), F.col("state").alias("status"))
     return reports.warning_groups(rows, ["rejected"])
+
+
+# ---- values, projections and evidence by their owner's cutoff
+
+_FROZEN = "(SELECT source_id, min(suspended_at) AS frozen FROM suspensions WHERE suspended_at <= TIMESTAMP '1997-01-01' AND (resumed_at IS NULL OR resumed_at > TIMESTAMP '1997-01-01') GROUP BY 1)"
+_OWNED = """
+SELECT measure_id % 1000 AS entity_id, CASE WHEN measure_id % 2 = 0 THEN 'local_measure' ELSE 'operational_phase' END AS entity_kind, CASE WHEN measure_id % 3 = 0 THEN 'issuance' ELSE 'validity' END AS meaning,
+       recorded_at AS created_at, measure_id AS id, precision, valid_from, valid_until FROM measures"""
+
+
+def _values(spark, sf_dir):
+    return shape(spark, sf_dir, "measures").selectExpr(
+        "measure_id % 1000 AS entity_id", "CASE WHEN measure_id % 2 = 0 THEN 'local_measure' ELSE 'operational_phase' END AS entity_kind", "CASE WHEN measure_id % 3 = 0 THEN 'issuance' ELSE 'validity' END AS meaning",
+        "recorded_at AS created_at", "measure_id AS id", "precision", "valid_from", "valid_until",
+    )
+
+
+def _parents(spark):
+    own = spark.range(1000).selectExpr("id AS entity_id", "id % 25 AS source_id")
+    return {"local_measure": own, "operational_phase": own.selectExpr("entity_id", "(source_id + 7) % 25 AS source_id")}
+
+
+@query(f"""
+WITH v AS ({_OWNED}), o AS (SELECT v.*, CASE WHEN entity_kind = 'local_measure' THEN entity_id % 25 ELSE (entity_id % 25 + 7) % 25 END AS source_id FROM v WHERE meaning = 'validity'),
+s AS (SELECT o.*, row_number() OVER (PARTITION BY entity_kind, entity_id ORDER BY created_at DESC, id DESC) AS n FROM o LEFT JOIN {_FROZEN} f USING (source_id) WHERE created_at <= least(TIMESTAMP '1997-01-01', frozen)),
+e AS (SELECT DISTINCT entity_kind, entity_id FROM o)
+SELECT e.entity_kind, e.entity_id, s.id, coalesce(s.precision, 'unknown') AS precision FROM e LEFT JOIN s ON s.entity_kind = e.entity_kind AND s.entity_id = e.entity_id AND s.n = 1""", "measures suspensions")
+def temporal_values(spark, sf_dir):
+    """The value last stated for each entity by the cutoff of the source that owns it; unknown without one (Q14)."""
+    found = facts.owned_value(_values(spark, sf_dir), _parents(spark), shape(spark, sf_dir, "suspensions"), "validity", at("1997-01-01"))
+    return found.select("entity_kind", "entity_id", "id", "precision")
+
+
+_PROJECTED = "l_orderkey * 10 + l_linenumber AS record_id, 'operational_phase' AS entity_kind, l_suppkey AS source_id, l_orderkey % 500 AS logical_key, l_shipdate AS created_at, l_orderkey * 10 + l_linenumber AS id"
+_CURRENT = f"""
+p AS (SELECT {_PROJECTED} FROM lineitem WHERE l_linenumber < 4 AND l_shipdate <= TIMESTAMP '1997-01-01'),
+l AS (SELECT DISTINCT record_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id, logical_key ORDER BY created_at DESC, id DESC) AS n FROM p) WHERE n = 1)"""
+
+
+def _projections(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").where("l_linenumber < 4").selectExpr(*_PROJECTED.split(", "))
+
+
+@query(f"""
+WITH {_CURRENT}
+SELECT l_orderkey * 10 + l_linenumber AS record_id, NOT EXISTS (SELECT 1 FROM p WHERE p.record_id = l_orderkey * 10 + l_linenumber) OR EXISTS (SELECT 1 FROM l WHERE l.record_id = l_orderkey * 10 + l_linenumber) AS current FROM lineitem""")
+def current_records(spark, sf_dir):
+    """Whether records are what their logical key is projected to at a time; those never mapped are (Q28)."""
+    records = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS record_id", "'operational_phase' AS entity_kind")
+    return facts.is_current(records, _projections(spark, sf_dir), at("1997-01-01")).select("record_id", "current")
+
+
+@query(f"""
+WITH {_CURRENT},
+c AS (SELECT m.*, measure_id AS record_id, least(TIMESTAMP '1997-01-01', frozen) AS cutoff FROM measures m LEFT JOIN {_FROZEN} f USING (source_id) WHERE acquired_at <= TIMESTAMP '1997-01-01'),
+k AS (SELECT * FROM c WHERE recorded_at <= cutoff AND (record_id NOT IN (SELECT record_id FROM p) OR record_id IN (SELECT record_id FROM l))),
+v AS ({_OWNED}), s AS (SELECT k.record_id, v.precision, v.valid_from, v.valid_until, row_number() OVER (PARTITION BY k.record_id ORDER BY v.created_at DESC, v.id DESC) AS n
+  FROM k JOIN v ON v.entity_id = k.record_id AND v.entity_kind = 'operational_phase' AND v.meaning = 'validity' WHERE v.created_at <= k.cutoff),
+d AS (SELECT source_id, max(suspended_at) AS last FROM suspensions WHERE suspended_at <= TIMESTAMP '1997-01-01' GROUP BY 1)
+SELECT k.record_id, coalesce(s.precision, 'unknown') AS precision, coalesce(d.last < k.recorded_at, true) AS reliable,
+  CASE WHEN s.precision = 'interval' AND s.valid_from IS NOT NULL THEN CASE WHEN TIMESTAMP '1997-06-01' < s.valid_from THEN 'future' WHEN s.valid_until IS NOT NULL AND TIMESTAMP '1997-06-01' >= s.valid_until THEN 'expired' ELSE 'current' END
+       WHEN s.precision = 'instant' AND s.valid_from IS NOT NULL AND TIMESTAMP '1997-06-01' < s.valid_from THEN 'future' ELSE 'undetermined' END AS status
+FROM k LEFT JOIN s ON s.record_id = k.record_id AND s.n = 1 LEFT JOIN d ON d.source_id = k.source_id""", "measures suspensions")
+def operational_phases(spark, sf_dir):
+    """Phases current at a time of knowledge, with stated validity, status and reliability (Q21)."""
+    rows = shape(spark, sf_dir, "measures").withColumn("record_id", F.col("measure_id")).drop("precision", "valid_from", "valid_until")
+    found = facts.phases(rows, shape(spark, sf_dir, "suspensions"), _projections(spark, sf_dir), _values(spark, sf_dir), at("1997-01-01"), at("1997-06-01"))
+    return found.select("record_id", "precision", "reliable", "status")
+
+
+@query("""
+WITH m AS (SELECT o_orderkey AS measure_id, o_custkey AS version_id, TIMESTAMP '1996-06-01' AS cutoff FROM orders),
+p AS (SELECT l_orderkey AS measure_id, 1 AS part, l_linenumber::BIGINT AS place, 'https://x.example/' || l_suppkey AS url, l_returnflag AS locator, 'q' || l_partkey AS passage FROM lineitem WHERE l_discount > 0.06),
+b AS (SELECT measure_id, 1, 0::BIGINT, 'https://x.example/v' || version_id, 'retained source document', NULL FROM m WHERE measure_id NOT IN (SELECT measure_id FROM p) AND version_id IN (SELECT c_custkey FROM customer)),
+a AS (SELECT l_orderkey, 2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, 'a' || l_partkey), CASE WHEN l_tax > 0.04 THEN 'https://albo.example/' || l_linenumber ELSE 'https://act.example/' || l_linenumber END,
+  'referenced_act:' || l_linestatus || CASE WHEN l_quantity > 25 THEN ' ' || l_partkey || '/' || year(l_shipdate) ELSE '' END, 'a' || l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate <= TIMESTAMP '1996-06-01')
+SELECT measure_id, (row_number() OVER (PARTITION BY measure_id ORDER BY part, place, passage NULLS FIRST, url))::INTEGER AS ordinal, url, locator, passage FROM (SELECT p.* FROM p WHERE measure_id IN (SELECT measure_id FROM m) UNION ALL SELECT * FROM b UNION ALL SELECT a.* FROM a WHERE l_orderkey IN (SELECT measure_id FROM m))""")
+def measure_evidence(spark, sf_dir):
+    """What each measure rests on: passages or its document, then the acts that clarified it (Q34)."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    measures = orders.select(F.col("o_orderkey").alias("measure_id"), F.col("o_custkey").alias("version_id"), at("1996-06-01").alias("cutoff"))
+    passages = lines.where("l_discount > 0.06").selectExpr("l_orderkey AS measure_id", "l_linenumber AS ordinal", "'https://x.example/' || l_suppkey AS url", "l_returnflag AS locator", "'q' || l_partkey AS passage")
+    acts = lines.selectExpr(
+        "l_orderkey AS measure_id", "l_linenumber AS id", "l_shipdate AS recorded_at", "CASE WHEN l_returnflag = 'R' THEN 'clarified' ELSE 'conflict' END AS outcome", "l_linestatus AS kind", "'a' || l_partkey AS passage",
+        "CASE WHEN l_quantity > 25 THEN CAST(l_partkey AS STRING) END AS act_number", "CASE WHEN l_quantity > 25 THEN CAST(year(l_shipdate) AS STRING) END AS act_year",
+        "CASE WHEN l_tax > 0.04 THEN 'https://albo.example/' || l_linenumber END AS detail_url", "'https://act.example/' || l_linenumber AS resource_url",
+    )
+    versions = table(spark, sf_dir, "customer").selectExpr("c_custkey AS version_id", "'https://x.example/v' || c_custkey AS url")
+    return facts.evidence(measures, passages, acts, versions).select("measure_id", "ordinal", "url", "locator", "passage")
+
+
+@query("""
+WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY acquired_at DESC, version_id DESC) AS n FROM versions WHERE acquired_at <= TIMESTAMP '1996-01-01') WHERE n = 1),
+c AS (SELECT source_id, count(*) FILTER (WHERE status = 'F') AS supported, count(*) FILTER (WHERE status <> 'F') AS incomplete FROM l GROUP BY 1)
+SELECT s AS source_id, coalesce(supported, 0) AS supported, coalesce(incomplete, 0) AS incomplete, CASE WHEN incomplete > 0 THEN 'partial' WHEN supported > 0 THEN 'supported' ELSE 'not_processed' END AS state FROM range(30) AS r(s) LEFT JOIN c ON c.source_id = s""", "versions")
+def municipal_summary(spark, sf_dir):
+    """Interpretation state of each source by the latest versions of its documents."""
+    from annalist.operators import governance
+
+    versions = shape(spark, sf_dir, "versions").withColumn("state", F.when(F.col("status") == "F", "supported").otherwise("pending"))
+    return governance.municipal_summary(versions, spark.range(30).toDF("source_id"), at("1996-01-01"))
+
+
+_MUNICIPALITY = "c_custkey AS istat, c_nationkey AS region_code, 'd' || c_custkey % 3 AS dataset_id"
+_PUBLISHED = """
+SELECT c_nationkey AS region_code, c_custkey AS istat FROM customer
+WHERE c_acctbal > 0 AND c_mktsegment <> 'FURNITURE' AND c_custkey % 3 = c_nationkey % 3"""
+
+
+def _published(spark, sf_dir):
+    from annalist.operators import governance
+
+    rows = table(spark, sf_dir, "customer")
+    publication = rows.selectExpr("c_nationkey AS region_code", "c_custkey AS istat", "c_acctbal > 0 AS enabled")
+    regions = spark.range(25).selectExpr("id AS region_code", "explode(array(0, 1, 2)) AS k").selectExpr("region_code", "'d' || k AS dataset_id", "k = region_code % 3 AS is_current")
+    municipalities = rows.selectExpr(*_MUNICIPALITY.split(", "))
+    geography = rows.selectExpr("'d' || c_custkey % 3 AS dataset_id", "c_custkey AS istat", "c_mktsegment <> 'FURNITURE' AS supported")
+    return governance.published_municipalities(publication, regions, municipalities, geography)
+
+
+@query(_PUBLISHED)
+def published_municipalities(spark, sf_dir):
+    """Enabled municipalities that the current data set of their region has and supports."""
+    return _published(spark, sf_dir).select("region_code", "istat")
+
+
+_CONFIGURATION = """
+'{"policy": {"publication_permitted": ' || CASE WHEN s_suppkey % 5 = 0 THEN 'false' ELSE 'true' END || '}, "processing_profile": "' || CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'municipal-html' END || '"'
+|| CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE ', "provenance": {"by": "hand"}' END || ', "unresolved": ' || CASE WHEN s_suppkey % 13 = 0 THEN '["x"]' ELSE '[]' END || '}'"""
+
+
+@query(f"""
+WITH m AS ({_PUBLISHED})
+SELECT s_suppkey AS source_id FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0
+  AND ((s_suppkey % 4 = 1 AND s_suppkey % 7 = 0 AND s_nationkey IN (SELECT region_code FROM m))
+    OR (s_suppkey % 4 <> 1 AND EXISTS (SELECT 1 FROM m WHERE m.region_code = s_nationkey AND m.istat = s_suppkey)))""")
+def development_sources(spark, sf_dir):
+    """Sources to be shown while a region is in development."""
+    from annalist.operators import governance
+
+    regional = F.expr("s_suppkey % 4 = 1")
+    sources = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("source_id"), F.when(regional, "criticality").otherwise("municipal").alias("product"), F.when(~regional, F.col("s_suppkey")).alias("istat"), F.col("s_suppkey").alias("territory"),
+        F.col("s_nationkey").alias("region_code"), F.when(regional, "regional-html").otherwise("municipal-html").alias("profile"), F.expr(_CONFIGURATION).alias("configuration"),
+    )
+    return governance.development_visible(sources, _published(spark, sf_dir), "configuration", {"municipal": "municipal-html", "criticality": "regional-html"}, ["criticality"]).select("source_id")

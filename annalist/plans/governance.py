@@ -192,3 +192,33 @@ def checkpoint_reuse(spark, sf_dir):
     rows, keys = shape(spark, sf_dir, "attempts"), ["workload", "stage", "price_version_id"]
     done = rows.where((F.col("outcome") == "succeeded") & (F.col("at") < at("1996-01-01")))
     return governance.checkpoint_reuse(rows.select("id", *keys), done.select("id", "at", *keys), keys).select("id", "checkpoint_id")
+
+
+@query("""
+WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS request_hash, CASE WHEN length(text) > 1000 THEN 'relevant' ELSE 'irrelevant' END AS decision FROM documents WHERE text IS NOT NULL),
+c AS (SELECT sha256(text) AS request_hash, max(CASE WHEN length(text) > 1500 THEN 'relevant' ELSE 'irrelevant' END) AS now FROM documents WHERE text IS NOT NULL GROUP BY 1)
+SELECT doc_id, CASE WHEN now IS NULL THEN 'request_missing' WHEN now = decision THEN 'same' ELSE 'changed' END AS outcome FROM r LEFT JOIN c USING (request_hash)""")
+def classification_review(spark, sf_dir):
+    """Recorded decisions against those made now for requests of the same hash."""
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    decided = lambda n: F.when(F.length("text") > n, "relevant").otherwise("irrelevant")
+    hashed = F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)
+    recorded = rows.select("doc_id", hashed.alias("request_hash"), decided(1000).alias("decision"))
+    current = rows.select(F.sha2("text", 256).alias("request_hash"), decided(1500).alias("decision"))
+    return governance.reviewed_decisions(recorded, current).select("doc_id", "outcome")
+
+
+_PIPELINE = ["acquisition", "ocr", "classification", "extraction", "embedding", "linking"]
+_STAGE = "CASE l_linenumber " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_PIPELINE, 1)) + " END"
+_RUN = "CASE WHEN l_discount > 0.08 THEN 'failed' WHEN l_tax > 0.07 THEN 'running' ELSE 'succeeded' END"
+_BEST = ", ".join(f"coalesce(max(CASE WHEN stage = '{s}' THEN CASE outcome WHEN 'succeeded' THEN 3 WHEN 'running' THEN 2 ELSE 1 END END), 0) AS s{i}" for i, s in enumerate(_PIPELINE))
+_FIRST = " ".join(f"WHEN s{i} < 3 THEN {i}" for i in range(len(_PIPELINE)))
+
+
+@query(f"""
+WITH r AS (SELECT l_orderkey AS version_id, {_STAGE} AS stage, {_RUN} AS outcome FROM lineitem), b AS (SELECT version_id, {_BEST} FROM r GROUP BY 1), f AS (SELECT *, CASE {_FIRST} END AS i FROM b)
+SELECT version_id, [{', '.join(f"'{s}'" for s in _PIPELINE)}][i + 1] AS stage, CASE WHEN i IS NULL THEN 'done' ELSE CASE [{', '.join(f's{i}' for i in range(len(_PIPELINE)))}][i + 1] WHEN 2 THEN 'running' WHEN 1 THEN 'blocked' ELSE 'due' END END AS state FROM f""")
+def stage_handoff(spark, sf_dir):
+    """The stage that each version is handed to next."""
+    runs = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS version_id", f"{_STAGE} AS stage", f"{_RUN} AS outcome")
+    return governance.next_stages(runs, _PIPELINE)

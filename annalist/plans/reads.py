@@ -334,3 +334,72 @@ def history_buckets_zero_filled(spark, sf_dir):
     sums = [F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")]
     rows = intervals.buckets(table(spark, sf_dir, "events"), "ts", at("2024-01-01"), at("2024-01-31"), 6 * 3600, sums)
     return rows.fillna(0, ["n", "errors"])
+
+
+@query("""
+SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_returnflag WHEN 'R' THEN 'customer' WHEN 'A' THEN 'supplier' ELSE 'part' END AS entity_kind, coalesce(c_nationkey, s_nationkey, p_size) AS source_id
+FROM lineitem LEFT JOIN customer ON l_returnflag = 'R' AND c_custkey = l_suppkey LEFT JOIN supplier ON l_returnflag = 'A' AND s_suppkey = l_suppkey LEFT JOIN part ON l_returnflag = 'N' AND p_partkey = l_partkey AND p_size > 10""")
+def polymorphic_parents(spark, sf_dir):
+    """The owner of entities of several kinds, by one join."""
+    from annalist.operators import facts
+
+    kind = F.when(F.col("l_returnflag") == "R", "customer").when(F.col("l_returnflag") == "A", "supplier").otherwise("part")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), kind.alias("entity_kind"), F.when(kind == "part", F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("entity_id"))
+    parents = {
+        "customer": table(spark, sf_dir, "customer").selectExpr("c_custkey AS entity_id", "c_nationkey AS source_id"),
+        "supplier": table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS entity_id", "s_nationkey AS source_id"),
+        "part": table(spark, sf_dir, "part").where("p_size > 10").selectExpr("p_partkey AS entity_id", "p_size AS source_id"),
+    }
+    return facts.owned(rows, parents).select("id", "entity_kind", "source_id")
+
+
+_PROPS = "CASE WHEN event_id % 3 = 0 THEN '{\"k\": \"\", \"expected\": {\"anchor\": \"\"}}' WHEN event_id % 3 = 1 THEN '{\"expected\": {\"anchor\": \"2024-01-0' || (event_id % 9 + 1) || '\"}}' ELSE props END"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, value, {_PROPS} AS body FROM events)
+SELECT event_id, coalesce(CASE WHEN value > 100 THEN 7 END, TRY_CAST(json_extract_string(body, '$.k') AS INTEGER), 600) AS check_seconds, nullif(json_extract_string(body, '$.expected.anchor'), '')::DATE AS anchor FROM e""")
+def json_defaults(spark, sf_dir):
+    """Settings from an override, else from JSON, else by default; empty strings are none."""
+    rows = table(spark, sf_dir, "events").select("event_id", "value", F.expr(_PROPS).alias("body"))
+    given = F.get_json_object("body", "$.k").try_cast("int")
+    anchor = F.nullif(F.get_json_object("body", "$.expected.anchor"), F.lit("")).try_cast("date")
+    return rows.select("event_id", F.coalesce(F.when(F.col("value") > 100, 7), given, F.lit(600)).alias("check_seconds"), anchor.alias("anchor"))
+
+
+_JSON_KINDS = ["'{\"k\": 1}'", "'[1, 2, 3]'", "'\"text\"'", "'true'", "'[]'"]
+_JSON_OF = "CASE event_id % 5 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_JSON_KINDS)) + " END"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {_JSON_OF} AS body FROM events)
+SELECT event_id, CASE json_type(body) WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' END AS kind, CASE WHEN json_type(body) = 'ARRAY' THEN json_array_length(body)::INTEGER END AS n FROM e""")
+def json_types(spark, sf_dir):
+    """Types of JSON values, and lengths of arrays."""
+    body = F.expr(_JSON_OF)
+    shown = F.schema_of_variant(F.parse_json(body))
+    kind = F.when(F.startswith(shown, F.lit("OBJECT")), "object").when(F.startswith(shown, F.lit("ARRAY")), "array").when(shown == "STRING", "string").when(shown == "BOOLEAN", "boolean")
+    return table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), F.json_array_length(body).alias("n"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(list_distinct(ws))::INTEGER AS distinct_words, list_sort(list_distinct(ws))[1] AS first, list_contains(ws, 'and') AS has_and, len(list_filter(list_distinct(ws), lambda x: NOT starts_with(x, 'th')))::INTEGER AS without_prefix FROM w""")
+def list_sets(spark, sf_dir):
+    """Lists as sets: each once and sorted, membership, deletion by prefix."""
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    unique = F.array_sort(F.array_distinct(words))
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", words.alias("ws"), unique.alias("u"))
+    left = F.filter("u", lambda x: ~F.startswith(x, F.lit("th")))
+    return rows.select("doc_id", F.size("u").alias("distinct_words"), F.get("u", 0).alias("first"), F.array_contains("ws", "and").alias("has_and"), F.size(left).alias("without_prefix"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS review_id, o_custkey AS source_id, o_orderdate AS observed_at, CASE WHEN o_totalprice > 150000 THEN o_orderkey + 1 END AS superseded_by FROM orders)
+SELECT review_id, source_id FROM r WHERE observed_at <= TIMESTAMP '1996-01-01' AND NOT EXISTS (SELECT 1 FROM r l WHERE l.review_id = r.superseded_by AND l.observed_at <= TIMESTAMP '1996-01-01')""")
+def effective_reviews(spark, sf_dir):
+    """Reviews that no correction known by then supersedes."""
+    from annalist.operators import governance
+
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS review_id", "o_custkey AS source_id", "o_orderdate AS observed_at", "CASE WHEN o_totalprice > 150000 THEN o_orderkey + 1 END AS superseded_by")
+    return governance.effective_reviews(rows, at("1996-01-01")).select("review_id", "source_id")

@@ -44,7 +44,21 @@ def append_versions(staged: DataFrame, versions: DataFrame, stored: DataFrame) -
     return new_rows(versions, whole, ["document_id", "content_hash"])
 
 
+def changed(existing: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The table after an update from another: columns of `updates` replace those of the row of their key; keys that are not there are left out."""
+    columns = [c for c in updates.columns if c not in keys]
+    new = updates.select(*keys, F.struct(*columns).alias("_new"))
+    rows = existing.join(new, keys, "left")
+    given = F.col("_new").isNotNull()
+    return rows.select(*[F.when(given, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in existing.columns])
+
+
 def store_objects(objects: DataFrame, path: str) -> None:
-    """Objects by hash, dealt over folders by the hash's first two digits."""
+    """Objects by hash, dealt over folders by the hash's first two digits. Ranges of hashes make the tasks, so a folder may have many files."""
     rows = objects.dropDuplicates(["object_hash"]).withColumn("prefix", F.substring("object_hash", 1, 2))
-    rows.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+    rows.repartitionByRange("object_hash").write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def stored_objects(objects: DataFrame) -> DataFrame:
+    """Stored objects with `intact`: whether the content still has its hash."""
+    return objects.withColumn("intact", F.sha2("content", 256) == F.col("object_hash"))
