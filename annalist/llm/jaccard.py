@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -14,8 +16,8 @@ from annalist.llm import shared
 from annalist.llm.components import components
 from annalist.llm.shingles import blocks, mixed, shingle_sets
 
-#: Sets that one tree holds at most; larger candidate components are verified by links, and what those leave open in tiles of two parts.
-TREE_SETS = 4096
+#: Sets, and elements of them, that one tree holds at most; larger candidate components are verified by links, and what those leave open in tiles of two parts.
+TREE_SETS, TREE_ELEMENTS = 4096, 4_000_000
 #: Sets that a task remembers in order to skip equal ones.
 REMEMBERED = 500_000
 #: Candidates of up to this many rows are broadcast to pick their texts; more are joined by shuffle.
@@ -81,53 +83,62 @@ def set_hash(found: np.ndarray) -> int:
     return int(mixed(found).sum(dtype=np.uint64).view(np.int64))
 
 
-SETS = "doc_id long, text_hash long, n long, h1 long, h2 long, bits array<binary>, most array<int>, low_range int"
+#: What the first pass gives: keys of parts with the set that has them, and for each row, under a key of its own, what is known of its set.
+KEYED = "key long, node long, info binary"
+#: Names of groups with their members, and for each row of the input its set: two hashes, and parity bits and bound for each of its size ranges.
+NAMED = "name long, member long, doc_id long, text_hash long, n long, h2 long, bits array<binary>, most array<int>, low_range int"
+_HEAD = struct.Struct("<?qqqqi")
 
 
-def set_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, hash of the text, n, two hashes of the set, and for each of its size ranges parity bits and bound."""
+def _packed(doc_id: int | None, text_hash: int, found: np.ndarray, sizes: Sizes) -> bytes:
+    with np.errstate(over="ignore"):
+        h2 = int(mixed(found * np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64))
+    ranges = sizes.ranges(len(found)) if len(found) else range(0)
+    parts = [_HEAD.pack(doc_id is not None, doc_id or 0, text_hash, len(found), h2, ranges.start & 255)]
+    for k in ranges:
+        bits = parity(found, sizes.bits(k))
+        parts += [struct.pack("<ii", sizes.differing(k), len(bits)), bits]
+    return b"".join(parts)
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = _sizes(percent)
-        for batch in batches:
-            for first, data, bounds in blocks(batch.column(2)):
-                n, h1, h2, bits, most, low = [], [], [], [], [], []
-                for found in shingle_sets(data, bounds, width):
-                    n.append(len(found))
-                    h1.append(set_hash(found))
-                    with np.errstate(over="ignore"):
-                        h2.append(int(mixed(found * np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64)))
-                    ranges = sizes.ranges(len(found)) if len(found) else range(0)
-                    bits.append([parity(found, sizes.bits(k)) for k in ranges])
-                    most.append([sizes.differing(k) for k in ranges])
-                    low.append(ranges.start & 255)
-                given = [batch.column(c).slice(first, len(n)) for c in (0, 1)]
-                columns = [*given, *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(bits, pa.list_(pa.binary())), pa.array(most, pa.list_(pa.int32())), pa.array(low, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SETS.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(described, SETS)
-
-
-def key_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, node) for every part of every set; of equal sets a task gives the keys once."""
+
+def _unpacked(info: bytes) -> tuple:
+    known, doc_id, text_hash, n, h2, low = _HEAD.unpack_from(info)
+    at, bits, most = _HEAD.size, [], []
+    while at < len(info):
+        bound, size = struct.unpack_from("<ii", info, at)
+        bits.append(info[at + 8 : at + 8 + size])
+        most.append(bound)
+        at += 8 + size
+    return doc_id if known else None, text_hash, n, h2, bits, most, low
+
+
+def keyed_rows(docs: DataFrame, width: int, percent: int, secret: int) -> DataFrame:
+    """The rows of KEYED, from one pass over the texts. Of equal sets a task gives the keys once."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, seen = _sizes(percent), set()
         for batch in batches:
-            for _, data, bounds in blocks(batch.column(0)):
-                keys, nodes = [], []
-                for found in shingle_sets(data, bounds, width):
+            ids, hashes = (batch.column(c).to_pylist() for c in (0, 1))
+            at = 0
+            for _, data, bounds in blocks(batch.column(2)):
+                keys, nodes, infos = [], [], []
+                for found in shingle_sets(data, bounds, width, secret):
                     node = set_hash(found)
-                    if len(found) and node not in seen:
+                    infos.append((node, _packed(ids[at], hashes[at], found, sizes)))
+                    if len(found) and ids[at] is not None and node not in seen:
                         seen.add(node)
                         keys += [part_keys(found, sizes, k) for k in sizes.ranges(len(found))]
                         nodes += [np.full(len(x), node) for x in keys[len(nodes) :]]
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                    at += 1
+                own = np.array([node for node, _ in infos], dtype=np.int64)
+                spread_over = mixed(own.view(np.uint64) + np.arange(len(own), dtype=np.uint64)).view(np.int64)  # equal sets too
+                n_keys = sum(map(len, keys))
+                info = pa.concat_arrays([pa.nulls(n_keys, pa.binary()), pa.array([x for _, x in infos], pa.binary())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, spread_over])), pa.array(np.concatenate([*nodes, own])), info], ["key", "node", "info"])
             if len(seen) > REMEMBERED:
                 seen.clear()
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(keyed, "key long, node long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(keyed, KEYED)
 
 
 def by_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -153,13 +164,24 @@ def _run_starts(keys: np.ndarray) -> np.ndarray:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and node, the nodes of each key that has several, under a name made of them.
+    """Of rows sorted by key and node, the nodes of each key that has several, under a name made of them; and the rows that describe sets.
 
     Parts on which the same sets agree have one name, so near copies are compared once, not once a part.
     """
     seen: set[int] = set()
+    names = [f.split()[0] for f in NAMED.split(", ")]
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32()]
     for table in by_runs(batches):
-        key, node = (c.to_numpy() for c in table.columns)
+        described = table.filter(table.column("info").is_valid())
+        if described.num_rows:
+            rows = [_unpacked(x) for x in described.column("info").to_pylist()]
+            nodes = described.column("node").combine_chunks()
+            own = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), nodes, *own], names)
+            table = table.filter(table.column("info").is_null())
+        if not table.num_rows:
+            continue
+        key, node = (table.column(c).to_numpy() for c in ("key", "node"))
         new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
         key, node = key[new].view(np.uint64), node[new]
         starts = _run_starts(key)
@@ -168,13 +190,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = mixed(np.add.reduceat(mixed(node.view(np.uint64)), starts))
         name = ((name & ~np.uint64(255)) | (key[starts] & np.uint64(255))).view(np.int64)
         several = np.flatnonzero(counts > 1)
-        names, at = np.unique(name[several], return_index=True)
-        fresh = np.array([x not in seen for x in names.tolist()], dtype=bool)
-        seen.update(names[fresh].tolist())
+        found, at = np.unique(name[several], return_index=True)
+        fresh = np.array([x not in seen for x in found.tolist()], dtype=bool)
+        seen.update(found[fresh].tolist())
         chosen = np.zeros(len(starts), dtype=bool)
         chosen[several[at[fresh]]] = True
         rows = np.repeat(chosen, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, counts)[rows]), pa.array(node[rows])], ["name", "member"])
+        if rows.any():
+            n = int(rows.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, counts)[rows]), pa.array(node[rows]), *[pa.nulls(n, kind) for kind in kinds[2:]]], names)
         if len(seen) > REMEMBERED:
             seen.clear()
 
@@ -198,28 +222,97 @@ def spread(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[
                 todo.extend(near.tolist())
 
 
-def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect the sets of each group as far as their parity bits allow.
+EDGES = "name long, root long, u long, v long"
+
+
+def _bit_rows(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=np.uint64).reshape(len(packed), len(packed[0]) // 8)
 
-    Columns: name, node, bits, most. Two sets are apart if more bits differ than elements may.
-    Gives name, root, u, v: sets of one name and root are tied together, those of different roots are apart.
+
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, int]]]]:
+    """Of rows (group, node, bits, most) sorted by group: each group, its nodes, and edges (root, a, b) that connect them as far as their parity bits allow.
+
+    Two sets are apart if more bits differ than elements may.
     """
     for table in by_runs(batches):
         keys, nodes = table.column(0).to_numpy(), table.column(1).to_numpy()
-        packed = table.column(2).to_pylist()
-        most, starts = table.column(3).to_numpy(), _run_starts(keys)
-        ties = []
+        packed, most, starts = table.column(2).to_pylist(), table.column(3).to_numpy(), _run_starts(keys)
         for i, j in zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist(), strict=True):
-            width = len(packed[i])
-            bits = np.frombuffer(b"".join(packed[i:j]), dtype=np.uint64).reshape(j - i, width // 8)
-            bound = int(most[i])
+            bits, bound = _bit_rows(packed[i:j]), int(most[i])
             near = lambda x, rest, bits=bits, bound=bound: rest[np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1) <= bound]
-            ties += [(keys[i], nodes[i + root], nodes[i + a], nodes[i + b]) for root, a, b in spread(j - i, near)]
-        yield pa.RecordBatch.from_arrays([pa.array([t[c] for t in ties], pa.int64()) for c in range(4)], ["name", "root", "u", "v"])
+            yield int(keys[i]), nodes[i:j], list(spread(j - i, near))
+
+
+def _edge_batch(ties: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([t[c] for t in ties], pa.int64()) for c in range(4)], ["name", "root", "u", "v"])
+
+
+def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """name, root, u, v of the ties of each group: sets of one name and root are tied together, those of different roots are apart."""
+    for name, nodes, ties in _ties(batches):
+        if ties:
+            yield _edge_batch([(name, nodes[root], nodes[a], nodes[b]) for root, a, b in ties])
+
+
+def _near_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, member, bits, most, root, root_bits) with `near`: whether the parity bits let the member be similar to the root."""
+    for batch in batches:
+        if batch.num_rows:
+            near = np.zeros(batch.num_rows, dtype=bool)
+            widths = np.array([len(x) for x in batch.column(2).to_pylist()])
+            for width in np.unique(widths):
+                at = np.flatnonzero(widths == width)
+                own, root = (_bit_rows(batch.column(c).take(pa.array(at)).to_pylist()) for c in (2, 5))
+                near[at] = np.bitwise_count(own ^ root).sum(axis=1) <= batch.column(3).to_numpy()[at]
+            yield batch.select([0, 1, 2, 3, 4]).append_column("near", pa.array(near))
+
+
+#: Members of a group that one task compares with each other; larger groups are peeled and cut.
+HOT_GROUP = 4096
+#: How often a large group is compared with one of its members before what is left is cut into tiles.
+PEELS = 3
+
+
+def _hot_edges(hot: DataFrame, dealt: int) -> DataFrame:
+    """Ties of groups with more than HOT_GROUP members, from (name, member, bits, most), spread over tasks.
+
+    A large group is most often one of near copies: every member is compared with the first one, on its own, and those near it are done. After
+    PEELS rounds, what is still large is cut into blocks, and each pair of blocks is compared in a task. Ties found
+    there have the name as their root, so all of them count as tied together; that is more than they are, never less.
+    """
+    found, rest = None, shared.written(hot, "hot")
+    for _ in range(PEELS):
+        first = rest.groupBy(F.col("name").alias("_name")).agg(F.min("member").alias("root"), F.count("*").alias("_n"))
+        first = first.join(rest.select(F.col("name").alias("_m"), "member", F.col("bits").alias("root_bits")), (F.col("_name") == F.col("_m")) & (F.col("root") == F.col("member"))).drop("_m", "member")
+        first = shared.written(first, "roots")
+        large = first.where(F.col("_n") > HOT_GROUP)
+        if large.isEmpty():
+            break
+        asked = rest.join(F.broadcast(large) if large.count() <= BROADCAST_IDS // 10 else large, F.col("name") == F.col("_name"))
+        peeled = shared.written(asked.select("name", "member", "bits", "most", "root", "root_bits").mapInArrow(_near_root, "name long, member long, bits binary, most int, root long, near boolean"), "peeled")
+        ties = peeled.where("near AND member <> root").select("name", "root", F.col("root").alias("u"), F.col("member").alias("v"))
+        found = ties if found is None else found.union(ties)
+        small = rest.join(large.select(F.col("_name")), F.col("name") == F.col("_name"), "left_anti")
+        rest = shared.written(peeled.where("NOT near").select("name", "member", "bits", "most").union(small.select("name", "member", "bits", "most")), "hot")
+    sizes = rest.groupBy(F.col("name").alias("_name")).agg(F.ceil(F.count("*") / HOT_GROUP).cast("int").alias("_k"))
+    rows = rest.join(sizes, F.col("name") == F.col("_name")).withColumn("_b", F.pmod(F.xxhash64("member"), F.col("_k")).cast("int"))
+    few = rows.where("_k = 1").select("name", "member", "bits", "most").repartition(dealt, "name").sortWithinPartitions("name", "member").mapInArrow(_candidate_edges, EDGES)
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda c: F.struct(F.least(c, "_b").alias("low"), F.greatest(c, "_b").alias("high"))))
+    tiles = rows.where("_k > 1").withColumn("_t", pair).select(F.xxhash64("name", "_t.low", "_t.high").alias("tile"), "member", "bits", "most", "name")
+
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_runs(batches):
+            names = dict(zip(table.column(0).to_pylist(), table.column(4).to_pylist(), strict=True))
+            for tile, nodes, ties in _ties(iter(table.to_batches())):
+                if ties:
+                    yield _edge_batch([(names[tile], names[tile], nodes[a], nodes[b]) for _, a, b in ties])
+
+    cut = tiles.repartition(dealt, "tile").sortWithinPartitions("tile", "member").mapInArrow(tied, EDGES)
+    return (few if found is None else found.union(few)).union(cut)
 
 
 class PrefixTree:
-    """Sets as paths in a compressed prefix tree, elements in one global order, rare ones first.
+    """Sets as paths in a compressed prefix tree, elements in the one order that holds in all trees: that of their hashes.
 
     A search walks the tree with the overlap so far, so sets with a common beginning share it,
     and leaves a subtree when even all that is left on the shorter side could not make the
@@ -231,10 +324,8 @@ class PrefixTree:
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent, self.n = percent, len(sets)
         sizes = np.array([len(s) for s in sets])
-        values, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(values), dtype=np.int64)
-        rank[np.argsort(counts, kind="stable")] = np.arange(len(values))
-        paths = [np.sort(p) for p in np.split(rank[ids], np.cumsum(sizes)[:-1])]
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        paths = np.split(ids.astype(np.int64), np.cumsum(sizes)[:-1])  # numbered in the order of the hashes, as the sets are
         self.order = sorted(range(self.n), key=lambda i: paths[i].astype(">i8").tobytes())
         self.place = np.argsort(self.order)
         self.paths = [paths[i] for i in self.order]
@@ -318,12 +409,10 @@ def linked_sets(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int
     return ((a, b) for _, a, b in spread(len(sets), tree.search))
 
 
-def _own_sets(nodes: list[int], texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Node and set of each text; a text of the same doc_id with another set is left out."""
+def _sets_of(nodes: list[int], texts: pa.Array, width: int, secret: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Node and set of each text."""
     for first, data, bounds in blocks(texts):
-        for node, found in zip(nodes[first:], shingle_sets(data, bounds, width), strict=False):
-            if set_hash(found) == node:
-                yield node, found
+        yield from zip(nodes[first : first + len(bounds) - 1], shingle_sets(data, bounds, width, secret), strict=True)
 
 
 def _tree_table(sets: dict[int, np.ndarray], percent: int) -> pa.Table:
@@ -333,14 +422,7 @@ def _tree_table(sets: dict[int, np.ndarray], percent: int) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _text_links(width: int, percent: int):
-    def links(group: pa.Table) -> pa.Table:
-        return _tree_table(dict(_own_sets(group.column("node").to_pylist(), pa.concat_arrays(group.column("text").chunks), width)), percent)
-
-    return links
-
-
-def _tile_links(percent: int):
+def _tree_links(percent: int):
     def links(group: pa.Table) -> pa.Table:
         sets = zip(group.column("node").to_pylist(), group.column("shingles").to_pylist(), strict=True)
         return _tree_table({node: np.frombuffer(found, dtype=np.uint64) for node, found in sets}, percent)
@@ -348,13 +430,13 @@ def _tile_links(percent: int):
     return links
 
 
-def _set_bytes(width: int):
+def _set_bytes(width: int, secret: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                own = [(node, found.tobytes()) for node, found in _own_sets(part.column(0).to_pylist(), part.column(1), width)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], ["node", "shingles"])
+                own = [found.tobytes() for _, found in _sets_of(part.column(0).to_pylist(), part.column(1), width, secret)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary()), *part.columns[2:]], ["node", "shingles", "component"])
 
     return rows
 
@@ -420,43 +502,52 @@ def _large_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     same = (F.col("name") == F.col("_name")) & (F.col("root") == F.col("_root")) & ((F.col("part") % 2 == 1) | (F.col("_part") % 2 == 1))
     tiles = inside.join(F.broadcast(met) if few else met, same).select("component", F.least("part", "_part").alias("low"), F.greatest("part", "_part").alias("high"), "node")
     tiles = shared.written(tiles.distinct(), "tiles").join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
-    return links.union(tiles.groupBy("component", "low", "high").applyInArrow(_tile_links(percent), "u long, v long"))
+    return links.union(tiles.groupBy("component", "low", "high").applyInArrow(_tree_links(percent), "u long, v long"))
 
 
 def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n and component_id of each row."""
     spark = docs.sparkSession
-    rows = shared.written(set_rows(docs, width, percent), "sets")
+    dealt = shared.partitions(spark)
+    secret, other = secrets.randbits(64), secrets.randbits(64)  # drawn for this run; what the first finds the second verifies
+    keys = keyed_rows(docs, width, percent, secret).repartition(dealt, "key").sortWithinPartitions("key", "node")
+    found = shared.written(keys.mapInArrow(_groups, NAMED), "sets")
+    rows = found.where("name IS NULL").withColumnRenamed("member", "h1").drop("name")
     full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = full.groupBy("h1", "h2").agg(*[F.any_value(c).alias(c) for c in ("bits", "most", "low_range")])
 
-    dealt = shared.partitions(spark)
-    keys = key_rows(docs, width, percent).repartition(dealt, "key").sortWithinPartitions("key", "node")
-    named = keys.mapInArrow(_groups, "name long, member long").distinct()
+    named = found.where("name IS NOT NULL").select("name", "member").distinct()
     joined = named.join(reps, F.col("member") == F.col("h1")).withColumn("slot", F.pmod(F.col("name").bitwiseAND(255) - F.col("low_range"), F.lit(256)))
-    joined = joined.select("name", "member", F.expr("bits[slot]").alias("bits"), F.expr("most[slot]").alias("most"))
-    edges = joined.repartition(dealt, "name").sortWithinPartitions("name", "member").mapInArrow(_candidate_edges, "name long, root long, u long, v long")
+    joined = shared.written(joined.select("name", "member", F.expr("bits[slot]").alias("bits"), F.expr("most[slot]").alias("most")), "groups")
+    hot = shared.written(joined.groupBy(F.col("name").alias("_hot")).count().where(F.col("count") > HOT_GROUP).select("_hot"), "hot-names")
+    calm = joined if hot.isEmpty() else joined.join(hot, F.col("name") == F.col("_hot"), "left_anti")
+    edges = calm.repartition(dealt, "name").sortWithinPartitions("name", "member").mapInArrow(_candidate_edges, EDGES)
+    if not hot.isEmpty():
+        edges = edges.union(_hot_edges(joined.join(hot, F.col("name") == F.col("_hot"), "left_semi"), dealt))
     edges = shared.written(edges, "pairs")
     groups = shared.written(components(edges.select("u", "v")), "candidates")
 
-    first = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    members = groups.join(first.select(F.col("h1").alias("_h"), "first"), F.col("node") == F.col("_h")).drop("_h")
+    first = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"), F.count("*").alias("copies"), F.any_value("n").alias("n"))
+    first = first.select("h1", "h2", F.col("f.doc_id").alias("first"), F.col("f.text_hash").alias("first_text"), "copies", "n")
+    members = groups.join(first.select(F.col("h1").alias("_h"), "first", "first_text", "n"), F.col("node") == F.col("_h")).drop("_h")
     members = shared.written(members, "members")
-    large = members.groupBy("component").count().where(F.col("count") > TREE_SETS).select("component")
+    large = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).where((F.col("sets") > TREE_SETS) | (F.col("elements") > TREE_ELEMENTS)).select("component")
     large = shared.written(large, "large")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
-    def with_texts(picked: DataFrame) -> DataFrame:
+    def with_sets(picked: DataFrame) -> DataFrame:
+        picked = picked.select("node", "first", "first_text", "component")
         few = picked.count() <= BROADCAST_IDS
-        return texts.join(F.broadcast(picked) if few else picked, F.col("doc_id") == F.col("first"))
+        same = (F.col("doc_id") == F.col("first")) & (F.col("text_hash") == F.col("first_text"))
+        rows = texts.join(F.broadcast(picked) if few else picked, same).select("node", "text", "component")
+        return rows.mapInArrow(_set_bytes(width, other), "node long, shingles binary, component long")
 
     any_large = not large.isEmpty()
     small = shared.written(members.join(large, "component", "left_anti"), "small") if any_large else members
-    links = with_texts(small).groupBy("component").applyInArrow(_text_links(width, percent), "u long, v long")
+    links = with_sets(small).groupBy("component").applyInArrow(_tree_links(percent), "u long, v long")
     if any_large:
-        big = shared.written(members.join(large, "component", "left_semi").select("node", "first", "component"), "big")
-        sets = with_texts(big).select("node", "text").mapInArrow(_set_bytes(width), "node long, shingles binary")
-        sets = shared.written(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingles")
+        big = shared.written(members.join(large, "component", "left_semi"), "big")
+        sets = shared.written(with_sets(big).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingles")
         pairs = edges.join(big.select(F.col("node").alias("_n"), "component"), F.col("v") == F.col("_n")).drop("_n")
         links = links.union(_large_links(shared.written(pairs, "large-pairs"), sets, percent))
     found = shared.written(components(links).withColumnRenamed("component", "_c"), "found")
@@ -480,12 +571,17 @@ def similar_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     1. Equal sets become one, by a partially aggregated minimum of doc_id.
     2. Similar sets agree on one part at least of a partition of the shingles (see `Sizes`), so
        sets that share a part's key are candidates. Within a key, parity bits rule out sets that
-       differ in too many elements, and the rest is tied together by few edges.
+       differ in too many elements, and the rest is tied together by few edges. Groups of more than
+       HOT_GROUP sets are spread over tasks (see `_hot_edges`).
     3. Components of those edges hold every link. Each of up to TREE_SETS sets is joined exactly in a
        prefix tree. In larger ones the edges are verified one by one, and only sets that these leave
        apart and that share a key meet in trees (see `_large_links`). Links become the components of the result.
 
-    Nothing is sampled or capped. Null text: no words. Null doc_id: n_shingles is given,
+    Words are hashed under two keys drawn for the run: the first finds candidates, and whether two different sets
+    are similar is decided by the second, so no two words can be made to collide. Sets are taken as equal by 128 bits of the first.
+
+    Nothing is sampled or capped. Very long texts: a text's words and shingles are held by one task at a time, some 40 bytes a
+    byte of text, and its set crosses a shuffle as one value, so that a text must stay below 2 GB. Null text: no words. Null doc_id: n_shingles is given,
     component_id is null and the row links with nothing. Repeated rows are copies of one
     another; rows that share only the doc_id have each their own set. Empty table: no rows. Other columns are ignored.
     """
@@ -511,6 +607,7 @@ def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def op9_prefix_tree_join(spark, sf_dir):
+    """Documents tied by 90 % of their 3-word shingles; see `similar_components`."""
     return similar_components(shared.documents(spark, sf_dir), width=3, percent=90)
 
 

@@ -55,8 +55,27 @@ def blocks(texts: pa.Array, limit: int = SPAN) -> Iterator[tuple[int, np.ndarray
         total += n or 0
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, and how many words each text has."""
+#: Places of a word for which a table holds the numbers of all bytes; further ones are computed.
+PLACES = 48
+
+
+@lru_cache(maxsize=4)
+def _numbers(key: int) -> np.ndarray:
+    """A number for every byte at each of the first places of a word, drawn by the key."""
+    return _number(np.arange(PLACES << 8, dtype=np.uint64), key)
+
+
+def _number(place_and_byte: np.ndarray, key: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(mixed(place_and_byte * BASE + np.uint64(key & (2**64 - 1))) ^ np.uint64((key * 0xD6E8FEB86659FD93 + 1) & (2**64 - 1)))
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and how many words each text has.
+
+    A word's hash is the sum of numbers drawn by `key` for each of its bytes at its place: two words
+    collide with a chance of 2**-64, whatever they are, as long as the key is drawn behind them.
+    """
     n = len(data)
     inside = ~_SPACE[data]
     edge = np.zeros(n + 1, dtype=bool)
@@ -65,18 +84,29 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     behind = np.append(inside[1:], False) if n else inside
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
     ends = np.flatnonzero(inside & (~behind | edge[1:])) + 1
-    up, down = powers(n + 1)
+    counts = np.diff(np.searchsorted(starts, bounds))
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), counts
+    sizes = ends - starts
+    firsts = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
+    at <<= 8
+    at |= _LOWER[data[inside]]
+    if int(sizes.max()) > PLACES:
+        far = np.flatnonzero(at >= PLACES << 8)
+        numbers = _numbers(key).take(at, mode="clip")
+        numbers[far] = _number(at[far].astype(np.uint64), key)
+    else:
+        numbers = _numbers(key).take(at)
     with np.errstate(over="ignore"):
-        sums = np.append(np.uint64(0), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64))
-        hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(starts, bounds))
+        return mixed(np.add.reduceat(numbers, firsts) + sizes.astype(np.uint64)), counts
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int, key: int) -> Iterator[np.ndarray]:
     """The sorted set of shingle hashes of each text; a text of fewer words has one for all of it."""
-    words, counts = word_hashes(data, bounds)
+    words, counts = word_hashes(data, bounds, key)
+    factors = [np.uint64(x | 1) for x in _number(np.arange(width, dtype=np.uint64), ~key)]
     with np.errstate(over="ignore"):
-        factors = [np.uint64(pow(0xD1342543DE82EF95, i + 1, 1 << 64)) for i in range(width)]
         rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
         for i, factor in enumerate(factors):
             rolled += words[i : i + len(rolled)] * factor
@@ -85,8 +115,8 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[n
             if n >= width:
                 yield np.unique(rolled[at : at + n - width + 1])
             elif n:
-                short = sum((words[at + i] * factors[i] for i in range(n)), np.uint64(n))
-                yield mixed(np.array([short ^ np.uint64(0x5851F42D4C957F2D)], dtype=np.uint64))
+                short = sum((words[at + i : at + i + 1] * factors[i] for i in range(n)), np.full(1, n, dtype=np.uint64))
+                yield mixed(short ^ np.uint64(0x5851F42D4C957F2D))
             else:
                 yield np.zeros(0, dtype=np.uint64)
             at += n

@@ -310,6 +310,34 @@ def test_large_components_are_exact(spark, monkeypatch, written, width, percent)
     assert 3 < len(set(label)) < len(texts) and sum(written["tiles"]) > 0
 
 
+def opposite(n):
+    """Two words of n letters that every polynomial modulo a power of two takes for one."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_take_for_one(spark):
+    a, b = opposite(2048)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, b.upper()), (4, f"x {a} y z"), (5, f"x {b} y z")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.similar_components(docs, 3, 90).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (4, 2, 4), (5, 2, 5)]
+
+
+@pytest.mark.parametrize("group", [3, 8])
+def test_hot_groups_are_peeled_and_cut(spark, monkeypatch, written, group):
+    """Two clusters that share a part, and sets that share it and nothing else."""
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join(common + [f"{k}w{i}" for i in range(60)] + [f"v{n}"] * (n > 0)) for k in range(2) for n in range(20)]
+    texts += [" ".join(common + [f"o{n}w{i}" for i in range(60)]) for n in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = [0] * 20 + [20] * 20 + list(range(40, 60))
+    monkeypatch.setattr(jaccard, "HOT_GROUP", group)
+    found = {r.doc_id: r.component_id for r in jaccard.similar_components(docs, 1, 60).collect()}
+    assert [found[i] for i in range(60)] == wanted
+    assert sum(written["hot"]) > 0
+
+
 @pytest.mark.parametrize("percent", [90, 80, 50])
 def test_prefix_tree(percent):
     import random
