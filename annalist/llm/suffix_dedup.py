@@ -2,13 +2,17 @@
 
 Sorting every suffix of a corpus is far more work than the repeats in it need. Each string of
 `length` bytes is therefore named by its anchor, the substring of ANCHOR bytes with the least
-hash; equal strings have equal anchors at equal offsets. Only strings whose anchor occurs
-elsewhere in another surrounding are sorted, as suffixes, by comparisons on prefix hashes.
+hash; equal strings have equal anchors at equal offsets. Where an anchor occurs in several
+surroundings, their strings are sorted as suffixes, by comparisons on prefix hashes, and equal neighbours are
+compared byte by byte. Whole surroundings that are equal, and the strings around anchors that very many
+texts share, are told by 128-bit digests of their bytes, which no known input makes collide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +29,75 @@ ANCHOR_SHARE = 0.6
 SPAN = (1 << 21) - 8192
 #: Surroundings of one anchor that are sorted in one task; anchors with more go by single strings.
 MOST_SORTED = 512
-
-C1, C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
-ROWS = "kind int, key long, ctx long, doc_id long, row long, at long, info long"
+#: Surroundings of one anchor that a batch of texts sends to the anchor's task; where it has more they go by single strings at once.
+HOT = 64
+
+#: Kinds of rows: spans that are final (key: a hash of the row, ctx: end, at: start), surroundings of anchors, and surroundings
+#: that go by single strings (under a key of their own). A surrounding with info MARK only tells that there are such.
+SPAN_ROW, AROUND, CROWDED, MARK = 0, 1, 2, -1
+ROWS = "kind int, key long, ctx long, ctx2 long, doc_id long, row long, at long, info long"
+SORTED = ["key", "kind", "ctx", "ctx2", "doc_id", "row", "at", "info"]
 SPANS = "doc_id long, row long, start long, end long"
 
 
-class Hashes:
-    """Prefix polynomial hashes of bytes: hashes of all substrings, and order of suffixes."""
+class Rolling:
+    """Hashes of all substrings modulo 2**64, to choose anchors by. That others collide does no harm there."""
 
     def __init__(self, data: np.ndarray):
-        self.data = data
-        self.up, self.down = powers(len(data) + 1)
+        up, self.down = powers(len(data) + 1)
         with np.errstate(over="ignore"):
-            terms = (data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)]
-            self.sums = np.append(np.uint64(0), np.cumsum(terms, dtype=np.uint64))
+            self.sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64))
 
     def of(self, start: np.ndarray, size) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (self.sums[start + size] - self.sums[start]) * self.down[start]
 
+
+#: A prime below 2**50, so that products modulo it can be had from doubles.
+PRIME = 2**50 - 27
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME: the quotient from doubles is off by one at most."""
+    with np.errstate(over="ignore"):
+        rest = (a * b - (a.astype(np.float64) * b.astype(np.float64) / PRIME).astype(np.uint64) * np.uint64(PRIME)).view(np.int64)
+    rest = np.where(rest < 0, rest + PRIME, rest)
+    return np.where(rest >= PRIME, rest - PRIME, rest).view(np.uint64)
+
+
+@lru_cache(maxsize=2)
+def _geometric(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME for i < n."""
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        out = np.append(out, times(out, np.full(len(out), pow(base, len(out), PRIME), dtype=np.uint64)))
+    return out
+
+
+def _running(values: np.ndarray) -> np.ndarray:
+    """Running sums modulo PRIME of numbers below it."""
+    rows = -(-len(values) // 8192)
+    grid = np.zeros(rows * 8192, dtype=np.uint64)
+    grid[: len(values)] = values
+    grid = np.cumsum(grid.reshape(rows, 8192), axis=1, dtype=np.uint64) % np.uint64(PRIME)
+    if rows > 1:
+        grid[1:] += _running(grid[:, -1])[:-1, None]
+    return grid.ravel()[: len(values)] % np.uint64(PRIME)
+
+
+class Hashes:
+    """Prefix polynomial hashes of bytes modulo a prime: hashes of all substrings, and order of suffixes."""
+
+    def __init__(self, data: np.ndarray, base: int = 0x2A5C_1D2E_37B9):
+        self.data, n = data, 1 << (len(data) + 1).bit_length()
+        up, self.down = _geometric(base, n), _geometric(pow(base, -1, PRIME), n)
+        terms = (data.astype(np.uint64) + np.uint64(1)) * up[: len(data)] % np.uint64(PRIME)
+        self.sums = np.append(np.uint64(0), _running(terms))
+
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        between = self.sums[start + size] + np.uint64(PRIME) - self.sums[start]
+        return times(np.where(between >= PRIME, between - np.uint64(PRIME), between), self.down[start])
+
     def common(self, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
         """Length of the common beginning of suffixes, `most` at most, by binary search."""
         out = np.full(len(p), most)
@@ -118,12 +171,12 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """The anchors of all strings of `length` bytes inside the pieces data[bounds[i]:bounds[i + 1]].
 
-    Returns for each run of strings that share an anchor: first and last start, anchor's place,
-    anchor's hash, hash of the surrounding from the first start to the last string's end.
+    Returns for each run of strings that share an anchor: first and last start, anchor's place and
+    hash, and in two halves the digest of the surrounding, from the first start to the last string's end.
     """
     size = max(1, int(length * ANCHOR_SHARE))
-    hashes, n = Hashes(data), len(data)
-    grams = mixed(hashes.of(np.arange(n - size + 1), size))
+    n = len(data)
+    grams = mixed(Rolling(data).of(np.arange(n - size + 1), size))
     mask = np.uint64((1 << int(n).bit_length()) - 1)
     owner = (window_minima((grams & ~mask) | np.arange(len(grams), dtype=np.uint64), length - size + 1) & mask).astype(np.int64)
     inside = np.ones(len(owner), dtype=bool)
@@ -134,9 +187,17 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
     last = np.append(first[1:], len(owner)) - 1
     first, last = first[inside[first]], last[inside[first]]
     at = owner[first]
+    ctx = digests(data, first, last + length)
     with np.errstate(over="ignore"):
-        around = hashes.of(first, last - first + length) + (at - first).astype(np.uint64) * C1 + (at - last).astype(np.uint64) * C2
-    return first, last, at, grams[at].view(np.int64), mixed(around).view(np.int64)
+        ctx[:, 0] += (at - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    return first, last, at, grams[at].view(np.int64), ctx[:, 0].view(np.int64), ctx[:, 1].view(np.int64)
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of a cryptographic digest of each range of bytes, as two numbers: equal ones are taken for equal bytes."""
+    raw = memoryview(np.ascontiguousarray(data))
+    found = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(found, dtype=np.uint64).reshape(-1, 2).copy()
 
 
 def _pieces(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -173,19 +234,30 @@ def _combined(columns: list[np.ndarray], doc_ids: pa.Array, texts: np.ndarray, l
 
     Where a surrounding occurs twice in the batch, all its places are known to repeat: their
     spans are final, and one row marked by n = 2 stands for them. So copies and common
-    passages leave a task as single rows.
+    passages leave a task as single rows. An anchor with more than HOT surroundings is crowded: its
+    rows are dealt out one by one, and its own task only gets a mark.
     """
-    key, ctx, row, at, first, last = columns
-    order = np.lexsort((ctx, key))
-    key, ctx, row, at, first, last, texts = (x[order] for x in (key, ctx, row, at, first, last, texts))
-    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]))) if len(key) else np.zeros(0, np.int64)
+    key, ctx, ctx2, row, at, first, last = columns
+    order = np.lexsort((ctx2, ctx, key))
+    key, ctx, ctx2, row, at, first, last, texts = (x[order] for x in (key, ctx, ctx2, row, at, first, last, texts))
+    new_key = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, dtype=bool)
+    starts = np.flatnonzero(new_key | np.append(True, (ctx[1:] != ctx[:-1]) | (ctx2[1:] != ctx2[:-1]))) if len(key) else np.zeros(0, np.int64)
     counts = np.diff(np.append(starts, len(key)))
     repeated = np.flatnonzero(np.repeat(counts > 1, counts))
     span_row, span_start, span_end, span_text = _merged(row[repeated], first[repeated], last[repeated] + length, texts[repeated])
     info = _packed(first[starts], last[starts], at[starts], np.minimum(counts, 2))
-    docs = doc_ids.take(pa.array(np.concatenate([texts[starts], span_text])))
-    n, m = len(starts), len(span_row)
-    out = [np.append(np.ones(n, np.int32), np.zeros(m, np.int32)), np.append(key[starts], mixed(span_row.view(np.uint64)).view(np.int64)), np.append(ctx[starts], span_end), docs, np.append(row[starts], span_row), np.append(at[starts], span_start), np.append(info, np.zeros(m, np.int64))]
+    heads = np.flatnonzero(new_key[starts])
+    hot = np.diff(np.append(heads, len(starts))) > HOT
+    crowded, marks = np.repeat(hot, np.diff(np.append(heads, len(starts)))), starts[heads[hot]]
+    own = np.where(crowded, ctx[starts], key[starts])
+    docs = doc_ids.take(pa.array(np.concatenate([texts[starts], span_text, texts[marks]])))
+    n, m, k = len(starts), len(span_row), len(marks)
+    zero = np.zeros(k, np.int64)
+    out = [
+        np.concatenate([np.where(crowded, CROWDED, AROUND), np.full(m, SPAN_ROW), np.full(k, AROUND)]), np.concatenate([own, mixed(span_row.view(np.uint64)).view(np.int64), key[marks]]),
+        np.concatenate([ctx[starts], span_end, zero]), np.concatenate([ctx2[starts], np.zeros(m, np.int64), zero]), docs,
+        np.concatenate([row[starts], span_row, row[marks]]), np.concatenate([at[starts], span_start, zero]), np.concatenate([info, np.zeros(m, np.int64), np.full(k, MARK)]),
+    ]
     return _batch(out, ROWS)
 
 
@@ -215,11 +287,11 @@ def _found_anchors(length: int):
             for pieces in _pieces(sizes, length):
                 parts = [np.frombuffer(data_of[i].as_buffer(), dtype=np.uint8)[begin:end] for i, begin, end in pieces]
                 bounds = np.append(0, np.cumsum([len(p) for p in parts]))
-                first, last, at, key, ctx = anchors(np.concatenate(parts), bounds, length)
+                first, last, at, key, ctx, ctx2 = anchors(np.concatenate(parts), bounds, length)
                 piece = np.searchsorted(bounds, first, "right") - 1
                 text = np.array([i for i, _, _ in pieces])[piece]
                 shift = np.array([b for _, b, _ in pieces])[piece] - bounds[piece]
-                columns.append([key, ctx, rows[text], at + shift, first + shift, last + shift])
+                columns.append([key, ctx, ctx2, rows[text], at + shift, first + shift, last + shift])
                 texts.append(text)
             if columns:
                 yield _combined([np.concatenate(c) for c in zip(*columns, strict=True)], batch.column(0), np.concatenate(texts), length)
@@ -228,32 +300,37 @@ def _found_anchors(length: int):
 
 
 def _settled(length: int, keep_open: bool):
-    """From rows sorted by key and surrounding: spans of surroundings seen twice, and the anchors that have several surroundings."""
+    """From rows in the order of SORTED: spans of surroundings seen twice, and the surroundings of anchors that have several, or that are crowded."""
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_runs(batches):
             table = table.combine_chunks()
-            key, ctx, at, info = (table.column(c).to_numpy() for c in ("key", "ctx", "at", "info"))
-            is_span = table.column("kind").to_numpy() == 0
+            kind, key, ctx, ctx2, at, info = (table.column(c).to_numpy() for c in ("kind", "key", "ctx", "ctx2", "at", "info"))
+            is_span, mark = kind == SPAN_ROW, (kind == AROUND) & (info == MARK)
             before, after, n = _unpacked(info)
-            new_key = np.append(True, key[1:] != key[:-1])
-            new = new_key | np.append(True, ctx[1:] != ctx[:-1])
+            n = np.where(is_span | mark, 0, n)
+            new_key = np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))
+            new = new_key | np.append(True, (ctx[1:] != ctx[:-1]) | (ctx2[1:] != ctx2[:-1]))
             starts = np.flatnonzero(new)
             counts = np.diff(np.append(starts, len(key)))
             seen = np.repeat(np.add.reduceat(n, starts), counts)
-            told = np.flatnonzero((seen > 1) & (n == 1) & ~is_span)
+            told = np.flatnonzero((seen > 1) & (n == 1))
             key_starts = np.flatnonzero(new_key)
-            several = np.repeat(np.add.reduceat(new.astype(np.int64), key_starts), np.diff(np.append(key_starts, len(key)))) > 1
-            open_ = np.flatnonzero(new & several & ~is_span) if keep_open else np.zeros(0, np.int64)
+            of_key = np.diff(np.append(key_starts, len(key)))
+            marked = np.repeat(np.add.reduceat(mark.astype(np.int64), key_starts) > 0, of_key) | (kind == CROWDED)
+            first = new & (n > 0)
+            several = np.repeat(np.add.reduceat(first.astype(np.int64), key_starts), of_key) > 1
+            open_ = np.flatnonzero(first & (several | marked)) if keep_open else np.zeros(0, np.int64)
             given = np.flatnonzero(is_span)
             take = lambda name, i: table.column(name).take(pa.array(i)).combine_chunks()
             every = np.concatenate([given, told])
             if len(every):
                 start, end = np.append(at[given], (at - before)[told]), np.append(ctx[given], (at - after)[told] + length)
                 zero = np.zeros(len(every), np.int64)
-                yield _batch([zero.astype(np.int32), zero, end, take("doc_id", every), take("row", every), start, zero], ROWS)
+                yield _batch([zero.astype(np.int32), zero, end, zero, take("doc_id", every), take("row", every), start, zero], ROWS)
             if len(open_):
-                yield _batch([np.ones(len(open_), np.int32), *[take(c, open_) for c in ("key", "ctx", "doc_id", "row", "at", "info")]], ROWS)
+                kinds = np.where(marked[open_], CROWDED, AROUND).astype(np.int32)
+                yield _batch([kinds, *[take(c, open_) for c in ("key", "ctx", "ctx2", "doc_id", "row", "at", "info")]], ROWS)
 
     return settled
 
@@ -263,23 +340,24 @@ def _with_bytes(length: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, info, doc, row, at, data = [], [], [], [], [], []
+            key, info, doc, at, kind, data = [], [], [], [], [], []
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_buffer()
                 for x in batch.column(3)[i].as_py():
-                    before, after, _ = x["info"] >> 34, (x["info"] >> 4) & ((1 << 30) - 1), 0
+                    before, after = x["info"] >> 34, (x["info"] >> 4) & ((1 << 30) - 1)
                     key.append(x["key"])
                     info.append(x["info"])
                     at.append(x["at"])
+                    kind.append(x["kind"])
                     data.append(memoryview(text)[x["at"] - before : x["at"] - after + length].tobytes())
                     doc.append(i)
             take = lambda c: batch.column(c).take(pa.array(doc, pa.int64()))
-            yield _batch([key, take(0), take(1), at, info, data], OPEN)
+            yield _batch([key, take(0), take(1), at, info, data, kind], OPEN)
 
     return cut
 
 
-OPEN = "key long, doc_id long, row long, at long, info long, data binary"
+OPEN = "key long, doc_id long, row long, at long, info long, data binary, kind int"
 
 
 def _sorted_repeats(length: int):
@@ -340,7 +418,7 @@ def _verified(data, p, q, i, j, turn, length: int) -> np.ndarray:
 
 
 def _single_strings(length: int):
-    """Every string around an anchor as a row of its own, named by two hashes."""
+    """Every string around an anchor as a row of its own, named by its digest."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,16 +427,15 @@ def _single_strings(length: int):
             at, info, row = (batch.column(c).to_numpy() for c in (3, 4, 2))
             before, after, _ = _unpacked(info)
             raw = batch.column(5).to_pylist()
-            hashes = Hashes(np.frombuffer(b"".join(raw), dtype=np.uint8))
+            data = np.frombuffer(b"".join(raw), dtype=np.uint8)
             offset = np.append(0, np.cumsum([len(b) for b in raw]))[:-1]
             counts = before - after + 1
             of = np.repeat(np.arange(len(raw)), counts)
             turn = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
             place = offset[of] + turn
-            half = length // 2
-            key, ctx = mixed(hashes.of(place, length)).view(np.int64), mixed(hashes.of(place, half) * C1 + hashes.of(place + half, length - half)).view(np.int64)
+            name = digests(data, place, place + length).view(np.int64)
             start = (at - before)[of] + turn
-            yield _combined([key, ctx, row[of], start, start, start], batch.column(1), of, length)
+            yield _combined([name[:, 0], name[:, 1], np.zeros(len(of), np.int64), row[of], start, start, start], batch.column(1), of, length)
 
     return strings
 
@@ -371,23 +448,24 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     texts = texts.where(F.length("data") >= length)
 
     rows = texts.mapInArrow(_found_anchors(length), ROWS)
-    found = rows.repartition(dealt, "key").select("key", "kind", *[c for c in ("ctx", "doc_id", "row", "at", "info")]).sortWithinPartitions("key", "ctx")
+    found = rows.repartition(dealt, "key").select(*SORTED).sortWithinPartitions("key", "kind", "ctx", "ctx2")
     found = shared.written(found.mapInArrow(_settled(length, True), ROWS), "anchors")
 
-    spans = found.where("kind = 0").select("doc_id", "row", F.col("at").alias("start"), F.col("ctx").alias("end"))
-    opened = found.where("kind = 1")
-    crowded = opened.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SORTED).select(F.col("key").alias("crowded"))
-    by_text = opened.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "at", "info")).alias("open"))
+    spans = found.where(F.col("kind") == SPAN_ROW).select("doc_id", "row", F.col("at").alias("start"), F.col("ctx").alias("end"))
+    opened = found.where(F.col("kind") != SPAN_ROW)
+    crowded = opened.where(F.col("kind") == AROUND).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SORTED).select(F.col("key").alias("crowded"))
+    by_text = opened.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "at", "info", "kind")).alias("open"))
     t, o = texts.alias("t"), by_text.alias("o")
     same = F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("t.row") == F.col("o.row"))
     picked = t.join(o, same).select("t.doc_id", "t.row", "t.data", "o.open")
     around = picked.mapInArrow(_with_bytes(length), OPEN)
-    around = shared.written(around.join(crowded, F.col("key") == F.col("crowded"), "left"), "surroundings")
+    around = around.join(crowded, F.col("key") == F.col("crowded"), "left")
+    around = shared.written(around.withColumn("single", F.col("crowded").isNotNull() | (F.col("kind") == CROWDED)).drop("crowded"), "surroundings")
 
-    few = around.where("crowded IS NULL").drop("crowded").repartition(dealt, "key").sortWithinPartitions("key").mapInArrow(_sorted_repeats(length), SPANS)
-    single = around.where("crowded IS NOT NULL").drop("crowded").mapInArrow(_single_strings(length), ROWS)
-    single = single.repartition(dealt, "key").select("key", "kind", *[c for c in ("ctx", "doc_id", "row", "at", "info")]).sortWithinPartitions("key", "ctx")
-    single = single.mapInArrow(_settled(length, False), ROWS).select("doc_id", "row", F.col("at").alias("start"), F.col("ctx").alias("end"))
+    few = around.where("NOT single").drop("single").repartition(dealt, "key").sortWithinPartitions("key").mapInArrow(_sorted_repeats(length), SPANS)
+    single = around.where("single").drop("single").mapInArrow(_single_strings(length), ROWS)
+    single = single.repartition(dealt, "key").select(*SORTED).sortWithinPartitions("key", "kind", "ctx", "ctx2")
+    single = single.mapInArrow(_settled(length, False), ROWS).where(F.col("kind") == SPAN_ROW).select("doc_id", "row", F.col("at").alias("start"), F.col("ctx").alias("end"))
     return spans.union(few).union(single).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -432,5 +510,6 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def op2_suffix_dedup(spark, sf_dir):
+    """Bytes of 400-byte strings that start anywhere else are removed; see `remove_repeats`."""
     kept = remove_repeats(shared.documents(spark, sf_dir))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -382,9 +382,10 @@ def without_repeats(texts, length):
 
 
 @pytest.mark.parametrize("length", [40, 400])
-@pytest.mark.parametrize("crowd", [512, 1])
-def test_suffix_dedup(docs, empty, length, crowd, monkeypatch):
+@pytest.mark.parametrize("crowd, hot", [(512, 64), (1, 64), (512, 1)])
+def test_suffix_dedup(docs, empty, length, crowd, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST_SORTED", crowd)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = docs.where("length(text) < 5000 OR text IS NULL")
     given = rows.collect()
     wanted = Counter((r.doc_id, *x) for r, x in zip(given, without_repeats([(r.text or "").encode() for r in given], length), strict=True))
@@ -407,6 +408,31 @@ def test_suffix_dedup_of_long_texts_in_pieces(spark, monkeypatch):
     assert [(r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found] == wanted
 
 
+@pytest.mark.parametrize("crowd", [512, 0])
+def test_bytes_that_polynomials_take_for_one(spark, crowd, monkeypatch):
+    """Strings of 2,048 bytes that collide under every polynomial modulo a power of two are different strings."""
+    monkeypatch.setattr(suffix_dedup, "MOST_SORTED", crowd)
+    a, b = opposite(2048)
+    texts = [a, b, "x" + a + "y", "z" + b[:1500] + "q"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = list(without_repeats([t.encode() for t in texts], 1400))
+    found = sorted(suffix_dedup.remove_repeats(rows, 1400).collect())
+    assert [(r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found] == wanted
+    wanted = list(without_repeats([t.encode() for t in texts[:2]], 1400))
+    assert [(r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in sorted(suffix_dedup.remove_repeats(rows.where("doc_id < 2"), 1400).collect())] == wanted
+
+
+def test_prime_hashes():
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, suffix_dedup.PRIME, 5000).astype(np.uint64) for _ in range(2))
+    a[:3], b[:3] = suffix_dedup.PRIME - 1, [suffix_dedup.PRIME - 1, 0, 1]
+    assert suffix_dedup.times(a, b).tolist() == [int(x) * int(y) % suffix_dedup.PRIME for x, y in zip(a, b, strict=True)]
+    data = rng.integers(0, 256, 40_000).astype(np.uint8)
+    hashes = suffix_dedup.Hashes(np.concatenate([data, data]))
+    at = np.arange(0, 39_000, 7)
+    assert (hashes.of(at, 900) == hashes.of(at + 40_000, 900)).all() and len(np.unique(hashes.of(at, 900))) == len(at)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 2, 400).astype(np.uint8)
