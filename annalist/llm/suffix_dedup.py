@@ -23,8 +23,12 @@ from annalist.llm import shared
 from annalist.llm.jaccard import by_runs
 from annalist.llm.shingles import mixed, powers
 
+#: Bytes of strings that are removed where they repeat, and of those that are only reported: some fifty words.
+LENGTH, REPORTED = 400, 260
+#: Longest strings that rows have room for.
+MOST_LENGTH = (1 << 16) - 1
 #: Share of a string's length that its anchor has.
-ANCHOR_SHARE = 0.6
+ANCHOR_SHARE = 0.48
 #: Bytes of text handled at once; longer texts are cut into overlapping pieces.
 SPAN = (1 << 21) - 8192
 #: Surroundings of one anchor that are sorted in one task; anchors with more go by single strings.
@@ -32,12 +36,12 @@ MOST_SORTED = 512
 #: Surroundings of one anchor that a batch of texts sends to the anchor's task; where it has more they go by single strings at once.
 HOT = 64
 
-#: Kinds of rows: spans that are final (key: a hash of the row, ctx: end, at: start), surroundings of anchors, and surroundings
+#: Kinds of rows: spans that are final (key: a hash of the row, ctx: end, ctx2: level, at: start), surroundings of anchors, and surroundings
 #: that go by single strings (under a key of their own). A surrounding with info MARK only tells that there are such.
 SPAN_ROW, AROUND, CROWDED, MARK = 0, 1, 2, -1
 ROWS = "kind int, key long, ctx long, ctx2 long, doc_id long, row long, at long, info long"
 SORTED = ["key", "kind", "ctx", "ctx2", "doc_id", "row", "at", "info"]
-SPANS = "doc_id long, row long, start long, end long"
+SPANS = "doc_id long, row long, start long, end long, level int"
 
 
 class Rolling:
@@ -168,29 +172,29 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """The anchors of all strings of `length` bytes inside the pieces data[bounds[i]:bounds[i + 1]].
+def anchors(data: np.ndarray, bounds: np.ndarray, length: int, reported: int, most: int) -> tuple[np.ndarray, ...]:
+    """The anchors of all strings of `reported` bytes that begin in the first `most` bytes of the pieces data[bounds[i]:bounds[i + 1]].
 
-    Returns for each run of strings that share an anchor: first and last start, anchor's place and
-    hash, and in two halves the digest of the surrounding, from the first start to the last string's end.
+    Returns for each run of strings that share an anchor: first and last start, anchor's place and hash, end of the
+    surrounding, which is that of a string of `length` bytes at the last start or of its piece, and in two halves the surrounding's digest.
     """
-    size = max(1, int(length * ANCHOR_SHARE))
+    size = max(1, int(reported * ANCHOR_SHARE))
     n = len(data)
     grams = mixed(Rolling(data).of(np.arange(n - size + 1), size))
     mask = np.uint64((1 << int(n).bit_length()) - 1)
-    owner = (window_minima((grams & ~mask) | np.arange(len(grams), dtype=np.uint64), length - size + 1) & mask).astype(np.int64)
+    owner = (window_minima((grams & ~mask) | np.arange(len(grams), dtype=np.uint64), reported - size + 1) & mask).astype(np.int64)
     inside = np.ones(len(owner), dtype=bool)
-    for end in bounds[1:-1].tolist():
-        inside[max(0, end - length + 1) : end] = False
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        inside[max(begin, min(begin + most, end - reported + 1)) : end] = False
     change = np.append(True, (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1]))
     first = np.flatnonzero(change)
     last = np.append(first[1:], len(owner)) - 1
     first, last = first[inside[first]], last[inside[first]]
-    at = owner[first]
-    ctx = digests(data, first, last + length)
+    at, end = owner[first], np.minimum(last + length, bounds[np.searchsorted(bounds, last, "right")])
+    ctx = digests(data, first, end)
     with np.errstate(over="ignore"):
-        ctx[:, 0] += (at - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return first, last, at, grams[at].view(np.int64), ctx[:, 0].view(np.int64), ctx[:, 1].view(np.int64)
+        ctx[:, 0] += (at - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (at - last).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    return first, last, at, end, grams[at].view(np.int64), ctx[:, 0].view(np.int64), ctx[:, 1].view(np.int64)
 
 
 def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -200,13 +204,13 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.frombuffer(found, dtype=np.uint64).reshape(-1, 2).copy()
 
 
-def _pieces(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Lists of (text, begin, end) of about SPAN bytes; pieces of one text overlap so that each string is in one of them."""
+def _pieces(sizes: list[int], length: int, reported: int, span: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Lists of (text, begin, end) of about `span` bytes; pieces of one text overlap, and a string belongs to that in whose first `span` bytes it begins."""
     held, total = [], 0
     for i, size in enumerate(sizes):
-        for begin in range(0, size - length + 1, SPAN):
-            end = min(size, begin + SPAN + length - 1)
-            if held and total + end - begin > SPAN:
+        for begin in range(0, size - reported + 1, span):
+            end = min(size, begin + span + length - 1)
+            if held and total + end - begin > span:
                 yield held
                 held, total = [], 0
             held.append((i, begin, end))
@@ -215,12 +219,25 @@ def _pieces(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]
         yield held
 
 
-def _packed(first, last, at, n) -> np.ndarray:
-    return ((at - first) << 34) | ((at - last) << 4) | n
+def _packed(first, last, at, end, n) -> np.ndarray:
+    """How far the first and last start are before the anchor, the surrounding's bytes behind the last start, and 1, or 2 for several."""
+    return ((at - first) << 40) | ((at - last) << 18) | ((end - last) << 2) | n
 
 
-def _unpacked(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return info >> 34, (info >> 4) & ((1 << 30) - 1), info & 15
+def _unpacked(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return info >> 40, (info >> 18) & ((1 << 22) - 1), (info >> 2) & MOST_LENGTH, info & 3
+
+
+def _told_spans(first: np.ndarray, last: np.ndarray, room: np.ndarray, length: int, reported: int) -> tuple[np.ndarray, ...]:
+    """Of runs of starts whose strings all repeat, with the bytes there are behind the last start: index, start, end and level of the spans.
+
+    Level 1 is what strings of `reported` bytes cover, level 0 what those of `length` bytes do.
+    """
+    most = np.minimum(last, last + room - length)  # the last start of a whole string
+    whole = np.flatnonzero(most >= first)
+    every = np.arange(len(first))
+    level = np.repeat([1, 0], [len(every), len(whole)])
+    return np.append(every, whole), np.append(first, first[whole]), np.append(last + reported, most[whole] + length), level
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
@@ -229,25 +246,27 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
-def _combined(columns: list[np.ndarray], doc_ids: pa.Array, texts: np.ndarray, length: int) -> pa.RecordBatch:
+def _combined(columns: list[np.ndarray], doc_ids: pa.Array, texts: np.ndarray, length: int, reported: int, most: int) -> pa.RecordBatch:
     """Rows of a batch, with one row for each surrounding.
 
     Where a surrounding occurs twice in the batch, all its places are known to repeat: their
     spans are final, and one row marked by n = 2 stands for them. So copies and common
-    passages leave a task as single rows. An anchor with more than HOT surroundings is crowded: its
+    passages leave a task as single rows. An anchor with more than `most` surroundings is crowded: its
     rows are dealt out one by one, and its own task only gets a mark.
     """
-    key, ctx, ctx2, row, at, first, last = columns
+    key, ctx, ctx2, row, at, first, last, room = columns
     order = np.lexsort((ctx2, ctx, key))
-    key, ctx, ctx2, row, at, first, last, texts = (x[order] for x in (key, ctx, ctx2, row, at, first, last, texts))
+    key, ctx, ctx2, row, at, first, last, room, texts = (x[order] for x in (key, ctx, ctx2, row, at, first, last, room, texts))
     new_key = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, dtype=bool)
     starts = np.flatnonzero(new_key | np.append(True, (ctx[1:] != ctx[:-1]) | (ctx2[1:] != ctx2[:-1]))) if len(key) else np.zeros(0, np.int64)
     counts = np.diff(np.append(starts, len(key)))
     repeated = np.flatnonzero(np.repeat(counts > 1, counts))
-    span_row, span_start, span_end, span_text = _merged(row[repeated], first[repeated], last[repeated] + length, texts[repeated])
-    info = _packed(first[starts], last[starts], at[starts], np.minimum(counts, 2))
+    i, span_start, span_end, level = _told_spans(first[repeated], last[repeated], room[repeated], length, reported)
+    span_row, span_start, span_end, tag = _merged(row[repeated][i], span_start, span_end, texts[repeated][i] * 2 + level)
+    span_text, level = tag >> 1, tag & 1
+    info = _packed(first[starts], last[starts], at[starts], last[starts] + room[starts], np.minimum(counts, 2))
     heads = np.flatnonzero(new_key[starts])
-    hot = np.diff(np.append(heads, len(starts))) > HOT
+    hot = np.diff(np.append(heads, len(starts))) > most
     crowded, marks = np.repeat(hot, np.diff(np.append(heads, len(starts)))), starts[heads[hot]]
     own = np.where(crowded, ctx[starts], key[starts])
     docs = doc_ids.take(pa.array(np.concatenate([texts[starts], span_text, texts[marks]])))
@@ -255,7 +274,7 @@ def _combined(columns: list[np.ndarray], doc_ids: pa.Array, texts: np.ndarray, l
     zero = np.zeros(k, np.int64)
     out = [
         np.concatenate([np.where(crowded, CROWDED, AROUND), np.full(m, SPAN_ROW), np.full(k, AROUND)]), np.concatenate([own, mixed(span_row.view(np.uint64)).view(np.int64), key[marks]]),
-        np.concatenate([ctx[starts], span_end, zero]), np.concatenate([ctx2[starts], np.zeros(m, np.int64), zero]), docs,
+        np.concatenate([ctx[starts], span_end, zero]), np.concatenate([ctx2[starts], level, zero]), docs,
         np.concatenate([row[starts], span_row, row[marks]]), np.concatenate([at[starts], span_start, zero]), np.concatenate([info, np.zeros(m, np.int64), np.full(k, MARK)]),
     ]
     return _batch(out, ROWS)
@@ -277,29 +296,29 @@ def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray, tag: np.ndarray
     return row[begins], start[begins], (reach - shift)[ends], tag[begins]
 
 
-def _found_anchors(length: int):
+def _found_anchors(length: int, reported: int, span: int, hot: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data_of = batch.column(2)
             sizes = [len(x) for x in map(memoryview, (b.as_buffer() for b in data_of))]
             columns, texts = [], []
             rows = batch.column(1).to_numpy()
-            for pieces in _pieces(sizes, length):
+            for pieces in _pieces(sizes, length, reported, span):
                 parts = [np.frombuffer(data_of[i].as_buffer(), dtype=np.uint8)[begin:end] for i, begin, end in pieces]
                 bounds = np.append(0, np.cumsum([len(p) for p in parts]))
-                first, last, at, key, ctx, ctx2 = anchors(np.concatenate(parts), bounds, length)
+                first, last, at, end, key, ctx, ctx2 = anchors(np.concatenate(parts), bounds, length, reported, span)
                 piece = np.searchsorted(bounds, first, "right") - 1
                 text = np.array([i for i, _, _ in pieces])[piece]
                 shift = np.array([b for _, b, _ in pieces])[piece] - bounds[piece]
-                columns.append([key, ctx, ctx2, rows[text], at + shift, first + shift, last + shift])
+                columns.append([key, ctx, ctx2, rows[text], at + shift, first + shift, last + shift, end - last])
                 texts.append(text)
             if columns:
-                yield _combined([np.concatenate(c) for c in zip(*columns, strict=True)], batch.column(0), np.concatenate(texts), length)
+                yield _combined([np.concatenate(c) for c in zip(*columns, strict=True)], batch.column(0), np.concatenate(texts), length, reported, hot)
 
     return found
 
 
-def _settled(length: int, keep_open: bool):
+def _settled(length: int, reported: int, keep_open: bool):
     """From rows in the order of SORTED: spans of surroundings seen twice, and the surroundings of anchors that have several, or that are crowded."""
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +326,7 @@ def _settled(length: int, keep_open: bool):
             table = table.combine_chunks()
             kind, key, ctx, ctx2, at, info = (table.column(c).to_numpy() for c in ("kind", "key", "ctx", "ctx2", "at", "info"))
             is_span, mark = kind == SPAN_ROW, (kind == AROUND) & (info == MARK)
-            before, after, n = _unpacked(info)
+            before, after, room, n = _unpacked(info)
             n = np.where(is_span | mark, 0, n)
             new_key = np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))
             new = new_key | np.append(True, (ctx[1:] != ctx[:-1]) | (ctx2[1:] != ctx2[:-1]))
@@ -323,11 +342,11 @@ def _settled(length: int, keep_open: bool):
             open_ = np.flatnonzero(first & (several | marked)) if keep_open else np.zeros(0, np.int64)
             given = np.flatnonzero(is_span)
             take = lambda name, i: table.column(name).take(pa.array(i)).combine_chunks()
-            every = np.concatenate([given, told])
+            i, start, end, level = _told_spans((at - before)[told], (at - after)[told], room[told], length, reported)
+            every = np.concatenate([given, told[i]])
             if len(every):
-                start, end = np.append(at[given], (at - before)[told]), np.append(ctx[given], (at - after)[told] + length)
                 zero = np.zeros(len(every), np.int64)
-                yield _batch([zero.astype(np.int32), zero, end, zero, take("doc_id", every), take("row", every), start, zero], ROWS)
+                yield _batch([zero.astype(np.int32), zero, np.append(ctx[given], end), np.append(ctx2[given], level), take("doc_id", every), take("row", every), np.append(at[given], start), zero], ROWS)
             if len(open_):
                 kinds = np.where(marked[open_], CROWDED, AROUND).astype(np.int32)
                 yield _batch([kinds, *[take(c, open_) for c in ("key", "ctx", "ctx2", "doc_id", "row", "at", "info")]], ROWS)
@@ -335,7 +354,7 @@ def _settled(length: int, keep_open: bool):
     return settled
 
 
-def _with_bytes(length: int):
+def _with_bytes():
     """The bytes around each open anchor of a text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,12 +363,12 @@ def _with_bytes(length: int):
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_buffer()
                 for x in batch.column(3)[i].as_py():
-                    before, after = x["info"] >> 34, (x["info"] >> 4) & ((1 << 30) - 1)
+                    before, after, room, _ = _unpacked(x["info"])
                     key.append(x["key"])
                     info.append(x["info"])
                     at.append(x["at"])
                     kind.append(x["kind"])
-                    data.append(memoryview(text)[x["at"] - before : x["at"] - after + length].tobytes())
+                    data.append(memoryview(text)[x["at"] - before : x["at"] - after + room].tobytes())
                     doc.append(i)
             take = lambda c: batch.column(c).take(pa.array(doc, pa.int64()))
             yield _batch([key, take(0), take(1), at, info, data, kind], OPEN)
@@ -360,17 +379,24 @@ def _with_bytes(length: int):
 OPEN = "key long, doc_id long, row long, at long, info long, data binary, kind int"
 
 
-def _sorted_repeats(length: int):
+#: What stands behind a surrounding that ends with its text. It is no byte.
+NOTHING = 256
+
+
+def _sorted_repeats(length: int, reported: int):
     """Spans of strings that occur in two surroundings of an anchor, by sorting the suffixes that begin them."""
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_runs(batches):
             table = table.combine_chunks()
             key, at, info, row = (table.column(c).to_numpy() for c in ("key", "at", "info", "row"))
-            before, after, _ = _unpacked(info)
+            before, after, room, _ = _unpacked(info)
             raw = table.column("data").to_pylist()
-            data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-            offset = np.append(0, np.cumsum([len(b) for b in raw]))[:-1]
+            padded = np.maximum(length - room, 0)  # so that `length` places follow every start
+            sizes = np.array([len(b) for b in raw], dtype=np.int64)
+            offset = np.cumsum(sizes + padded) - sizes - padded
+            data = np.full(int((sizes + padded).sum()), NOTHING, dtype=np.int16)
+            data[np.repeat(offset - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))] = np.frombuffer(b"".join(raw), dtype=np.uint8)
             counts = before - after + 1
             of = np.repeat(np.arange(len(raw)), counts)
             turn = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -382,14 +408,17 @@ def _sorted_repeats(length: int):
             suffix = offset[of] + turn
             hashes = Hashes(data)
             order = hashes.sorted_within(suffix, group, length)
-            suffix, of, turn, far = suffix[order], of[order], turn[order], far[order]
-            same = np.flatnonzero((group[1:] == group[:-1]) & (hashes.of(suffix[1:], length) == hashes.of(suffix[:-1], length)))
-            same = same[_verified(data, suffix[same], suffix[same + 1], of[same], of[same + 1], turn[same], length)]
-            hit = np.unique(np.concatenate([same, same + 1]))
-            start = (at - before)[of[hit]] + turn[hit]
-            row_, start, end, which = _merged(row[of[hit]], start, start + length, of[hit])
-            if len(row_):
-                yield _batch([table.column("doc_id").take(pa.array(which)).combine_chunks(), row_, start, end], SPANS)
+            suffix, of, turn = suffix[order], of[order], turn[order]
+            whole = sizes[of] - turn >= length
+            for level, size in enumerate((length, reported)):
+                fits = whole[1:] & whole[:-1] if level == 0 else np.ones(max(len(suffix) - 1, 0), dtype=bool)
+                same = np.flatnonzero(fits & (group[1:] == group[:-1]) & (hashes.of(suffix[1:], size) == hashes.of(suffix[:-1], size)))
+                same = same[_verified(data, suffix[same], suffix[same + 1], of[same], of[same + 1], turn[same], size)]
+                hit = np.unique(np.concatenate([same, same + 1]))
+                start = (at - before)[of[hit]] + turn[hit]
+                row_, start, end, which = _merged(row[of[hit]], start, start + size, of[hit])
+                if len(row_):
+                    yield _batch([table.column("doc_id").take(pa.array(which)).combine_chunks(), row_, start, end, np.full(len(row_), level)], SPANS)
 
     return repeats
 
@@ -417,72 +446,81 @@ def _verified(data, p, q, i, j, turn, length: int) -> np.ndarray:
     return ok
 
 
-def _single_strings(length: int):
-    """Every string around an anchor as a row of its own, named by its digest."""
+def _single_strings(length: int, reported: int):
+    """Every string around an anchor as a row of its own, named by its digest, once for each of the two lengths."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             at, info, row = (batch.column(c).to_numpy() for c in (3, 4, 2))
-            before, after, _ = _unpacked(info)
+            before, after, _, _ = _unpacked(info)
             raw = batch.column(5).to_pylist()
             data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-            offset = np.append(0, np.cumsum([len(b) for b in raw]))[:-1]
-            counts = before - after + 1
+            sizes = np.array([len(b) for b in raw], dtype=np.int64)
+            offset, counts = np.cumsum(sizes) - sizes, before - after + 1
             of = np.repeat(np.arange(len(raw)), counts)
             turn = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-            place = offset[of] + turn
-            name = digests(data, place, place + length).view(np.int64)
-            start = (at - before)[of] + turn
-            yield _combined([name[:, 0], name[:, 1], np.zeros(len(of), np.int64), row[of], start, start, start], batch.column(1), of, length)
+            for size in (length, reported):
+                there = sizes[of] - turn >= size
+                i, place = of[there], (offset[of] + turn)[there]
+                name = digests(data, place, place + size).view(np.int64)
+                start = (at - before)[i] + turn[there]
+                yield _combined([name[:, 0], name[:, 1], np.full(len(i), size), row[i], start, start, start, np.full(len(i), size)], batch.column(1), i, length, reported, len(i))
 
     return strings
 
 
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, row (hash of doc_id and text) and the maximal spans of bytes of repeated strings, as an array of (start, end)."""
+def repeated_spans(docs: DataFrame, length: int, reported: int) -> DataFrame:
+    """doc_id, row (hash of doc_id and text) and spans of bytes of repeated strings, as an array of (start, end, level): 0 for `length` bytes, 1 for `reported`."""
+    if not 0 < reported <= length <= MOST_LENGTH:
+        raise ValueError("0 < reported <= length <= MOST_LENGTH")
     spark = docs.sparkSession
     dealt = shared.partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("data"))
-    texts = texts.where(F.length("data") >= length)
+    texts = texts.where(F.length("data") >= reported)
+
+    def final(rows: DataFrame) -> DataFrame:
+        told = rows.where(F.col("kind") == SPAN_ROW)
+        return told.select("doc_id", "row", F.col("at").alias("start"), F.col("ctx").alias("end"), F.col("ctx2").cast("int").alias("level"))
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition(dealt, "key").select(*SORTED).sortWithinPartitions("key", "kind", "ctx", "ctx2")
 
-    rows = texts.mapInArrow(_found_anchors(length), ROWS)
-    found = rows.repartition(dealt, "key").select(*SORTED).sortWithinPartitions("key", "kind", "ctx", "ctx2")
-    found = shared.written(found.mapInArrow(_settled(length, True), ROWS), "anchors")
+    rows = texts.mapInArrow(_found_anchors(length, reported, SPAN, HOT), ROWS)
+    found = shared.written(in_order(rows).mapInArrow(_settled(length, reported, True), ROWS), "anchors")
 
-    spans = found.where(F.col("kind") == SPAN_ROW).select("doc_id", "row", F.col("at").alias("start"), F.col("ctx").alias("end"))
     opened = found.where(F.col("kind") != SPAN_ROW)
     crowded = opened.where(F.col("kind") == AROUND).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SORTED).select(F.col("key").alias("crowded"))
     by_text = opened.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "at", "info", "kind")).alias("open"))
     t, o = texts.alias("t"), by_text.alias("o")
     same = F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("t.row") == F.col("o.row"))
     picked = t.join(o, same).select("t.doc_id", "t.row", "t.data", "o.open")
-    around = picked.mapInArrow(_with_bytes(length), OPEN)
-    around = around.join(crowded, F.col("key") == F.col("crowded"), "left")
+    around = picked.mapInArrow(_with_bytes(), OPEN).join(crowded, F.col("key") == F.col("crowded"), "left")
     around = shared.written(around.withColumn("single", F.col("crowded").isNotNull() | (F.col("kind") == CROWDED)).drop("crowded"), "surroundings")
 
-    few = around.where("NOT single").drop("single").repartition(dealt, "key").sortWithinPartitions("key").mapInArrow(_sorted_repeats(length), SPANS)
-    single = around.where("single").drop("single").mapInArrow(_single_strings(length), ROWS)
-    single = single.repartition(dealt, "key").select(*SORTED).sortWithinPartitions("key", "kind", "ctx", "ctx2")
-    single = single.mapInArrow(_settled(length, False), ROWS).where(F.col("kind") == SPAN_ROW).select("doc_id", "row", F.col("at").alias("start"), F.col("ctx").alias("end"))
-    return spans.union(few).union(single).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    few = around.where("NOT single").drop("single").repartition(dealt, "key").sortWithinPartitions("key").mapInArrow(_sorted_repeats(length, reported), SPANS)
+    single = in_order(around.where("single").drop("single").mapInArrow(_single_strings(length, reported), ROWS)).mapInArrow(_settled(length, reported, False), ROWS)
+    spans = final(found).union(few).union(final(single))
+    return spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end", "level")).alias("spans"))
 
 
-CUT = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+CUT = "n_bytes long, n_removed long, n_repeated long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, reported: int | None = None) -> DataFrame:
     """Removes every byte covered by a string of `length` bytes that also starts anywhere else.
 
-    Returns doc_id, n_bytes, n_removed, spans (maximal removed runs, in bytes) and kept (the
+    Returns doc_id, n_bytes, n_removed, n_repeated (bytes covered by strings of `reported` bytes, no more than `length`, that also
+    start anywhere else; they stay unless `length` removes them), spans (maximal removed runs, in bytes) and kept (the
     remaining bytes). Strings are judged on the input, never cross documents, and may repeat inside one document or overlap.
 
     Null text counts as empty; texts shorter than `length` stay whole. Rows that repeat in full
     are copies of one another. Null doc_id: a row as any other. Empty table: no rows. Other
-    columns are ignored. Texts of any length are handled a few megabytes at a time.
+    columns are ignored. Texts are read a few megabytes at a time; a text and the list of its open anchors are one row,
+    so a text must stay below 2 GB.
     """
-    spans = repeated_spans(docs, length)
+    spans = repeated_spans(docs, length, min(REPORTED, length) if reported is None else reported)
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), shared.text_or_empty().cast("binary").alias("data")).alias("t")
     s = spans.alias("s")
     same = F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.row") == F.col("s.row"))
@@ -490,26 +528,26 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, spans, kept = [], [], [], []
+            sizes, removed, repeated, spans, kept = [], [], [], [], []
             for i in range(batch.num_rows):
                 data, found = memoryview(batch.column(1)[i].as_buffer()), batch.column(2)[i].as_py() or []
-                at = np.array([(x["start"], x["end"]) for x in found], dtype=np.int64).reshape(-1, 2)
-                zero = np.zeros(len(at), dtype=np.int64)
-                _, start, end, _ = _merged(zero, at[:, 0], at[:, 1], zero)
-                own = list(zip(start.tolist(), end.tolist(), strict=True))
+                at = np.array([(x["start"], x["end"], x["level"]) for x in found], dtype=np.int64).reshape(-1, 3)
+                _, start, end, level = _merged(np.zeros(len(at), dtype=np.int64), at[:, 0], at[:, 1], at[:, 2])
+                own = list(zip(start[level == 0].tolist(), end[level == 0].tolist(), strict=True))
                 edges = [0, *[x for span in own for x in span], len(data)]
                 sizes.append(len(data))
-                removed.append(int((end - start).sum()))
+                removed.append(sum(b - a for a, b in own))
+                repeated.append(int((end - start)[level == 1].sum()))
                 spans.append([{"start": a, "end": b} for a, b in own])
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            counts = [pa.array(c, pa.int64()) for c in (sizes, removed, repeated)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_repeated", "spans", "kept"])
 
     return marked.mapInArrow(cut, f"doc_id long, {CUT}")
 
 
 def op2_suffix_dedup(spark, sf_dir):
-    """Bytes of 400-byte strings that start anywhere else are removed; see `remove_repeats`."""
+    """Bytes of 400-byte strings that start anywhere else are removed; `n_repeated` reports those of passages of some fifty words. See `remove_repeats`."""
     kept = remove_repeats(shared.documents(spark, sf_dir))
-    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")

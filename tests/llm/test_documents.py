@@ -388,9 +388,11 @@ def test_suffix_dedup(docs, empty, length, crowd, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = docs.where("length(text) < 5000 OR text IS NULL")
     given = rows.collect()
-    wanted = Counter((r.doc_id, *x) for r, x in zip(given, without_repeats([(r.text or "").encode() for r in given], length), strict=True))
-    found = suffix_dedup.remove_repeats(rows, length).collect()
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found) == wanted
+    raw = [(r.text or "").encode() for r in given]
+    covered = [x[1] for x in without_repeats(raw, length * 2 // 3)]
+    wanted = Counter((r.doc_id, *x, n) for r, x, n in zip(given, without_repeats(raw, length), covered, strict=True))
+    found = suffix_dedup.remove_repeats(rows, length, length * 2 // 3).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept), r.n_repeated) for r in found) == wanted
     assert suffix_dedup.remove_repeats(empty, length).count() == 0
 
 
@@ -404,8 +406,10 @@ def test_suffix_dedup_of_long_texts_in_pieces(spark, monkeypatch):
     texts = [noise(3000) + shared + noise(900), noise(100) + shared[100:600] + noise(50), "ab" * 2000, noise(1999) + shared + shared]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     wanted = list(without_repeats([t.encode() for t in texts], 400))
+    covered = [x[1] for x in without_repeats([t.encode() for t in texts], 260)]
     found = sorted(suffix_dedup.remove_repeats(rows, 400).collect())
     assert [(r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found] == wanted
+    assert [r.n_repeated for r in found] == covered
 
 
 @pytest.mark.parametrize("crowd", [512, 0])
