@@ -1,7 +1,8 @@
 """Regular expressions compiled to one minimal deterministic automaton over bytes.
 
 Supports what rule files use: literals, classes, groups, alternatives and the greedy
-repetitions ?, *, + and {m,n}, with inline (?i:...) folding ASCII letters. Patterns are ASCII.
+repetitions ?, *, + and {m,n}, with inline (?i:...) folding ASCII letters. Patterns are ASCII. Reversed
+patterns give an automaton that reads texts from behind, and so marks where matches begin.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import numpy as np
 
 
 class _Nfa:
-    def __init__(self):
+    def __init__(self, backwards: bool):
+        self.backwards = backwards
         self.empty: list[list[int]] = []
         self.moves: list[list[tuple[frozenset, int]]] = []
 
@@ -25,7 +27,7 @@ class _Nfa:
 
     def add(self, items, at: int, fold: bool) -> int:
         """Appends the parsed items behind state `at`; returns the state in which they end."""
-        for op, arg in items:
+        for op, arg in reversed(list(items)) if self.backwards else items:
             at = self._one(op, arg, at, fold)
         return at
 
@@ -81,21 +83,20 @@ def _bytes_of(op, arg, fold: bool) -> frozenset:
     return frozenset(set(range(256)) - found if negated else found)
 
 
-#: Patterns of one automaton at most: its accept bits are bytes.
-PATTERNS = 8
+#: Patterns of one automaton at most: its accept bits are a 64-bit number.
+PATTERNS = 64
 
 
 class Dfa:
-    """`step[state, byte]` is the next state; bit k of `accepts[state]`: pattern k may end here.
+    """`step[state, byte]` is the next state; bit k of `accepts[state]`: pattern k may end here, or begin if read backwards.
 
-    State 0 is the start. With `search`, a match may begin anywhere; without, state `dead`
-    (-1 if there is none) cannot be left.
+    State 0 is the start, and a match may begin anywhere.
     """
 
-    def __init__(self, patterns: list[str], search: bool):
+    def __init__(self, patterns: list[str], backwards: bool = False):
         if len(patterns) > PATTERNS:
             raise ValueError(f"more than {PATTERNS} patterns in one automaton")
-        nfa = _Nfa()
+        nfa = _Nfa(backwards)
         start = nfa.state()
         ends = {}
         for k, pattern in enumerate(patterns):
@@ -124,7 +125,7 @@ class Dfa:
             targets, kept = [], {}
             for to in map(frozenset, row):
                 if to not in kept:
-                    grown = closed(to | {start} if search else to)
+                    grown = closed(to | {start})
                     if grown not in number:
                         number[grown] = len(number)
                         order.append(grown)
@@ -132,7 +133,7 @@ class Dfa:
                 targets.append(kept[to])
             rows.append(targets)
             accepts.append(sum(1 << ends[s] for s in states if s in ends))
-        step, accepts = np.array(rows, dtype=np.int64), np.array(accepts, dtype=np.int64)
+        step, accepts = np.array(rows, dtype=np.int64), np.array(accepts, dtype=np.uint64)
 
         block = np.unique(accepts, return_inverse=True)[1]  # minimisation by refining blocks
         while True:
@@ -147,9 +148,11 @@ class Dfa:
         chosen = [pick[i] for i in range(len(named))]
         renamed = np.array([named[b] for b in block])
         self.step = renamed[step[chosen]].astype(np.uint16)
-        self.accepts = accepts[chosen].astype(np.uint8)
-        stuck = [i for i in range(len(chosen)) if (self.step[i] == i).all() and not self.accepts[i]]
-        self.dead = stuck[0] if stuck and not search else -1
+        self.accepts = accepts[chosen]
+        columns, of_byte = np.unique(self.step, axis=1, return_inverse=True)  # bytes that no rule tells apart are one class
+        self.classes = of_byte.ravel().astype(np.uint8)
+        self.width = columns.shape[1]
+        self.moves = (columns.astype(np.int32) * self.width).ravel()  # from state * width + class to the next state * width
 
 
 #: Bytes per lane of the scan; all lanes advance together, one byte at a time.
@@ -165,16 +168,15 @@ def scan(dfa: Dfa, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     lanes that advance together. A lane begins as if its text began there; lanes whose text
     came from another state then run again until both runs agree.
     """
-    out = np.zeros(len(data), dtype=np.uint8)
-    flat, accepts = dfa.step.ravel(), dfa.accepts
+    moves, symbols = dfa.moves, dfa.classes[data]
     bounds = np.append(starts, len(data))
     pieces = -(-np.diff(bounds) // LANE)
     head = np.repeat(bounds[:-1], pieces)
     turn = np.arange(len(head)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = head + turn * LANE
     end = np.minimum(begin + LANE, np.repeat(bounds[1:], pieces))
-    last = np.zeros(len(begin), dtype=np.uint16)
-    states = np.zeros(len(data), dtype=np.uint16)
+    last = np.zeros(len(begin), dtype=np.int32)
+    states = np.zeros(len(data), dtype=np.int32)
 
     def advance(lanes: np.ndarray, state: np.ndarray, again: bool) -> None:
         for t in range(LANE):
@@ -185,7 +187,7 @@ def scan(dfa: Dfa, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
                 lanes, state, at = lanes[inside], state[inside], at[inside]
             if not len(lanes):
                 return
-            state = flat[(state.astype(np.int64) << 8) + data[at]]
+            state = moves[state + symbols[at]]
             if again:
                 apart = states[at] != state
                 lanes, state, at = lanes[apart], state[apart], at[apart]
@@ -193,8 +195,8 @@ def scan(dfa: Dfa, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         last[lanes] = state
 
     by_length = np.argsort(begin - end, kind="stable")
-    advance(by_length, np.zeros(len(begin), dtype=np.uint16), False)
-    assumed = np.zeros(len(begin), dtype=np.uint16)
+    advance(by_length, np.zeros(len(begin), dtype=np.int32), False)
+    assumed = np.zeros(len(begin), dtype=np.int32)
     later = np.flatnonzero(turn > 0)
     while len(later):
         later = later[last[later - 1] != assumed[later]]
@@ -202,5 +204,4 @@ def scan(dfa: Dfa, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
             assumed[later] = last[later - 1]
             advance(later, assumed[later].copy(), True)
             later = np.flatnonzero(turn > 0)
-    np.take(accepts, states, out=out)
-    return out
+    return np.repeat(dfa.accepts, dfa.width)[states] if dfa.width * len(dfa.accepts) < 1 << 20 else dfa.accepts[states // dfa.width]
