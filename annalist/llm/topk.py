@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from annalist.llm import shared
 
-#: Rows of one tile: queries in a block and candidates in a shard, at most about so many.
-BLOCK, SHARD = 4096, 8192
+#: Components of the queries in a block, and of the candidates in a shard, at most about so many: 32 MB each as doubles.
+BLOCK, SHARD = 4_000_000, 4_000_000
+#: Scores of a tile that are held at once.
+STRIP = 1_000_000
 #: Shards at least, so that a small table is searched in parallel too.
 LEAST_SHARDS = 64
 #: Lists that one step of the merge tree brings together.
@@ -42,7 +44,7 @@ def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _tile(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
-    """The k best candidates of the shard for each query of the block, larger score first, then smaller id."""
+    """The k best candidates of the shard for each query of the block, larger score first, then smaller id. A strip of queries is scored at a time."""
     out = {"key": [], "query_id": [], "vec_id": [], "score": []}
     if queries.num_rows and shard.num_rows:
         width = queries.column("width")[0].as_py()
@@ -50,18 +52,19 @@ def _tile(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
         ids = shard.column("c_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, candidates = ids[order], _matrix(shard.column("c_vector"), width)[order]
-        scores = _scores(_matrix(queries.column("vector"), width), candidates)
-        for i in range(len(q_id)):
-            row, other = scores[i], ids != q_id[i]
-            at = np.flatnonzero(other)
-            if len(at) > k:
-                least = np.partition(row[at], len(at) - k)[len(at) - k]
-                at = at[row[at] >= least]
-            at = at[np.argsort(-row[at].astype(object) if row[at].min(initial=0) == -(2**63) else -row[at], kind="stable")[:k]]
-            out["key"].append(np.full(len(at), q_key[i]))
-            out["query_id"].append(np.full(len(at), q_id[i]))
-            out["vec_id"].append(ids[at])
-            out["score"].append(row[at])
+        asked, rows = _matrix(queries.column("vector"), width), max(1, STRIP // len(ids))
+        for first in range(0, len(q_id), rows):
+            scores = _scores(asked[first : first + rows], candidates)
+            for i, row in enumerate(scores, first):
+                at = np.flatnonzero(ids != q_id[i])
+                if len(at) > k:
+                    least = np.partition(row[at], len(at) - k)[len(at) - k]
+                    at = at[row[at] >= least]
+                at = at[np.argsort(-row[at].astype(object) if row[at].min(initial=0) == -(2**63) else -row[at], kind="stable")[:k]]
+                out["key"].append(np.full(len(at), q_key[i]))
+                out["query_id"].append(np.full(len(at), q_id[i]))
+                out["vec_id"].append(ids[at])
+                out["score"].append(row[at])
     return pa.table({name: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), type=pa.int64()) for name, x in out.items()})
 
 
@@ -77,7 +80,8 @@ def search(vectors: DataFrame, is_query: Column, k: int, vector: Column) -> Data
     part. Returns query_id, rank, vec_id, score; ties go to the smaller vec_id.
 
     Queries are dealt into blocks and candidates into shards by hashes, and each pair of block
-    and shard is one matrix product, so memory per task is bounded and no side is broadcast. A
+    and shard is one matrix product, so memory per task is bounded and no side is broadcast: a block, a shard and a
+    strip of scores take some 100 MB. Each query moves once for every shard and each candidate once for every block. A
     tile keeps k per query; lists merge in a tree, `FAN` at a time. Vectors of another
     length than the query's take no part in its list. A query's own row is every row with its
     vec_id; repeated candidate rows are listed each; queries that repeat in full are asked once.
@@ -85,7 +89,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, vector: Column) -> Data
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"), is_query.alias("asks"))
     rows = shared.written(rows.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull()).withColumn("width", F.size("vector")), "topk-vectors")
-    n, n_queries = rows.agg(F.count("*"), F.count_if("asks")).first()
+    n, n_queries = rows.agg(F.coalesce(F.sum("width"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asks"), F.col("width"))), F.lit(0))).first()
     n_shards, n_blocks = max(LEAST_SHARDS, -(-n // SHARD)), max(1, -(-n_queries // BLOCK))
 
     key = F.xxhash64("vec_id", "vector")
@@ -111,10 +115,14 @@ def search(vectors: DataFrame, is_query: Column, k: int, vector: Column) -> Data
 
 
 def op1_tiled_topk(spark, sf_dir):
+    """The 20 best of every row for each row whose vec_id is divisible by 20, by inner products of floor(64 x); see `search`.
+
+    Vectors with a component whose 64-fold is no finite double take no part, like those with components that are not finite.
+    """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     scaled = lambda x: F.lit(64.0) * x.cast("double")
     whole = F.transform("embedding", lambda x: F.when(F.abs(scaled(x)) < EXACT, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
-    vector = F.when(usable(F.col("embedding")), whole)
+    vector = F.when(usable(F.transform("embedding", scaled)), whole)
     return search(vectors, F.col("vec_id") % 20 == 0, 20, vector)
 
 

@@ -1,8 +1,11 @@
 """Operators on the other tables, the pipeline, and every query against its SQL."""
 
+import gzip
+import hashlib
 import io
 import os
 import zipfile
+import zlib
 
 import duckdb
 import numpy as np
@@ -37,6 +40,35 @@ def test_topk(spark):
     assert topk.search(table.limit(0), F.col("vec_id") % 20 == 0, 7, whole).count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 10**6])
+def test_tiles_and_strips_of_any_size(spark, monkeypatch, size):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(200)] + [(999, [1e306] * 5), (1000, [2.0**600] * 5)]
+    monkeypatch.setattr(topk, "BLOCK", size)
+    monkeypatch.setattr(topk, "SHARD", size)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.search(table.where("vec_id < 999"), F.col("vec_id") % 20 == 0, 6, F.col("embedding")).collect()
+    wanted = []
+    for q, e in rows[:200:20]:
+        best = sorted((-int(np.dot(e, v)), i) for i, v in rows[:200] if i != q)[:6]
+        wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, found)) == sorted(wanted)
+    scores = pa.table({"vec_id": [0, 20], "key": [1, 2], "vector": pa.array([rows[0][1], rows[20][1]]), "width": [5, 5]})
+    shard = pa.table({"c_id": [i for i, _ in rows[:200]], "c_vector": pa.array([v for _, v in rows[:200]])})
+    strips = []
+    for strip in (1, 10**6):
+        monkeypatch.setattr(topk, "STRIP", strip)
+        strips.append(topk._tile(scores, shard, 6).to_pylist())
+    assert strips[0] == strips[1] and len(strips[0]) == 12
+
+
+def test_overflow_takes_no_part(spark, tmp_path):
+    rows = [(0, [1.0, 2.0]), (20, [1e307, 1.0]), (21, [1e300, 1.0]), (22, [0.5, 0.5])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted(map(tuple, topk.op1_tiled_topk(spark, str(tmp_path)).collect()))
+    assert found == [(0, 1, 21, 2**63 - 1), (0, 2, 22, 64 * 32 + 128 * 32)]
+
+
 def test_scores_stay_exact():
     big = np.array([[2.0**40 + 1, 3.0]])
     assert topk._scores(big, np.array([[2.0**20, 1.0]]))[0, 0] == (2**40 + 1) * 2**20 + 3
@@ -103,14 +135,64 @@ def test_zip_directories(zip64, comment):
         z.comment = comment
     file = _File(raw.getvalue())
     found = warc.members(file)
-    assert "packed" not in found
+    at, packed, full, method = found.pop("packed")
+    assert (full, method) == (1000, 8) and zlib.decompress(file.read_at(packed, at), wbits=-15) == b"z" * 1000
     for name in list(found)[:50]:
-        at, n = found[name]
-        assert file.read_at(n, at) == b"data " + name[1:].encode()
+        at, n, full, method = found[name]
+        assert file.read_at(n, at) == b"data " + name[1:].encode() and (n, method) == (full, 0)
     with pytest.raises(ValueError, match="ZIP"):
         warc.members(_File(b"nothing here"))
 
 
+def warc_record(kind, url, body, **more):
+    head = {"WARC-Type": kind, "WARC-Target-URI": url, "Content-Length": str(len(body)), **more}
+    return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("index", ["plain", "packed", "gz", "none"])
+def test_packages_made_elsewhere(index, tmp_path, spark):
+    """Several archives, records of other types, and indexes as other tools write them."""
+    http = {"Content-Type": "application/http; msgtype=response"}
+    page = lambda text: b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + text
+    members = {
+        "a.warc.gz": [warc_record("warcinfo", "", b"software: x", **{"Content-Type": "application/warc-fields"}), warc_record("response", "http://a/1", page(b"one"), **http)],
+        "b.warc.gz": [warc_record("response", "http://b/2", page("zwei é".encode()), **http), warc_record("resource", "http://b/3", b"raw")],
+    }
+    lines, raw = ['!meta {"format": "x"}'], io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as z:
+        for name, records in members.items():
+            at, data = 0, b""
+            for i, r in enumerate(records):
+                packed = gzip.compress(r)
+                lines.append(f'key{i} 20260101000000 {{"url": "u", "filename": "{name}", "offset": "{at}", "length": {len(packed)}}}')
+                at, data = at + len(packed), data + packed
+            z.writestr(f"archive/{name}", data)
+        text = "\n".join(lines).encode()
+        if index != "none":
+            z.writestr("indexes/index.cdx" + ".gz" * (index == "gz"), gzip.compress(text) if index == "gz" else text, compress_type=zipfile.ZIP_DEFLATED if index == "packed" else zipfile.ZIP_STORED)
+        z.writestr("datapackage.json", "{}")
+    got = sorted((f["warc-type"], p) for f, p in warc.read_package(_File(raw.getvalue())))
+    assert got == [("resource", b"raw"), ("response", b"one"), ("response", "zwei é".encode()), ("warcinfo", b"software: x")]
+    (tmp_path / "x.wacz").write_bytes(raw.getvalue())
+    found = warc.read_packages(spark.createDataFrame([(f"file://{tmp_path}/x.wacz",)], "path string")).collect()
+    assert sorted((r.url, bytes(r.payload), r.payload_bytes, r.payload_digest, r.page_id) for r in found) == [("http://a/1", b"one", 3, hashlib.sha256(b"one").hexdigest(), None), ("http://b/2", "zwei é".encode(), 7, hashlib.sha256("zwei é".encode()).hexdigest(), None)]
+
+
+def test_own_packages_are_standard(tmp_path):
+    """Sorted index lines with time and JSON, revisits that name the response's record, ids that do not repeat."""
+    package = warc.Package((tmp_path / "p.wacz").open("wb"), name="p")
+    digest = hashlib.sha256(b"x" * 200).hexdigest()
+    for kind, page, refers in (("response", 1, None), ("response", 1, None), ("response", None, None), ("revisit", 9, 1)):
+        package.add(warc.record(kind, f"http://Z.example/{page}", page, digest, b"x" * 200, refers, package.own_id(page, digest)), f"http://Z.example/{page}", {"digest": digest})
+    package.close()
+    with zipfile.ZipFile(tmp_path / "p.wacz") as z:
+        lines = z.read("indexes/index.cdxj").decode().splitlines()
+    assert lines == sorted(lines) and all(line.startswith("example,z)/") and " 19700101000000 {" in line for line in lines)
+    heads = [f for f, _ in warc.read_package(_File((tmp_path / "p.wacz").read_bytes()))]
+    ids = [f["warc-record-id"] for f in heads]
+    assert len(set(ids)) == 4 and {f["warc-refers-to"] for f in heads if f["warc-type"] == "revisit"} == {warc.record_id(1, digest)} <= set(ids)
+
+
 # ---- pipeline and queries
 
 
