@@ -13,34 +13,50 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
 
-#: Phrases that mark a line as boilerplate, in lower case.
-BOILERPLATE = (
-    "all rights reserved",
-    "accept all cookies",
-    "cookie policy",
-    "privacy policy",
-    "terms of service",
-    "terms of use",
-    "click here to",
-    "subscribe to our newsletter",
-    "sign up for our newsletter",
-    "enable javascript",
-    "skip to main content",
-)
-#: A line with at least so many separators of menus is navigation.
-NAV_SEPARATORS = 3
+#: Phrases that mark a line as boilerplate, in lower case, by language.
+PHRASES = {
+    "en": ("all rights reserved", "accept all cookies", "cookie policy", "privacy policy", "terms of service", "terms of use", "click here to", "subscribe to our newsletter", "sign up for our newsletter", "enable javascript", "skip to main content"),
+    "fr": ("tous droits réservés", "accepter tous les cookies", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "cliquez ici pour", "inscrivez-vous à notre newsletter", "activer javascript"),
+    "de": ("alle rechte vorbehalten", "alle cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "newsletter abonnieren", "javascript aktivieren", "zum inhalt springen"),
+    "es": ("todos los derechos reservados", "aceptar todas las cookies", "política de privacidad", "aviso legal", "términos y condiciones", "haga clic aquí", "suscríbase a nuestro boletín", "activar javascript"),
+    "it": ("tutti i diritti riservati", "accetta tutti i cookie", "informativa sulla privacy", "note legali", "termini e condizioni", "clicca qui per", "iscriviti alla newsletter", "abilita javascript"),
+}
+BOILERPLATE = tuple(phrase for phrases in PHRASES.values() for phrase in phrases)
+#: Words of menus, in lower case.
+MENU = (
+    "home", "menu", "login", "logout", "register", "search", "contact", "sitemap", "faq", "accueil", "connexion", "inscription", "recherche", "startseite", "anmelden",
+    "kontakt", "impressum", "suche", "inicio", "contacto", "buscar", "acceder", "contatti", "accedi", "cerca",
+)
+#: Characters that stand between the items of menus, and how many of them make a line navigation.
+SEPARATORS, NAV_SEPARATORS = "|»›·•", 3
+#: A line of at most so many characters that holds so many words of menus is navigation.
+MENU_CHARS, MENU_WORDS = 120, 3
 #: A line with more symbols than this share of its words is no prose.
 SYMBOL_SHARE = 0.5
 #: A document that loses more than this share of its word characters goes.
 LOST_SHARE = 0.5
+PUNCTUATION, BULLET, ENDS = r"[.!?…。:;,]", r"^[\x20\t]*([-*•–]|[0-9]+[.)])[\x20\t]", r"[.!?…。:;][\"'”’)\x20\t]*$"
 
 
-def line_fails(line: Column, symbols: Column, pipes: Column, boilerplate: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules of one line; the flags say which rules its text can fail at all."""
-    unpunctuated = ~line.rlike(r"[.!?…。:;,]")
+def line_rules(line: Column, separators: Column, symbols: Column, boilerplate: Column) -> Column:
+    """Whether a line fails by itself: bare (no punctuation), bullet, navigation, symbols or boilerplate.
+
+    The flags say which rules any line of the text can fail at all.
+    """
+    bullet = line.rlike(BULLET) & ~line.rlike(ENDS)
     many_symbols = F.regexp_count(line, F.lit(SYMBOL)) > F.regexp_count(line, F.lit(shared.WORD)) * SYMBOL_SHARE
-    navigation = F.regexp_count(line, F.lit(r"\|")) >= NAV_SEPARATORS
-    return unpunctuated | (symbols & many_symbols) | (pipes & navigation) | (boilerplate & F.lower(line).rlike("|".join(BOILERPLATE)))
+    between = F.length(line) - F.length(F.translate(line, SEPARATORS, "")) >= NAV_SEPARATORS
+    words = F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda word: word.isin(*MENU))
+    menu = (F.length(line) <= MENU_CHARS) & (F.size(words) >= MENU_WORDS)
+    return bullet | (symbols & many_symbols) | (separators & between) | menu | (boilerplate & F.lower(line).rlike("|".join(BOILERPLATE)))
+
+
+def failing(lines: Column, fails: Column, bare: Column) -> Column:
+    """Of arrays side by side, (line, fails): a line without punctuation fails too, unless it heads one that has some and fails no rule."""
+    prose = F.zip_with(fails, bare, lambda f, b: ~f & ~b)
+    behind = F.concat(F.slice(prose, F.lit(2), F.greatest(F.size(prose) - 1, F.lit(0))), F.array(F.lit(False)))
+    alone = F.zip_with(bare, behind, lambda b, headed: b & ~headed)
+    return F.zip_with(lines, F.zip_with(fails, alone, lambda f, a: f | a), lambda line, f: F.struct(line.alias("line"), f.alias("fails")))
 
 
 def _repeated_words(rows: DataFrame) -> DataFrame:
@@ -77,17 +93,19 @@ def _measured(docs: DataFrame) -> DataFrame:
         F.array_remove(F.split("t", SPACE), "").alias("words"),
         F.filter(F.split("t", "\n", -1), word).alias("lines"),
         F.regexp_count("t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        F.contains("t", F.lit("|")).alias("pipes"),
+        reduce(Column.__or__, [F.contains("t", F.lit(c)) for c in SEPARATORS]).alias("separators"),
         reduce(Column.__or__, [F.contains("low", F.lit(phrase)) for phrase in BOILERPLATE]).alias("boilerplate"),
     )
-    fails = lambda line: line_fails(line, F.col("n_symbols") > 0, F.col("pipes"), F.col("boilerplate"))
+    fails = lambda line: line_rules(line, F.col("separators"), F.col("n_symbols") > 0, F.col("boilerplate"))
     rows = rows.select(
-        "row", "words", "n_symbols",
+        "row", "words", "n_symbols", "lines",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("lines", lambda line: F.struct(line.alias("line"), fails(line).alias("fails"))).alias("lines"),
+        F.transform("lines", fails).alias("fails"),
+        F.transform("lines", lambda line: ~line.rlike(PUNCTUATION)).alias("bare"),
     )
+    rows = rows.withColumn("lines", failing(F.col("lines"), F.col("fails"), F.col("bare"))).drop("fails", "bare")
     lost = F.array_join(F.transform(F.filter("lines", lambda x: x["fails"]), lambda x: x["line"]), "")
     left = F.array_join(F.transform(F.filter("lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
     rows = _repeated_words(rows).select(
@@ -103,10 +121,11 @@ def _measured(docs: DataFrame) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """Adds to each row the struct `quality` with the counts, the verdicts and the cleaned text.
 
-    Lines that fail a rule are removed first; a document goes if it fails the base rules
+    Lines that fail a rule are removed first: those without punctuation that head no prose, list items that end in none, navigation (three
+    separators, or three words of menus in a short line), lines of symbols, and boilerplate phrases in five languages. A document goes if it fails the base rules
     (fewer than ten words, or over a fifth of its words in repeated windows) or if the removed
     lines held more than half of its word characters. Null text counts as none: rejected, with
-    cleaned text null. All columns of the input stay, a column `quality` is replaced. Repeated
+    cleaned text null. Very long texts: a row holds a text, its words and eight bytes for each of them some times over. All columns of the input stay, a column `quality` is replaced. Repeated
     rows are scored each by itself; an empty table gives no rows.
     """
     return _measured(docs).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "quality"], F.col("q").alias("quality"))
@@ -121,11 +140,14 @@ def clean(docs: DataFrame) -> DataFrame:
 
 
 def op10_line_quality(spark, sf_dir):
+    """Counts, base verdict and the verdict of line-first cleaning for every document; see `score`."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return score(shared.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", *(F.col(f"quality.{n}").alias(n) for n in names))
 
 
-_BOILERPLATE_SQL = "|".join(BOILERPLATE)
+_BOILERPLATE_SQL = "|".join(BOILERPLATE).replace("'", "''")
+_MENU_SQL = ", ".join(f"'{word}'" for word in MENU)
+_ENDS_SQL = ENDS.replace("'", "''")
 
 SQL = rf"""
 WITH d AS (
@@ -139,12 +161,17 @@ rep AS (
   SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
 cov AS (
   SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, range(5) AS r(j) GROUP BY doc_id),
+li AS (
+  SELECT doc_id, i, ls[i] AS l FROM w, unnest(range(1, len(ls) + 1)) AS r(i)),
+lr AS (
+  SELECT doc_id, i, l, NOT regexp_matches(l, '{PUNCTUATION}') AS bare,
+         (regexp_matches(l, '{BULLET}') AND NOT regexp_matches(l, '{_ENDS_SQL}')) OR length(regexp_replace(l, '[^{SEPARATORS}]', '', 'g')) >= {NAV_SEPARATORS}
+      OR length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > {SYMBOL_SHARE} * len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
+      OR (length(l) <= {MENU_CHARS} AND len(list_filter(string_split_regex(lower(l), '[^\p{{L}}]+'), lambda x: x IN ({_MENU_SQL}))) >= {MENU_WORDS})
+      OR regexp_matches(lower(l), '{_BOILERPLATE_SQL}') AS fails FROM li),
 lf AS (
   SELECT doc_id, sum(length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')))::BIGINT AS lost
-  FROM (SELECT doc_id, unnest(ls) AS l FROM w)
-  WHERE NOT regexp_matches(l, '[.!?…。:;,]') OR length(regexp_replace(l, '[^|]', '', 'g')) >= {NAV_SEPARATORS}
-     OR length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > {SYMBOL_SHARE} * len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
-     OR regexp_matches(lower(l), '{_BOILERPLATE_SQL}')
+  FROM (SELECT *, coalesce(lead(NOT fails AND NOT bare) OVER (PARTITION BY doc_id ORDER BY i), false) AS headed FROM lr) WHERE fails OR (bare AND NOT headed)
   GROUP BY doc_id),
 q AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

@@ -126,9 +126,17 @@ def test_quality_cleans_lines(spark):
         (5, "word$$$ other%%% more*** " * 9 + ".", "x"),
         (6, None, "x"),
     ]
+    rows += [
+        (7, "A heading\n" + good + "\nTwo lines\nthat head nothing", "x"),
+        (8, good + "\nHome, Login; Kontakt.\nTous droits réservés.\n- an item, without an end\n- An item with one.", "x"),
+        (9, good + "\nAlpha » Beta » Gamma » Delta.\nHome is where we login, or so they say.", "x"),
+        (10, "- one thing, and\n* another, then\n1) a third, with words\n2. and a fourth, too", "x"),
+    ]
     out = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, quality string"))
     assert out.columns == ["doc_id", "text", "quality"]
-    assert {r.doc_id: r.text for r in out.collect()} == {1: good, 2: good, 4: good}
+    assert {r.doc_id: r.text for r in out.collect()} == {
+        1: good, 2: good, 4: good, 7: "A heading\n" + good, 8: good + "\n- An item with one.", 9: good + "\nHome is where we login, or so they say.",
+    }
 
 
 # ---- secrets
