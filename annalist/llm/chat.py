@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.llm import shared
@@ -12,6 +12,11 @@ SCENE = ("system",)
 END = "<|end|>\n"
 
 
+def unmarked(text: Column) -> Column:
+    """Text that forges no turn: `<|` and `|>` in it are written apart, so both occur in marks only."""
+    return F.replace(F.replace(text, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     """Every conversation once from each participant's view, as one row per turn and view.
 
@@ -23,13 +28,14 @@ def rotate(turns: DataFrame) -> DataFrame:
     The view's speaker becomes `assistant`, scene roles keep their name, and everyone else is
     `user:<name>`. Turns stand in order of (turn, role, text), nulls first; equal rows follow one
     another. Null role: the name is empty. Null text: empty. Null conv_id: a conversation of
-    its own. A conversation in which only scene roles speak has no views. Other columns are
-    ignored.
+    its own. A conversation in which only scene roles speak has no views. Empty table: no rows. Other columns are
+    ignored. `<|` and `|>` in texts and names are written apart, as `< |` and `| >`, so that nobody forges a turn. Very long
+    texts: a row holds one turn's text. Every turn occurs once for each speaker of its conversation, and a conversation's names are one row.
 
     Rows are numbered by ranges of that order and offsets are summed first inside a range, then
     over ranges, so a conversation with any share of all turns is spread over tasks.
     """
-    rows = turns.select("conv_id", F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), shared.text_or_empty().alias("text"))
+    rows = turns.select("conv_id", F.col("turn"), unmarked(F.coalesce("role", F.lit(""))).alias("role"), unmarked(shared.text_or_empty()).alias("text"))
     order = [F.col(c) for c in ("conv_id", "turn", "role", "text")]
     rows, _ = shared.numbered(rows, order, "chat-turns")
     rows = rows.withColumn("block", F.shiftright("row_number", 10))  # of one conversation: at most 1024 turns
@@ -68,13 +74,14 @@ def rendered(pieces: DataFrame) -> DataFrame:
 
 
 def op5_perspective_rotation(spark, sf_dir):
+    """Every conversation from the view of each of its speakers; see `rotate`."""
     return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 SQL = """
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM conversations),
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM (
+    SELECT conv_id, turn, replace(replace(coalesce(role, ''), '<|', '< |'), '|>', '| >') AS role, replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS text FROM conversations)),
 v AS (
   SELECT DISTINCT conv_id, role AS perspective FROM c WHERE role <> 'system'),
 p AS (

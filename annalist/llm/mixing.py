@@ -49,13 +49,17 @@ def plan(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int,
     bucket = F.shiftright("place", 64 - BUCKET_BITS).cast("int")
     rows = shared.written(docs.select("doc_id", "source", _words(size).alias("size"), _place(seed).alias("place")), "mix-rows")
     buckets = shared.written(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n")), "mix-buckets")
-    ranks = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))  # one row per source
-    sizes = buckets.groupBy("source").agg(F.sum("n").alias("source_size"))
-    turn = F.pmod(ranks - 1, F.lit(len(weights))) + 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), turn)
-    sources = shared.written(sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_epochs), "mix-sources")
-    n_sources, total = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
-    level, few = water_level(sources, total), n_sources <= BROADCAST_SOURCES
+    sizes = shared.written(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), "mix-sizes")
+    n_sources, total = sizes.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    few, order = n_sources <= BROADCAST_SOURCES, F.col("source").asc_nulls_last()
+    if few:  # one task numbers so many rows
+        sizes = sizes.withColumn("row_number", F.row_number().over(Window.orderBy(order)) - 1)
+    else:
+        sizes, _ = shared.numbered(sizes, [order], "mix-order")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("row_number", F.lit(len(weights))) + 1).cast("int"))
+    sources = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_epochs).drop("row_number")
+    sources = shared.written(sources, "mix-sources")
+    level = water_level(sources, total)
 
     share = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -103,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     repeated row of its target. Rows with one doc_id share their place and are treated alike.
 
     Null or empty text: size 0, taken 0. Null source: a source of its own. Null doc_id: hashed
-    as such. Empty table: no rows. Other columns are ignored.
+    as such. Empty table: no rows. Other columns are ignored. Of a very long text only the number of words is kept.
     """
     rows, sources, few = plan(docs, weights, max_epochs, seed, size)
     taken = with_source(rows, sources, few, "source_size", "target", *CHOICE).withColumn("extra", F.expr(EXTRA.format(place="place", size="size")))
@@ -126,4 +130,5 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
 
 
 def op3_source_mixing(spark, sf_dir):
+    """What a mix of the size of all documents takes of each; see `mix`."""
     return mix(shared.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")

@@ -68,17 +68,19 @@ def assign(rows: DataFrame, order: list, shards: int, seed: int = 7) -> DataFram
     """Adds row_number, shard and slot; the row's place in `order` decides.
 
     Counts of shards differ by one at most, and slots run from 0 without gaps. Rows that are
-    equal in `order` are interchangeable. An empty table stays empty.
+    equal in `order` are interchangeable, so repeated rows each have a place. Nulls stand where `order` puts them. An empty
+    table stays empty. Columns named row_number, shard or slot are replaced, others stay. Rows are shuffled whole, once, by ranges
+    of the order: to shard very long texts, assign their keys and join.
     """
-    rows, n = shared.numbered(rows, order, "shard-rows")
+    rows, n = shared.numbered(rows.drop("shard", "slot"), order, "shard-rows")
     permutation = Feistel(n, seed)
 
     @F.pandas_udf("long")
     def place(values: pd.Series) -> pd.Series:
         return pd.Series(permutation.forward(values.to_numpy()))
 
-    placed = rows.withColumn("_place", place("row_number"))
-    return placed.withColumn("shard", F.pmod("_place", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"_place div {shards}")).drop("_place")
+    placed = rows.withColumn("__place", place("row_number"))
+    return placed.withColumn("shard", F.pmod("__place", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"__place div {shards}")).drop("__place")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
@@ -89,7 +91,7 @@ def write_shards(rows: DataFrame, path: str) -> None:
 def op7_feistel_sharding(spark, sf_dir):
     """Law `rows`: row numbers in order of (doc_id, size, checksum), nulls first.
 
-    Null text: size 8 and the checksum of nothing, 0.
+    Null text: size 8 and the checksum of nothing, 0. A text of any length counts by its size and checksum only.
     """
     size = F.octet_length(shared.text_or_empty()).cast("long") + 8
     rows = shared.documents(spark, sf_dir).select("doc_id", size.alias("size"), F.crc32(shared.text_or_empty()).alias("text_crc32"))

@@ -300,8 +300,8 @@ def written(monkeypatch):
     """Rows of each intermediate, in lists by name."""
     rows, write = defaultdict(list), jaccard.shared.written
 
-    def counted(df, name):
-        out = write(df, name)
+    def counted(df, name, *rest):
+        out = write(df, name, *rest)
         rows[name].append(out.count())
         return out
 
