@@ -393,7 +393,7 @@ def rank_column(query: list[str]):
 
 
 def contains(polygon: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which points lie inside, by counting crossings."""
+    """Which points lie inside, by counting crossings. Points on left and lower edges are inside, on others outside."""
     ax, ay = polygon[:, 0], polygon[:, 1]
     bx, by = np.roll(ax, -1), np.roll(ay, -1)
     px, py = np.asarray(x)[:, None], np.asarray(y)[:, None]

@@ -41,14 +41,7 @@ def largest_gap(df: DataFrame, keys: list[str], at: str, low: Column, high: Colu
     )
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bucket: str = "DAY") -> DataFrame:
-    """Pairs of equal keys whose intervals overlap.
-
-    Intervals are dealt to the buckets of time that they touch and meet by an equi-join; a pair
-    counts in the first bucket that both touch, so it comes out once. Columns of both sides must
-    differ but for the keys.
-    """
-
+def _overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bucket: str) -> DataFrame:
     def dealt(df: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
         start, end = (F.date_trunc(bucket, F.col(c)) for c in span)
         last = F.when(end == F.col(span[1]), end - F.expr(f"INTERVAL 1 {bucket}")).otherwise(end)
@@ -60,6 +53,28 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
     return rows.where(overlap & (F.col("_bucket") == F.greatest("_l", "_r"))).drop("_bucket", "_l", "_r")
 
 
+def overlap_join(
+    left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bucket: str = "DAY", coarse: str | None = "MONTH", longest: int = 31
+) -> DataFrame:
+    """Pairs of equal keys whose intervals overlap.
+
+    Intervals are dealt to the buckets of time that they touch and meet by an equi-join; a pair
+    counts in the first bucket that both touch, so it comes out once. Intervals of over `longest` buckets meet
+    the others in coarse buckets, so that a long one is not dealt to every short bucket; `coarse` None leaves that out.
+    Columns of both sides must differ but for the keys.
+    """
+    if coarse is None:
+        return _overlapping(left, right, keys, left_span, right_span, bucket)
+    long = lambda span: F.col(span[1]) > F.col(span[0]) + F.expr(f"INTERVAL {longest} {bucket}")
+    short_left, short_right = left.where(~long(left_span)), right.where(~long(right_span))
+    parts = [
+        _overlapping(short_left, short_right, keys, left_span, right_span, bucket),
+        _overlapping(left.where(long(left_span)), right, keys, left_span, right_span, coarse),
+        _overlapping(short_left, right.where(long(right_span)), keys, left_span, right_span, coarse),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def buckets(df: DataFrame, at: str, low: Column, high: Column, step_seconds: int, aggregates: list[Column]) -> DataFrame:
     """Aggregates per bucket of [low, high), with a row for buckets in which nothing happened."""
     spark = df.sparkSession

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.operators.shared import settled
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product: products in single precision, summed in double, clamped to [-1, 1]; null for unequal lengths."""
@@ -24,21 +26,33 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+#: Words, passages or pairs of up to this many rows are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def holding_all_terms(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
     """Pairs of query and document in which the document has every word of the query.
 
-    An inverted index of exploded words meets the queries' words on the word; a count of
-    matched words replaces a comparison of every pair. Of a query only its rarest word is
-    looked up, and the rest is verified on the documents found, so common words deal out no rows.
+    Documents are read once, and of their words only those leave a task that some query asks for; each document then is one
+    row with the asked words it holds. Of a query only its rarest word is looked up, and the rest is verified on
+    the rows found, so common words deal out no rows.
     """
-    words = docs.select(F.col(key), F.explode(terms(F.col(text))).alias("term"))
-    asked = queries.select(F.col(query_key), F.explode(terms(F.col(query_text))).alias("term"))
-    needed = asked.groupBy(query_key).agg(F.count("*").alias("_n"))
-    frequency = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df"))
-    rare = asked.join(frequency, "term", "left").withColumn("_r", F.row_number().over(Window.partitionBy(query_key).orderBy(F.coalesce("_df", F.lit(0)), "term"))).where("_r = 1")
-    found = words.join(rare.select(query_key, "term"), "term").select(key, query_key)
-    rest = found.join(asked, query_key).join(words, [key, "term"]).groupBy(key, query_key).agg(F.count("*").alias("_m"))
-    return rest.join(needed, query_key).where("_m = _n").select(query_key, key)
+    asked = settled(queries.select(query_key, terms(F.col(query_text)).alias("_all")))
+    wanted = _small(settled(asked.select(F.explode("_all").alias("term")).distinct()))
+    words = docs.select(key, F.explode(terms(F.col(text))).alias("term")).join(wanted, "term", "left_semi")
+    held = settled(words.groupBy(key).agg(F.collect_list("term").alias("_held")))
+    index = held.select(key, F.explode("_held").alias("term"))
+    frequency = index.groupBy("term").agg(F.count("*").alias("_df"))
+    each = asked.select(query_key, F.explode("_all").alias("term")).join(frequency, "term", "left")
+    rare = each.groupBy(query_key).agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "term")).alias("_r")).select(query_key, F.col("_r.term").alias("term"))
+    found = _small(settled(index.join(_small(settled(rare)), "term").select(key, query_key)))
+    pairs = held.join(found, key).join(_small(asked), query_key)
+    return pairs.where(F.size(F.array_except("_all", "_held")) == 0).select(query_key, key)
 
 
 def merged_candidates(baseline: DataFrame, semantic: DataFrame, key: str, limit: int) -> DataFrame:
@@ -69,26 +83,43 @@ def cover_density(text: str, query: list[str]) -> float:
     return score
 
 
+def _windows(words: Column, width: int) -> Column:
+    """Hashes of all windows of `width` words (1 to 8), put together from those of one, two, four and eight; the last ones may reach beyond the end."""
+    ahead = lambda h, n: F.slice(h, F.lit(n + 1), F.greatest(F.size(h) - n, F.lit(0)))
+    both = lambda h, g, n: F.zip_with(h, ahead(g, n), lambda a, b: F.xxhash64(a, b))
+    power, size, out, done = F.transform(words, lambda w: F.xxhash64(w)), 1, None, 0
+    while size <= width:
+        if width & size:
+            out, done = (power, size) if out is None else (both(out, power, done), done + size)
+        power, size = both(power, power, size), size * 2
+    return out
+
+
 def literal_hits(docs: DataFrame, key: str, text: str, passages: DataFrame, passage_key: str, passage_text: str, width: int = 8) -> DataFrame:
     """Documents that hold a passage word for word, white space aside.
 
-    A passage's first `width` words are its key in an index of word windows of the documents, so
-    only documents that share them are compared in full.
+    A passage's first words, `width` (8 at most) or as many as it has, are its key. Of the windows of words of a document only those leave
+    a task that are some passage's key, without the text; texts are fetched for the documents found, and compared in full.
     """
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    rows = docs.select(key, flat(F.col(text)).alias("_text")).withColumn("_words", F.split("_text", " "))
     asked = passages.select(passage_key, flat(F.col(passage_text)).alias("_passage")).where("_passage <> ''")
-    n = F.least(F.size(F.split("_passage", " ")), F.lit(width))
-    asked = asked.withColumn("_n", n).withColumn("_key", F.xxhash64(F.array_join(F.slice(F.split("_passage", " "), 1, n), " ")))
-    short = asked.where(F.col("_n") < width)
-    long = asked.where(F.col("_n") == width)
-    words = F.col("_words")
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))
-    index = rows.select(key, F.explode(F.array_distinct(windows)).alias("_key"))
-    pairs = index.join(long, "_key").select(key, passage_key, "_passage")
-    exact = rows.join(pairs, key).where(F.instr(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_passage", F.lit(" "))) > 0)
-    found = exact.select(passage_key, key).distinct()
-    heads = short.select(passage_key, "_passage", F.get(F.split("_passage", " "), 0).alias("_head"))
-    one = rows.select(key, "_text", F.explode(F.array_distinct(words)).alias("_head")).join(heads, "_head")
-    few = one.where(F.instr(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_passage", F.lit(" "))) > 0).select(passage_key, key).distinct()
-    return found.union(few)
+    asked = asked.withColumn("_words", F.split("_passage", " ")).withColumn("_n", F.least(F.size("_words"), F.lit(width)))
+    sizes = sorted(r["_n"] for r in asked.select("_n").distinct().collect())  # `width` numbers at most
+    own = F.lit(None).cast("long")
+    for n in sizes:
+        own = F.when(F.col("_n") == n, F.get(_windows(F.slice("_words", 1, n), n), 0)).otherwise(own)
+    asked = settled(asked.select(passage_key, "_passage", "_n", own.alias("_key")))
+    rows = docs.select(key, flat(F.col(text)).alias("_text"))
+    keyed = rows.select(key, F.split("_text", " ").alias("_words"))
+    keys = _small(settled(asked.select("_n", "_key").distinct()))
+    hits = None
+    for n in sizes:
+        index = keyed.select(key, F.lit(n).alias("_n"), F.explode(F.array_distinct(_windows(F.col("_words"), n))).alias("_key"))
+        found = index.join(keys, ["_n", "_key"], "left_semi")
+        hits = found if hits is None else hits.union(found)
+    if hits is None:
+        return asked.select(passage_key, F.lit(None).cast(docs.schema[key].dataType).alias(key))  # no passages
+    pairs = _small(settled(hits.join(_small(asked.drop("_passage")), ["_n", "_key"]).select(key, passage_key).distinct()))
+    exact = rows.join(pairs, key).join(_small(asked.select(passage_key, "_passage")), passage_key)
+    held = F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_passage", F.lit(" ")))
+    return exact.where(held).select(passage_key, key).distinct()

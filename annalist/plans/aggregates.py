@@ -58,11 +58,14 @@ def ordered_json_history(spark, sf_dir):
     return reports.ordered_history(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey", "o_orderstatus"])
 
 
-@query("SELECT md5(string_agg(line, ';' ORDER BY line)) AS fingerprint, count(*) AS rows FROM (SELECT n_name || '|' || r_name AS line FROM nation JOIN region ON n_regionkey = r_regionkey)")
+@query("""
+WITH l AS (SELECT md5(c_name || '|' || n_name || '|' || r_name) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+g AS (SELECT left(line, 2) AS part, md5(string_agg(line, ';' ORDER BY line)) AS hash, count(*) AS n FROM l GROUP BY 1)
+SELECT md5(string_agg(hash, ';' ORDER BY part)) AS fingerprint, sum(n)::BIGINT AS rows FROM g""")
 def scope_fingerprint(spark, sf_dir):
     """One hash of a scope."""
-    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return reports.scope_fingerprint(rows, ["n_name", "r_name"])
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return reports.scope_fingerprint(rows, ["c_name", "n_name", "r_name"])
 
 
 @query("SELECT run_id, count(*) AS attempts, sum(duration_ms)::BIGINT AS duration_ms, count(*) FILTER (WHERE cost IS NULL) AS unknown, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies FROM attempts GROUP BY run_id", "attempts")

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.operators.shared import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -104,8 +106,13 @@ def query(sql: str | None = None, shapes: str = ""):
     return register
 
 
+#: Tables of long texts: work on a row is much more than reading it.
+LONG = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in LONG else rows
 
 
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -192,10 +192,13 @@ def lexical_rank(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", kernels.rank_column(["the", "and"])("text").alias("rank"))
 
 
-@query("SELECT page_id AS version_id, CASE WHEN html LIKE '%<nav>%' THEN 'nav' END AS reference, 1 AS ordinal FROM pages WHERE html LIKE '%<nav>%'")
+@query("""
+WITH l AS (SELECT page_id AS version_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS refs FROM pages), r AS (SELECT version_id, unnest(refs[1:3]) AS reference, unnest(range(1, least(len(refs), 3) + 1)) AS ordinal FROM l)
+SELECT version_id, reference, ordinal::INTEGER AS ordinal FROM r""")
 def capped_references(spark, sf_dir):
-    """References of a version in order, at most three."""
-    rows = table(spark, sf_dir, "pages").where(F.col("html").like("%<nav>%")).select(F.col("page_id").alias("version_id"), F.lit("nav").alias("reference"), F.lit(0).alias("place"))
+    """The links of a page in order, at most three."""
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("version_id"), F.posexplode(links).alias("place", "reference"))
     return reports.capped_references(rows, 3).select("version_id", "reference", "ordinal")
 
 

@@ -317,12 +317,12 @@ def interval_complement(spark, sf_dir):
 
 @query("""
 SELECT a.event_id AS view_id, b.event_id AS click_id FROM events a JOIN events b ON a.user_id = b.user_id
-  AND a.ts < b.ts + INTERVAL 3 HOUR AND b.ts < a.ts + INTERVAL 30 HOUR WHERE a.event_type = 'view' AND b.event_type = 'click'""")
+  AND a.ts < b.ts + CASE WHEN b.event_id % 40 = 0 THEN INTERVAL 50 DAY ELSE INTERVAL 3 HOUR END AND b.ts < a.ts + CASE WHEN a.event_id % 50 = 0 THEN INTERVAL 60 DAY ELSE INTERVAL 30 HOUR END WHERE a.event_type = 'view' AND b.event_type = 'click'""")
 def interval_overlap(spark, sf_dir):
-    """Pairs of overlapping intervals of a user, met in day buckets."""
+    """Pairs of overlapping intervals of a user, met in day buckets, long ones in months."""
     events = table(spark, sf_dir, "events")
-    left = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 30 HOUR")).alias("b"))
-    right = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("c"), (F.col("ts") + F.expr("INTERVAL 3 HOUR")).alias("d"))
+    left = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("a"), F.expr("ts + CASE WHEN event_id % 50 = 0 THEN INTERVAL 1440 HOUR ELSE INTERVAL 30 HOUR END").alias("b"))
+    right = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("c"), F.expr("ts + CASE WHEN event_id % 40 = 0 THEN INTERVAL 1200 HOUR ELSE INTERVAL 3 HOUR END").alias("d"))
     return intervals.overlap_join(left, right, ["user_id"], ("a", "b"), ("c", "d")).select("view_id", "click_id")
 
 
