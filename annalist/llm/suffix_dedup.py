@@ -16,6 +16,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ SPAN = (1 << 21) - 8192
 #: Surroundings of one anchor that are sorted in one task; anchors with more go by single strings.
 MOST_SORTED = 512
 #: Surroundings of one anchor that a batch of texts sends to the anchor's task; where it has more they go by single strings at once.
-HOT = 64
+HOT = 512
 
 #: Kinds of rows: spans that are final (key: a hash of the row, ctx: end, ctx2: level, at: start), surroundings of anchors, and surroundings
 #: that go by single strings (under a key of their own). A surrounding with info MARK only tells that there are such.
@@ -379,6 +380,28 @@ def _with_bytes():
 OPEN = "key long, doc_id long, row long, at long, info long, data binary, kind int"
 
 
+def repeated(names: np.ndarray) -> np.ndarray:
+    """Which numbers occur more than once."""
+    order = np.argsort(names)
+    equal = np.flatnonzero(names[order[1:]] == names[order[:-1]])
+    out = np.zeros(len(names), dtype=bool)
+    out[order[equal]] = out[order[equal + 1]] = True
+    return out
+
+
+def some_runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.Table]:
+    """Tables of whole runs of the first column that hold some `most` bytes of `data`, or one run."""
+    for table in by_runs(batches):
+        key = table.column(0).to_numpy()
+        bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        size = np.append(0, np.cumsum(pc.binary_length(table.column("data")).to_numpy()))[bounds]
+        first = 0
+        while first < len(bounds) - 1:
+            upto = max(first + 1, int(np.searchsorted(size, size[first] + most, "right")) - 1)
+            yield table.slice(bounds[first], bounds[upto] - bounds[first]).combine_chunks()
+            first = upto
+
+
 #: What stands behind a surrounding that ends with its text. It is no byte.
 NOTHING = 256
 
@@ -387,8 +410,7 @@ def _sorted_repeats(length: int, reported: int):
     """Spans of strings that occur in two surroundings of an anchor, by sorting the suffixes that begin them."""
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_runs(batches):
-            table = table.combine_chunks()
+        for table in some_runs(batches):
             key, at, info, row = (table.column(c).to_numpy() for c in ("key", "at", "info", "row"))
             before, after, room, _ = _unpacked(info)
             raw = table.column("data").to_pylist()
@@ -401,12 +423,17 @@ def _sorted_repeats(length: int, reported: int):
             of = np.repeat(np.arange(len(raw)), counts)
             turn = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
             run = np.cumsum(np.append(True, key[1:] != key[:-1]))[of]
-            order = np.lexsort((before[of] - turn, run))  # equal strings stand equally far before the anchor
-            of, turn, run = of[order], turn[order], run[order]
-            far = before[of] - turn
+            hashes = Hashes(data)
+            far = before[of] - turn  # equal strings stand equally far before the anchor
+            with np.errstate(over="ignore"):
+                met = repeated(mixed(hashes.of(offset[of] + turn, reported) + mixed((run.astype(np.uint64) << np.uint64(20)) + far.astype(np.uint64))))
+            of, turn, run, far = of[met], turn[met], run[met], far[met]  # the others occur once
+            if not len(of):
+                continue
+            order = np.lexsort((far, run))
+            of, turn, run, far = of[order], turn[order], run[order], far[order]
             group = np.cumsum(np.append(True, (run[1:] != run[:-1]) | (far[1:] != far[:-1])))
             suffix = offset[of] + turn
-            hashes = Hashes(data)
             order = hashes.sorted_within(suffix, group, length)
             suffix, of, turn = suffix[order], of[order], turn[order]
             whole = sizes[of] - turn >= length
