@@ -516,13 +516,16 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = full.groupBy("h1", "h2").agg(*[F.any_value(c).alias(c) for c in ("bits", "most", "low_range")])
 
-    named = found.where("name IS NOT NULL").select("name", "member").distinct()
-    joined = named.join(reps, F.col("member") == F.col("h1")).withColumn("slot", F.pmod(F.col("name").bitwiseAND(255) - F.col("low_range"), F.lit(256)))
-    joined = shared.written(joined.select("name", "member", F.expr("bits[slot]").alias("bits"), F.expr("most[slot]").alias("most")), "groups")
-    hot = shared.written(joined.groupBy(F.col("name").alias("_hot")).count().where(F.col("count") > HOT_GROUP).select("_hot"), "hot-names")
-    calm = joined if hot.isEmpty() else joined.join(hot, F.col("name") == F.col("_hot"), "left_anti")
+    named = found.where("name IS NOT NULL").select("name", "member")
+    hot = named.groupBy(F.col("name").alias("_hot")).count().where(F.col("count") > HOT_GROUP).select("_hot")  # or less, as rows may repeat
+    any_hot = bool(hot.take(1))
+    joined = named.distinct().join(reps, F.col("member") == F.col("h1")).withColumn("slot", F.pmod(F.col("name").bitwiseAND(255) - F.col("low_range"), F.lit(256)))
+    joined = joined.select("name", "member", F.expr("bits[slot]").alias("bits"), F.expr("most[slot]").alias("most"))
+    if any_hot:
+        hot, joined = shared.written(hot, "hot-names"), shared.written(joined, "groups")
+    calm = joined.join(hot, F.col("name") == F.col("_hot"), "left_anti") if any_hot else joined
     edges = calm.repartition(dealt, "name").sortWithinPartitions("name", "member").mapInArrow(_candidate_edges, EDGES)
-    if not hot.isEmpty():
+    if any_hot:
         edges = edges.union(_hot_edges(joined.join(hot, F.col("name") == F.col("_hot"), "left_semi"), dealt))
     edges = shared.written(edges, "pairs")
     groups = shared.written(components(edges.select("u", "v")), "candidates")
