@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from annalist.functions.temporal import ROME, local_to_utc
+from annalist.functions.temporal import ROME, let, local_to_utc
 from annalist.functions.text import italian_date, squeezed
 
 # The wording of public bulletins and notices.
@@ -22,13 +22,17 @@ OPERATIVE = rf"(?iu)^dalle ore {CLOCK} di (?:({'|'.join(WEEKDAYS)})\s+)?([0-9]{{
 
 def local_instant(hour: Column, minute: Column, day: Column, zone: str = ROME) -> Column:
     """UTC of a local time of a day; null where it is no time of that day, or is there twice."""
-    there = day.isNotNull() & (hour.try_cast("int") < 24) & (minute.try_cast("int") < 60)
-    clock = F.concat(day.cast("string"), F.lit(" "), F.lpad(hour, 2, "0"), F.lit(":"), minute, F.lit(":00"))
-    return local_to_utc(F.when(there, F.try_to_timestamp(clock).cast("timestamp_ntz")), zone)
+
+    def instant(given: Column) -> Column:
+        there = given["day"].isNotNull() & (given["hour"].try_cast("int") < 24) & (given["minute"].try_cast("int") < 60)
+        clock = F.concat(given["day"].cast("string"), F.lit(" "), F.lpad(given["hour"], 2, "0"), F.lit(":"), given["minute"], F.lit(":00"))
+        return local_to_utc(F.when(there, F.try_to_timestamp(clock).cast("timestamp_ntz")), zone)
+
+    return let(F.struct(hour.alias("hour"), minute.alias("minute"), day.alias("day")), instant)
 
 
 def _interval(start: Column, end: Column) -> Column:
-    return F.when(start < end, F.struct(start.alias("start"), end.alias("end")))
+    return let(F.struct(start.alias("start"), end.alias("end")), lambda both: F.when(both["start"] < both["end"], both))
 
 
 def _numeric_day(day: Column, month: Column, year: Column) -> Column:
@@ -41,15 +45,17 @@ def row_interval(phrase: Column) -> Column:
     `dalle ore A alle ore B di giorno`, `dalle ore A di giorno alle ore B di giorno`, and any text with exactly two times of
     the shape `A del 1/2/2026`. Reversed or empty intervals and times that do not exist or are ambiguous are null.
     """
-    text = squeezed(phrase)
-    one, two = (lambda i: F.regexp_extract(text, SHARED_DAY, i)), (lambda i: F.regexp_extract(text, TWO_DAYS, i))
-    day = italian_date(one(5))
-    shared = _interval(local_instant(one(1), one(2), day), local_instant(one(3), one(4), day))
-    apart = _interval(local_instant(two(1), two(2), italian_date(two(3))), local_instant(two(4), two(5), italian_date(two(6))))
-    part = lambda i, k: F.get(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(i)), k)
-    at = lambda k: local_instant(part(1, k), part(2, k), _numeric_day(part(3, k), part(4, k), part(5, k)))
-    numeric = F.when(F.regexp_count(text, F.lit(NUMERIC)) == 2, _interval(at(0), at(1)))
-    return F.when(one(1) != "", shared).when(two(1) != "", apart).otherwise(numeric)
+
+    def interval(text: Column) -> Column:
+        one, two = (lambda i: F.regexp_extract(text, SHARED_DAY, i)), (lambda i: F.regexp_extract(text, TWO_DAYS, i))
+        shared = let(italian_date(one(5)), lambda day: _interval(local_instant(one(1), one(2), day), local_instant(one(3), one(4), day)))
+        apart = _interval(local_instant(two(1), two(2), italian_date(two(3))), local_instant(two(4), two(5), italian_date(two(6))))
+        part = lambda i, k: F.get(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(i)), k)
+        at = lambda k: local_instant(part(1, k), part(2, k), _numeric_day(part(3, k), part(4, k), part(5, k)))
+        numeric = F.when(F.regexp_count(text, F.lit(NUMERIC)) == 2, _interval(at(0), at(1)))
+        return F.when(text.rlike(SHARED_DAY), shared).when(text.rlike(TWO_DAYS), apart).otherwise(numeric)
+
+    return let(squeezed(phrase), interval)
 
 
 def in_progress(phrase: Column) -> Column:
@@ -59,8 +65,12 @@ def in_progress(phrase: Column) -> Column:
 
 def in_progress_interval(phrase: Column, issued: Column) -> Column:
     """From the issuance to the end that `in corso fino alle ore A di giorno` states; null if that is not later, or unknown."""
-    part = lambda i: F.regexp_extract(squeezed(phrase), IN_PROGRESS, i)
-    return _interval(issued, local_instant(part(1), part(2), italian_date(part(3))))
+
+    def interval(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, IN_PROGRESS, i)
+        return F.when(text.rlike(IN_PROGRESS), _interval(issued, local_instant(part(1), part(2), italian_date(part(3)))))
+
+    return let(squeezed(phrase), interval)
 
 
 def operative_start(phrase: Column, published: Column) -> Column:
@@ -68,9 +78,16 @@ def operative_start(phrase: Column, published: Column) -> Column:
 
     Without a year, that of the publication counts if it fell on the same day of the year. A weekday must be the date's.
     """
-    part = lambda i: F.regexp_extract(squeezed(phrase), OPERATIVE, i)
-    year = F.when(part(6) != "", part(6)).otherwise(F.year(published).cast("string"))
-    day = italian_date(F.concat_ws(" ", part(4), part(5), year))
-    day = F.when((part(6) != "") | (day == published), day)
-    named = F.get(F.array(*map(F.lit, WEEKDAYS)), F.dayofweek(day) - 1)
-    return F.when((part(1) != "") & ((part(3) == "") | (F.lower(part(3)) == named)), local_instant(part(1), part(2), day))
+
+    def start(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, OPERATIVE, i)
+        year = F.when(part(6) != "", part(6)).otherwise(F.year(published).cast("string"))
+
+        def of_day(day: Column) -> Column:
+            named = F.get(F.array(*map(F.lit, WEEKDAYS)), F.dayofweek(day) - 1)
+            fits = ((part(6) != "") | (day == published)) & ((part(3) == "") | (F.lower(part(3)) == named))
+            return F.when(fits, local_instant(part(1), part(2), day))
+
+        return F.when(text.rlike(OPERATIVE), let(italian_date(F.concat_ws(" ", part(4), part(5), year)), of_day))
+
+    return let(squeezed(phrase), start)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,13 +37,23 @@ def intersects(precision: Column, start: Column, end: Column, low: Column, high:
     return F.when(precision.isin("unknown", "conditional") | start.isNull(), F.lit(True)).otherwise(known)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that it names more than once, and that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def local_to_utc(local: Column, zone: str = ROME) -> Column:
     """UTC of a local wall time (timestamp without zone), or null where it does not exist or is ambiguous."""
     to_utc = lambda t: F.convert_timezone(F.lit(zone), F.lit("UTC"), t)
     to_local = lambda t: F.convert_timezone(F.lit("UTC"), F.lit(zone), t)
-    utc, hour = to_utc(local), F.expr("INTERVAL 1 HOUR")
-    twice = (to_local(utc - hour) == local) | (to_local(utc + hour) == local)
-    return F.when((to_local(utc) == local) & ~twice, utc)
+    hour = F.expr("INTERVAL 1 HOUR")
+
+    def checked(both: Column) -> Column:
+        utc, wall = both["utc"], both["wall"]
+        twice = (to_local(utc - hour) == wall) | (to_local(utc + hour) == wall)
+        return F.when((to_local(utc) == wall) & ~twice, utc)
+
+    return let(local, lambda t: let(F.struct(to_utc(t).alias("utc"), t.alias("wall")), checked))
 
 
 def local_day(at: Column, zone: str = ROME) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from annalist.functions.temporal import let
+
 #: Italian month names, in order.
 MONTHS = ["gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"]
 # Words that say nothing about a disposition, and about what a measure is on.
@@ -91,8 +93,8 @@ def act_references(text: Column, most: int = 3) -> Column:
 
 def italian_date(text: Column) -> Column:
     """The date that a phrase such as `Lunedì, 13 Aprile 2026` names, or null if there is none or it does not exist."""
-    months = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(str(i + 1)))])
+    months = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(f"{i + 1:02d}"))])
     pattern = rf"(?iu)\b([0-9]{{1,2}})\s+({'|'.join(MONTHS)})\s+([0-9]{{4}})\b"
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    month = F.element_at(months, F.lower(part(2)))
-    return F.when(part(1) != "", F.try_to_date(F.concat_ws("-", part(3), F.lpad(month, 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd"))
+    named = F.split(F.regexp_extract(text, pattern, 0), r"\s+")
+    words = lambda found: F.concat_ws("-", F.get(found, 2), F.element_at(months, F.lower(F.get(found, 1))), F.lpad(F.get(found, 0), 2, "0"))
+    return let(named, lambda found: F.when(F.size(found) == 3, F.try_to_date(words(found), "yyyy-MM-dd")))

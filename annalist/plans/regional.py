@@ -144,12 +144,12 @@ def ongoing_phrases(spark, sf_dir):
     return rows.select("o_orderkey", "i.start", F.col("i.end").alias("until"))
 
 
-_STARTS = [(f"'dalle ore 8.00 di ' || {_DATE}", True), (f"'dalle ore 8.00 di ' || {_D} || ' ' || {_NAME}", True), (f"'dalle ore 8.00 di ' || ({_D} % 28 + 1) || ' ' || {_NAME}", False), (f"'a partire dalle ore 8.00 di ' || {_DATE}", False)]
+_STARTS = [f"'dalle ore 8.00 di ' || {_DATE}", f"'dalle ore 8.00 di ' || {_D} || ' ' || {_NAME}", f"'dalle ore 8.00 di ' || ({_D} % 28 + 1) || ' ' || {_NAME}", f"'a partire dalle ore 8.00 di ' || {_DATE}"]
 
 
 @query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN {_UTC(8)} END AS start FROM orders")
 def operative_starts(spark, sf_dir):
     """Operative starts; without a year the publication's counts, if it is of that day."""
-    phrase = "CASE o_orderkey % 4 " + " ".join(f"WHEN {n} THEN {p}" for n, (p, _) in enumerate(_STARTS)) + " END"
+    phrase = "CASE o_orderkey % 4 " + " ".join(f"WHEN {n} THEN {p}" for n, p in enumerate(_STARTS)) + " END"
     published = F.expr(f"make_date(2026, month(o_orderdate), {_D})")
     return table(spark, sf_dir, "orders").select("o_orderkey", italian.operative_start(F.expr(phrase), published).alias("start"))
