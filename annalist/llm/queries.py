@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annalist.llm import bpe, chat, jaccard, mixing, quality, secret_scan, sharding, suffix_dedup, topk, warc
+from annalist.llm import bpe, chat, debruijn, jaccard, mixing, quality, secret_scan, sharding, suffix_dedup, topk, warc
 
 QUERIES = {
     "op1_tiled_topk": topk.op1_tiled_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_zip_warc": warc.op8_zip_warc,
     "op9_prefix_tree_join": jaccard.op9_prefix_tree_join,
     "op10_line_quality": quality.op10_line_quality,
+    "op11_debruijn_dedup": debruijn.op11_debruijn_dedup,
 }
 
 ORACLE_SQL = {

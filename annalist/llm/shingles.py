@@ -70,8 +70,8 @@ def _number(place_and_byte: np.ndarray, key: int) -> np.ndarray:
         return mixed(mixed(place_and_byte * BASE + np.uint64(key & (2**64 - 1))) ^ np.uint64((key * 0xD6E8FEB86659FD93 + 1) & (2**64 - 1)))
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, and how many words each text has.
+def word_hashes(data: np.ndarray, bounds: np.ndarray, key: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, lower-cased if asked, and how many words each text has.
 
     A word's hash is the sum of numbers drawn by `key` for each of its bytes at its place: two words
     collide with a chance of 2**-64, whatever they are, as long as the key is drawn behind them.
@@ -91,7 +91,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, key: int) -> tuple[np.ndar
     firsts = np.cumsum(sizes) - sizes
     at = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
     at <<= 8
-    at |= _LOWER[data[inside]]
+    at |= _LOWER[data[inside]] if lower else data[inside]
     if int(sizes.max()) > PLACES:
         far = np.flatnonzero(at >= PLACES << 8)
         numbers = _numbers(key).take(at, mode="clip")
