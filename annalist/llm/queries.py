@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annalist.llm import bpe, chat, debruijn, jaccard, mixing, quality, secret_scan, sharding, spelling, suffix_dedup, topk, warc
+from annalist.llm import bpe, chat, debruijn, jaccard, mixing, quality, repair, secret_scan, sharding, spelling, suffix_dedup, topk, warc
 
 QUERIES = {
     "op1_tiled_topk": topk.op1_tiled_topk,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_prefix_tree_join": jaccard.op9_prefix_tree_join,
     "op10_line_quality": quality.op10_line_quality,
     "op11_debruijn_dedup": debruijn.op11_debruijn_dedup,
+    "op12_rank_repair": repair.op12_rank_repair,
     "op13_variant_automata": spelling.op13_variant_automata,
 }
 
