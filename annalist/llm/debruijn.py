@@ -266,3 +266,41 @@ def op11_debruijn_dedup(spark, sf_dir):
     """Words of 35-word windows that start anywhere else are removed. See `remove_repeats`."""
     kept = remove_repeats(shared.documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", F.size("spans").cast("long").alias("n_spans"))
+
+
+#: Edges are strings here. Unitigs are numbered by their first edge, cycles by the least of theirs.
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (
+  SELECT r, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+e AS (
+  SELECT r, i, n, word, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS edge FROM w),
+k AS MATERIALIZED (
+  SELECT edge, row_number() OVER () AS id FROM e WHERE i <= n - 34 GROUP BY edge HAVING count(*) > 1),
+m AS MATERIALIZED (
+  SELECT e.r, e.i, e.word, k.id, max(k.id IS NOT NULL) OVER (PARTITION BY e.r ORDER BY e.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM e LEFT JOIN k ON e.i <= e.n - 34 AND e.edge = k.edge),
+node AS (
+  SELECT node, count(a) AS n_in, count(b) AS n_out, max(a) AS a, max(b) AS b FROM (
+    SELECT regexp_replace(edge, '^[^ ]+ ', '') AS node, id AS a, NULL AS b FROM k UNION ALL
+    SELECT regexp_replace(edge, ' [^ ]+$', ''), NULL, id FROM k) GROUP BY node),
+link AS MATERIALIZED (
+  SELECT a, b FROM node WHERE n_in = 1 AND n_out = 1),
+path AS (
+  SELECT id, id AS unitig FROM k WHERE id NOT IN (SELECT b FROM link) UNION ALL
+  SELECT link.b, path.unitig FROM path JOIN link ON path.id = link.a),
+loop AS (
+  SELECT id, id AS met FROM k WHERE id NOT IN (SELECT id FROM path) UNION
+  SELECT loop.id, link.b FROM loop JOIN link ON loop.met = link.a),
+named AS (
+  SELECT id, unitig FROM path UNION ALL SELECT id, min(met) FROM loop GROUP BY id),
+s AS (
+  SELECT r, count(*) FILTER (gone AND NOT before) AS n_spans FROM (SELECT r, gone, lag(gone, 1, false) OVER (PARTITION BY r ORDER BY i) AS before FROM m) GROUP BY r),
+p AS (
+  SELECT r, count(DISTINCT unitig) AS n_passages FROM m JOIN named USING (id) GROUP BY r),
+t AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY r)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+       coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN t USING (r) LEFT JOIN p USING (r) LEFT JOIN s USING (r)"""

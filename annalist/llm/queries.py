@@ -26,4 +26,7 @@ ORACLE_SQL = {
     "op8_zip_warc": warc.SQL,
     "op9_prefix_tree_join": jaccard.SQL,
     "op10_line_quality": quality.SQL,
+    "op11_debruijn_dedup": debruijn.SQL,
+    "op12_rank_repair": repair.SQL,
+    "op13_variant_automata": spelling.SQL,
 }

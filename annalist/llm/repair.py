@@ -307,3 +307,46 @@ def op12_rank_repair(spark, sf_dir):
     """All conversations damaged by `damage` and repaired by `repair`."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return report(turns, repair(damage(turns)))
+
+
+#: Audits are strings here. States are numbered as above.
+SQL = """
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda x: unicode(x)::UBIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda y, i: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))), 4294967295::UBIGINT) % 20 AS h FROM c),
+d AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy, h FROM h),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM d WHERE h <> 0),
+r AS MATERIALIZED (
+  SELECT *, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+         lag(role[1]) OVER (PARTITION BY g ORDER BY i) || role[1] AS pair FROM o),
+f AS MATERIALIZED (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r),
+mid(before, k, mid, added) AS (VALUES
+  (0, 0, 0, []), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+  (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:'])),
+way AS (
+  SELECT *, CASE letter WHEN 'D' THEN mid WHEN 'R' THEN CASE WHEN mid = 2 THEN 3 ELSE 2 END
+    ELSE CASE WHEN initial = 's' AND mid = 0 THEN 1 WHEN initial = 'u' AND mid <> 2 THEN 2 WHEN initial = 'a' AND mid = 2 THEN 3 WHEN initial = '' THEN mid END END AS behind
+  FROM mid, (VALUES ('D'), ('K'), ('R')) AS l(letter), (VALUES ('s'), ('u'), ('a'), (''), ('?')) AS n(initial)),
+dp AS (
+  SELECT g, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS standing FROM (SELECT DISTINCT g FROM f) UNION ALL
+  SELECT dp.g, f.i, behind, dp.cost + 2 * k + CASE letter WHEN 'D' THEN 3 ELSE CASE letter WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END END AS spent, dp.audit || repeat('I', k) || letter AS said,
+         dp.standing || added || CASE letter WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [role || ':' || text] ELSE [CASE WHEN behind = 3 THEN 'assistant:' ELSE 'user:' END || text] END
+  FROM dp JOIN f ON f.g = dp.g AND f.i = dp.i + 1 JOIN way ON way.before = dp.state AND way.initial = CASE WHEN role[1] IN ('s', 'u', 'a', '') THEN role[1] ELSE '?' END
+  WHERE behind IS NOT NULL AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate'))
+  QUALIFY row_number() OVER (PARTITION BY dp.g, behind ORDER BY spent, said) = 1),
+z AS (
+  SELECT dp.g, dp.cost + 2 * len(closing) AS cost, dp.audit || repeat('I', len(closing)) AS audit, dp.standing || closing AS standing
+  FROM dp JOIN (SELECT g, max(i) AS i FROM f GROUP BY g) USING (g, i) JOIN (VALUES (0, []::VARCHAR[]), (1, ['user:', 'assistant:']), (2, ['assistant:']), (3, [])) AS e(state, closing) USING (state)
+  QUALIFY row_number() OVER (PARTITION BY dp.g ORDER BY dp.cost + 2 * len(closing), dp.audit || repeat('I', len(closing))) = 1),
+a AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(standing, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g FROM conversations) LEFT JOIN a USING (g) LEFT JOIN z USING (g)"""

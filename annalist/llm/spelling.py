@@ -320,3 +320,29 @@ def group_variants(words: DataFrame, times: int = TIMES) -> DataFrame:
 def op13_variant_automata(spark, sf_dir):
     """The vocabulary of all documents, every word with its form and root; see `vocabulary` and `group_variants`."""
     return group_variants(vocabulary(shared.documents(spark, sf_dir)))
+
+
+#: Near words by what is left when one code point is left out.
+SQL = """
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::UBIGINT] ELSE [195::UBIGINT, (unicode(x) - 64)::UBIGINT] END))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda y, i: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))), 4294967295::UBIGINT) AS h FROM r),
+w AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+l AS MATERIALIZED (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS near, b.n FROM l a JOIN l b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION
+  SELECT w.word, l.word, l.n FROM w JOIN l ON w.word = l.rest UNION SELECT l.word, w.word, w.n FROM w JOIN l ON w.word = l.rest),
+b AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS best, max(n) AS best_n FROM p GROUP BY word),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n FROM w LEFT JOIN b USING (word)),
+t AS (
+  SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, t.root FROM t JOIN f ON f.form = t.word)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN t USING (word)"""
