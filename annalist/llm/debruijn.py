@@ -128,21 +128,23 @@ def _as_paths(width: int):
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = batch.column(0).to_numpy(), {f.split()[0]: [] for f in PATHS.split(", ")}
+            told, wanted = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            first, n_windows, key, c, n, several = (wanted.field(name).to_numpy(zero_copy_only=False) for name in ("first", "n_windows", "key", "c", "n", "several"))
             for i in range(batch.num_rows):
                 raw = memoryview(batch.column(1)[i].as_buffer())
                 _, starts, ends = word_bounds(np.frombuffer(raw, dtype=np.uint8))
-                for x in batch.column(2)[i].as_py():
-                    first, n_windows = x["first"], x["n_windows"]
-                    at = range(first, first + (n_windows if x["several"] else 0) + 1) if x["several"] else (first, first + n_windows)
+                for x in range(told[i], told[i + 1]):
+                    begin, count = int(first[x]), int(n_windows[x])
+                    at = range(begin, begin + count + 1) if several[x] else (begin, begin + count)
                     nodes = [digest(raw, starts[p], ends[p + width - 2]) for p in at]
-                    if x["several"]:
-                        for j in range(n_windows):
-                            _put(out, EDGE, True, 0, 0, rows[i], first + j, 1, x["n"], nodes[j], nodes[j + 1], 0, first)
-                    if x["n"] > 1:
-                        _put(out, PIECE, x["several"], x["key"], x["c"], rows[i], first, n_windows, x["n"], nodes[0], nodes[-1], digest(raw, starts[first], ends[first + n_windows + width - 2]), first)
-                    if len(out["kind"]) >= 1 << 16:
-                        yield _batch(out, PATHS)
-                        out = {name: [] for name in out}
+                    if several[x]:
+                        for j in range(count):
+                            _put(out, EDGE, True, 0, 0, rows[i], begin + j, 1, n[x], nodes[j], nodes[j + 1], 0, begin)
+                    if n[x] > 1:
+                        _put(out, PIECE, several[x], key[x], c[x], rows[i], begin, count, n[x], nodes[0], nodes[-1], digest(raw, starts[begin], ends[begin + count + width - 2]), begin)
+                if len(out["kind"]) >= 1 << 16:
+                    yield _batch(out, PATHS)
+                    out = {name: [] for name in out}
             if out["kind"]:
                 yield _batch(out, PATHS)
 
@@ -190,6 +192,7 @@ def repeated_spans(docs: DataFrame, width: int, anchor: int) -> DataFrame:
     found = texts.mapInArrow(_found(width, anchor, seed, SPAN), PIECES)
     half = F.shiftright("c", 32).cast("int")
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min(half).alias("least"), F.max(half).alias("most")).where("n > 1").select("key", (F.col("least") != F.col("most")).alias("several"))
+    keys = shared.written(keys, "keys")  # so that both sides of the join are dealt for it, and Spark can split a hot key
     met = shared.written(found.join(keys, "key"), "pieces")
 
     kinds = met.groupBy("key", "c").agg(F.count("*").alias("n"), F.any_value("several").alias("several"), F.min(F.struct("row", "first", "n_windows")).alias("at")).where("several OR n > 1")
@@ -219,17 +222,21 @@ CUT = "doc_id long, n_words long, n_removed long, n_passages long, spans array<s
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, removed, passages, spans, kept = [], [], [], [], []
+        told, every = batch.column(2).offsets.to_numpy(), batch.column(2).values
+        first, last, checked, of = every.field("start").to_numpy(zero_copy_only=False), every.field("end").to_numpy(zero_copy_only=False), every.field("digest"), every.field("unitigs")
+        sure, checked = checked.is_null().to_numpy(zero_copy_only=False), checked.fill_null(0).to_numpy()
+        upto, names = of.offsets.to_numpy(), of.values.to_numpy()
         for i in range(batch.num_rows):
             view = memoryview(batch.column(1)[i].as_buffer())
             raw = np.frombuffer(view, dtype=np.uint8)
             inside, starts, ends = word_bounds(raw)
             change, met = np.zeros(len(starts) + 1, dtype=np.int32), set()
-            for x in batch.column(2)[i].as_py() or []:
-                a, b = x["start"], x["end"]
-                if x["digest"] is None or digest(view, starts[a], ends[b - 1]) == x["digest"]:
+            for x in range(told[i], told[i + 1]):
+                a, b = first[x], last[x]
+                if sure[x] or digest(view, starts[a], ends[b - 1]) == checked[x]:
                     change[a] += 1
                     change[b] -= 1
-                    met.update(x["unitigs"])
+                    met.update(names[upto[x] : upto[x + 1]].tolist())
             covered = np.cumsum(change)[:-1] > 0
             edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).view(np.int8)))
             out, stays = raw.copy(), inside
