@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.functions import act_text, text
+from annalist.functions import text, wording
 
 #: What identifies a numbered act.
 ACT = ["kind", "number", "year"]
@@ -40,9 +40,8 @@ HEAD = 1200
 def attached_acts(attachments: DataFrame) -> DataFrame:
     """version_id, url, kind, number and year of attachments whose first bytes name a numbered act of a year."""
     head = text.bounded(F.col("text"), HEAD)
-    part = lambda i: F.regexp_extract(head, rf"(?i)\b{act_text.KIND}\s*{act_text.NUMBER}\s*/\s*([0-9]{{4}})", i)
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in act_text.KINDS.items() for x in kv]), F.regexp_extract(F.lower(part(1)), f"^({'|'.join(act_text.KINDS)})", 1))
-    return attachments.select("version_id", "url", kind.alias("kind"), part(2).try_cast("int").alias("number"), part(3).try_cast("int").alias("year")).where("number IS NOT NULL").distinct()
+    acts = attachments.select("version_id", "url", wording.act_of(head).alias("act")).select("version_id", "url", "act.*")
+    return acts.where("number IS NOT NULL").distinct()
 
 
 def searched(references: DataFrame, attachments: DataFrame, notices: DataFrame, register: DataFrame, categories: DataFrame) -> DataFrame:

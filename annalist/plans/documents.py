@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annalist.functions import act_text, kernels, markup, text
+from annalist.functions import kernels, markup, text, wording
 from annalist.operators import reports, retrieval
 from annalist.plans.base import query, table
 
@@ -62,7 +62,7 @@ _BY_ORDER = lambda i: "CASE o_orderkey % 8 " + " ".join(f"WHEN {n} THEN {x[i]}"
 @query(f"SELECT o_orderkey, {_BY_ORDER(1)} AS refs FROM orders")
 def act_references(spark, sf_dir):
     """Acts that a text refers to: numbered, else by kind, none that is negated; three at most."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", act_text.references_in(F.expr(_BY_ORDER(0))).alias("r"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", wording.references_in(F.expr(_BY_ORDER(0))).alias("r"))
     shown = F.transform("r", lambda r: F.concat(r["kind"], F.lit(" "), F.coalesce(r["number"].cast("string"), F.lit("")), F.lit("/"), F.coalesce(r["year"].cast("string"), F.lit(""))))
     return rows.select("o_orderkey", F.array_join(shown, ",").alias("refs"))
 
@@ -82,7 +82,7 @@ SELECT o_orderkey, CASE WHEN {_KNOWN} THEN make_timestamp({_YEAR}, 3, 1, o_order
   CASE WHEN {_KNOWN} THEN 'closure la chiusura del parco n. ' || o_custkey || ';|prohibition il divieto di transito.' END AS disposed FROM orders""")
 def act_clauses(spark, sf_dir):
     """The clause by which an act disposes: start, end or condition, and dispositions."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", act_text.clause_of(F.expr(_CLAUSE)).alias("c"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", wording.clause_of(F.expr(_CLAUSE)).alias("c"))
     disposed = F.array_join(F.transform("c.dispositions", lambda d: F.concat_ws(" ", d["kind"], d["text"])), "|")
     return rows.select("o_orderkey", "c.start", F.col("c.end").alias("until"), "c.condition", disposed.alias("disposed"))
 
@@ -278,10 +278,64 @@ _NOTICE = lambda i: f"CASE o_orderkey % {len(_NOTICES)} " + " ".join(f"WHEN {n}
 @query(f"SELECT o_orderkey, {_NOTICE(1)} AS found FROM orders")
 def rule_supplements(spark, sf_dir):
     """Measures that notices state in fixed wording: clearances, closures that stay and reopenings."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", markup.supplements_in(F.expr(_NOTICE(0))).alias("m"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", wording.stated_in(F.expr(_NOTICE(0))).alias("m"))
     return rows.select("o_orderkey", F.array_join(F.transform("m", lambda m: F.concat_ws(":", m["kind"], m["subject"])), ",").alias("found"))
 
 
+#: Acts that close by a list, and lists of what stays forbidden; some doubted, quoted, malformed or excepted. What each states, as kind:subject@place.
+_SINCE = "'a partire dalle ore 18.00 del giorno 20 agosto ' || year(o_orderdate)"
+_ORDER = f"'ORDINA in via contingibile e urgente, ' || {_SINCE} || ', fino al perdurare dell''emergenza: - la chiusura al pubblico: ◦ dell''area ' || o_custkey || '; ◦ dei cimiteri comunali; - il divieto di attività'"
+_KEEPS = "'Restano al momento in vigore le disposizioni: divieto di attività nei parchi ' || o_custkey || ', nelle aree verdi e negli orti sociali.'"
+_INHERITED = f"'[' || {_SINCE} || '|fino al perdurare dell''emergenza]'"
+_LISTED = [
+    (_ORDER, f"'closure:area ' || o_custkey || {_INHERITED} || ',closure:cimiteri comunali' || {_INHERITED}"),
+    (_KEEPS, "'prohibition:attività@parchi ' || o_custkey || '[al momento|],prohibition:attività@aree verdi[al momento|],prohibition:attività@orti sociali[al momento|]'"),
+    (f"'Se piove, ' || {_ORDER}", "''"),
+    (f"'Il testo cita «' || {_KEEPS} || '»'", "''"),
+    (f"replace({_ORDER}, 'cimiteri comunali;', 'cimiteri: comunali;')", "''"),
+    (f"replace({_KEEPS}, 'orti sociali', 'orti, esclusi quelli privati')", "''"),
+    (f"replace({_ORDER}, '; ◦ dei cimiteri comunali', '')", f"'closure:area ' || o_custkey || {_INHERITED}"),
+    ("'ORDINA in via contingibile e urgente: - la chiusura al pubblico: ◦ del parco ' || o_custkey || ';'", "'closure:parco ' || o_custkey || '[|]'"),
+]
+_LIST = lambda i: f"CASE o_orderkey % {len(_LISTED)} " + " ".join(f"WHEN {n} THEN {x[i]}" for n, x in enumerate(_LISTED)) + " END"
+
+
+@query(f"SELECT o_orderkey, {_LIST(1)} AS found FROM orders")
+def listed_measures(spark, sf_dir):
+    """Closures that an act lists, with the start and the condition of its header, and prohibitions that stay, place by place; lists are taken whole or not at all."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", wording.stated_in(F.expr(_LIST(0))).alias("m"))
+    when = lambda m: F.concat(F.lit("["), F.coalesce(m["valid_from"], F.lit("")), F.lit("|"), F.coalesce(m["valid_until"], F.lit("")), F.lit("]"))
+    shown = F.transform("m", lambda m: F.concat(m["kind"], F.lit(":"), m["subject"], F.coalesce(F.concat(F.lit("@"), m["place"]), F.lit("")), when(m)))
+    return rows.select("o_orderkey", F.array_join(shown, ",").alias("found"))
+
+
+_AROUND = f"repeat('Parole di contorno. ', c_custkey % 250) || {_KEEPS.replace('o_custkey', 'c_custkey')} || repeat(' Altre parole.', c_custkey % 200)"
+
+
+@query("SELECT c_custkey, 3 AS n, 1 AS windows, 'parchi ' || c_custkey AS first_place FROM customer")
+def window_measures(spark, sf_dir):
+    """Measures of the windows of a notice: each is owned by the one window in whose core its quote begins."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_AROUND).alias("text"))
+    windows = rows.select("c_custkey", "text", F.explode(kernels.operational_windows("text")).alias("w"))
+    found = windows.select("c_custkey", "w.ordinal", F.explode(wording.stated_in_window("text", "w")).alias("m"))
+    n, seen, places = F.count("*").cast("int"), F.count_distinct("ordinal").cast("int"), F.collect_set("m.place")
+    return found.groupBy("c_custkey").agg(n.alias("n"), seen.alias("windows"), F.filter(places, lambda p: p.startswith("parchi"))[0].alias("first_place"))
+
+
+_EVIDENCE = [
+    ("prohibition", "'Si informa che un''ordinanza vieta il transito n. ' || o_custkey", True), ("prohibition", "'Non è vietato il transito n. ' || o_custkey", False), ("prohibition", "'Sono vietati sosta e transito ' || o_custkey", True),
+    ("prohibition", "'Il transito ' || o_custkey || ' prosegue verso il Vietnam'", False), ("activation", "'Il centro operativo comunale resta aperto dalle ' || o_custkey", True), ("activation", "'L''ufficio ' || o_custkey || ' resta aperto'", False),
+    ("closure", "'Chiusi i parchi ' || o_custkey", True), ("reopening", "'Chiusi i parchi ' || o_custkey", False), ("suspension", "'Non vieta nulla ' || o_custkey", False), ("prohibition", "'Non vieta ' || o_custkey || ', ma è vietato sostare'", True),
+]
+_CASE = lambda i: f"CASE o_orderkey % {len(_EVIDENCE)} " + " ".join(f"WHEN {n} THEN {x[i]!r}" if i == 0 else f"WHEN {n} THEN {x[i]}" for n, x in enumerate(_EVIDENCE)) + " END"
+
+
+@query(f"SELECT o_orderkey, {_CASE(2)} AS supported FROM orders")
+def kind_evidence(spark, sf_dir):
+    """Whether evidence supports a kind: by its lexicon, by a verb of prohibition that is not negated, by the opening of the operational centre."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", wording.supported_by(F.expr(_CASE(0)), F.expr(_CASE(1))).alias("supported"))
+
+
 # ---- kernels on their own
 
 _ARTICLE = """'<body><h1>T</h1><div class="main">Text ' || o_custkey || '</div>' || CASE WHEN o_orderkey % 3 = 0 THEN '<div class="main">twice</div>' ELSE '' END || '<p>end</p></body>'"""

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from annalist.functions import act_text, kernels, markup
+from annalist.functions import kernels, markup, wording
 from annalist.operators import lineage
 
 SF = "/root/testdata/sf0.001"
@@ -180,22 +180,22 @@ def test_registered_kernels_cover_every_document(spark, texts):
 
 
 def test_references_to_acts():
-    seen = lambda t: [(r["kind"], r["number"], r["year"]) for r in act_text.references(t)]
+    seen = lambda t: [(r["kind"], r["number"], r["year"]) for r in wording.references(t)]
     assert seen("Vista l'ordinanza sindacale n. 38/2026, decreto n° 0034 del 20/08/2026.") == [("ordinanza", 38, 2026), ("decreto", 34, 2026)]
     assert seen("Non è prevista alcuna ordinanza n. 5/2026. Con decreto si ordina") == [("decreto", None, None)]
     assert seen("Qualora necessario potrà essere emessa apposita ordinanza di chiusura.") == []
     assert seen("ordinanza n. 3 del 31/02/2026") == [("ordinanza", 3, None)]
     assert seen("n. 1 " * 3) == []
-    assert act_text.references("ordinanza n. 3 del 28/02/2026")[0]["day"] == dt.date(2026, 2, 28)
+    assert wording.references("ordinanza n. 3 del 28/02/2026")[0]["day"] == dt.date(2026, 2, 28)
 
 
 def test_clauses():
     text = "la chiusura non conta ORDINA a partire dalle ore 00.00 del giorno 10 settembre 2026, fino alle ore 8:30 del giorno 11 settembre 2026: la chiusura del parco; il divieto\ndi sosta. AVVERTE la sospensione"
-    found = act_text.clause(text)
+    found = wording.clause(text)
     assert (found["start"], found["end"]) == (dt.datetime(2026, 9, 10), dt.datetime(2026, 9, 11, 8, 30))
     assert [(d["kind"], d["text"]) for d in found["dispositions"]] == [("closure", "la chiusura del parco;"), ("prohibition", "il divieto di sosta.")]
-    assert act_text.clause(text.replace("11 settembre", "9 settembre")) is None and act_text.clause(text.replace("ORDINA", "DECRETA")) is None
-    assert act_text.clause(text.replace("fino alle ore 8:30 del giorno 11 settembre 2026", "fino al perdurare dell'emergenza"))["condition"] == "fino al perdurare dell'emergenza"
+    assert wording.clause(text.replace("11 settembre", "9 settembre")) is None and wording.clause(text.replace("ORDINA", "DECRETA")) is None
+    assert wording.clause(text.replace("fino alle ore 8:30 del giorno 11 settembre 2026", "fino al perdurare dell'emergenza"))["condition"] == "fino al perdurare dell'emergenza"
 
 
 def test_linked_files():
