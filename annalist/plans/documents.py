@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annalist.functions import kernels, markup, text, wording
+from annalist.functions import kernels, markup, offsets, text, wording
 from annalist.operators import reports, retrieval
 from annalist.plans.base import query, table
 
@@ -121,6 +121,25 @@ def operational_windows(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(kernels.operational_windows("text")).alias("w")).select("doc_id", "w.*")
 
 
+@query()
+def mapped_windows(spark, sf_dir):
+    """Windows of the normal form of every text, with the map of their bytes to those of the text, and a hash (T13, T15); a refused text has one row without a window."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(offsets.windows_column()("doc_id", "source", "text")).alias("w"))
+    return rows.select("doc_id", "w.*")
+
+
+#: A document of JSON lines around each text, so that scalars lie across segments.
+_AS_JSON = "to_json(named_struct('a/b', named_struct('id', doc_id, 'text', text), 'lang', array(lang, source)))"
+
+
+@query()
+def json_segments(spark, sf_dir):
+    """Segments of JSON documents with the scalars each holds a part of, and a hash."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", kernels.json_lines(F.expr(_AS_JSON)).alias("j"))
+    segments = offsets.segments_column()("doc_id", F.lit("https://www.example.org/d.json"), "j.text", "j.spans")
+    return rows.select("doc_id", F.explode_outer(segments).alias("s")).select("doc_id", "s.*")
+
+
 @query()
 def normalized_text(spark, sf_dir):
     """Normal form with a map of offsets."""
