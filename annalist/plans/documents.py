@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.functions import kernels, markup, offsets, text, wording
-from annalist.operators import reports, retrieval
+from annalist.operators import listings, reports, retrieval
 from annalist.plans.base import query, table
 
 
@@ -236,6 +236,29 @@ def linked_files(spark, sf_dir):
     return rows.select("o_orderkey", F.array_join(markup.linked_files_column("content")("html", "url"), ",").alias("files"))
 
 
+#: Listings of sources with several configurations: whole and short Italian months, English ones with a label, links only, an unknown locale; some days do not exist.
+_DAY = "CASE WHEN o_orderkey % 5 = 0 THEN 31 ELSE 1 + o_orderkey % 28 END"
+_TEXT_DAY = f"""CASE o_custkey % 5 WHEN 0 THEN {_DAY} || ' settembre ' || year(o_orderdate) WHEN 1 THEN {_DAY} || ' Set ' || year(o_orderdate) WHEN 2 THEN 'Published on Sep ' || {_DAY} || ', ' || year(o_orderdate) ELSE {_DAY} || ' settembre ' || year(o_orderdate) END"""
+_LISTING = f"""
+'<nav><a href="/menu/x">m</a></nav><div class="card body"><h3><a href="/menu/y">menu</a><a href="/news/b' || o_orderkey || '"> Chiusura <b>ponte</b></a></h3><span class="when"></span><p class="x when">' || {_TEXT_DAY} || '</p></div>'
+|| '<div class="card"><a href="/news/a?p=1">q</a><a href="https://other.example/news/c">o</a></div><a href="news/">n</a><a href="/news/a' || o_custkey || '">Altra</a>'"""
+CONFIGURATIONS = [
+    (0, ["/news/"], "card", "when", None, "d MMM yyyy", "it"), (1, ["/news/"], "body", "when", None, "d MMM yyyy", "it"), (2, ["/news/"], "card", "when", "Published on", "MMM d, yyyy", "en"), (3, ["/news/", "/x/"], None, None, None, None, None),
+    (4, ["/news/"], "card", "when", None, "d MMM yyyy", "fr"),
+]
+_KNOWN_DAY = "CASE WHEN o_custkey % 5 < 3 AND o_orderkey % 5 <> 0 THEN make_date(year(o_orderdate), 9, 1 + CAST(o_orderkey % 28 AS INTEGER)) END"
+
+
+@query(f"""
+SELECT o_custkey % 5 AS source_id, o_orderkey AS page_id, 'https://www.example.org/news/b' || o_orderkey AS url, 'Chiusura ponte' AS title, {_KNOWN_DAY} AS day FROM orders
+UNION ALL SELECT o_custkey % 5, o_orderkey, 'https://www.example.org/news/a' || o_custkey, 'Altra', NULL FROM orders""")
+def listing_items(spark, sf_dir):
+    """Documents of listings with titles and days, as each source's configuration says (T22); days that do not exist, other layouts and locales are refused."""
+    pages = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("source_id"), F.col("o_orderkey").alias("page_id"), F.lit("https://www.example.org/list?page=2").alias("url"), F.expr(_LISTING).alias("html"))
+    configurations = spark.createDataFrame(CONFIGURATIONS, "source_id long, prefixes array<string>, item_class string, date_class string, date_label string, layout string, locale string")
+    return listings.discovered(pages, configurations)
+
+
 _RECORD = """
 '<tr class="master-detail-list-line odd" data-id="' || o_orderkey || '"><td class="annonumeroregistrazione">2026/' || o_custkey || '</td><td class="annonumero x">' || CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '2025/7' END
 || '</td><td class="categoria">Ordinanze</td><td class="oggetto">Chiusura  <b>ponte</b></td><td class="periodo-pubblicazione">' || CASE o_orderkey % 5 WHEN 1 THEN '31/02/2026' ELSE '05/03/2026 - 20/03/2026' END || '</td></tr>'"""

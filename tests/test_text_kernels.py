@@ -227,3 +227,20 @@ def test_cycles_have_no_root(spark):
     assert found == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (None, None), 5: (None, None), 6: (None, None), 7: (None, None), 8: (None, None)}
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "a long, b long")
     assert sorted(r.x for r in lineage.reachable(edges, "a", "b", spark.createDataFrame([(1,)], "x long")).collect()) == [1, 2, 3]
+
+
+def test_listings():
+    page = "<a href='/d/one'> One </a><ul><li class='i'><a href='/d/two#x'>t</a><a href='/d/two'>Two</a><i class='w'> </i><i class='w'>Data:  3  mag  2031</i></li><li class='i'><a href='/d/'>d</a></li></ul><a href='https://u@h.example/d/x'>u</a>"
+    found = markup.listing(page, "https://h.example/l", ["/d/"], "i", "w")
+    assert found == [{"url": "https://h.example/d/one", "title": "One", "date": None}, {"url": "https://h.example/d/two", "title": "Two", "date": "Data: 3 mag 2031"}]
+    assert [d["date"] for d in markup.listing(page, "https://h.example/l", ["/d/"], "i", "w", "Data:")] == [None, "3 mag 2031"]
+    assert [d["date"] for d in markup.listing(page, "https://h.example/l", ["/d/"], "i", "w", "Giorno:")] == [None, None]
+    assert markup.listing(page, "https://other.example/l", ["/x/"], "i", "w") == [] and markup.listing("", "", []) == []
+
+
+def test_stable_bytes_of_generated_pdf():
+    raw = b"%PDF-1.7 /Producer (TCPDF 6) /M (D:20260101120000+01'00') /ModDate (yesterday) <xmp:CreateDate>2026-01-01T12:00:00-01:00</xmp:CreateDate><xmpMM:DocumentID>uuid:" + b"a1-" * 12 + b"</xmpMM:DocumentID> /ID [ <" + b"0f" * 16 + b"> <" + b"0F" * 16 + b"> ]"
+    want = b"%PDF-1.7 /Producer (TCPDF 6) /M (D:generated) /ModDate (yesterday) <xmp:CreateDate>generated</xmp:CreateDate><xmpMM:DocumentID>uuid:generated</xmpMM:DocumentID> /ID [ <generated> <generated> ]"
+    assert markup.stable_bytes(raw, "application/pdf") == want
+    assert markup.stable_bytes(raw.replace(b"TCPDF", b"Other"), "application/pdf") == raw.replace(b"TCPDF", b"Other")
+    assert markup.stable_bytes(raw.replace(b"+01'00'", b"+0100"), "application/pdf").count(b"generated") == 4
