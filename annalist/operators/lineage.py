@@ -29,14 +29,51 @@ def roots(parents: DataFrame, node: str, parent: str) -> DataFrame:
     return heads.select(F.col("n").alias(node), F.when(ends, F.coalesce("p", "n")).alias("root"), F.when(ends, F.coalesce("d", F.lit(0))).cast("int").alias("depth"))
 
 
+#: Rounds that follow edges one by one before chains are contracted.
+PLAIN = 4
+
+
+def _jumps(edges: DataFrame) -> list[DataFrame]:
+    """(x, y): y is 2^k steps behind x, for k = 0, 1, ..., along nodes that have one edge out. Each table is the last one joined with itself; short chains drop out of it."""
+    single = edges.groupBy("x").agg(F.count("*").alias("n"), F.min("y").alias("y")).where("n = 1").select("x", "y")
+    tables, most = [settled(single)], edges.count()
+    while 2 ** len(tables) <= most:
+        a, b = tables[-1].alias("a"), tables[-1].alias("b")
+        further = settled(a.join(b, F.col("a.y") == F.col("b.x")).select("a.x", "b.y"))
+        if further.isEmpty():
+            break
+        tables.append(further)
+    return tables
+
+
 def reachable(edges: DataFrame, source: str, target: str, start: DataFrame) -> DataFrame:
-    """All nodes reached from `start` (one column) along edges, themselves included.
+    """All nodes reached from `start` (one column) along edges, themselves included. Nodes may have any number of edges, and cycles.
 
-    Each round follows only what the last one added, and writes no more than that.
+    A few rounds follow only what the last one added. Where that does not end, chains of nodes with one edge out are passed in jumps of 2^k edges: from a set of nodes, the jumps
+    for k from the largest to 0 mark all that lies on their chains, since every distance is a sum of such jumps. Rounds grow with the logarithm of the longest
+    chain, and with the number of nodes with several edges on a path. No round writes more than it adds.
     """
     name = start.columns[0]
-    found = [settled(start.select(F.col(name).alias("node")).distinct())]
-    while found[-1].take(1):
-        step = found[-1].join(edges, F.col("node") == F.col(source)).select(F.col(target).alias("node")).distinct()
-        found.append(settled(step.join(reduce(DataFrame.union, found), "node", "left_anti")))
+    edges = edges.select(F.col(source).alias("x"), F.col(target).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct()
+    found, jumps = [settled(start.select(F.col(name).alias("node")).where("node IS NOT NULL").distinct())], None
+
+    def added(nodes: DataFrame) -> bool:
+        new = settled(nodes.distinct().join(reduce(DataFrame.union, found), "node", "left_anti"))
+        found.append(new)
+        return not new.isEmpty()
+
+    step = lambda nodes, along: nodes.join(along, F.col("node") == F.col("x")).select(F.col("y").alias("node"))
+    rounds = 0
+    while added(step(found[-1], edges)):
+        rounds += 1
+        if rounds < PLAIN:
+            continue
+        if jumps is None:
+            edges = settled(edges)
+            jumps = _jumps(edges)
+        begun = len(found) - 1
+        for table in reversed(jumps):
+            added(step(reduce(DataFrame.union, found[begun:]), table))
+        fresh = reduce(DataFrame.union, found[begun:])
+        found[begun:] = [settled(fresh)]
     return reduce(DataFrame.union, found).select(F.col("node").alias(name))

@@ -1,5 +1,7 @@
 """Bitemporal, coverage and geographic operators on small tables with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,20 @@ def test_objects_round_trip(spark, tmp_path):
     found = readers.objects(spark, str(tmp_path / "in"))
     sinks.store_objects(found.drop("path"), str(tmp_path / "store"))
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+
+
+def test_reachable_on_long_chains_with_branches_and_cycles(spark, monkeypatch):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(3000)] + [(1000, 5000), (5000, 5001), (2500, 7000), *((7000 + i, 7001 + i) for i in range(500)), (7500, 2400), (9000, 9001), (9001, 9000), (None, 4), (3, None), (3, 4)]
+    nodes = [rng.randrange(40) + 20_000 for _ in range(70)]
+    edges += list(zip(nodes[::2], nodes[1::2], strict=True))
+    rows = spark.createDataFrame(edges, "a long, b long")
+    for first in ([0], [1500, 20_001, 20_002, 9000, 123_456], []):
+        seen, todo = set(first), list(first)
+        while todo:
+            x = todo.pop()
+            new = {b for a, b in edges if a == x and b is not None} - seen
+            seen |= new
+            todo += new
+        got = lineage.reachable(rows, "a", "b", spark.createDataFrame([(x,) for x in first], "n long"))
+        assert sorted(r.n for r in got.collect()) == sorted(seen)
