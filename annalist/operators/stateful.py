@@ -76,12 +76,17 @@ def breaker_start() -> State:
     return {"gates": {}, "permits": {}}
 
 
-def breaker_step(threshold: int, first_us: int, most_us: int, probe_us: int) -> Step:
+#: A permit that is not settled within a day does not count any more.
+PERMIT_US = 24 * 3600 * 1_000_000
+
+
+def breaker_step(threshold: int, first_us: int, most_us: int, probe_us: int, permit_us: int = PERMIT_US) -> Step:
     """Gates of one scope: `*` for all its models, and one per model.
 
     `acquire` (model) asks for a permit, which remembers the generations of both gates. It is refused where a gate is
     held, or open and either not yet available again or lent to a probe; the first one later is the probe.
-    `record` (permit: event_id of its acquire, category, null for success, retry_after_us) settles it:
+    `record` (permit: event_id of its acquire, category, null for success, retry_after_us) settles it within `permit_us`, behind which it is forgotten, so that the state does not grow
+    by permits that nobody settles:
     - authentication and quota hold the global gate, unless that has changed since;
     - everything else counts only if the global gate is not held, the model's gate has the permit's generation and the permit is its probe, if any;
     - success closes; transient failures open at the threshold, in a probe or with a retry-after, for a time that doubles up to `most_us`;
@@ -97,7 +102,9 @@ def breaker_step(threshold: int, first_us: int, most_us: int, probe_us: int) ->
         at, model, kind = int(event["at_us"]), event["model"], event["kind"]
         whole = s["gates"].setdefault("*", _gate())
         gate = s["gates"].setdefault(model, _gate())
-        outcome = "ignored"
+        outcome, permits = "ignored", s["permits"]
+        while permits and (oldest := next(iter(permits))) is not None and permits[oldest][4] <= at - permit_us:
+            del permits[oldest]
         if kind == "acquire" and model != "*":
             lent = gate["probe_until"] is not None and at < gate["probe_until"]
             if whole["state"] == "held" or gate["state"] == "held" or (gate["state"] == "open" and (at < gate["available"] or lent)):
@@ -106,10 +113,10 @@ def breaker_step(threshold: int, first_us: int, most_us: int, probe_us: int) ->
                 token = event["event_id"] if gate["state"] == "open" else None
                 if token is not None:
                     gate.update(token=token, probe_until=at + probe_us)
-                s["permits"][event["event_id"]] = (model, gate["generation"], whole["generation"], token)
+                permits[event["event_id"]] = (model, gate["generation"], whole["generation"], token, at)
                 outcome = "probe" if token is not None else "admitted"
-        elif kind == "record" and s["permits"].get(event["permit"], (None,))[0] == model:
-            _, generation, whole_generation, token = s["permits"].pop(event["permit"])
+        elif kind == "record" and permits.get(event["permit"], (None,))[0] == model:
+            _, generation, whole_generation, token, _ = permits.pop(event["permit"])
             category, wait = event["category"] or "", int(event["retry_after_us"] or 0)
             if category in ("authentication", "quota"):
                 if whole["generation"] == whole_generation and (whole["state"], whole["reason"]) != ("held", category):
@@ -186,6 +193,59 @@ def queue_step(lease_us: int, base_us: int) -> Step:
     return step
 
 
+# ---- jobs at gates: what a provider's gates and rejections do to those that wait
+
+#: A job that meets a held gate waits so long before it asks again.
+HELD_US = 60 * 1_000_000
+
+
+def at_gates(events: DataFrame, gates: DataFrame, rejections: DataFrame) -> DataFrame:
+    """Events of jobs (scope, model, input, at_us, event_id) with `wait_us` and `rejected`, as the logs of gates and rejections say at their time.
+
+    `gates` has scope, model (`*` for all), at_us, state, available_us and probe_us; the last row of each gate holds. A held gate is waited for HELD_US from the event on, an open one until it is
+    available and its probe is over; of the scope's gate and the model's, the later counts, and closed ones do not. `rejections` has scope, model, input, at_us and kind (`reject`, or
+    `clear`, which takes it back). Logs come first at equal times. The three are put in time order in one shuffle by scope; a scope's rows are sorted and streamed by one task.
+    """
+    gate = "struct<state:string,available_us:long,probe_us:long>"
+    own = [c for c in events.columns if c not in ("scope", "model", "input", "at_us")]
+    rows = events.select("scope", "model", "input", "at_us", F.lit(1).alias("_side"), F.lit(None).cast(gate).alias("_gate"), F.lit(None).cast("string").alias("_kind"), F.struct(*own).alias("_own"))
+    nothing = F.lit(None).cast(rows.schema["_own"].dataType).alias("_own")
+    log = gates.select("scope", "model", F.lit(None).cast("string").alias("input"), "at_us", F.lit(0).alias("_side"), F.struct("state", F.col("available_us").cast("long"), F.col("probe_us").cast("long")).cast(gate).alias("_gate"), F.lit(None).cast("string").alias("_kind"), nothing)
+    refused = rejections.select("scope", "model", "input", "at_us", F.lit(0).alias("_side"), F.lit(None).cast(gate).alias("_gate"), F.col("kind").alias("_kind"), nothing)
+
+    def last(value: Column, *keys: str) -> Column:
+        return F.last(value, ignorenulls=True).over(Window.partitionBy("scope", *keys).orderBy("at_us", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    def until(g: Column) -> Column:
+        return F.when(g["state"] == "held", F.col("at_us") + HELD_US).when(g["state"] == "open", F.greatest(g["available_us"], F.coalesce(g["probe_us"], g["available_us"])))
+
+    found = rows.union(log).union(refused).withColumns({"_all": last(F.when(F.col("model") == "*", F.col("_gate"))), "_one": last(F.when(F.col("model") != "*", F.col("_gate")), "model"), "_last": last(F.col("_kind"), "model", "input")})
+    told = found.where("_side = 1").withColumns({"wait_us": F.greatest(until(F.col("_all")), until(F.col("_one"))), "rejected": F.coalesce(F.col("_last") == "reject", F.lit(False))})
+    return told.select("scope", "model", "input", "at_us", *[F.col(f"_own.{c}").alias(c) for c in own], "wait_us", "rejected")
+
+
+def gated_step(step: Step) -> Step:
+    """The transitions of `queue_step` for events of `at_gates`. While the gates are waited for, `claim` and `sweep` only put off a job that waits, and `held` defers the running
+    attempt until then, which gives it back. A claim of rejected input fails the job without an attempt."""
+
+    def gated(s: State, event: dict) -> dict:
+        at, kind, wait = int(event["at_us"]), event["kind"], event["wait_us"]
+        waits = s["state"] in ("queued", "retry_wait") and not s["archived"]
+        detail, before = None, dict(s)
+        if wait is not None and wait > at and kind in ("claim", "sweep") and waits:
+            s["available"], detail, kind = max(s["available"], int(wait)), "held", "none"
+        elif kind == "held":
+            kind, detail = ("defer", "given_back") if wait is not None and wait > at else ("none", None)
+        elif kind == "claim" and event["rejected"] and waits and s["available"] <= at:
+            s.update(state="failed", lease=None, available=at)
+            detail, kind = "rejected", "none"
+        out = step(s, event | {"kind": kind, "until_us": wait})
+        applied = s != before
+        return out | {"applied": applied, "detail": detail if applied else None}
+
+    return gated
+
+
 # ---- incidents
 
 

@@ -53,7 +53,9 @@ CASE WHEN event_type = 'view' OR (event_type = 'click' AND value <= 60) THEN 'cl
      WHEN event_type = 'error' THEN CASE WHEN value > 100 THEN 'fail_permanent' ELSE 'fail_temporary' END
      WHEN event_type = 'click' THEN CASE WHEN value > 300 THEN 'archive' ELSE 'relaunch' END ELSE 'defer' END"""
 _LIVE = "NOT r.archived"
-_OWN = "(r.state = 'running' AND r.lease > e.t)"
+#: Workers name the attempt they run; some are stale.
+_ATTEMPT = "1 + event_id % 3"
+_OWN = "(r.state = 'running' AND r.lease > e.t AND e.attempt = r.attempts)"
 _CLAIM = "(e.kind = 'claim' AND r.attempts < r.most AND ((r.state IN ('queued', 'retry_wait') AND r.available <= e.t) OR (r.state = 'running' AND r.lease <= e.t)))"
 _RETRY = "(e.kind = 'fail_temporary' AND r.attempts < r.most)"
 _WAIT = f"least({2 * HOUR} * (1::BIGINT << least(greatest(r.attempts - r.cycle - r.deferred - 1, 0), 20)), {24 * HOUR})"
@@ -61,7 +63,7 @@ _WAIT = f"least({2 * HOUR} * (1::BIGINT << least(greatest(r.attempts - r.cycle -
 
 @query(f"""
 WITH RECURSIVE e AS (
-  SELECT user_id, event_id, epoch_us(ts) AS t, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+  SELECT user_id, event_id, epoch_us(ts) AS t, {_KIND} AS kind, {_ATTEMPT} AS attempt, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
 r AS (
   SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 'queued' AS state, 0::BIGINT AS attempts, 3::BIGINT AS most, 0::BIGINT AS cycle, 0::BIGINT AS deferred, 0::BIGINT AS lease,
          0::BIGINT AS available, false AS archived, false AS applied
@@ -80,18 +82,64 @@ r AS (
     SELECT r.* EXCLUDE (n, event_id), e.n, e.event_id, e.t, {_WAIT} AS wait,
       CASE WHEN NOT ({_LIVE}) THEN 'none' WHEN {_CLAIM} THEN 'claim' WHEN e.kind = 'heartbeat' AND {_OWN} THEN 'heartbeat' WHEN e.kind = 'complete' AND {_OWN} THEN 'complete'
            WHEN {_RETRY} AND {_OWN} THEN 'retry' WHEN e.kind IN ('fail_temporary', 'fail_permanent') AND {_OWN} THEN 'fail' WHEN e.kind = 'defer' AND {_OWN} THEN 'defer'
-           WHEN e.kind = 'relaunch' AND r.state = 'failed' THEN 'relaunch' WHEN e.kind = 'archive' AND r.state IN ('queued', 'retry_wait', 'failed') THEN 'archive' ELSE 'none' END AS act
+           WHEN e.kind = 'relaunch' AND r.state = 'failed' AND e.attempt = r.attempts THEN 'relaunch' WHEN e.kind = 'archive' AND r.state IN ('queued', 'retry_wait', 'failed') THEN 'archive' ELSE 'none' END AS act
     FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
 SELECT user_id, event_id, state, attempts::INTEGER AS attempts, most::INTEGER AS most, available AS available_us, archived, applied FROM r WHERE n > 0""")
 def queue_fold(spark, sf_dir):
     """Transitions of jobs from their log, by the attempt that runs."""
-    rows = _events(spark, sf_dir).withColumn("kind", F.expr(_KIND)).withColumn("until_us", F.col("at_us") + 6 * HOUR)
-    step = stateful.queue_step(48 * HOUR, 2 * HOUR)
+    rows = _events(spark, sf_dir).withColumns({"kind": F.expr(_KIND), "until_us": F.col("at_us") + 6 * HOUR, "attempt": F.expr(_ATTEMPT)})
+    return stateful.folded(rows, "user_id", ["at_us", "event_id"], stateful.queue_step(48 * HOUR, 2 * HOUR), stateful.queue_start, QUEUE)
 
-    def latest(state, event):  # every worker in this log knows the number of the attempt
-        return step(state, event | {"attempt": state["attempts"]})
 
-    return stateful.folded(rows, "user_id", ["at_us", "event_id"], latest, stateful.queue_start, QUEUE)
+#: Logs of gates and rejections, and events of jobs, of seven scopes with two models each.
+_GATES = f"""
+SELECT user_id % 7 AS scope, CASE WHEN value > 150 THEN '*' ELSE 'm' || event_id % 2 END AS model, t AS at_us, CASE event_id % 3 WHEN 0 THEN 'held' WHEN 1 THEN 'open' ELSE 'closed' END AS state,
+  t + {3 * HOUR} AS available_us, CASE WHEN event_id % 5 = 0 THEN t + {9 * HOUR} END AS probe_us FROM e WHERE event_type = 'signup'"""
+_REJECTIONS = "SELECT user_id % 7 AS scope, 'm' || user_id % 2 AS model, 'i' || user_id % 50 AS input, t AS at_us, CASE WHEN value > 40 THEN 'clear' ELSE 'reject' END AS kind FROM e WHERE event_type = 'error' AND event_id % 11 = 0"
+_JOBS = """
+SELECT user_id % 7 AS scope, 'm' || user_id % 2 AS model, 'i' || user_id % 50 AS input, t AS at_us, user_id, event_id, 1 + event_id % 3 AS attempt,
+  CASE WHEN event_type = 'view' THEN 'claim' WHEN event_type = 'click' THEN 'sweep' WHEN event_type = 'purchase' THEN CASE WHEN value > 100 THEN 'held' ELSE 'complete' END ELSE 'fail_temporary' END AS kind
+FROM e WHERE event_type <> 'signup' AND NOT (event_type = 'error' AND event_id % 11 = 0)"""
+_WAITED = f"CASE {{g}}.state WHEN 'held' THEN j.at_us + {60 * 1_000_000} WHEN 'open' THEN greatest({{g}}.available_us, coalesce({{g}}.probe_us, {{g}}.available_us)) END"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT *, epoch_us(ts) AS t FROM events), g AS ({_GATES}), x AS ({_REJECTIONS}), j AS ({_JOBS}),
+s AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY scope, model, at_us ORDER BY state, available_us, probe_us) = 1),
+w AS (
+  SELECT j.*, greatest({_WAITED.format(g="a")}, {_WAITED.format(g="o")}) AS wait, coalesce(b.kind = 'reject', false) AS rejected, row_number() OVER (PARTITION BY user_id ORDER BY j.at_us, event_id) AS n
+  FROM j ASOF LEFT JOIN (SELECT * FROM s WHERE model = '*') a ON j.scope = a.scope AND j.at_us >= a.at_us ASOF LEFT JOIN (SELECT * FROM s WHERE model <> '*') o ON j.scope = o.scope AND j.model = o.model AND j.at_us >= o.at_us
+    ASOF LEFT JOIN x b ON j.scope = b.scope AND j.model = b.model AND j.input = b.input AND j.at_us >= b.at_us),
+r AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 'queued' AS state, 0::BIGINT AS attempts, 3::BIGINT AS most, 0::BIGINT AS deferred, 0::BIGINT AS lease, 0::BIGINT AS available, NULL::VARCHAR AS detail
+  FROM (SELECT DISTINCT user_id FROM w)
+  UNION ALL
+  SELECT user_id, n, event_id,
+    CASE act WHEN 'reject' THEN 'failed' WHEN 'claim' THEN 'running' WHEN 'complete' THEN 'succeeded' WHEN 'defer' THEN 'retry_wait' WHEN 'retry' THEN 'retry_wait' WHEN 'fail' THEN 'failed' ELSE state END,
+    CASE act WHEN 'claim' THEN attempts + 1 ELSE attempts END, CASE act WHEN 'defer' THEN most + 1 ELSE most END, CASE act WHEN 'defer' THEN deferred + 1 ELSE deferred END,
+    CASE act WHEN 'claim' THEN t + {48 * HOUR} ELSE lease END,
+    CASE act WHEN 'hold' THEN greatest(available, wait) WHEN 'defer' THEN wait WHEN 'retry' THEN t + least({2 * HOUR} * (1::BIGINT << least(greatest(attempts - deferred - 1, 0), 20)), {24 * HOUR}) WHEN 'fail' THEN t WHEN 'reject' THEN t ELSE available END,
+    CASE WHEN act = 'hold' AND wait > available THEN 'held' WHEN act = 'defer' THEN 'given_back' WHEN act = 'reject' THEN 'rejected' END
+  FROM (
+    SELECT r.* EXCLUDE (n, event_id, detail), w.n, w.event_id, w.at_us AS t, w.wait,
+      CASE WHEN w.wait > w.at_us AND w.kind IN ('claim', 'sweep') AND r.state IN ('queued', 'retry_wait') THEN 'hold'
+           WHEN w.kind = 'held' AND w.wait > w.at_us AND r.state = 'running' AND r.lease > w.at_us AND w.attempt = r.attempts THEN 'defer'
+           WHEN w.kind = 'claim' AND w.rejected AND r.state IN ('queued', 'retry_wait') AND r.available <= w.at_us THEN 'reject'
+           WHEN w.kind = 'claim' AND r.attempts < r.most AND (r.state IN ('queued', 'retry_wait') AND r.available <= w.at_us OR r.state = 'running' AND r.lease <= w.at_us) THEN 'claim'
+           WHEN w.kind = 'complete' AND r.state = 'running' AND r.lease > w.at_us AND w.attempt = r.attempts THEN 'complete'
+           WHEN w.kind = 'fail_temporary' AND r.state = 'running' AND r.lease > w.at_us AND w.attempt = r.attempts THEN CASE WHEN r.attempts < r.most THEN 'retry' ELSE 'fail' END ELSE 'none' END AS act
+    FROM r JOIN w ON w.user_id = r.user_id AND w.n = r.n + 1))
+SELECT user_id, event_id, state, attempts::INTEGER AS attempts, most::INTEGER AS most, available AS available_us, detail FROM r WHERE n > 0""")
+def gated_jobs(spark, sf_dir):
+    """Jobs at the gates of their provider: put off while a gate is held or open, attempts given back, rejected input failed until the rejection is cleared."""
+    table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).createOrReplaceTempView("e_gated")
+    gates, rejections, jobs = (spark.sql(q.replace("FROM e WHERE", "FROM e_gated WHERE")) for q in (_GATES, _REJECTIONS, _JOBS))
+    order = Window.partitionBy("scope", "model", "at_us").orderBy("state", F.col("available_us"), F.col("probe_us").asc_nulls_last())
+    gates = gates.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")  # one change of a gate at a time
+    told = stateful.at_gates(jobs, gates, rejections)
+    step = stateful.gated_step(stateful.queue_step(48 * HOUR, 2 * HOUR))
+    schema = "user_id long, event_id long, state string, attempts int, most int, available_us long, detail string"
+    return stateful.folded(told, "user_id", ["at_us", "event_id"], step, stateful.queue_start, schema)
 
 
 INCIDENT = "user_id long, event_id long, incident int, message string"

@@ -213,3 +213,33 @@ def test_claims_and_failures(spark):
     assert sorted((r.job_id, r.attempt_count) for r in got) == [(2, 1), (4, 2)]
     attempts = spark.createDataFrame([("a", 1, 1, "failed"), ("a", 2, 2, "succeeded"), ("a", 3, 3, "failed"), ("a", 4, 4, "deferred"), ("a", 5, 5, "failed"), ("b", 6, 1, "succeeded")], "k string, id long, at int, outcome string")
     assert {r.k: r.failures for r in stateful.failures_since_success(attempts, ["k"]).collect()} == {"a": 2, "b": 0}
+
+
+def test_permits_that_nobody_settles_are_forgotten():
+    step, state = stateful.breaker_step(2, 90 * SECOND, 400 * SECOND, 60 * SECOND, permit_us=100 * SECOND), stateful.breaker_start()
+    for i in range(1000):
+        step(state, {"event_id": i, "at_us": i * SECOND, "model": "m", "kind": "acquire"})
+        assert len(state["permits"]) <= 100
+    record = {"model": "m", "kind": "record", "category": "transport", "retry_after_us": None}
+    assert step(state, record | {"event_id": 2000, "at_us": 1000 * SECOND, "permit": 900})["outcome"] == "ignored"
+    assert step(state, record | {"event_id": 2001, "at_us": 1000 * SECOND, "permit": 950})["outcome"] == "counted"
+
+
+def test_gates_put_jobs_off_and_give_attempts_back(spark):
+    minute = 60 * SECOND
+    jobs = [("s", "m", "i", t * minute, 1, n, kind, attempt) for n, (t, kind, attempt) in enumerate([(1, "claim", 0), (2, "held", 1), (3, "sweep", 0), (30, "claim", 0), (31, "held", 9), (32, "held", 2), (50, "claim", 0), (60, "claim", 0), (61, "complete", 3)])]
+    gates = [("s", "m", 2 * minute, "open", 20 * minute, None), ("s", "*", 29 * minute, "closed", 0, None), ("s", "m", 30 * minute, "closed", 0, None), ("s", "*", 31 * minute, "held", 0, None), ("s", "*", 49 * minute, "closed", 0, None), ("t", "*", 0, "held", 0, None)]
+    rejections = [("s", "m", "i", 50 * minute, "reject"), ("s", "m", "i", 59 * minute, "clear"), ("s", "n", "i", 0, "reject")]
+    told = stateful.at_gates(
+        spark.createDataFrame(jobs, "scope string, model string, input string, at_us long, job long, event_id long, kind string, attempt int"),
+        spark.createDataFrame(gates, "scope string, model string, at_us long, state string, available_us long, probe_us long"),
+        spark.createDataFrame(rejections, "scope string, model string, input string, at_us long, kind string"),
+    )
+    schema = "job long, event_id long, state string, attempts int, most int, available_us long, detail string"
+    step = stateful.gated_step(stateful.queue_step(100 * minute, minute))
+    found = stateful.folded(told, "job", ["at_us", "event_id"], step, stateful.queue_start, schema)
+    rows = [(r.event_id, r.state, r.attempts, r.most, r.available_us // minute, r.detail) for r in found.orderBy("event_id").collect()]
+    assert rows == [
+        (0, "running", 1, 3, 0, None), (1, "retry_wait", 1, 4, 20, "given_back"), (2, "retry_wait", 1, 4, 20, None), (3, "running", 2, 4, 20, None), (4, "running", 2, 4, 20, None),
+        (5, "retry_wait", 2, 5, 33, "given_back"), (6, "failed", 2, 5, 50, "rejected"), (7, "failed", 2, 5, 50, None), (8, "failed", 2, 5, 50, None),
+    ]
