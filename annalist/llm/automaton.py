@@ -8,6 +8,7 @@ patterns give an automaton that reads texts from behind, and so marks where matc
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 from re import _constants as sre
 from re import _parser
 
@@ -159,6 +160,8 @@ class Dfa:
 LANE = 512
 #: Bytes scanned at once.
 SPAN = 1 << 22
+#: Where fewer lanes than this have to run again, they do so one after the other, byte by byte and on into the next lane.
+FEW = 48
 
 
 def scan(dfa: Dfa, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -166,7 +169,8 @@ def scan(dfa: Dfa, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
     `data` is many texts end to end and `starts` where each begins; no text is empty. Texts are cut into
     lanes that advance together. A lane begins as if its text began there; lanes whose text
-    came from another state then run again until both runs agree.
+    came from another state then run again until both runs agree. Where few are left, as in one long run in which they never agree, each
+    goes on through the lanes behind it at once.
     """
     moves, symbols = dfa.moves, dfa.classes[data]
     bounds = np.append(starts, len(data))
@@ -198,8 +202,37 @@ def scan(dfa: Dfa, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     advance(by_length, np.zeros(len(begin), dtype=np.int32), False)
     assumed = np.zeros(len(begin), dtype=np.int32)
     later = np.flatnonzero(turn > 0)
+
+    def onward(lane: int) -> None:
+        """From a lane on, byte by byte, until both runs agree or the text ends."""
+        state, table = int(last[lane - 1]), plain()
+        while True:
+            assumed[lane] = state
+            a, b = int(begin[lane]), int(end[lane])
+            before = states[a:b].tolist()
+            for t, symbol in enumerate(symbols[a:b].tolist()):
+                state = table[state + symbol]
+                if before[t] == state:
+                    states[a : a + t] = before[:t]
+                    return
+                before[t] = state
+            states[a:b] = before
+            last[lane] = state
+            lane += 1
+            if lane == len(turn) or not turn[lane] or assumed[lane] == state:
+                return
+
+    @lru_cache
+    def plain() -> list[int]:
+        return moves.tolist()
+
     while len(later):
         later = later[last[later - 1] != assumed[later]]
+        if len(later) < FEW:
+            for lane in later.tolist():
+                if last[lane - 1] != assumed[lane]:
+                    onward(lane)
+            break
         if len(later):
             assumed[later] = last[later - 1]
             advance(later, assumed[later].copy(), True)
