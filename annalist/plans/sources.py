@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from annalist.operators.shared import scratch
 from annalist.plans.base import at, query, shape, table
-from annalist.sources import readers, sinks
+from annalist.sources import readers, sinks, snapshots
 
 
 @query("SELECT lpad(n_nationkey::VARCHAR, 6, '0') AS istat, n_name AS name, 'P' || n_regionkey AS province FROM nation")
@@ -83,3 +85,15 @@ def late_facts(spark, sf_dir):
     """Facts of versions acquired by a day, by whether they were recorded then or came late."""
     rows = shape(spark, sf_dir, "measures").where((F.col("acquired_at") <= at("1995-06-17")) & (F.col("recorded_at") <= at("1996-01-01")))
     return rows.select("measure_id", F.when(F.col("recorded_at") <= at("1995-06-17"), "then").otherwise("later").alias("known"))
+
+
+@query("""
+SELECT 'orders' AS name, count(*) AS n, count(DISTINCT o_custkey) AS customers, sum(o_orderkey)::BIGINT AS keys FROM orders
+UNION ALL SELECT 'customer', count(*), count(DISTINCT c_custkey), sum(c_custkey)::BIGINT FROM customer""")
+def snapshot_export(spark, sf_dir):
+    """Tables published under one manifest of files and hashes, and read again through it."""
+    path = scratch(spark, "snapshot")
+    snapshots.publish({name: table(spark, sf_dir, name) for name in ("orders", "customer")}, path, datetime.datetime(2026, 1, 1))
+    tables = snapshots.read(spark, path)
+    count = lambda name, key, customer: tables[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct(customer).alias("customers"), F.sum(key).alias("keys"))
+    return count("orders", "o_orderkey", "o_custkey").union(count("customer", "c_custkey", "c_custkey"))
