@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.operators.shared import settled
@@ -55,6 +56,56 @@ def holding_all_terms(docs: DataFrame, key: str, text: str, queries: DataFrame,
     return pairs.where(F.size(F.array_except("_all", "_held")) == 0).select(query_key, key)
 
 
+def _covers(places: pd.Series, n_terms: pd.Series) -> pd.Series:
+    """Cover density from the places of words and which term each is, in order: the sum over shortest covers of 1 / (other words in it + 1)."""
+
+    def score(found, n: int) -> float:
+        last: dict[int, int] = {}
+        total = 0.0
+        for x in found:
+            last[x["term"]] = x["place"]
+            if len(last) == n:
+                begin = min(last.values())
+                total += 1.0 / (x["place"] - begin + 2 - n)
+                last = {t: p for t, p in last.items() if p > begin}
+        return total
+
+    return pd.Series([score(p, n) for p, n in zip(places, n_terms, strict=True)], dtype="float64")
+
+
+#: Of each query, so many times the limit are scored first; they set the bar for the rest.
+FIRST_BLOCK = 4
+
+
+def ranked(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, limit: int) -> DataFrame:
+    """For each query the best documents that hold all its words: query, document, place (from 1) and score, the cover density; ties go to the smaller key.
+
+    Postings with places are taken of documents and words that match, by query and document. Every cover holds the query's word that is rarest in the document. Of the shortest covers around one of its
+    places each takes one more word from behind it than the last, so there are as many as the query has words at most, and none counts more than 1. Candidates are scored in order of that bound: a first block sets the bar, and of the rest
+    only those whose bound is above the query's bar, or equal to it with a smaller key, can change the answer and are scored. Queries without words match nothing.
+    """
+    matches = settled(holding_all_terms(docs, key, text, queries, query_key, query_text))
+    asked = queries.select(query_key, terms(F.col(query_text)).alias("_all")).where(F.size("_all") > 0)
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = docs.select(key, text).join(matches, key).join(asked, query_key)
+    every = F.transform(words, lambda w, i: F.struct(i.alias("place"), (F.array_position("_all", w) - 1).cast("int").alias("term")))
+    rows = rows.select(query_key, key, F.size("_all").alias("n"), F.filter(every, lambda x: x["term"] >= 0).alias("places"))
+    bound = F.array_min(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda t: F.size(F.filter("places", lambda x: x["term"] == t))))
+    rows = rows.withColumn("bound", bound * F.col("n"))
+    order = Window.partitionBy(query_key).orderBy(F.desc("bound"), key)
+    postings = settled(rows.withColumn("turn", F.row_number().over(order)))
+
+    score = F.pandas_udf(_covers, "double")("places", "n")
+    best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    top = lambda df: df.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
+    first = settled(top(postings.where(F.col("turn") <= FIRST_BLOCK * limit).select(query_key, key, score.alias("score"))))
+    bar = first.where(F.col("place") == limit).select(query_key, F.col("score").alias("_bar"), F.col(key).alias("_last"))
+    rest = postings.where(F.col("turn") > FIRST_BLOCK * limit).join(bar, query_key)
+    may = (F.col("bound") > F.col("_bar")) | ((F.col("bound") == F.col("_bar")) & (F.col(key) < F.col("_last")))
+    found = first.select(query_key, key, "score").union(rest.where(may).select(query_key, key, score.alias("score")))
+    return top(found).select(query_key, key, "place", "score")
+
+
 def merged_candidates(baseline: DataFrame, semantic: DataFrame, key: str, limit: int) -> DataFrame:
     """Baseline candidates first, then semantic ones that are not among them, up to a limit. Both have `place`."""
     both = baseline.select(key, F.lit(0).alias("_list"), "place").union(semantic.select(key, F.lit(1).alias("_list"), "place"))

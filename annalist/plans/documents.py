@@ -211,6 +211,13 @@ def lexical_rank(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", kernels.rank_column(["the", "and"])("text").alias("rank"))
 
 
+@query()
+def ranked_retrieval(spark, sf_dir):
+    """The ten best documents for the first three words of each passage, of those that hold them all."""
+    queries = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(retrieval.terms(F.col("text")), 1, 3), " ").alias("asked"))
+    return retrieval.ranked(table(spark, sf_dir, "documents"), "doc_id", "text", queries, "item_id", "asked", 10)
+
+
 @query("""
 WITH l AS (SELECT page_id AS version_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS refs FROM pages), r AS (SELECT version_id, unnest(refs[1:3]) AS reference, unnest(range(1, least(len(refs), 3) + 1)) AS ordinal FROM l)
 SELECT version_id, reference, ordinal::INTEGER AS ordinal FROM r""")
