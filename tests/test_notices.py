@@ -1,8 +1,13 @@
 """Notices, receipts and maps on small tables with known answers."""
 
+import math
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from annalist.functions import kernels
 from annalist.operators import maps, notices
 
 
@@ -44,3 +49,26 @@ def test_merged_levels(spark):
     assert sorted((r.zone, r.state, r.level) for r in found.collect()) == [
         ("a", "confirmed", "red"), ("b", "conflict", None), ("c", "table_only", "red"), ("d", "map_only", "green"), ("e", "conflict", None),
     ]
+
+
+def test_labels_meet_polygons_by_cells(spark):
+    """Slanted, thin, nested, touching and far polygons, with and without reach, against each label tried on each polygon of its map; also one crowded map."""
+    rng = random.Random(7)
+    drawn, labels = [], []
+    for map_id in range(4):
+        for k in range(6):
+            cx, cy, r = rng.uniform(0, 100), rng.uniform(0, 100), rng.choice([0.2, 3, 20, 60])
+            corners = sorted(rng.uniform(0, 6.28) for _ in range(rng.randint(3, 9)))
+            drawn.append((map_id, k * 10, [(cx + r * math.cos(t), cy + r * math.sin(t) * rng.choice([1, 1, 0.05])) for t in corners]))
+        labels += [(map_id, f"{map_id}-{i}", rng.uniform(-20, 120), rng.uniform(-20, 120)) for i in range(400)]
+    drawn += [(9, 1, [(0.0, 0.0), (0.0, 0.0), (0.0, 0.0)]), (9, 2, [(5.0, 0.0), (6.0, 0.0), (6.0, 1.0), (5.0, 1.0)])]
+    labels += [(9, "a", 5.0, 0.0), (9, "b", 6.0, 0.5), (9, "c", 5.5, 0.5), (9, "d", None, 1.0), (9, "e", float("nan"), 1.0), (9, "f", 1e300, -1e300), (77, "g", 0.0, 0.0), (9, "c", 5.5, 0.5)]
+    rows = spark.createDataFrame(labels, "map_id long, label string, x double, y double").repartition(3)
+    shapes = spark.createDataFrame(drawn, "map_id long, polygon long, points array<struct<x:double,y:double>>")
+    for reach in (0.0, 0.4, 5.0):
+        want = []
+        for map_id, label, x, y in labels:
+            own = [(k, np.array(p)) for m, k, p in drawn if m == map_id]
+            at = None if x is None or x != x else kernels.labelled([p for _, p in own], x, y, reach)
+            want.append((map_id, label, None if at is None else own[at][0]))
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in maps.labelled_zones(rows, shapes, reach).collect())
