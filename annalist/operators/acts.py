@@ -44,17 +44,18 @@ def attached_acts(attachments: DataFrame) -> DataFrame:
     return acts.where("number IS NOT NULL").distinct()
 
 
-def searched(references: DataFrame, attachments: DataFrame, notices: DataFrame, register: DataFrame, categories: DataFrame) -> DataFrame:
+def searched(references: DataFrame, attachments: DataFrame, notices: DataFrame, register: DataFrame, categories: DataFrame, unread: DataFrame | None = None) -> DataFrame:
     """Each reference with `outcome`, `reason`, the attachment's `url` or the register's `act_id`.
 
     The only attachment of the version that names an act of its kind (number, and year if it has one) comes first.
     Else the register of the notice's source is searched, in the category of the kind: numbered references by number and
     year among what was published within LATER days of their date, or in the BEFORE days up to the notice; others by the
     notice's terms among what was published around the notice, of which the acts dated in the UNNUMBERED days up to it count.
-    Over MOST_DETAILS candidates are ambiguous.
+    Over MOST_DETAILS candidates are ambiguous. Where days of the search could not be read from the register, the reference is `unavailable` for that reason, whatever other days hold.
 
     references: version_id, reference_id, kind, number, year, day. attachments: version_id, url, text. notices: version_id, source_id,
-    published, terms. register: source_id, act_id, category, number, year, published, object, act_date. categories: source_id, kind, category.
+    published, terms. register: source_id, act_id, category, number, year, published, object, act_date. categories: source_id, kind, category. unread: source_id, since, until, reason (such as a page
+    that was not recognized, or a bound on pages).
     """
     near = attached_acts(attachments).select("version_id", F.col("kind").alias("_kind"), F.col("number").alias("_number"), F.col("year").alias("_year"), "url")
     fits = F.col("number").isNull() | ((F.col("number") == F.col("_number")) & (F.col("year").isNull() | (F.col("year") == F.col("_year"))))
@@ -65,14 +66,20 @@ def searched(references: DataFrame, attachments: DataFrame, notices: DataFrame,
     numbered = F.col("number").isNotNull()
     low = F.when(numbered, F.coalesce("day", F.date_sub("published", BEFORE))).otherwise(F.date_sub("published", UNNUMBERED))
     high = F.when(numbered, F.coalesce(F.date_add("day", LATER), F.col("published"))).otherwise(F.date_add("published", LATER))
-    asked = rows.where(F.col("url").isNull() & F.col("category").isNotNull() & low.isNotNull()).withColumn("_day", F.explode(F.sequence(low, high)))
+    asked = rows.where(F.col("url").isNull() & F.col("category").isNotNull() & low.isNotNull()).withColumns({"_low": low, "_high": high})
     records = register.select("source_id", "category", F.col("published").alias("_day"), "act_id", F.col("number").alias("_number"), F.col("year").alias("_year"), text.stems(F.col("object")).alias("_words"), "act_date")
-    met = asked.join(records, ["source_id", "category", "_day"])
-    same = (F.col("number") == F.col("_number")) & (F.col("year").isNull() | (F.col("year") == F.col("_year")))
-    met = met.where(F.when(numbered, same).otherwise(F.arrays_overlap("terms", "_words")))
+    by_number = asked.where(numbered).join(records.withColumn("number", F.col("_number")), ["source_id", "category", "number"])
+    by_number = by_number.where(F.col("_day").between(F.col("_low"), F.col("_high")) & (F.col("year").isNull() | (F.col("year") == F.col("_year"))))
+    by_day = asked.where(~numbered).withColumn("_day", F.explode(F.sequence("_low", "_high"))).join(records, ["source_id", "category", "_day"]).where(F.arrays_overlap("terms", "_words"))
+    met = by_number.unionByName(by_day)
     dated = F.when(numbered, F.lit(True)).otherwise(F.coalesce(F.col("act_date").between(F.date_sub("published", UNNUMBERED), F.col("published")), F.lit(False)))
     found = met.groupBy("version_id", "reference_id").agg(F.count("*").alias("_found"), F.count_if(dated).alias("_accepted"), F.min(F.when(dated, F.col("act_id"))).alias("_act"))
     rows = rows.join(found, ["version_id", "reference_id"], "left").fillna(0, ["_found", "_accepted"])
+    if unread is None:
+        rows = rows.withColumn("_unread", F.lit(None).cast("string"))
+    else:
+        gaps = asked.join(unread.select("source_id", "since", "until", F.col("reason").alias("_why")), "source_id").where((F.col("since") <= F.col("_high")) & (F.col("until") >= F.col("_low")))
+        rows = rows.join(gaps.groupBy("version_id", "reference_id").agg(F.min("_why").alias("_unread")), ["version_id", "reference_id"], "left")
 
     none = F.lit(None).cast("string")
     reason = (
@@ -82,6 +89,7 @@ def searched(references: DataFrame, attachments: DataFrame, notices: DataFrame,
         .when(numbered & F.col("day").isNull() & F.col("published").isNull(), "no_date_to_bound_the_search")
         .when(~numbered & F.col("published").isNull(), "publication_date_unknown")
         .when(~numbered & (F.coalesce(F.size("terms"), F.lit(0)) < 1), "no_terms")
+        .when(F.col("_unread").isNotNull(), F.col("_unread"))
         .when(F.col("_found") == 0, "no_matching_record")
         .when(F.col("_found") > MOST_DETAILS, "too_many_matching_records")
         .when(F.col("_accepted") == 0, "no_record_in_act_date_window")
@@ -89,7 +97,7 @@ def searched(references: DataFrame, attachments: DataFrame, notices: DataFrame,
     )
     rows = rows.withColumn("reason", reason)
     ambiguous = F.col("reason").isin("too_many_matching_records", "several_matching_records")
-    outcome = F.when(F.col("url").isNotNull(), "attached").when(ambiguous, "ambiguous").when(F.col("reason").isNotNull(), "not_found").when(numbered, "numbered").otherwise("unique_candidate")
+    outcome = F.when(F.col("url").isNotNull(), "attached").when(F.col("reason") == F.col("_unread"), "unavailable").when(ambiguous, "ambiguous").when(F.col("reason").isNotNull(), "not_found").when(numbered, "numbered").otherwise("unique_candidate")
     return rows.select("version_id", "reference_id", outcome.alias("outcome"), "reason", "url", F.when(F.col("reason").isNull() & F.col("url").isNull(), F.col("_act")).alias("act_id"))
 
 

@@ -27,7 +27,8 @@ PHENOMENA = {"pioggia": RISKS[:2], "temporali": RISKS[2:3], "vento": RISKS[3:4],
 ZONE = r"\b(?:A[1-6]|B|C|E[1-3]|F[1-2]|I|L|M|O[1-3]|R[1-2]|S[1-3]|T|V)\b"
 ISSUED = r"(?i)Emissione(?: interna)? di\s+(.+?),\s*ore\s+([0-9]{1,2})[.:]([0-9]{2})"
 MONITORED = r"(?i)Emesso il\s+([0-9]{2}/[0-9]{2}/[0-9]{4})\s+([0-9]{1,2})[.:]([0-9]{2})"
-DATED = r"(?iu)\b(?:Luned[iìí]|Marted[iìí]|Mercoled[iìí]|Gioved[iìí]|Venerd[iìí]|Sabato|Domenica),?\s+[0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4}\b"
+_DAYS, _MONTHS = "|".join(d.replace("ì", "[iìí]") for d in italian.WEEKDAYS), "|".join(text.MONTHS)
+DATED = rf"(?iu)\b(?:{_DAYS}),?\s+[0-9]{{1,2}}\s+(?:{_MONTHS})\s+[0-9]{{4}}\b"
 NO_EVENT = "NESSUN AVVISO IN CORSO DI VALIDITÀ O EVENTO IN CORSO"
 NO_CRITICALITY = r"(?iu)CRITICIT[ÀA] PREVISTE: NESSUNA"
 AREA_KEY = r"(?s)AREE INTERESSATE:(.*?)Legenda criticità:"

@@ -152,8 +152,12 @@ CAST(l_shipdate AS DATE) AS published, CASE WHEN l_quantity > 25 THEN 'Chiusura
 _ATTACHED = "l_orderkey AS version_id, 'u' || l_linenumber AS url, 'Comune. ' || CASE WHEN l_linenumber % 2 = 0 THEN 'ORDINANZA N. ' ELSE 'Decreto nr. 0' END || l_partkey % 40 || ' / ' || year(l_shipdate) || ' testo' AS text"
 
 
+UNREAD = [(3, "1995-01-01", "1995-03-01", "page_not_recognized"), (3, "1995-02-10", "1996-02-01", "page_bound_exceeded"), (5, "1997-06-01", "1997-06-30", "page_bound_exceeded"), (6, "1993-01-01", "1993-01-01", "register_unavailable")]
+_UNREAD = ", ".join(f"({s}, DATE '{a}', DATE '{b}', '{r}')" for s, a, b, r in UNREAD)
+
+
 @query(f"""
-WITH r AS (SELECT {_REF} FROM lineitem), n AS (SELECT *, CASE WHEN subject = 'Chiusura ponte' THEN ['chiusu', 'ponte'] WHEN subject = 'Divieto ponte' THEN ['diviet', 'ponte'] ELSE [] END AS terms FROM (SELECT {_NOTICE} FROM orders)),
+WITH unread(source_id, since, until, reason) AS (VALUES {_UNREAD}), r AS (SELECT {_REF} FROM lineitem), n AS (SELECT *, CASE WHEN subject = 'Chiusura ponte' THEN ['chiusu', 'ponte'] WHEN subject = 'Divieto ponte' THEN ['diviet', 'ponte'] ELSE [] END AS terms FROM (SELECT {_NOTICE} FROM orders)),
 g AS (SELECT *, CASE WHEN object = 'Chiusura della scuola' THEN ['chiusu', 'scuola'] ELSE ['limita', 'traffi'] END AS words FROM (SELECT {_RECORDED} FROM lineitem)),
 t AS (SELECT l_orderkey AS version_id, 'u' || l_linenumber AS url, CASE WHEN l_linenumber % 2 = 0 THEN 'ordinanza' ELSE 'decreto' END AS kind, l_partkey % 40 AS number, year(l_shipdate) AS year FROM lineitem WHERE l_discount > 0.08),
 c AS (SELECT s AS source_id, k AS kind, v AS category FROM range(8) AS x(s), (VALUES ('ordinanza', 'ordinanze'), ('decreto', 'decreti')) AS y(k, v)),
@@ -164,20 +168,24 @@ f AS (SELECT a.version_id, a.reference_id, count(*) AS found, count(*) FILTER (W
   WHERE a.url IS NULL AND CASE WHEN a.number IS NOT NULL THEN g.number = a.number AND (a.year IS NULL OR g.year = a.year) AND g.published BETWEEN coalesce(a.day, a.published - 30) AND coalesce(a.day + 10, a.published)
     ELSE list_has_any(a.terms, g.words) AND g.published BETWEEN a.published - 7 AND a.published + 10 END GROUP BY 1, 2),
 z AS (SELECT a.*, coalesce(found, 0) AS found, coalesce(accepted, 0) AS accepted, act_id FROM a LEFT JOIN f ON f.version_id = a.version_id AND f.reference_id = a.reference_id),
+w AS (SELECT *, CASE WHEN number IS NULL THEN published - 7 ELSE coalesce(day, published - 30) END AS low, CASE WHEN number IS NULL THEN published + 10 ELSE coalesce(day + 10, published) END AS high FROM z),
+x AS (SELECT w.*, (SELECT min(u.reason) FROM unread u WHERE u.source_id = w.source_id AND u.since <= w.high AND u.until >= w.low AND w.url IS NULL AND w.category IS NOT NULL) AS own FROM w),
+v AS (SELECT *, min(own) OVER (PARTITION BY version_id, reference_id) AS unread FROM x),
 q AS (SELECT *, CASE WHEN url IS NOT NULL THEN NULL WHEN source_id IS NULL OR source_id >= 8 THEN 'no_configured_register' WHEN category IS NULL THEN 'kind_not_published' WHEN number IS NOT NULL AND day IS NULL AND published IS NULL THEN 'no_date_to_bound_the_search'
-  WHEN number IS NULL AND published IS NULL THEN 'publication_date_unknown' WHEN number IS NULL AND len(terms) = 0 THEN 'no_terms' WHEN found = 0 THEN 'no_matching_record' WHEN found > 3 THEN 'too_many_matching_records'
-  WHEN accepted = 0 THEN 'no_record_in_act_date_window' WHEN accepted > 1 THEN 'several_matching_records' END AS reason FROM z)
-SELECT version_id, reference_id, CASE WHEN url IS NOT NULL THEN 'attached' WHEN reason IN ('too_many_matching_records', 'several_matching_records') THEN 'ambiguous' WHEN reason IS NOT NULL THEN 'not_found' WHEN number IS NOT NULL THEN 'numbered' ELSE 'unique_candidate' END AS outcome,
+  WHEN number IS NULL AND published IS NULL THEN 'publication_date_unknown' WHEN number IS NULL AND len(terms) = 0 THEN 'no_terms' WHEN unread IS NOT NULL THEN unread WHEN found = 0 THEN 'no_matching_record' WHEN found > 3 THEN 'too_many_matching_records'
+  WHEN accepted = 0 THEN 'no_record_in_act_date_window' WHEN accepted > 1 THEN 'several_matching_records' END AS reason FROM v)
+SELECT version_id, reference_id, CASE WHEN url IS NOT NULL THEN 'attached' WHEN reason = unread THEN 'unavailable' WHEN reason IN ('too_many_matching_records', 'several_matching_records') THEN 'ambiguous' WHEN reason IS NOT NULL THEN 'not_found' WHEN number IS NOT NULL THEN 'numbered' ELSE 'unique_candidate' END AS outcome,
   reason, url, CASE WHEN url IS NULL AND reason IS NULL THEN act_id END AS act_id FROM q""")
 def register_search(spark, sf_dir):
-    """References resolved by attachment, by number in a window of days, or as the only act that fits."""
+    """References resolved by attachment, by number in a window of days, or as the only act that fits; unavailable where the register could not be read."""
     from annalist.functions import text
 
     lines = table(spark, sf_dir, "lineitem")
     notices = _select(table(spark, sf_dir, "orders"), _NOTICE).withColumn("terms", text.stems(F.col("subject"))).drop("subject")
     kinds = spark.createDataFrame([("ordinanza", "ordinanze"), ("decreto", "decreti")], "kind string, category string")
     categories = spark.range(8).toDF("source_id").crossJoin(F.broadcast(kinds))  # eight registers of two kinds
-    return acts.searched(_select(lines, _REF), _select(lines.where("l_discount > 0.08"), _ATTACHED), notices, _select(lines, _RECORDED), categories)
+    unread = spark.createDataFrame(UNREAD, "source_id long, since string, until string, reason string").select("source_id", F.col("since").cast("date").alias("since"), F.col("until").cast("date").alias("until"), "reason")
+    return acts.searched(_select(lines, _REF), _select(lines.where("l_discount > 0.08"), _ATTACHED), notices, _select(lines, _RECORDED), categories, unread)
 
 
 _PARTS = "[{'ordinal': 1, 'kind': 'closure', 'text': 'la chiusura dei parchi'}, {'ordinal': 2, 'kind': 'closure', 'text': 'la chiusura della scuola Verdi'}, {'ordinal': 3, 'kind': 'prohibition', 'text': 'il divieto di sosta'}]"
