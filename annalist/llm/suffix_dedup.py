@@ -473,8 +473,50 @@ def _verified(data, p, q, i, j, turn, length: int) -> np.ndarray:
     return ok
 
 
+#: Strings of a crowded anchor that begin so many bytes apart, at most, are first told together.
+BLOCK = 32
+BLOCKS = "doc_id long, row long, at long, info long, block int, level int, core1 long, core2 long, whole1 long, whole2 long"
+
+
+def _block_names(length: int, reported: int):
+    """Around a crowded anchor, blocks of strings that begin 32k to 32k + 31 bytes before it, for each of the two lengths.
+
+    A block is named twice: by its core, the bytes that any such strings have in common, and by all bytes of those that there are. Where no other block has its core, none of
+    its strings repeats; where another is equal as a whole, all do.
+    """
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, info = (batch.column(c).to_numpy() for c in (3, 4))
+            before, after, _, _ = _unpacked(info)
+            raw = batch.column(5).to_pylist()
+            data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+            sizes = np.array([len(b) for b in raw], dtype=np.int64)
+            anchor = np.cumsum(sizes) - sizes + before
+            for level, size in enumerate((length, reported)):
+                near = np.maximum(after, before - (sizes - size))  # the last string that fits begins so far before the anchor
+                first, last = near // BLOCK, np.where(near <= before, before // BLOCK, near // BLOCK - 1)
+                counts = last - first + 1
+                of = np.repeat(np.arange(len(raw)), counts)
+                block = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                low, high = np.maximum(block * BLOCK, near[of]), np.minimum(block * BLOCK + BLOCK - 1, before[of])
+                end = anchor[of] - (block * BLOCK + BLOCK - 1) + size
+                core = digests(data, np.minimum(anchor[of] - block * BLOCK, end), end)
+                whole = digests(data, anchor[of] - high, anchor[of] - low + size)
+                with np.errstate(over="ignore"):
+                    place = mixed((block * 2 + level).astype(np.uint64))
+                    core[:, 0] += place
+                    whole[:, 0] += place + mixed((low * BLOCK * 8 + high).astype(np.uint64))
+                take = lambda c: batch.column(c).take(pa.array(of))
+                yield _batch([take(1), take(2), take(3), take(4), block, np.full(len(of), level), *(x.view(np.int64) for x in (core[:, 0], core[:, 1], whole[:, 0], whole[:, 1]))], BLOCKS)
+
+    return names
+
+
 def _single_strings(length: int, reported: int):
-    """Every string around an anchor as a row of its own, named by its digest, once for each of the two lengths."""
+    """Every string of the blocks asked for as a row of its own, named by its digest."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -488,8 +530,12 @@ def _single_strings(length: int, reported: int):
             offset, counts = np.cumsum(sizes) - sizes, before - after + 1
             of = np.repeat(np.arange(len(raw)), counts)
             turn = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-            for size in (length, reported):
-                there = sizes[of] - turn >= size
+            told, asked = batch.column(7).offsets.to_numpy(), batch.column(7).values
+            owner = np.repeat(np.arange(len(raw)), np.diff(told))
+            block, levels = (asked.field(c).to_numpy()[told[0] : told[-1]].astype(np.int64) for c in ("block", "level"))
+            for level, size in enumerate((length, reported)):
+                wanted = ((owner << 20) | block)[levels == level]
+                there = (sizes[of] - turn >= size) & np.isin((of << 20) | (before[of] - turn) // BLOCK, wanted)
                 i, place = of[there], (offset[of] + turn)[there]
                 name = digests(data, place, place + size).view(np.int64)
                 start = (at - before)[i] + turn[there]
@@ -498,6 +544,35 @@ def _single_strings(length: int, reported: int):
     return strings
 
 
+def _crowded_spans(around: DataFrame, length: int, reported: int) -> DataFrame:
+    """Spans of strings that repeat around crowded anchors, told from coarse to fine: blocks first, then the strings of those blocks that share their core and are not alike.
+
+    Of equal blocks one stands for all, so copies of a passage send few rows, and nothing of a hot anchor has to be in one task.
+    """
+    dealt = shared.partitions(around.sparkSession)
+    core, whole = ["core1", "core2"], ["whole1", "whole2"]
+    blocks = shared.written(around.mapInArrow(_block_names(length, reported), BLOCKS), "blocks")
+    kinds = blocks.groupBy(*core, *whole).agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "info", "block", "level")).alias("one"))
+    cores = shared.written(kinds.groupBy(*core).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1"), "cores")
+    kinds = shared.written(kinds.join(cores, core), "kinds")
+    alike = blocks.join(kinds.where("n > 1").select(*core, *whole), [*core, *whole])
+    before, after, room = F.shiftright("info", 40), F.shiftright("info", 18).bitwiseAND((1 << 22) - 1), F.shiftright("info", 2).bitwiseAND(MOST_LENGTH)
+    size = F.when(F.col("level") == 0, length).otherwise(reported)
+    low = F.greatest(F.col("block") * BLOCK, after, after - room + size)
+    high = F.least(F.col("block") * BLOCK + (BLOCK - 1), before)
+    told = alike.select("doc_id", "row", (F.col("at") - high).alias("start"), (F.col("at") - low + size).alias("end"), "level")
+
+    asked = kinds.where("kinds > 1").select("one.*").groupBy("row", "at", "info").agg(F.collect_list(F.struct("block", "level")).alias("blocks"))
+    fine = around.join(asked, ["row", "at", "info"]).select("key", "doc_id", "row", "at", "info", "data", "kind", "blocks").mapInArrow(_single_strings(length, reported), ROWS)
+    fine = fine.repartition(dealt, "key").select(*SORTED).sortWithinPartitions("key", "kind", "ctx", "ctx2")
+    return told.union(_final(fine.mapInArrow(_settled(length, reported, False), ROWS)))
+
+
+def _final(rows: DataFrame) -> DataFrame:
+    told = rows.where(F.col("kind") == SPAN_ROW)
+    return told.select("doc_id", "row", F.col("at").alias("start"), F.col("ctx").alias("end"), F.col("ctx2").cast("int").alias("level"))
+
+
 def repeated_spans(docs: DataFrame, length: int, reported: int) -> DataFrame:
     """doc_id, row (hash of doc_id and text) and spans of bytes of repeated strings, as an array of (start, end, level): 0 for `length` bytes, 1 for `reported`."""
     if not 0 < reported <= length <= MOST_LENGTH:
@@ -507,10 +582,6 @@ def repeated_spans(docs: DataFrame, length: int, reported: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("data"))
     texts = texts.where(F.length("data") >= reported)
 
-    def final(rows: DataFrame) -> DataFrame:
-        told = rows.where(F.col("kind") == SPAN_ROW)
-        return told.select("doc_id", "row", F.col("at").alias("start"), F.col("ctx").alias("end"), F.col("ctx2").cast("int").alias("level"))
-
     def in_order(rows: DataFrame) -> DataFrame:
         return rows.repartition(dealt, "key").select(*SORTED).sortWithinPartitions("key", "kind", "ctx", "ctx2")
 
@@ -527,8 +598,7 @@ def repeated_spans(docs: DataFrame, length: int, reported: int) -> DataFrame:
     around = shared.written(around.withColumn("single", F.col("crowded").isNotNull() | (F.col("kind") == CROWDED)).drop("crowded"), "surroundings")
 
     few = around.where("NOT single").drop("single").repartition(dealt, "key").sortWithinPartitions("key").mapInArrow(_sorted_repeats(length, reported), SPANS)
-    single = in_order(around.where("single").drop("single").mapInArrow(_single_strings(length, reported), ROWS)).mapInArrow(_settled(length, reported, False), ROWS)
-    spans = final(found).union(few).union(final(single))
+    spans = _final(found).union(few).union(_crowded_spans(around.where("single").drop("single"), length, reported))
     return spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end", "level")).alias("spans"))
 
 
