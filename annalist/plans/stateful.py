@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annalist.operators import stateful
-from annalist.plans.base import at, query, shape, table
+from annalist.operators.shared import scratch
+from annalist.plans.base import ORACLE_SQL, at, query, shape, table
+from annalist.streaming import folds
 
 HOUR = 3600 * 1_000_000
 
@@ -91,6 +93,25 @@ def queue_fold(spark, sf_dir):
     return stateful.folded(rows, "user_id", ["at_us", "event_id"], stateful.queue_step(48 * HOUR, 2 * HOUR), stateful.queue_start, QUEUE)
 
 
+@query(ORACLE_SQL["queue_fold"])
+def queue_stream(spark, sf_dir):
+    """The same transitions from a stream whose micro-batches hold events of several days in any order: timers of event time give the rows of the batch form."""
+    rows = _events(spark, sf_dir).withColumns({"kind": F.expr(_KIND), "until_us": F.col("at_us") + 6 * HOUR, "attempt": F.expr(_ATTEMPT), "at": F.timestamp_micros("at_us")})
+    days = F.floor((F.col("at_us") - rows.agg(F.min("at_us")).first()[0]) / (24 * HOUR))
+    rows = rows.withColumn("batch", F.floor(days / 6) + F.pmod("event_id", F.lit(2)))
+    path, last = scratch(spark, "event-log"), rows.agg(F.max("batch"), F.max("at_us")).first()
+    for i in range(last[0] + 1):  # a file each; the newest come last
+        rows.where(F.col("batch") == i).drop("batch").orderBy(F.desc("event_id")).coalesce(1).write.mode("append").parquet(path)
+    ahead = rows.limit(1).withColumns({"user_id": F.lit(-1).cast("long"), "at_us": F.lit(last[1]) + 30 * 24 * HOUR, "at": F.timestamp_micros(F.lit(last[1]) + 30 * 24 * HOUR)})
+    ahead.drop("batch").coalesce(1).write.mode("append").parquet(path)  # time goes on, so that all timers end
+    stream = spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    step = stateful.queue_step(48 * HOUR, 2 * HOUR)
+    found = folds.timed(stream, "user_id", "at", ["at_us", "event_id"], step, stateful.queue_start, QUEUE, "20 days")
+    out = scratch(spark, "queue-stream")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "queue-stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).where("user_id >= 0")
+
+
 #: Logs of gates and rejections, and events of jobs, of seven scopes with two models each.
 _GATES = f"""
 SELECT user_id % 7 AS scope, CASE WHEN value > 150 THEN '*' ELSE 'm' || event_id % 2 END AS model, t AS at_us, CASE event_id % 3 WHEN 0 THEN 'held' WHEN 1 THEN 'open' ELSE 'closed' END AS state,

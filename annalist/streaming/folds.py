@@ -32,6 +32,42 @@ def streamed(events: DataFrame, key: str, order: list[str], step: Step, start: C
     return events.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def timed(events: DataFrame, key: str, at: str, order: list[str], step: Step, start: Callable[[], State], schema: str, late: str, idle_us: int | None = None) -> DataFrame:
+    """The fold of `stateful.folded` over a stream whose micro-batches are in any order, by timers of event time.
+
+    `at` is a timestamp, `at_us` the same in microseconds, first in `order`. Events are held until the watermark, `late` behind the newest, has passed them, then stepped in order: by
+    the next events of their key, or by a timer at the first that is held. So the rows are those of the batch form over all events that were not late; later ones Spark leaves out. A key
+    begins anew where an event is more than `idle_us` behind its last one, if that is given, and its state goes once the watermark is. The state holds the fold's state and no more events than arrive within `late`.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        current, held, last = pickle.loads(state.get[0]) if state.exists else (start(), [], None)
+        for frame in batches:
+            held += frame.astype(object).where(frame.notna(), None).to_dict("records")
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = sorted((e for e in held if e["at_us"] <= mark), key=lambda e: tuple(e[c] for c in order))
+        held = [e for e in held if e["at_us"] > mark]
+        rows = []
+        for event in ready:
+            if idle_us is not None and last is not None and event["at_us"] > last + idle_us:
+                current = start()
+            out, last = step(current, event), int(event["at_us"])
+            if out is not None:
+                rows.append({key: keys[0], **out})
+        if not held and idle_us is not None and last + idle_us < mark:
+            state.remove()
+        else:
+            state.update((pickle.dumps((current, held, last)),))
+            if held:
+                state.setTimeoutTimestamp(max(min(int(e["at_us"]) for e in held) // 1000, mark // 1000 + 1))
+            elif idle_us is not None:
+                state.setTimeoutTimestamp((last + idle_us) // 1000 + 1)
+        yield pd.DataFrame(rows, columns=names)
+
+    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def history(events: DataFrame, at: str, keys: list[str], step: str, late: str) -> DataFrame:
     """Counts per tumbling bucket; events later than `late` behind the newest are left out once their bucket is closed."""
     window = F.window(at, step)

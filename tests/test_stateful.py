@@ -243,3 +243,44 @@ def test_gates_put_jobs_off_and_give_attempts_back(spark):
         (0, "running", 1, 3, 0, None), (1, "retry_wait", 1, 4, 20, "given_back"), (2, "retry_wait", 1, 4, 20, None), (3, "running", 2, 4, 20, None), (4, "running", 2, 4, 20, None),
         (5, "retry_wait", 2, 5, 33, "given_back"), (6, "failed", 2, 5, 50, "rejected"), (7, "failed", 2, 5, 50, None), (8, "failed", 2, 5, 50, None),
     ]
+
+
+DAY = 24 * 3600 * SECOND
+
+
+def _streamed_out(spark, tmp_path, batches, name, late, idle_us=None):
+    """The fold of the queue over micro-batches of (k, event_id, at_us, kind, attempt), in the order given."""
+    schema = "k string, event_id long, at_us long, kind string, attempt int, until_us long"
+    for rows in batches:
+        spark.createDataFrame([(*r, r[2] + 50 * SECOND) for r in rows], schema).withColumn("at", F.timestamp_micros("at_us")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(f"{schema}, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    step = stateful.queue_step(200 * SECOND, 30 * SECOND)
+    out = folds.timed(stream, "k", "at", ["at_us", "event_id"], step, stateful.queue_start, CASES["queue"][2], late, idle_us)
+    out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(200)
+    return sorted(tuple(r) for r in spark.table(name).where("k <> 'end'").collect())
+
+
+def test_timed_fold_does_not_depend_on_micro_batches(spark, log, tmp_path):
+    rng = random.Random(6)
+    rows = [(r[0], r[1], r[2], r[3], r[5] % 3 + 1) for r in log if r[3] in ("claim", "heartbeat", "complete", "fail_temporary", "fail_permanent", "defer", "relaunch", "archive")]
+    span = rows[-1][2] // 6 + 1
+    batches = [[] for _ in range(8)]
+    for r in rows:
+        batches[r[2] // span + rng.randrange(2)].append(r)
+    for b in batches:
+        rng.shuffle(b)
+    batches = [b for b in batches if b] + [[("end", 10**6, rows[-1][2] + 9 * span, "claim", 1)]]
+    got = _streamed_out(spark, tmp_path, batches, "timed_queue", f"{2 * span // SECOND + 1} seconds")
+    names, states, want = ["k", "event_id", "at_us", "kind", "attempt"], {}, []
+    for r in rows:
+        event = dict(zip(names, r, strict=True)) | {"until_us": r[2] + 50 * SECOND}
+        out = stateful.queue_step(200 * SECOND, 30 * SECOND)(states.setdefault(r[0], stateful.queue_start()), event)
+        want.append((r[0], *out.values()))
+    assert got == sorted(want)
+
+
+def test_idle_keys_expire_and_begin_anew(spark, tmp_path):
+    batches = [[("a", 1, DAY, "claim", 1), ("b", 2, DAY, "claim", 1)], [("b", 3, 2 * DAY, "claim", 1)], [("c", 4, 9 * DAY, "claim", 1)], [("a", 5, 10 * DAY, "claim", 1), ("b", 6, 10 * DAY, "claim", 1)], [("end", 7, 40 * DAY, "claim", 1)]]
+    for name, idle, attempts in (("kept", None, 2), ("expired", 3 * DAY, 1)):
+        got = {r[1]: r[3] for r in _streamed_out(spark, tmp_path / name, batches, name, "1 day", idle)}
+        assert got == {1: 1, 2: 1, 3: 2, 4: 1, 5: attempts, 6: attempts + 1 if idle is None else 1}
