@@ -289,7 +289,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, column: str = "text",
 
 
 def decode(rows: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
-    """Adds `decoded`, the bytes of each list of ids; null ids: null."""
+    """Adds `decoded`, the bytes of each list of ids, which must be of the vocabulary.
+
+    Null list: null; empty list: no bytes. Repeated rows are decoded each by itself, an empty table gives no rows, and a column named `decoded` is replaced. A list is one row, however long.
+    """
     rows.sparkSession.sparkContext.addFile(vocabulary)
     name = vocabulary.rstrip("/").rsplit("/", 1)[-1]
 

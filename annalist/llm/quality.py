@@ -132,7 +132,11 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept documents with their cleaned texts and the columns of the input."""
+    """The kept documents with their cleaned texts and the columns of the input.
+
+    Null or empty text has no words and goes, as does whatever else `score` rejects. Repeated rows are judged each by itself, null ids are ids like others, and an empty table gives no rows. `text`, and
+    `n_chars` where there is one, are replaced; all other columns stay, whatever their names. A text is judged as one row, and its lines and words are arrays of that row.
+    """
     kept = F.filter(F.array("q"), lambda q: q["kept"])  # exploded, not filtered by: a filter would compute the rules twice
     rows = _measured(docs).select("row", F.explode(kept).alias("q"))
     new = {"text": F.col("q.cleaned"), "n_chars": F.length("q.cleaned").cast("long")}

@@ -84,7 +84,10 @@ def assign(rows: DataFrame, order: list, shards: int, seed: int = 7) -> DataFram
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
-    """Writes assigned rows by shard, each in slot order."""
+    """Writes assigned rows by shard, each in slot order.
+
+    All columns are written, null or not; repeated rows have slots of their own. An empty table writes no shard. A path that is there is refused. A shard is sorted in one task, which spills to disk.
+    """
     rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -85,7 +85,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, vector: Column) -> Data
     tile keeps k per query; lists merge in a tree, `FAN` at a time. Vectors of another
     length than the query's take no part in its list. A query's own row is every row with its
     vec_id; repeated candidate rows are listed each; queries that repeat in full are asked once.
-    Null vec_id: no part. Scores beyond 64 bits stay at the nearest bound. Empty table: no rows.
+    Null vec_id: no part. A vector is one row; very long ones make blocks of fewer rows. Scores beyond 64 bits stay at the nearest bound. Empty table: no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"), is_query.alias("asks"))
     rows = shared.written(rows.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull()).withColumn("width", F.size("vector")), "topk-vectors")
