@@ -27,13 +27,16 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
-#: Words, passages or pairs of up to this many rows are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Words, passages or pairs of up to this many rows, with up to so many bytes of text, are broadcast; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A written table, marked for broadcast if its rows are few enough and its texts and lists of words are short enough, all together."""
+    sizes = [F.octet_length(name) for name, kind in df.dtypes if kind == "string"] + [F.octet_length(F.concat_ws(" ", name)) for name, kind in df.dtypes if kind == "array<string>"]
+    held = sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes), F.lit(0).cast("long"))
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def holding_all_terms(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
