@@ -255,16 +255,20 @@ def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _near_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, member, bits, most, root, root_bits) with `near`: whether the parity bits let the member be similar to the root."""
+    """Rows (name, member, bits, most, root, root_bits) with `near`: whether the parity bits let the member be similar to the root; and `around`: or to a set that is near the root.
+
+    Bits that differ add up along a way, so what is near to one that is near is twice as far at most.
+    """
     for batch in batches:
         if batch.num_rows:
-            near = np.zeros(batch.num_rows, dtype=bool)
+            far = np.zeros(batch.num_rows, dtype=np.int64)
             widths = np.array([len(x) for x in batch.column(2).to_pylist()])
             for width in np.unique(widths):
                 at = np.flatnonzero(widths == width)
                 own, root = (_bit_rows(batch.column(c).take(pa.array(at)).to_pylist()) for c in (2, 5))
-                near[at] = np.bitwise_count(own ^ root).sum(axis=1) <= batch.column(3).to_numpy()[at]
-            yield batch.select([0, 1, 2, 3, 4]).append_column("near", pa.array(near))
+                far[at] = np.bitwise_count(own ^ root).sum(axis=1)
+            most = batch.column(3).to_numpy().astype(np.int64)
+            yield batch.select([0, 1, 2, 3, 4]).append_column("near", pa.array(far <= most)).append_column("around", pa.array(far <= 2 * most))
 
 
 #: Members of a group that one task compares with each other; larger groups are peeled and cut.
@@ -276,7 +280,8 @@ PEELS = 3
 def _hot_edges(hot: DataFrame, dealt: int) -> DataFrame:
     """Ties of groups with more than HOT_GROUP members, from (name, member, bits, most), spread over tasks.
 
-    A large group is most often one of near copies: every member is compared with the first one, on its own, and those near it are done. After
+    A large group is most often one of near copies: every member is compared with the first one, on its own, and tied to it if it is near, or so far that it may
+    be near to one that is. Those near it have all their ties then and are done; the others stay, with each other's ties to come. After
     PEELS rounds, what is still large is cut into blocks, and each pair of blocks is compared in a task. Ties found
     there have the name as their root, so all of them count as tied together; that is more than they are, never less.
     """
@@ -289,8 +294,8 @@ def _hot_edges(hot: DataFrame, dealt: int) -> DataFrame:
         if large.isEmpty():
             break
         asked = rest.join(F.broadcast(large) if large.count() <= BROADCAST_IDS // 10 else large, F.col("name") == F.col("_name"))
-        peeled = shared.written(asked.select("name", "member", "bits", "most", "root", "root_bits").mapInArrow(_near_root, "name long, member long, bits binary, most int, root long, near boolean"), "peeled")
-        ties = peeled.where("near AND member <> root").select("name", "root", F.col("root").alias("u"), F.col("member").alias("v"))
+        peeled = shared.written(asked.select("name", "member", "bits", "most", "root", "root_bits").mapInArrow(_near_root, "name long, member long, bits binary, most int, root long, near boolean, around boolean"), "peeled")
+        ties = peeled.where("around AND member <> root").select("name", "root", F.col("root").alias("u"), F.col("member").alias("v"))
         found = ties if found is None else found.union(ties)
         small = rest.join(large.select(F.col("_name")), F.col("name") == F.col("_name"), "left_anti")
         rest = shared.written(peeled.where("NOT near").select("name", "member", "bits", "most").union(small.select("name", "member", "bits", "most")), "hot")
@@ -484,7 +489,7 @@ def _large_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     links = links.union(shared.written(_verified(apart, sets, percent), "links"))
     linked = shared.written(components(links), "linked")
 
-    inside = pairs.select("name", "root", "component", F.col("v").alias("node")).union(pairs.select("name", "root", "component", F.col("root").alias("node"))).distinct()
+    inside = pairs.select("name", "root", "component", F.col("v").alias("node")).union(pairs.select("name", "root", "component", F.col("u").alias("node"))).distinct()  # a root that is a set begins a tie
     inside = shared.written(_with_label(inside, "node", "own", linked), "inside")
     unsettled = inside.groupBy("name", "root").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("name", "root")
     inside = shared.written(inside.join(unsettled, ["name", "root"], "left_semi"), "unsettled")

@@ -377,6 +377,31 @@ def test_hot_groups_are_peeled_and_cut(spark, monkeypatch, written, group):
     assert sum(written["hot"]) > 0
 
 
+def test_hot_groups_lose_no_tie_between_a_peeled_set_and_the_rest(spark, monkeypatch):
+    """Along a chain each set is near to its neighbours only; peeling its middle must leave both ends tied to it."""
+    monkeypatch.setattr(jaccard, "HOT_GROUP", 2)
+    most, chain = 4, [(1 << (3 * i)) - 1 for i in range(12)]
+    order = [5, 0, 11, 6, 3, 8, 1, 10, 4, 7, 2, 9]  # place in the chain by member, so that the first root is a middle one
+    rows = [(7, n, chain[i].to_bytes(8, "little"), most) for n, i in enumerate(order)]
+    edges = jaccard._hot_edges(spark.createDataFrame(rows, "name long, member long, bits binary, most int"), 4).collect()
+    together = {}
+    for e in edges:
+        together.setdefault((e.name, e.root), set()).update((e.u, e.v))
+    for a in range(12):
+        for b in range(a):
+            if (chain[order[a]] ^ chain[order[b]]).bit_count() <= most:
+                assert any({a, b} <= group for group in together.values()), (order[a], order[b])
+
+
+def test_large_links_ask_the_first_set_of_a_cut_group(spark, monkeypatch):
+    """A group that was cut into tiles has its name as root; the set that only begins ties meets the others too."""
+    sets = {1: range(0, 100), 2: range(40, 140), 3: range(4, 104)}  # only 1 and 3 are similar
+    rows = [(node, np.array(list(own), dtype=np.uint64).tobytes()) for node, own in sets.items()]
+    pairs = spark.createDataFrame([(9, 9, 1, 2, 1), (9, 9, 2, 3, 1)], "name long, root long, u long, v long, component long")
+    links = jaccard._large_links(pairs, spark.createDataFrame(rows, "node long, shingles binary"), 90)
+    assert {tuple(sorted((r.u, r.v))) for r in links.collect()} == {(1, 3)}
+
+
 @pytest.mark.parametrize("percent", [90, 80, 50])
 def test_prefix_tree(percent):
     import random
