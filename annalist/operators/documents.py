@@ -32,8 +32,8 @@ def chronology(versions: DataFrame, known_at: Column) -> DataFrame:
 
 
 def assessed(versions: DataFrame, extractions: DataFrame, classifications: DataFrame, known_at: Column) -> DataFrame:
-    """State of each version by its latest extraction, or by its latest classification if it has none."""
-    pick = lambda df: asof.latest(df.where(F.col("created_at") <= known_at), ["version_id"], ["created_at", "run_id"])
+    """State of each version by its latest extraction, or by its latest classification if it has none. Of equal times and ids the greatest status counts."""
+    pick = lambda df: asof.latest(df.where(F.col("created_at") <= known_at), ["version_id"], ["created_at", "run_id", "status"])
     e = pick(extractions).select("version_id", F.col("status").alias("_extracted"))
     c = pick(classifications).select("version_id", F.col("status").alias("_classified"))
     rows = versions.where(F.col("acquired_at") <= known_at).join(e, "version_id", "left").join(c, "version_id", "left")

@@ -64,8 +64,8 @@ def backfill(versions: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def archived(pending: DataFrame, log: DataFrame, key: str) -> DataFrame:
-    """Members of a frozen set that are archived now: the last event of each says so. Recovered ones are out."""
-    last = asof.latest(log, [key], ["at", "id"]).where("action = 'archive'").select(key)
+    """Members of a frozen set that are archived now: the last event of each says so. Recovered ones are out; of equal times and ids a recovery counts last."""
+    last = asof.latest(log, [key], ["at", "id", "action"]).where("action = 'archive'").select(key)
     return pending.join(last, key, "left_semi")
 
 

@@ -234,3 +234,41 @@ def test_reachable_on_long_chains_with_branches_and_cycles(spark, monkeypatch):
             todo += new
         got = lineage.reachable(rows, "a", "b", spark.createDataFrame([(x,) for x in first], "n long"))
         assert sorted(r.n for r in got.collect()) == sorted(seen)
+
+
+def test_rows_are_dealt_out_although_a_file_is_one_row_group(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from annalist.plans.base import dealt_table
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    held = dealt_table(spark, str(tmp_path), "orders").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in held) < 200
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_ties_of_time_and_id_are_told_apart_by_value(spark, backwards):
+    from annalist.operators import documents, governance
+
+    log = [(1, 5, 9, "archive"), (1, 5, 9, "recover"), (2, 5, 9, "archive")][:: -1 if backwards else 1]
+    pending = spark.createDataFrame([(1,), (2,)], "version_id int")
+    found = governance.archived(pending, spark.createDataFrame(log, "version_id int, at int, id int, action string").coalesce(1), "version_id")
+    assert [r.version_id for r in found.collect()] == [2]
+    runs = [(1, 7, 5, "failed"), (1, 7, 5, "supported")][:: -1 if backwards else 1]
+    runs = spark.createDataFrame(runs, "version_id int, run_id int, created_at int, status string").coalesce(1)
+    versions = spark.createDataFrame([(1, 1)], "version_id int, acquired_at int")
+    from pyspark.sql import functions as F
+
+    assert documents.assessed(versions, runs, runs.limit(0), F.lit(9)).first()["state"] == "supported"
+
+
+def test_two_days_reads_its_values_once_and_only_what_may_count(spark):
+    from pyspark.sql import functions as F
+
+    from annalist.operators import reports
+
+    rows = [(1, "instant", "2024-05-05 10:00"), (2, "date", "2024-05-06 00:00"), (3, "instant", "2024-05-07 00:00"), (4, "unknown", None), (5, "interval", "2024-01-01 00:00"), (6, None, "2024-05-05 10:00"), (7, "odd", "2024-05-05 10:00")]
+    values = spark.createDataFrame(rows, "id int, precision string, v string").select("id", "precision", F.col("v").cast("timestamp_ntz").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_until"))
+    found = reports.two_days(values, F.lit("2024-05-05").cast("timestamp_ntz"))
+    assert sorted((r.id, r.day) for r in found.collect()) == [(1, "today"), (2, "tomorrow"), (4, "undated"), (5, "today"), (5, "tomorrow"), (7, "undated")]
+    assert "Union" not in found._jdf.queryExecution().toString()
