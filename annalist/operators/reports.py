@@ -103,14 +103,16 @@ def archived_before(jobs: DataFrame, cutoff: Column, at: Column) -> tuple[DataFr
 
 def two_days(values: DataFrame, midnight: Column) -> DataFrame:
     """Facts dealt to today and tomorrow from a local midnight, or to undated ones whose time is not known."""
-    day = F.explode(F.array(*[F.struct(F.lit(name).alias("day"), (midnight + F.expr(f"INTERVAL {i} DAY")).alias("low"), (midnight + F.expr(f"INTERVAL {i + 1} DAY")).alias("high")) for i, name in enumerate(("today", "tomorrow"))]))
     known = F.col("precision").isin("instant", "interval", "date") & F.col("valid_from").isNotNull()
-    spans = values.where(known).select("*", day.alias("d"))
-    point = (F.col("valid_from") >= F.col("d.low")) & (F.col("valid_from") < F.col("d.high"))
-    span = (F.col("valid_from") < F.col("d.high")) & (F.col("valid_until").isNull() | (F.col("valid_until") > F.col("d.low")))
-    hit = F.when(F.col("precision") == "interval", span).otherwise(point)
-    dated = spans.where(hit).select(*values.columns, F.col("d.day").alias("day"))
-    return dated.unionByName(values.where(~known).withColumn("day", F.lit("undated")))
+    begin = [midnight + F.expr(f"INTERVAL {i} DAY") for i in range(3)]
+
+    def within(low: Column, high: Column) -> Column:
+        span = F.col("valid_until").isNull() | (F.col("valid_until") > low)
+        return known & (F.col("valid_from") < high) & (((F.col("precision") == "interval") & span) | ((F.col("precision") != "interval") & (F.col("valid_from") >= low)))
+
+    days = F.array(F.when(within(*begin[:2]), "today"), F.when(within(*begin[1:]), "tomorrow"), F.when(~known, "undated"))
+    # what touches neither day goes before whatever the values are joined with, and they are read once
+    return values.where(~known | within(begin[0], begin[2])).withColumn("day", F.explode(F.array_compact(days)))
 
 
 def warning_groups(warnings: DataFrame, at_status: list[str]) -> DataFrame:
