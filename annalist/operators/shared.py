@@ -35,6 +35,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Tasks for each core when rows are dealt out.
+WAVES = 3
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Short rows with much work on each, dealt out over all cores. Files are split by bytes but read by row groups, so that many read tasks may be empty and one has all rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(WAVES * cores, df.rdd.getNumPartitions()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table that is read in fewer tasks than there are cores, dealt out over them; larger ones stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

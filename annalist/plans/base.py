@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.operators.shared import spread
+from annalist.operators.shared import dealt, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -115,6 +115,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows) if name in LONG else rows
 
 
+def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of short rows with much work on each."""
+    return dealt(table(spark, sf_dir, name))
+
+
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table made from the driver's tables."""
     tables, columns, where = SHAPES[name]

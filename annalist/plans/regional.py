@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import italian, text
 from annalist.operators import regional
-from annalist.plans.base import query, table
+from annalist.plans.base import dealt_table, query, table
 
 #: A day of 2026 from a key and a month, the hours that Rome is ahead on it, and how a bulletin writes it. The same in Spark and in DuckDB.
 _DAY = "(c_custkey % 27 + 1)"
@@ -41,7 +41,7 @@ def _shape(i: int) -> str:
 
 
 def _customers(spark, sf_dir, html: str):
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{html} AS html")
+    return dealt_table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{html} AS html")
 
 
 @query(f"""

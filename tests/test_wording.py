@@ -25,6 +25,8 @@ def named(text):
         ("Ordinanza n. 1/2031. Ordinanza n. 2/2031. Ordinanza n. 3/2031. Ordinanza n. 4/2031.", [("ordinanza", k, 2031, None) for k in (1, 2, 3)]),
         ("Non piove. Ordinanza\nn. 5 / 2031", [("ordinanza", 5, 2031, None)]),
         ("", []),
+        ("Visto il decreto n. 00123456 del 3/4/2031", [("decreto", 123456, 2031, "2031-04-03")]),
+        ("Visto il decreto n. 1234567890/2031", []),
     ],
 )
 def test_references(text, want):
@@ -146,3 +148,17 @@ def test_reopenings(text, n):
 )
 def test_supported_kinds(kind, quote, want):
     assert wording.supported(kind, quote) is want
+
+
+def test_measures_of_all_windows_at_once(spark):
+    from pyspark.sql import functions as F
+
+    from annalist.functions import kernels
+
+    keeps = "Restano al momento in vigore le disposizioni: divieto di attività nei parchi 7, nelle aree verdi e negli orti sociali."
+    texts = [(1, "Parole di contorno. " * 250 + keeps + " Altre parole." * 200), (2, keeps * 2), (3, ""), (4, None), (5, "Il ponte B è stato riaperto alla circolazione. " * 200)]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    windows = rows.select("id", "text", F.explode(kernels.operational_windows("text")).alias("w"))
+    one = windows.select("id", "w.ordinal", F.explode(wording.stated_in_window("text", "w")).alias("m")).select("id", "ordinal", "m.*")
+    every = rows.select("id", F.explode(wording.stated_in_windows("text")).alias("m")).select("id", "m.*")
+    assert sorted(map(str, every.collect())) == sorted(map(str, one.collect())) and every.count() > 200
