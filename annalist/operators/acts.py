@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import text, wording
+from annalist.operators.shared import scratch
 
 #: What identifies a numbered act.
 ACT = ["kind", "number", "year"]
@@ -44,6 +45,51 @@ def attached_acts(attachments: DataFrame) -> DataFrame:
     return acts.where("number IS NOT NULL").distinct()
 
 
+#: Days that one key of a search in a register stands for.
+BLOCK = 32
+
+
+def _block(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / BLOCK)
+
+
+def _met(requests: DataFrame, records: DataFrame, keys: list[str], fits: Column, accepted: Column) -> DataFrame:
+    """Requests, each once, with how many records fit and how many of them are accepted, and the least act accepted. A record is one row for all acts that do not differ (_n, _least); both meet in blocks of days."""
+    wanted = requests.distinct().where("_low <= _high")
+    asked = wanted.withColumn("_block", F.explode(F.sequence(_block(F.col("_low")), _block(F.col("_high"))))).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = (F.col("_block") == F.col("_in")) & F.col("_day").between(F.col("_low"), F.col("_high")) & fits
+    for k in keys:
+        same = same & (F.col(f"_of_{k}") == F.col(k))
+    met = asked.join(records.withColumn("_in", _block(F.col("_day"))), same)
+    back = [F.col(f"_of_{k}").alias(k) if k in keys else F.col(k) for k in wanted.columns]
+    return met.groupBy(*back).agg(F.sum("_n").alias("_found"), F.sum(F.when(accepted, F.col("_n")).otherwise(0)).alias("_accepted"), F.min(F.when(accepted, F.col("_least"))).alias("_act"))
+
+
+def _told(asked: DataFrame, met: DataFrame, names: list[str]) -> DataFrame:
+    """What was found for each asked reference, by its request."""
+    a, m = asked.alias("a"), met.alias("m")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"m.{c}"))
+    return a.join(m, same).select("a.version_id", "a.reference_id", "m._found", "m._accepted", "m._act")
+
+
+def _by_number(asked: DataFrame, register: DataFrame) -> DataFrame:
+    names = ["source_id", "category", "number", "year", "_low", "_high"]
+    acts = register.groupBy("source_id", "category", "number", F.col("year").alias("_year"), F.col("published").alias("_day")).agg(F.count("*").alias("_n"), F.min("act_id").alias("_least"))
+    met = _met(asked.select(*names), acts, ["source_id", "category", "number"], F.col("year").isNull() | (F.col("year") == F.col("_year")), F.lit(True))
+    return _told(asked, met, names)
+
+
+def _by_terms(asked: DataFrame, register: DataFrame) -> DataFrame:
+    names = ["source_id", "category", "terms", "published", "_low", "_high"]
+    acts = register.groupBy("source_id", "category", "object", "act_date", F.col("published").alias("_day")).agg(F.count("*").alias("_n"), F.min("act_id").alias("_least"))
+    acts = acts.withColumn("_words", text.stems(F.col("object"))).drop("object")
+    dated = F.coalesce(F.col("act_date").between(F.date_sub("published", UNNUMBERED), F.col("published")), F.lit(False))
+    met = _met(asked.select(*names), acts, ["source_id", "category"], F.arrays_overlap("terms", "_words"), dated)
+    return _told(asked, met, names)
+
+
 def searched(references: DataFrame, attachments: DataFrame, notices: DataFrame, register: DataFrame, categories: DataFrame, unread: DataFrame | None = None) -> DataFrame:
     """Each reference with `outcome`, `reason`, the attachment's `url` or the register's `act_id`.
 
@@ -51,6 +97,7 @@ def searched(references: DataFrame, attachments: DataFrame, notices: DataFrame,
     Else the register of the notice's source is searched, in the category of the kind: numbered references by number and
     year among what was published within LATER days of their date, or in the BEFORE days up to the notice; others by the
     notice's terms among what was published around the notice, of which the acts dated in the UNNUMBERED days up to it count.
+    What is asked alike is searched once, among acts that are counted where they do not differ, so neither side grows as the square of the other.
     Over MOST_DETAILS candidates are ambiguous. Where days of the search could not be read from the register, the reference is `unavailable` for that reason, whatever other days hold.
 
     references: version_id, reference_id, kind, number, year, day. attachments: version_id, url, text. notices: version_id, source_id,
@@ -63,17 +110,15 @@ def searched(references: DataFrame, attachments: DataFrame, notices: DataFrame,
     rows = references.join(own.where("_n = 1").drop("_n"), ["version_id", "reference_id"], "left").join(notices, "version_id", "left").join(categories, ["source_id", "kind"], "left")
     rows = rows.join(categories.select("source_id").distinct().withColumn("_known", F.lit(True)), "source_id", "left")
 
+    path = scratch(rows.sparkSession, "references")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.parquet(path)
     numbered = F.col("number").isNotNull()
     low = F.when(numbered, F.coalesce("day", F.date_sub("published", BEFORE))).otherwise(F.date_sub("published", UNNUMBERED))
     high = F.when(numbered, F.coalesce(F.date_add("day", LATER), F.col("published"))).otherwise(F.date_add("published", LATER))
     asked = rows.where(F.col("url").isNull() & F.col("category").isNotNull() & low.isNotNull()).withColumns({"_low": low, "_high": high})
-    records = register.select("source_id", "category", F.col("published").alias("_day"), "act_id", F.col("number").alias("_number"), F.col("year").alias("_year"), text.stems(F.col("object")).alias("_words"), "act_date")
-    by_number = asked.where(numbered).join(records.withColumn("number", F.col("_number")), ["source_id", "category", "number"])
-    by_number = by_number.where(F.col("_day").between(F.col("_low"), F.col("_high")) & (F.col("year").isNull() | (F.col("year") == F.col("_year"))))
-    by_day = asked.where(~numbered).withColumn("_day", F.explode(F.sequence("_low", "_high"))).join(records, ["source_id", "category", "_day"]).where(F.arrays_overlap("terms", "_words"))
-    met = by_number.unionByName(by_day)
-    dated = F.when(numbered, F.lit(True)).otherwise(F.coalesce(F.col("act_date").between(F.date_sub("published", UNNUMBERED), F.col("published")), F.lit(False)))
-    found = met.groupBy("version_id", "reference_id").agg(F.count("*").alias("_found"), F.count_if(dated).alias("_accepted"), F.min(F.when(dated, F.col("act_id"))).alias("_act"))
+    found = _by_number(asked.where(numbered), register).unionByName(_by_terms(asked.where(~numbered), register))
+    found = found.groupBy("version_id", "reference_id").agg(F.sum("_found").alias("_found"), F.sum("_accepted").alias("_accepted"), F.min("_act").alias("_act"))
     rows = rows.join(found, ["version_id", "reference_id"], "left").fillna(0, ["_found", "_accepted"])
     if unread is None:
         rows = rows.withColumn("_unread", F.lit(None).cast("string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.operators import acts
+from annalist.operators.shared import dealt
 from annalist.plans.base import at, query, shape, table
 
 #: Acts, references to them and clauses, as columns that mean the same in Spark and in DuckDB.
@@ -185,7 +186,7 @@ def register_search(spark, sf_dir):
     kinds = spark.createDataFrame([("ordinanza", "ordinanze"), ("decreto", "decreti")], "kind string, category string")
     categories = spark.range(8).toDF("source_id").crossJoin(F.broadcast(kinds))  # eight registers of two kinds
     unread = spark.createDataFrame(UNREAD, "source_id long, since string, until string, reason string").select("source_id", F.col("since").cast("date").alias("since"), F.col("until").cast("date").alias("until"), "reason")
-    return acts.searched(_select(lines, _REF), _select(lines.where("l_discount > 0.08"), _ATTACHED), notices, _select(lines, _RECORDED), categories, unread)
+    return acts.searched(_select(lines, _REF), _select(dealt(lines.where("l_discount > 0.08")), _ATTACHED), notices, _select(lines, _RECORDED), categories, unread)
 
 
 _PARTS = "[{'ordinal': 1, 'kind': 'closure', 'text': 'la chiusura dei parchi'}, {'ordinal': 2, 'kind': 'closure', 'text': 'la chiusura della scuola Verdi'}, {'ordinal': 3, 'kind': 'prohibition', 'text': 'il divieto di sosta'}]"

@@ -272,3 +272,15 @@ def test_two_days_reads_its_values_once_and_only_what_may_count(spark):
     found = reports.two_days(values, F.lit("2024-05-05").cast("timestamp_ntz"))
     assert sorted((r.id, r.day) for r in found.collect()) == [(1, "today"), (2, "tomorrow"), (4, "undated"), (5, "today"), (5, "tomorrow"), (7, "undated")]
     assert "Union" not in found._jdf.queryExecution().toString()
+
+
+def test_register_search_counts_acts_and_requests_that_do_not_differ_once(spark):
+    """As many references as acts of one number and day: each side is one row where they meet."""
+    from annalist.operators import acts
+
+    n = 20_000
+    day = F.lit("2024-05-05").cast("date")
+    register = spark.range(n).select(F.lit(1).alias("source_id"), F.lit("c").alias("category"), F.lit(7).alias("number"), F.lit(2024).alias("year"), day.alias("published"), F.col("id").alias("act_id"), F.lit("Chiusura ponte").alias("object"), day.alias("act_date"))
+    asked = spark.range(n).select(F.col("id").alias("version_id"), F.lit(1).alias("reference_id"), F.lit(1).alias("source_id"), F.lit("c").alias("category"), F.lit(7).alias("number"), F.lit(None).cast("int").alias("year"), day.alias("published"), F.array(F.lit("ponte")).alias("terms"), (day - 30).alias("_low"), day.alias("_high"))
+    for found in (acts._by_number(asked, register), acts._by_terms(asked, register)):
+        assert found.count() == n and found.select("_found", "_accepted", "_act").distinct().collect() == [(n, n, 0)]
