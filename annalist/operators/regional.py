@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import italian, kernels, text
+from annalist.functions.temporal import let
 
 # Names of risks, zones, phenomena and levels in public bulletins.
 RISKS = ["minor_network_hydro", "main_network_hydraulic", "thunderstorms", "wind", "coastal_waves", "snow", "ice"]
@@ -110,9 +111,9 @@ def criticality(pages: DataFrame, html: str = "html") -> DataFrame:
     scope = zones(F.regexp_extract("seen.text", AREA_KEY, 1))
     days = F.transform("seen.days", text.italian_date)
     risks = F.map_entries(F.create_map(*[F.lit(x) for kv in RISK_LABELS.items() for x in kv]))
-    unknown = F.flatten(F.flatten(F.transform("_days", lambda d: F.transform(risks, lambda r: F.transform("_scope", lambda z: F.struct(
+    unknown = let(F.col("_scope"), lambda named: F.flatten(F.flatten(F.transform("_days", lambda d: F.transform(risks, lambda r: F.transform(named, lambda z: F.struct(
         r["value"].alias("risk"), r["key"].alias("label"), z.alias("zone"), F.lit("unknown").alias("level"), F.lit("date").alias("precision"),
-        none.cast("timestamp_ntz").alias("start"), none.cast("timestamp_ntz").alias("end"), d.alias("day"), F.lit(False).alias("from_issuance")))))))
+        none.cast("timestamp_ntz").alias("start"), none.cast("timestamp_ntz").alias("end"), d.alias("day"), F.lit(False).alias("from_issuance"))))))))
     rows = rows.withColumn("_days", days).withColumn("_scope", scope)
     all_risks = F.upper("seen.text")
     named = F.lit(True)
@@ -147,10 +148,10 @@ def vigilance(pages: DataFrame, html: str = "html") -> DataFrame:
     rows = rows.withColumn("_days", F.transform(F.slice("_t", 1, 1)[0], text.italian_date)).withColumn("_rows", F.slice("_t", F.lit(2), F.greatest(F.size("_t"), F.lit(1))))
     of = F.create_map(*[x for k, v in PHENOMENA.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     none = F.lit(None)
-    facts = F.flatten(F.transform("_rows", lambda r: F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda i: F.flatten(F.transform(zones(F.get(r, i)), lambda z: F.transform(
+    facts = let(F.col("_days"), lambda days: F.flatten(F.transform("_rows", lambda r: F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda i: F.flatten(F.transform(zones(F.get(r, i)), lambda z: F.transform(
         F.element_at(of, F.lower(F.get(r, 0))), lambda k: F.struct(
             k.alias("risk"), F.get(r, 0).alias("label"), z.alias("zone"), F.lit("not_applicable").alias("level"), F.lit("date").alias("precision"),
-            none.cast("timestamp_ntz").alias("start"), none.cast("timestamp_ntz").alias("end"), F.get("_days", i).alias("day"), F.lit(False).alias("from_issuance")))))))))
+            none.cast("timestamp_ntz").alias("start"), none.cast("timestamp_ntz").alias("end"), F.get(days, i).alias("day"), F.lit(False).alias("from_issuance"))))))))))
     refused = (
         F.when(F.col("seen.issuance").isNull(), "no_issuance")
         .when(F.col("_t").isNull(), "layout")
