@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from annalist.operators.shared import settled
 
@@ -137,43 +143,97 @@ def cover_density(text: str, query: list[str]) -> float:
     return score
 
 
-def _windows(words: Column, width: int) -> Column:
-    """Hashes of all windows of `width` words (1 to 8), put together from those of one, two, four and eight; the last ones may reach beyond the end."""
-    ahead = lambda h, n: F.slice(h, F.lit(n + 1), F.greatest(F.size(h) - n, F.lit(0)))
-    both = lambda h, g, n: F.zip_with(h, ahead(g, n), lambda a, b: F.xxhash64(a, b))
-    power, size, out, done = F.transform(words, lambda w: F.xxhash64(w)), 1, None, 0
-    while size <= width:
-        if width & size:
-            out, done = (power, size) if out is None else (both(out, power, done), done + size)
-        power, size = both(power, power, size), size * 2
-    return out
+#: Bytes that separate words, as `\\s` has it, and odd multipliers of hashes modulo 2^64: of bytes, its inverse, of words.
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_powers: list[np.ndarray] = []
+
+
+def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier of bytes and of its inverse, kept in the worker."""
+    if not _powers or len(_powers[0]) < size:
+        step = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(size, 1 << 16), x, np.uint64)]))
+        _powers[:] = [step(_BYTE), step(pow(_BYTE, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def window_keys(data: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
+    """Hashes of all windows of so many words of a text, given as bytes of UTF-8. They are put together from hashes of words, so the white space between these does not matter."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _WHITE[data], [True]]).view(np.int8)))
+    begin, end = edges[::2], edges[1::2]
+    power, inverse = _power(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
+    words = (total[end] - total[begin]) * inverse[begin]
+    words ^= words >> np.uint64(29)
+    found, sums, factor = {}, np.zeros(len(words) + 1, np.uint64), 1
+    for n in range(1, max(widths) + 1):
+        if len(words) < n:
+            break
+        sums = sums[: len(words) - n + 1] + words[n - 1 :] * np.uint64(factor)
+        factor = factor * _WORD % (1 << 64)
+        if n in widths:
+            found[n] = sums.view(np.int64)
+    return found
+
+
+@F.pandas_udf(T.LongType())
+def _own_key(head: pd.Series) -> pd.Series:
+    """The one window of a text that has all its words."""
+    found = [list(window_keys(np.frombuffer(h.encode("utf-8", "surrogatepass"), np.uint8), [len(h.split(" "))]).values()) for h in head]
+    return pd.Series([f[0][0] if f else None for f in found], dtype="Int64")
+
+
+#: Windows that leave Python together.
+WINDOWS_AT_ONCE = 1 << 16
+
+
+def keyed_windows(docs: DataFrame, key: str, text: str, widths: list[int]) -> DataFrame:
+    """The key of each text with the widths (_n) and hashes (_key) of its windows. Texts are read where Arrow has them, one after another, and what they give leaves in small batches."""
+    schema = T.StructType([docs.schema[key], T.StructField("_n", T.IntegerType()), T.StructField("_key", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(ids: pa.Array, held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(h) for _, _, h in held]
+        rows, n = np.repeat([i for i, _, _ in held], sizes), np.repeat([n for _, n, _ in held], sizes).astype(np.int32)
+        whole = pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(n), pa.array(np.concatenate([h for _, _, h in held]))], schema=arrow)
+        for i in range(0, whole.num_rows, WINDOWS_AT_ONCE):
+            yield whole.slice(i, WINDOWS_AT_ONCE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            held, size = [], 0
+            for i in range(batch.num_rows):
+                if not texts[i].is_valid:
+                    continue
+                for n, hashes in window_keys(np.frombuffer(texts[i].as_buffer(), np.uint8), widths).items():
+                    held.append((i, n, hashes))
+                    size += len(hashes)
+                if size >= WINDOWS_AT_ONCE:
+                    yield from batch_of(ids, held)
+                    held, size = [], 0
+            if held:
+                yield from batch_of(ids, held)
+
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def literal_hits(docs: DataFrame, key: str, text: str, passages: DataFrame, passage_key: str, passage_text: str, width: int = 8) -> DataFrame:
     """Documents that hold a passage word for word, white space aside.
 
-    A passage's first words, `width` (8 at most) or as many as it has, are its key. Of the windows of words of a document only those leave
-    a task that are some passage's key, without the text; texts are fetched for the documents found, and compared in full.
+    A passage's first words, `width` or as many as it has, are its key. Of the windows of words of a document only those go on
+    that are some passage's key, without the text; texts are fetched for the documents found, and compared in full.
     """
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     asked = passages.select(passage_key, flat(F.col(passage_text)).alias("_passage")).where("_passage <> ''")
-    asked = asked.withColumn("_words", F.split("_passage", " ")).withColumn("_n", F.least(F.size("_words"), F.lit(width)))
+    asked = asked.withColumn("_words", F.slice(F.split("_passage", " "), 1, width)).withColumn("_n", F.size("_words"))
+    asked = settled(asked.select(passage_key, "_passage", "_n", _own_key(F.array_join("_words", " ")).alias("_key")))
     sizes = sorted(r["_n"] for r in asked.select("_n").distinct().collect())  # `width` numbers at most
-    own = F.lit(None).cast("long")
-    for n in sizes:
-        own = F.when(F.col("_n") == n, F.get(_windows(F.slice("_words", 1, n), n), 0)).otherwise(own)
-    asked = settled(asked.select(passage_key, "_passage", "_n", own.alias("_key")))
-    rows = docs.select(key, flat(F.col(text)).alias("_text"))
-    keyed = rows.select(key, F.split("_text", " ").alias("_words"))
-    keys = _small(settled(asked.select("_n", "_key").distinct()))
-    hits = None
-    for n in sizes:
-        index = keyed.select(key, F.lit(n).alias("_n"), F.explode(F.array_distinct(_windows(F.col("_words"), n))).alias("_key"))
-        found = index.join(keys, ["_n", "_key"], "left_semi")
-        hits = found if hits is None else hits.union(found)
-    if hits is None:
+    if not sizes:
         return asked.select(passage_key, F.lit(None).cast(docs.schema[key].dataType).alias(key))  # no passages
-    pairs = _small(settled(hits.join(_small(asked.drop("_passage")), ["_n", "_key"]).select(key, passage_key).distinct()))
-    exact = rows.join(pairs, key).join(_small(asked.select(passage_key, "_passage")), passage_key)
-    held = F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_passage", F.lit(" ")))
+    keys = _small(settled(asked.select("_n", "_key").distinct()))
+    hits = keyed_windows(docs, key, text, sizes).join(keys, ["_n", "_key"], "left_semi")
+    pairs = _small(settled(hits.distinct().join(_small(asked.drop("_passage")), ["_n", "_key"]).select(key, passage_key).distinct()))
+    exact = docs.select(key, F.col(text).alias("_text")).join(pairs, key).join(_small(asked.select(passage_key, "_passage")), passage_key)
+    held = F.contains(F.concat(F.lit(" "), flat(F.col("_text")), F.lit(" ")), F.concat(F.lit(" "), "_passage", F.lit(" ")))
     return exact.where(held).select(passage_key, key).distinct()
