@@ -93,20 +93,27 @@ def queue_fold(spark, sf_dir):
     return stateful.folded(rows, "user_id", ["at_us", "event_id"], stateful.queue_step(48 * HOUR, 2 * HOUR), stateful.queue_start, QUEUE)
 
 
+#: Events in a file of the log, and jobs that share a state of the stream.
+EVENTS_A_FILE, KEYS_A_BUCKET = 500_000, 128
+
+
 @query(ORACLE_SQL["queue_fold"])
 def queue_stream(spark, sf_dir):
     """The same transitions from a stream whose micro-batches hold events of several days in any order: timers of event time give the rows of the batch form."""
     rows = _events(spark, sf_dir).withColumns({"kind": F.expr(_KIND), "until_us": F.col("at_us") + 6 * HOUR, "attempt": F.expr(_ATTEMPT), "at": F.timestamp_micros("at_us")})
     days = F.floor((F.col("at_us") - rows.agg(F.min("at_us")).first()[0]) / (24 * HOUR))
     rows = rows.withColumn("batch", F.floor(days / 6) + F.pmod("event_id", F.lit(2)))
-    path, last = scratch(spark, "event-log"), rows.agg(F.max("batch"), F.max("at_us")).first()
-    for i in range(last[0] + 1):  # a file each; the newest come last
-        rows.where(F.col("batch") == i).drop("batch").orderBy(F.desc("event_id")).coalesce(1).write.mode("append").parquet(path)
-    ahead = rows.limit(1).withColumns({"user_id": F.lit(-1).cast("long"), "at_us": F.lit(last[1]) + 30 * 24 * HOUR, "at": F.timestamp_micros(F.lit(last[1]) + 30 * 24 * HOUR)})
+    path, sizes = scratch(spark, "event-log"), rows.groupBy("batch").agg(F.count("*").alias("n"), F.max("at_us").alias("last")).orderBy("batch").collect()  # a row for six days
+    files = [-(-r["n"] // EVENTS_A_FILE) for r in sizes]
+    for r, n in zip(sizes, files, strict=True):  # the newest of a file come last
+        rows.where(F.col("batch") == r["batch"]).drop("batch").repartition(n).sortWithinPartitions(F.desc("event_id")).write.mode("append").parquet(path)
+    end = max(r["last"] for r in sizes) + 30 * 24 * HOUR
+    ahead = rows.limit(1).withColumns({"user_id": F.lit(-1).cast("long"), "at_us": F.lit(end), "at": F.timestamp_micros(F.lit(end))})
     ahead.drop("batch").coalesce(1).write.mode("append").parquet(path)  # time goes on, so that all timers end
-    stream = spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", max(files)).parquet(path)
     step = stateful.queue_step(48 * HOUR, 2 * HOUR)
-    found = folds.timed(stream, "user_id", "at", ["at_us", "event_id"], step, stateful.queue_start, QUEUE, "20 days")
+    buckets = -(-rows.agg(F.approx_count_distinct("user_id")).first()[0] // KEYS_A_BUCKET)
+    found = folds.timed(stream, "user_id", "at", ["at_us", "event_id"], step, stateful.queue_start, QUEUE, "20 days", buckets=buckets)
     out = scratch(spark, "queue-stream")
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "queue-stream-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(out).where("user_id >= 0")
