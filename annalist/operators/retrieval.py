@@ -65,21 +65,34 @@ def holding_all_terms(docs: DataFrame, key: str, text: str, queries: DataFrame,
     return pairs.where(F.size(F.array_except("_all", "_held")) == 0).select(query_key, key)
 
 
-def _covers(places: pd.Series, n_terms: pd.Series) -> pd.Series:
-    """Cover density from the places of words and which term each is, in order: the sum over shortest covers of 1 / (other words in it + 1)."""
+def _cover(found: np.ndarray, n: int) -> float:
+    """Cover density from the places of n words, each packed as place * n + word, in order: the sum over shortest covers of 1 / (other words in it + 1)."""
+    last: dict[int, int] = {}
+    total = 0.0
+    for x in found.tolist():
+        place, term = divmod(x, n)
+        last[term] = place
+        if len(last) == n:
+            begin = min(last.values())
+            total += 1.0 / (place - begin + 2 - n)
+            last = {t: p for t, p in last.items() if p > begin}
+    return total
+
+
+def _scored(rows: DataFrame, query_key: str, key: str) -> DataFrame:
+    """Query, document and score of rows with `n` and `places`. These go to Python as whole numbers, and stay numbers of Arrow but for one row's at a time, so what Python holds does not grow with a batch's rows."""
+    schema = T.StructType([rows.schema[query_key], rows.schema[key], T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
 
-    def score(found, n: int) -> float:
-        last: dict[int, int] = {}
-        total = 0.0
-        for x in found:
-            last[x["term"]] = x["place"]
-            if len(last) == n:
-                begin = min(last.values())
-                total += 1.0 / (x["place"] - begin + 2 - n)
-                last = {t: p for t, p in last.items() if p > begin}
-        return total
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, places = batch.column(2).to_numpy(), batch.column(3)
+            ends, values = places.offsets.to_numpy(), places.values.to_numpy()
+            scores = [_cover(values[ends[i] : ends[i + 1]], int(n)) for i, n in enumerate(sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], schema=arrow)
 
-    return pd.Series([score(p, n) for p, n in zip(places, n_terms, strict=True)], dtype="float64")
+    packed = F.transform("places", lambda x: x["place"].cast("long") * F.col("n") + x["term"])
+    return rows.select(query_key, key, "n", packed.alias("places")).mapInArrow(run, schema)
 
 
 #: Of each query, so many times the limit are scored first; they set the bar for the rest.
@@ -104,14 +117,13 @@ def ranked(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key:
     order = Window.partitionBy(query_key).orderBy(F.desc("bound"), key)
     postings = settled(rows.withColumn("turn", F.row_number().over(order)))
 
-    score = F.pandas_udf(_covers, "double")("places", "n")
     best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     top = lambda df: df.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
-    first = settled(top(postings.where(F.col("turn") <= FIRST_BLOCK * limit).select(query_key, key, score.alias("score"))))
+    first = settled(top(_scored(postings.where(F.col("turn") <= FIRST_BLOCK * limit), query_key, key)))
     bar = first.where(F.col("place") == limit).select(query_key, F.col("score").alias("_bar"), F.col(key).alias("_last"))
     rest = postings.where(F.col("turn") > FIRST_BLOCK * limit).join(bar, query_key)
     may = (F.col("bound") > F.col("_bar")) | ((F.col("bound") == F.col("_bar")) & (F.col(key) < F.col("_last")))
-    found = first.select(query_key, key, "score").union(rest.where(may).select(query_key, key, score.alias("score")))
+    found = first.select(query_key, key, "score").union(_scored(rest.where(may), query_key, key))
     return top(found).select(query_key, key, "place", "score")
 
 
